@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from searchlift.llm import decontamination, exact_dedup, mixing, sharding
+from searchlift.llm import decontamination, exact_dedup, html_text, language_id, mixing, near_dedup, pii, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_histogram_shards": sharding.op1,
+        "op2_minhash_near_dedup": near_dedup.op2,
         "op3_source_mix": mixing.op3,
+        "op4_toxicity": toxicity.op4,
+        "op5_pii": pii.op5,
+        "op6_main_text": html_text.op6,
         "op7_exact_dedup": exact_dedup.op7,
+        "op8_language_id": language_id.op8,
         "op9_decontamination": decontamination.op9,
+        "op10_token_counts": token_counts.op10,
     }
 
 
