@@ -46,9 +46,18 @@ def windows(benchmark: DataFrame, n: int = 13, item_col: str = "item_id", text_c
     return w.withColumn("loose", F.xxhash64(F.split(F.lower("words"), " ")))
 
 
-def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("__w", _words(F.lower(text)))
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that binds value to name in body: computed once, however often body and the filters above name it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _list(values: set[int]) -> str:
+    return ", ".join(f"{x}L" if x > -(2**63) else "(-9223372036854775807L - 1L)" for x in sorted(values))
+
+
+NO_HITS = "CAST(array() AS ARRAY<STRUCT<start: INT, len: INT, words: STRING>>)"
+JUDGE = """named_struct('n_words', CAST({n_words} AS BIGINT), 'hits', {hits}, 'n_hit', CAST({n_hit} AS BIGINT), 'contaminated', {n_hit} > 0 AND {share} * {n_hit} >= {n_words})"""
+COVERED = "CASE WHEN size(h) > 0 THEN size(array_distinct(flatten(transform(h, x -> sequence(x.start, x.start + x.len - 1))))) ELSE 0 END"
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", share: int = 20) -> DataFrame:
@@ -62,30 +71,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "te
         loose, words = sets.setdefault(r.len, (set(), set()))
         loose.add(r.loose)
         words.add(r.words)
-    docs = _with_words(docs, text_col)
-    exact = _words(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
-    starts = F.concat(F.array().cast("array<struct<start:int,len:int>>"), *[_candidates(length, loose) for length, (loose, _) in sorted(sets.items())])
-    docs = docs.withColumns({"n_words": F.size("__w").cast("long"), "__at": starts}).drop("__w")
-    # The text is split again by the exact rule only where there are candidates.
-    docs = docs.withColumn("__w", F.when(F.size("__at") > 0, exact))
-    hits = F.transform("__at", lambda s: F.struct(s.start.alias("start"), s.len.alias("len"), F.array_join(F.slice("__w", s.start, s.len), " ").alias("words")))
-    docs = docs.withColumn("hits", F.when(F.size("__at") > 0, hits).otherwise(F.array().cast("array<struct<start:int,len:int,words:string>>")))
+    text = f"coalesce(`{text_col}`, '')"
+    # Where a set has a window's hash, for each length; the text is split again by the exact rule only if some has.
+    at = [f"transform(filter(CASE WHEN size(w) >= {n} THEN sequence(1, size(w) - {n - 1}) ELSE array() END, i -> xxhash64(slice(w, i, {n})) IN ({_list(loose)})), i -> named_struct('start', i, 'len', {n}))" for n, (loose, _) in sorted(sets.items())]
+    at = f"concat({', '.join(at)})" if at else "CAST(array() AS ARRAY<STRUCT<start: INT, len: INT>>)"
     # Words hold no quote and no backslash, so they stand in SQL text as they are.
-    equal = " OR ".join(f"h.len = {length} AND h.words IN ({', '.join(repr(w) for w in sorted(words))})" for length, (_, words) in sorted(sets.items()))
-    docs = docs.withColumn("hits", F.expr(f"filter(hits, h -> {equal or 'false'})"))
-    return _judged(docs.drop("__w", "__at"), share)
-
-
-def _candidates(length: int, loose: set[int]) -> Column:
-    values = ", ".join(f"{x}L" if x > -(2**63) else "(-9223372036854775807L - 1L)" for x in sorted(loose))
-    every = f"CASE WHEN size(__w) >= {length} THEN sequence(1, size(__w) - {length - 1}) ELSE array() END"
-    return F.expr(f"transform(filter({every}, i -> xxhash64(slice(__w, i, {length})) IN ({values})), i -> named_struct('start', i, 'len', {length}))")
-
-
-def _judged(docs: DataFrame, share: int) -> DataFrame:
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.start, h.start + h.len - 1)))))
-    docs = docs.withColumn("n_hit", F.when(F.size("hits") > 0, covered).otherwise(F.lit(0)).cast("long"))
-    return docs.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    equal = " OR ".join(f"x.len = {n} AND x.words IN ({', '.join(repr(w) for w in sorted(words))})" for n, (_, words) in sorted(sets.items())) or "false"
+    exact = f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), r'{WORDS}', 0)"
+    hits = _let(exact, "e", f"filter(transform(a, s -> named_struct('start', s.start, 'len', s.len, 'words', array_join(slice(e, s.start, s.len), ' '))), x -> {equal})")
+    hits = f"CASE WHEN size(a) > 0 THEN {hits} ELSE {NO_HITS} END"
+    judged = _let(hits, "h", _let(COVERED, "c", JUDGE.format(n_words="size(w)", hits="h", n_hit="c", share=share)))
+    whole = _let(f"regexp_extract_all(lower({text}), r'{WORDS}', 0)", "w", _let(at, "a", judged))
+    return docs.withColumn("__s", F.expr(whole)).select(*docs.columns, "__s.*")
 
 
 def _scan_by_join(docs: DataFrame, found: DataFrame, text_col: str, share: int) -> DataFrame:
@@ -99,9 +96,9 @@ def _scan_by_join(docs: DataFrame, found: DataFrame, text_col: str, share: int)
     rows = w.select("__k1", "__k2", F.explode(every).alias("h")).select("__k1", "__k2", "h.*")
     hit = rows.join(found.select("loose", F.col("words").alias("__words")), "loose").where("words = __words")
     hit = hit.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set(F.struct("start", "len", "words"))).alias("hits"))
-    out = docs.withColumn("n_words", F.size(_words(F.lower(text))).cast("long")).join(hit, ["__k1", "__k2"], "left")
-    out = out.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:int,len:int,words:string>>")))
-    return _judged(out.drop("__k1", "__k2"), share)
+    out = docs.withColumn("__n", F.size(_words(F.lower(text)))).join(hit, ["__k1", "__k2"], "left")
+    judged = _let(f"coalesce(hits, {NO_HITS})", "h", _let(COVERED, "c", JUDGE.format(n_words="__n", hits="h", n_hit="c", share=share)))
+    return out.withColumn("__s", F.expr(judged)).drop("hits", "__n", "__k1", "__k2").select("*", "__s.*").drop("__s")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_col: str = "text", **options) -> DataFrame:
