@@ -2,10 +2,200 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from searchlift.functions import html, urls
+from searchlift.operators import citations, content, facts, findings, inspection, policy, queueing, reconcile, reports
+from searchlift.sources import tables
+from searchlift.sources.tables import load
+from searchlift.streaming import events as streams
+
+
+def _facts(s, d):
+    return tables.search_facts(s, d)
+
+
+def _pages(s, d):
+    return tables.crawled_pages(s, d)
+
+
+def _edges(s, d):
+    return tables.link_edges(_pages(s, d))
+
+
+def _linked(s, d):
+    return findings.with_in_links(_pages(s, d), _edges(s, d))
+
+
+def _found(s, d):
+    return findings.page_findings(_linked(s, d))
+
+
+def _texts(s, d):
+    return content.page_texts(load(s, d, "documents"))
+
+
+def _answers(s, d):
+    return citations.analysed(load(s, d, "conversations"))
+
+
+def _measured(s, d):
+    return facts.measured_actions(facts.sample_actions(load(s, d, "supplier")), _facts(s, d))
+
+
+def _actions(s, d):
+    return policy.sample_actions(load(s, d, "orders"))
+
+
+def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return load(spark, sf_dir, "pages").select("page_id", urls.host_key(u).alias("host"), urls.path_of(u).alias("path"), urls.path_key(u).alias("path_key"), urls.page_url_key(u).alias("url_key"), urls.citation_url(u).alias("citation_url"))
+
+
+URL_KEYS_SQL = r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '^www\.', '') AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)
+SELECT page_id, host, path, concat(path, CASE WHEN q <> '' THEN concat('?', q) ELSE '' END) AS path_key,
+ concat(host, CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END, CASE WHEN q <> '' THEN concat('?', q) ELSE '' END) AS url_key,
+ concat(lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)), regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1)) AS citation_url FROM p"""
+
+
+def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select("page_id", html.extract(F.col("html")).alias("p")).select("page_id", "p.title", F.size("p.h1").alias("h1_count"), "p.description", "p.canonical", "p.lang", F.size("p.links").alias("links"), "p.images", "p.json_ld_count", "p.word_count")
+
+
+def normal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir).select("page_id", "url", "site", "links")
+    return p.select("page_id", F.explode(urls.normalise_links("links", "url", "site")).alias("link")).where("link IS NOT NULL").distinct()
+
+
+def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir)
+    found = p.select("site", F.explode("links").alias("link")).where(F.startswith("link", F.lit("/"))).select(F.concat(F.lit("https://"), "site", "link").alias("url"))
+    return queueing.frontier_add(found, p.select(F.sha2("url", 256).alias("url_hash")), 200)
+
+
+def three_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the pages over three runs: all, those of even pages, all again."""
+    found = _found(spark, sf_dir).select(F.col("fingerprint").alias("key"), F.col("finding_type").alias("kind"), "page_id")
+    some = found.where("page_id % 2 = 0")
+    return reconcile.runs([found, some, found], reconcile.FINDINGS, ["2024-01-01", "2024-01-02", "2024-01-03"])
+
+
+THREE_RUNS_SQL = f"""WITH {findings.FINDINGS_CTE}
+SELECT fingerprint AS key, min(finding_type) AS kind, CASE WHEN min(page_id % 2) = 0 THEN 'open' ELSE 'regressed' END AS status, TIMESTAMP '2024-01-01' AS first_seen, TIMESTAMP '2024-01-03' AS last_seen, CAST(NULL AS TIMESTAMP) AS resolved_at,
+ CASE WHEN min(page_id % 2) = 0 THEN 3 ELSE 2 END AS occurrences, CASE WHEN min(page_id % 2) = 0 THEN 0 ELSE 1 END AS regressions FROM findings GROUP BY fingerprint"""
+
+
+def opportunity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opportunities over two runs: all, then those of priority 70 and more."""
+    o = facts.opportunities(_facts(spark, sf_dir)).select(F.col("opportunity_key").alias("key"), F.col("opportunity_type").alias("kind"), "priority")
+    return reconcile.runs([o, o.where("priority >= 70")], reconcile.OPPORTUNITIES, ["2024-02-26", "2024-02-27"])
+
+
+OPPORTUNITY_RUNS_SQL = f"""WITH {facts.OPPORTUNITY_CTE}
+SELECT opportunity_key AS key, opportunity_type AS kind, CASE WHEN priority >= 70 THEN 'active' ELSE 'resolved' END AS status, TIMESTAMP '2024-02-26' AS first_seen, CASE WHEN priority >= 70 THEN TIMESTAMP '2024-02-27' ELSE TIMESTAMP '2024-02-26' END AS last_seen,
+ CASE WHEN priority < 70 THEN TIMESTAMP '2024-02-27' END AS resolved_at, 0 AS occurrences, 0 AS regressions FROM opps"""
+
+
+def content_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refresh candidates of decaying pages and search opportunities, the best hundred."""
+    d = content.decay(facts.period_change(_facts(spark, sf_dir))).where("decay >= 25")
+    refresh = d.select(F.concat(F.lit("refresh|"), "page_url").alias("candidate_key"), F.lit("refresh").alias("source"), F.least(F.lit(100), F.col("decay") + 20).cast("int").alias("priority"), F.least(F.lit(100), 60 + F.floor(F.col("decay") / 3)).cast("int").alias("confidence"))
+    o = facts.opportunities(_facts(spark, sf_dir))
+    search = o.select(F.col("opportunity_key").alias("candidate_key"), F.when(F.col("page_url").isNull(), "new_page").otherwise("refresh_existing_page").alias("source"), "priority", "confidence")
+    return refresh.unionByName(search).orderBy(F.desc("priority"), F.desc("confidence"), "candidate_key").limit(100)
+
+
+CONTENT_CANDIDATES_SQL = f"""WITH d AS ({content.decay_sql()}), o AS ({facts.OPPORTUNITIES_SQL}), c AS (
+ SELECT concat('refresh|', page_url) AS candidate_key, 'refresh' AS source, CAST(least(100, decay + 20) AS INT) AS priority, CAST(least(100, 60 + floor(decay / 3)) AS INT) AS confidence FROM d WHERE decay >= 25
+ UNION ALL SELECT opportunity_key, CASE WHEN page_url IS NULL THEN 'new_page' ELSE 'refresh_existing_page' END, priority, confidence FROM o)
+SELECT * FROM c ORDER BY priority DESC, confidence DESC, candidate_key LIMIT 100"""
+
+
+def paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = load(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("host"), "ts", "event_id", F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 404).otherwise(200).alias("status_code"))
+    return queueing.paced(answers)
+
+
+#: name -> (query, the SQL that states it or None).
+QUERIES = {
+    "opportunities_all": (lambda s, d: facts.opportunities(_facts(s, d)), facts.OPPORTUNITIES_SQL),
+    "opportunities_actionable": (lambda s, d: facts.actionable(facts.opportunities(_facts(s, d))), facts.ACTIONABLE_SQL),
+    "opportunity_runs": (opportunity_runs, OPPORTUNITY_RUNS_SQL),
+    "weighted_metrics": (lambda s, d: facts.weighted_metrics(_facts(s, d), "query"), facts.WEIGHTED_SQL),
+    "metric_window": (lambda s, d: facts.metric_window(_facts(s, d), tables.RECENT_FROM, tables.PERIOD_END), facts.METRIC_WINDOW_SQL),
+    "period_change": (lambda s, d: facts.period_change(_facts(s, d)), facts.CHANGE_SQL),
+    "cannibal_pages": (lambda s, d: facts.cannibal_pages(_facts(s, d)), facts.CANNIBAL_SQL),
+    "top_pages": (lambda s, d: facts.top_pages(_facts(s, d)), facts.TOP_PAGES_SQL),
+    "query_owners": (lambda s, d: facts.query_owners(_facts(s, d)), facts.OWNERS_SQL),
+    "covered_ranges": (lambda s, d: facts.covered_ranges(_facts(s, d).withColumnRenamed("metric_date", "day"), "page_url"), facts.COVERED_SQL),
+    "action_outcomes": (_measured, facts.OUTCOMES_SQL),
+    "outcome_adjustment": (lambda s, d: facts.history_adjustment(_measured(s, d)), facts.ADJUSTMENT_SQL),
+    "outcome_longest_window": (lambda s, d: facts.longest_window(_measured(s, d)), facts.LONGEST_SQL),
+    "page_findings": (_found, findings.PAGE_FINDINGS_SQL),
+    "legacy_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.LEGACY_RULES), findings.rule_hits_sql(findings.LEGACY_RULES)),
+    "export_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.EXPORT_RULES), findings.rule_hits_sql(findings.EXPORT_RULES)),
+    "audit_scores": (lambda s, d: findings.audit_scores(_linked(s, d)), findings.AUDIT_SQL),
+    "duplicate_titles": (lambda s, d: findings.duplicates(_pages(s, d), "title", "duplicate_title"), findings.DUPLICATES_SQL),
+    "site_health": (lambda s, d: findings.health(_pages(s, d), _found(s, d)), findings.HEALTH_SQL),
+    "finding_counts": (lambda s, d: findings.counts(_found(s, d)), findings.COUNTS_SQL),
+    "findings_queue": (lambda s, d: findings.queue(_found(s, d)), findings.QUEUE_SQL),
+    "findings_summary": (lambda s, d: findings.summary(_found(s, d)), findings.SUMMARY_SQL),
+    "finding_runs": (three_runs, THREE_RUNS_SQL),
+    "status_histogram": (lambda s, d: reports.status_histogram(_pages(s, d)), reports.STATUS_SQL),
+    "site_trust": (lambda s, d: reports.trust(_pages(s, d)), reports.TRUST_SQL),
+    "in_links": (lambda s, d: reports.in_links(_edges(s, d)), reports.IN_LINKS_SQL),
+    "link_graph": (lambda s, d: reports.link_graph(_pages(s, d), _edges(s, d)), reports.LINK_GRAPH_SQL),
+    "link_totals": (lambda s, d: reports.link_totals(_pages(s, d), _edges(s, d)), reports.LINK_TOTALS_SQL),
+    "tech_stack": (lambda s, d: reports.tech_scores(_pages(s, d)), reports.tech_sql()),
+    "pages_for_review": (lambda s, d: reports.pages_for_review(_pages(s, d)), reports.REVIEW_SQL),
+    "page_listing": (lambda s, d: reports.page_of_rows(_pages(s, d)), reports.PAGINATION_SQL),
+    "js_shells": (lambda s, d: reports.js_shells(_pages(s, d).select("page_id", "word_count").join(load(s, d, "pages").select("page_id", "html"), "page_id")), reports.JS_SHELL_SQL),
+    "url_keys": (url_keys, URL_KEYS_SQL),
+    "html_fields": (html_fields, None),
+    "normal_links": (normal_links, None),
+    "frontier_add": (frontier, queueing.FRONTIER_SQL),
+    "crawl_quality": (lambda s, d: reports.crawl_quality(tables.jobs(s, d)), reports.QUALITY_SQL),
+    "job_status_totals": (lambda s, d: reports.status_totals(tables.jobs(s, d)), reports.STATUS_TOTALS_SQL),
+    "job_claim": (lambda s, d: queueing.claim(tables.jobs(s, d)), queueing.CLAIM_SQL),
+    "job_recovery": (lambda s, d: queueing.recover(tables.jobs(s, d)), queueing.RECOVER_SQL),
+    "job_retry": (lambda s, d: queueing.retry(tables.jobs(s, d)), queueing.RETRY_SQL),
+    "job_latest": (lambda s, d: queueing.latest_per_site(tables.jobs(s, d)), queueing.LATEST_SQL),
+    "job_reservations": (lambda s, d: queueing.reservations(tables.jobs(s, d), load(s, d, "customer")), queueing.RESERVATIONS_SQL),
+    "event_fold": (lambda s, d: queueing.folded(load(s, d, "events")), queueing.FOLD_SQL),
+    "crawl_pacing": (paced, None),
+    "term_counts": (lambda s, d: content.term_counts(_texts(s, d)), content.TERM_COUNTS_SQL),
+    "page_topics": (lambda s, d: content.topics(_texts(s, d)), content.TOPICS_SQL),
+    "page_entities": (lambda s, d: content.page_entities(_texts(s, d)), None),
+    "similar_pages": (lambda s, d: content.similar_pages(_texts(s, d)), content.SIMILAR_SQL),
+    "topic_clusters": (lambda s, d: content.clusters(content.topics(_texts(s, d))), content.CLUSTERS_SQL),
+    "link_recommendations": (lambda s, d: content.recommendations(content.similar_pages(_texts(s, d))), content.RECOMMEND_SQL),
+    "semantic_graph": (lambda s, d: content.graph_edges(content.topics(_texts(s, d)), content.similar_pages(_texts(s, d))), content.GRAPH_SQL),
+    "information_gain": (lambda s, d: content.information_gain(_texts(s, d)), content.GAIN_SQL),
+    "content_decay": (lambda s, d: content.decay(facts.period_change(_facts(s, d))), content.decay_sql()),
+    "content_candidates": (content_candidates, CONTENT_CANDIDATES_SQL),
+    "draft_quality": (lambda s, d: policy.draft_quality(load(s, d, "documents")), policy.QUALITY_SQL),
+    "answer_analysis": (_answers, citations.ANALYSED_SQL),
+    "citation_scan": (lambda s, d: citations.scan_totals(_answers(s, d)), citations.SCAN_SQL),
+    "citation_competitors": (lambda s, d: citations.competitor_counts(_answers(s, d)), citations.COMPETITORS_SQL),
+    "citation_gaps": (lambda s, d: citations.gaps(_answers(s, d)), citations.GAPS_SQL),
+    "prompt_upsert": (lambda s, d: citations.prompts(load(s, d, "benchmark")), citations.PROMPTS_SQL),
+    "inspection_latest": (lambda s, d: inspection.inspected(load(s, d, "events")), inspection.INSPECTED_SQL),
+    "inspection_opportunities": (lambda s, d: inspection.opportunities(inspection.inspected(load(s, d, "events"))), inspection.INSPECTION_OPPS_SQL),
+    "action_policy": (lambda s, d: policy.decided(_actions(s, d)), policy.DECIDED_SQL),
+    "action_policy_counts": (lambda s, d: policy.decision_counts(policy.decided(_actions(s, d))), policy.DECISION_COUNTS_SQL),
+    "fix_governance": (lambda s, d: policy.fixes(_actions(s, d)), policy.FIXES_SQL),
+    "usage_quota": (lambda s, d: policy.usage(load(s, d, "orders"), load(s, d, "customer")), policy.USAGE_SQL),
+    "audit_rate_limit": (lambda s, d: policy.rate_limited(load(s, d, "events")), policy.RATE_SQL),
+    "stream_tumbling": (lambda s, d: streams.tumbling(load(s, d, "events")), streams.TUMBLING_SQL),
+    "stream_sliding": (lambda s, d: streams.sliding(load(s, d, "events")), streams.SLIDING_SQL),
+    "stream_sessions": (lambda s, d: streams.sessions(load(s, d, "events")), streams.SESSIONS_SQL),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
