@@ -9,8 +9,9 @@ Two sets of similarity s share a table with probability (1 - (1 - s**PAIR)**HALV
 Documents with equal sets collapse to one representative first. In each table key the smallest
 representative is the centre; members are checked against it, on full sets, and links make
 components. Members that are not in their centre's component then meet the rest of the
-key (equal components aside). Candidates far below the threshold by their signatures are dropped
-before their texts move; links are only made on full sets.
+key (equal components aside), but for those that too many shingles of their own keep apart from
+every other component. Candidates far below the threshold by their signatures are dropped before
+their texts move; links are only made on full sets.
 
 Defined results: null and wordless texts have the empty set and are components of their own;
 texts of fewer than five words have one shingle, the whole sequence; documents with equal ids are
@@ -35,6 +36,8 @@ PAIR, HALVES = 2, 9
 N_HASHES = 2 * PAIR * HALVES
 #: Of N_HASHES minhashes, a pair at 0.85 agrees on fewer than this with probability 2e-6.
 LEAST_AGREED = 19
+#: So many ids (8 bytes each) are broadcast to pick the texts to compare; with more, the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Shingles per step of hashing.
 STEP = 1 << 16
 FEATURES = "id long, n_shingles long, set_key binary, sig array<int>"
@@ -94,6 +97,12 @@ def _sides(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts whose id is in wanted, with the columns of wanted. A bounded number of ids is broadcast, so that no other text moves."""
+    wanted = materialise(wanted, "near-wanted")
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id")
+
+
 def _near_enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs whose signatures agree often enough."""
     for b in batches:
@@ -118,12 +127,11 @@ def _linked(threshold: int):
     return check
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _links(near: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs (distinct, by id) that are linked on full sets."""
-    near = materialise(_sides(pairs, reps, "sig").mapInPandas(_near_enough, "x long, y long"), "near-candidates")
+    near = materialise(near, "near-candidates")
     # Each text of a candidate pair moves once for each side.
-    wanted = near.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    used = materialise(texts.join(wanted, "id", "left_semi"), "near-texts")
+    used = materialise(_texts_of(texts, near.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "near-texts")
     return materialise(_sides(near, used, "text").mapInPandas(_linked(threshold), "x long, y long"), "near-links")
 
 
@@ -158,17 +166,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     # Sets of 5 shingles and fewer have no neighbour at 0.85 but their equals.
     reps = materialise(reps.where("n_shingles > 5").select("id", "n_shingles", "sig"), "near-reps")
     rows = reps.withColumn("ij", F.explode(F.sequence(F.lit(0), F.lit(HALVES * HALVES - 1)))).select(
-        F.xxhash64("ij", F.expr(f"slice(sig, {PAIR} * (ij div {HALVES}) + 1, {PAIR})"), F.expr(f"slice(sig, {PAIR * HALVES} + {PAIR} * (ij % {HALVES}) + 1, {PAIR})")).alias("key"), "id", F.col("n_shingles").cast("int").alias("n")
+        F.xxhash64("ij", F.expr(f"slice(sig, {PAIR} * (ij div {HALVES}) + 1, {PAIR})"), F.expr(f"slice(sig, {PAIR * HALVES} + {PAIR} * (ij % {HALVES}) + 1, {PAIR})")).alias("key"), F.col("ij").cast("byte").alias("ij"), "id", F.col("n_shingles").cast("int").alias("n")
     )
     keys = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1"), "near-keys")
-    members = materialise(rows.join(keys, "key"), "near-members")
+    # The keys are as many as the documents at any size: never broadcast.
+    members = materialise(rows.join(keys.hint("merge"), "key"), "near-members")
     sized = f"100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n)"
     centred = members.where("id <> centre").select(F.col("id").alias("x"), F.col("centre").alias("y"), F.col("n").alias("x_n")).distinct()
     centred = centred.join(reps.select(F.col("id").alias("y"), F.col("n_shingles").alias("y_n")), "y").where(sized).select("x", "y")
-    first = _links(centred, reps, texts, threshold)
+    first = _links(_sides(centred, reps, "sig").mapInPandas(_near_enough, "x long, y long"), texts, threshold)
     labels = components(first)
-    rest = _unsettled(members, labels, sized)
-    second = _links(rest, reps, texts, threshold)
+    second = _links(_unsettled(members, labels, reps, texts, threshold, sized), texts, threshold)
     labels = components(first.union(second))
     every = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = found.select("id", "n_shingles", "set_key").join(every, "set_key", "left")
@@ -176,14 +184,53 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     return out.select("id", "n_shingles", same_id.alias("component_id"), F.col("id").eqNullSafe(same_id).alias("kept"))
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, sized: str) -> DataFrame:
-    """Pairs of a key that no component settles: one of the two is outside the centre's component, and neither is the centre."""
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i, c, text in zip(batch["id"], batch["component"], batch["text"], strict=True):
+            s = shingles(text)
+            for at in range(0, len(s), STEP):
+                yield pd.DataFrame({"shingle": s[at : at + STEP].view(np.int64), "id": i, "component": c})
+
+
+def _common(docs: DataFrame, texts: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
+    """docs (id, n, component) -> (id, common) of those that may be linked: the shingles that a document of another component has too.
+
+    Documents that have too few drop out, and the next round counts among the rest alone.
+    """
+    rows = materialise(_texts_of(texts, docs.select("id", "component")).mapInPandas(_shingle_rows, "shingle long, id long, component long"), "near-shingles")
+    left = docs
+    for k in range(rounds):
+        if k:
+            rows = rows.join(left.select("id"), "id", "left_semi")
+        shared = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+        counts = rows.join(shared, "shingle", "left_semi").groupBy("id").agg(F.count("*").cast("int").alias("common"))
+        left = materialise(left.select("id", "n").join(counts, "id").where(f"100 * common >= {threshold} * n"), "near-common")
+    return left.select("id", "common")
+
+
+def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int, sized: str) -> DataFrame:
+    """Pairs of a key that no component settles: one of the two is outside the centre's component, and neither is the centre.
+
+    Two documents of different components share no more shingles than either has in common with
+    other components at all. Most documents outside are kept apart by shingles of their own, so
+    this bound drops them before they are paired. A pair comes from the first key that it shares.
+    """
     m = members.where("members > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     m = m.join(labels.select(F.col("id").alias("centre"), F.col("component").alias("home")), "centre", "left").where("id <> centre")
-    m = materialise(m.select("key", "id", "n", "component", (F.col("component") != F.coalesce("home", "centre")).alias("outside")), "near-unsettled")
-    x = m.where("outside").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    y = m.select("key", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_c"), F.col("outside").alias("y_out"))
-    return x.join(y, "key").where(f"x_c <> y_c AND (NOT y_out OR x < y) AND {sized}").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    m = materialise(m.select("key", "ij", "id", "n", "component", (F.col("component") != F.coalesce("home", "centre")).alias("outside")), "near-unsettled")
+    docs = materialise(m.groupBy("id").agg(F.min("n").alias("n"), F.min("component").alias("component")), "near-apart")
+    m = m.join(_common(docs, texts, threshold).join(reps.select("id", "sig"), "id"), "id")
+    x = m.where("outside").select("key", "ij", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "component", "common", "sig")])
+    y = m.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "component", "common", "sig", "outside")])
+    earlier = "exists(sequence(0, {halves} - 1), t -> t < {own} AND slice(x_sig, {first} + t * {pair} + 1, {pair}) = slice(y_sig, {first} + t * {pair} + 1, {pair}))"
+    first = [earlier.format(halves=HALVES, pair=PAIR, own=own, first=at) for own, at in ((f"(ij div {HALVES})", 0), (f"(ij % {HALVES})", PAIR * HALVES))]
+    pairs = x.join(y, "key").where(
+        f"x_component <> y_component AND (NOT y_outside OR x_id < y_id) AND {sized}"
+        f" AND {100 + threshold} * least(x_common, y_common) >= {threshold} * (x_n + y_n)"
+        f" AND size(filter(zip_with(x_sig, y_sig, (a, b) -> a = b), e -> e)) >= {LEAST_AGREED}"
+        f" AND NOT {first[0]} AND NOT {first[1]}"
+    )
+    return pairs.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
 
 
 def one_of_each(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
