@@ -140,9 +140,10 @@ def duplicates(pages: DataFrame, column: str, kind: str) -> DataFrame:
     return g.select("site", F.lit(kind).alias("finding_type"), "value", "n", F.array_join("urls", "|").alias("urls"), F.least(F.lit(80), 15 + 5 * F.col("n")).cast("int").alias("effort"))
 
 
-DUPLICATES_SQL = f"""WITH {PAGES_SQL}
-SELECT site, 'duplicate_title' AS finding_type, lower(trim(title)) AS value, count(*) AS n, array_to_string(list_sort(list(DISTINCT url)), '|') AS urls, CAST(least(80, 15 + 5 * count(*)) AS INT) AS effort
-FROM crawled WHERE status_code = 200 AND trim(title) <> '' GROUP BY site, lower(trim(title)) HAVING count(*) >= 2"""
+def duplicates_sql(column: str, kind: str) -> str:
+    return f"""WITH {PAGES_SQL}
+SELECT site, '{kind}' AS finding_type, lower(trim({column})) AS value, count(*) AS n, array_to_string(list_sort(list(DISTINCT url)), '|') AS urls, CAST(least(80, 15 + 5 * count(*)) AS INT) AS effort
+FROM crawled WHERE status_code = 200 AND trim({column}) <> '' GROUP BY site, lower(trim({column})) HAVING count(*) >= 2"""
 
 
 def weight(weights: dict[str, int]) -> Column:

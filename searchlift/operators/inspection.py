@@ -52,11 +52,3 @@ def opportunities(results: DataFrame) -> DataFrame:
 
 INSPECTION_OPPS_SQL = f"""WITH {INSPECTED_CTE}, k AS (SELECT inspection_url, CASE WHEN {BLOCKED} THEN 'indexation_blocked' WHEN {UNINDEXED} THEN 'not_indexed' END AS opportunity_type FROM inspected)
 SELECT *, CASE opportunity_type WHEN 'indexation_blocked' THEN 90 ELSE 82 END AS priority FROM k WHERE opportunity_type IS NOT NULL"""
-
-
-def candidate_urls(searched: DataFrame, crawled: DataFrame, limit: int = 50) -> DataFrame:
-    """URLs to inspect: searched pages by impressions, then crawled ones, each once, up to the limit."""
-    a = searched.select(F.col("page_url").alias("url"), F.lit(0).alias("source"), F.row_number().over(Window.orderBy(F.desc("impressions"), "page_url")).alias("place"))
-    b = crawled.where("status_code = 200").orderBy("url").limit(limit).select("url", F.lit(1).alias("source"), F.lit(0).alias("place"))
-    both = a.unionByName(b).groupBy("url").agg(F.min(F.struct("source", "place")).alias("at"))
-    return both.orderBy("at.source", "at.place", "url").limit(limit).select("url", F.col("at.source").alias("source"))

@@ -92,18 +92,23 @@ def pages_for_review(pages: DataFrame, each: int = 10) -> DataFrame:
 REVIEW_SQL = f"WITH {PAGES_SQL} SELECT site, page_id, word_count, CAST(row_number() OVER (PARTITION BY site ORDER BY path <> '/', word_count DESC, page_id) AS INT) AS rank FROM crawled WHERE status_code = 200 QUALIFY rank <= 10"
 
 
+#: Marks of a root that scripts fill. Characters of a page that are searched.
+ROOT_MARKS = ('id="__next"', "id='__next'", 'id="root"', "id='root'", 'id="app"', "id='app'", "data-reactroot", "ng-version=")
+SEARCHED = 500_000
+
+
 def js_shells(pages: DataFrame) -> DataFrame:
     """Pages that need a browser: a warning, or a root marker with scripts and hardly any words."""
-    html = F.lower("html")
+    html = F.lower(F.substring("html", 1, SEARCHED))
     warned = F.contains(html, F.lit("enable javascript")) | F.contains(html, F.lit("requires javascript"))
-    marks = ('id="root"', 'id="app"', 'id="__next"', "data-reactroot", "ng-version=")
-    root = F.greatest(*[F.contains(html, F.lit(m)) for m in marks])
+    root = F.greatest(*[F.contains(html, F.lit(m)) for m in ROOT_MARKS])
     scripts = F.regexp_count(html, F.lit(r"<script\b"))
     return pages.select("page_id", scripts.cast("long").alias("scripts"), (warned | (root & (scripts >= 1) & (F.col("word_count") < 80))).alias("needs_render"))
 
 
-JS_SHELL_SQL = rf"""WITH {PAGES_SQL}, h AS (SELECT page_id, lower(html) AS html, word_count FROM pages JOIN crawled USING (page_id, url)), s AS (SELECT *, len(regexp_extract_all(html, '<script\b')) AS scripts FROM h)
-SELECT page_id, scripts, contains(html, 'enable javascript') OR contains(html, 'requires javascript') OR (scripts >= 1 AND word_count < 80 AND (contains(html, 'id="root"') OR contains(html, 'id="app"') OR contains(html, 'id="__next"') OR contains(html, 'data-reactroot') OR contains(html, 'ng-version='))) AS needs_render FROM s"""
+_ROOT_SQL = " OR ".join("contains(html, '" + m.replace("'", "''") + "')" for m in ROOT_MARKS)
+JS_SHELL_SQL = rf"""WITH {PAGES_SQL}, h AS (SELECT page_id, lower(substring(html, 1, {SEARCHED})) AS html, word_count FROM pages JOIN crawled USING (page_id, url)), s AS (SELECT *, len(regexp_extract_all(html, '<script\b')) AS scripts FROM h)
+SELECT page_id, scripts, contains(html, 'enable javascript') OR contains(html, 'requires javascript') OR (scripts >= 1 AND word_count < 80 AND ({_ROOT_SQL})) AS needs_render FROM s"""
 
 
 def crawl_quality(jobs: DataFrame) -> DataFrame:

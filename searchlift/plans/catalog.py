@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
-from searchlift.operators import citations, content, facts, findings, inspection, policy, queueing, reconcile, reports
+from searchlift.operators import captures, citations, content, facts, findings, inspection, policy, queueing, reconcile, reports, targets
 from searchlift.sources import tables
 from searchlift.sources.tables import load
 from searchlift.streaming import events as streams
@@ -117,6 +117,22 @@ def paced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queueing.paced(answers)
 
 
+def search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = targets.mixed_opportunities(facts.opportunities(_facts(spark, sf_dir)), inspection.opportunities(inspection.inspected(load(spark, sf_dir, "events"))))
+    return targets.search_targets(found, _pages(spark, sf_dir), "shop.example.com")
+
+
+def inspection_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    searched = _facts(spark, sf_dir).groupBy("page_url").agg(F.sum("impressions").alias("impressions"))
+    return targets.inspection_urls(searched, _pages(spark, sf_dir).select("url", "status_code"))
+
+
+def latest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as findings, their orders as the actions on them."""
+    actions = tables.jobs(spark, sf_dir).select(F.col("site_id").alias("finding_id"), F.col("job_id").alias("action_id"), "status", "created_at")
+    return targets.latest_actions(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding_id")), actions)
+
+
 #: name -> (query, the SQL that states it or None).
 QUERIES = {
     "opportunities_all": (lambda s, d: facts.opportunities(_facts(s, d)), facts.OPPORTUNITIES_SQL),
@@ -136,7 +152,8 @@ QUERIES = {
     "legacy_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.LEGACY_RULES), findings.rule_hits_sql(findings.LEGACY_RULES)),
     "export_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.EXPORT_RULES), findings.rule_hits_sql(findings.EXPORT_RULES)),
     "audit_scores": (lambda s, d: findings.audit_scores(_linked(s, d)), findings.AUDIT_SQL),
-    "duplicate_titles": (lambda s, d: findings.duplicates(_pages(s, d), "title", "duplicate_title"), findings.DUPLICATES_SQL),
+    "duplicate_descriptions": (lambda s, d: findings.duplicates(_pages(s, d), "description", "duplicate_meta_description"), findings.duplicates_sql("description", "duplicate_meta_description")),
+    "duplicate_titles": (lambda s, d: findings.duplicates(_pages(s, d), "title", "duplicate_title"), findings.duplicates_sql("title", "duplicate_title")),
     "site_health": (lambda s, d: findings.health(_pages(s, d), _found(s, d)), findings.HEALTH_SQL),
     "finding_counts": (lambda s, d: findings.counts(_found(s, d)), findings.COUNTS_SQL),
     "findings_queue": (lambda s, d: findings.queue(_found(s, d)), findings.QUEUE_SQL),
@@ -151,6 +168,15 @@ QUERIES = {
     "pages_for_review": (lambda s, d: reports.pages_for_review(_pages(s, d)), reports.REVIEW_SQL),
     "page_listing": (lambda s, d: reports.page_of_rows(_pages(s, d)), reports.PAGINATION_SQL),
     "js_shells": (lambda s, d: reports.js_shells(_pages(s, d).select("page_id", "word_count").join(load(s, d, "pages").select("page_id", "html"), "page_id")), reports.JS_SHELL_SQL),
+    "bot_blocks": (lambda s, d: captures.bot_blocks(captures.sample_answers(load(s, d, "pages"))), captures.BOT_BLOCKS_SQL),
+    "rendered_better": (lambda s, d: captures.rendered_better(*captures.sample_captures(_pages(s, d))), captures.RENDERED_SQL),
+    "device_changes": (lambda s, d: captures.device_changes(*captures.sample_captures(_pages(s, d))), captures.DEVICES_SQL),
+    "search_targets": (search_targets, targets.SEARCH_TARGETS_SQL),
+    "inspection_urls": (inspection_urls, targets.INSPECTION_URLS_SQL),
+    "content_dates": (lambda s, d: targets.content_dates(targets.sample_dated(load(s, d, "pages"))), targets.CONTENT_DATES_SQL),
+    "crawl_findings": (lambda s, d: targets.crawl_findings(targets.sample_snapshots(tables.jobs(s, d))), targets.CRAWL_FINDINGS_SQL),
+    "latest_actions": (latest_actions, targets.LATEST_ACTIONS_SQL),
+    "serp_summary": (lambda s, d: targets.serp_summary(targets.sample_serps(_pages(s, d))), targets.SERP_SQL),
     "url_keys": (url_keys, URL_KEYS_SQL),
     "html_fields": (html_fields, None),
     "normal_links": (normal_links, None),
