@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
-from searchlift.operators import captures, citations, content, facts, findings, inspection, policy, queueing, reconcile, reports, targets
+from searchlift.operators import actions, captures, citations, content, facts, findings, inspection, policy, queueing, reconcile, reports, targets
 from searchlift.sources import tables
 from searchlift.sources.tables import load
 from searchlift.streaming import events as streams
@@ -129,8 +129,14 @@ def inspection_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as findings, their orders as the actions on them."""
-    actions = tables.jobs(spark, sf_dir).select(F.col("site_id").alias("finding_id"), F.col("job_id").alias("action_id"), "status", "created_at")
-    return targets.latest_actions(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding_id")), actions)
+    jobs = tables.jobs(spark, sf_dir).select(F.col("site_id").alias("finding_id"), F.col("job_id").alias("action_id"), "status", "created_at")
+    return targets.latest_actions(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding_id")), jobs)
+
+
+def action_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier queue after opportunities of priority 60 and more stay active."""
+    o = facts.opportunities(_facts(spark, sf_dir))
+    return actions.follow(actions.sample_queue(o), o.where("priority >= 60").select(F.col("opportunity_key").alias("key"), "priority", "confidence"))
 
 
 #: name -> (query, the SQL that states it or None).
@@ -175,6 +181,7 @@ QUERIES = {
     "inspection_urls": (inspection_urls, targets.INSPECTION_URLS_SQL),
     "content_dates": (lambda s, d: targets.content_dates(targets.sample_dated(load(s, d, "pages"))), targets.CONTENT_DATES_SQL),
     "crawl_findings": (lambda s, d: targets.crawl_findings(targets.sample_snapshots(tables.jobs(s, d))), targets.CRAWL_FINDINGS_SQL),
+    "action_queue": (action_queue, actions.ACTION_QUEUE_SQL),
     "latest_actions": (latest_actions, targets.LATEST_ACTIONS_SQL),
     "serp_summary": (lambda s, d: targets.serp_summary(targets.sample_serps(_pages(s, d))), targets.SERP_SQL),
     "url_keys": (url_keys, URL_KEYS_SQL),
