@@ -7,7 +7,8 @@ a benchmark window's. Nothing is shuffled but the hits. Beyond MAX_WINDOWS disti
 set is not broadcast: the documents' windows join the benchmark's by hash instead.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z alone. Candidates are sought
-on fully lower-cased words, which can only add some; the exact rule decides on them.
+on fully lower-cased words with one small sigma (lower-casing picks it by what follows), which can
+only add some; the exact rule decides on them.
 
 Defined results: null and wordless texts have no words and no hits and are clean; rows that
 repeat id and text get the same figures each; a null id is an id of its own; an empty benchmark
@@ -43,7 +44,7 @@ def windows(benchmark: DataFrame, n: int = 13, item_col: str = "item_id", text_c
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))))
     w = w.withColumn("at", at).select("item", F.slice("w", F.col("at"), F.least(F.lit(n), F.size("w"))).alias("w"))
     w = w.groupBy(F.array_join("w", " ").alias("words"), F.size("w").alias("len")).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return w.withColumn("loose", F.xxhash64(F.split(F.lower("words"), " ")))
+    return w.withColumn("loose", F.xxhash64(F.split(F.expr("replace(lower(words), 'ς', 'σ')"), " ")))
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -75,13 +76,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "te
     # Where a set has a window's hash, for each length; the text is split again by the exact rule only if some has.
     at = [f"transform(filter(CASE WHEN size(w) >= {n} THEN sequence(1, size(w) - {n - 1}) ELSE array() END, i -> xxhash64(slice(w, i, {n})) IN ({_list(loose)})), i -> named_struct('start', i, 'len', {n}))" for n, (loose, _) in sorted(sets.items())]
     at = f"concat({', '.join(at)})" if at else "CAST(array() AS ARRAY<STRUCT<start: INT, len: INT>>)"
-    # Words hold no quote and no backslash, so they stand in SQL text as they are.
-    equal = " OR ".join(f"x.len = {n} AND x.words IN ({', '.join(repr(w) for w in sorted(words))})" for n, (_, words) in sorted(sets.items())) or "false"
+    # Words hold no quote and no backslash, so they stand in SQL text as they are (repr would escape some of their characters).
+    equal = " OR ".join(f"x.len = {n} AND x.words IN ({', '.join(f"'{w}'" for w in sorted(words))})" for n, (_, words) in sorted(sets.items())) or "false"
     exact = f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), r'{WORDS}', 0)"
     hits = _let(exact, "e", f"filter(transform(a, s -> named_struct('start', s.start, 'len', s.len, 'words', array_join(slice(e, s.start, s.len), ' '))), x -> {equal})")
     hits = f"CASE WHEN size(a) > 0 THEN {hits} ELSE {NO_HITS} END"
     judged = _let(hits, "h", _let(COVERED, "c", JUDGE.format(n_words="size(w)", hits="h", n_hit="c", share=share)))
-    whole = _let(f"regexp_extract_all(lower({text}), r'{WORDS}', 0)", "w", _let(at, "a", judged))
+    whole = _let(f"regexp_extract_all(replace(lower({text}), 'ς', 'σ'), r'{WORDS}', 0)", "w", _let(at, "a", judged))
     return docs.withColumn("__s", F.expr(whole)).select(*docs.columns, "__s.*")
 
 
@@ -92,7 +93,7 @@ def _scan_by_join(docs: DataFrame, found: DataFrame, text_col: str, share: int)
     lengths = [r[0] for r in found.select("len").distinct().collect()]
     texts = docs.select("__k1", "__k2", text_col)
     w = texts.withColumn("__w", _words(ascii_lower(text)))
-    every = F.concat(*[F.expr(f"transform(CASE WHEN size(__w) >= {n} THEN sequence(1, size(__w) - {n - 1}) ELSE array() END, i -> named_struct('start', i, 'len', {n}, 'loose', xxhash64(slice(transform(__w, x -> lower(x)), i, {n})), 'words', array_join(slice(__w, i, {n}), ' ')))") for n in lengths])
+    every = F.concat(*[F.expr(f"transform(CASE WHEN size(__w) >= {n} THEN sequence(1, size(__w) - {n - 1}) ELSE array() END, i -> named_struct('start', i, 'len', {n}, 'loose', xxhash64(slice(transform(__w, x -> replace(lower(x), 'ς', 'σ')), i, {n})), 'words', array_join(slice(__w, i, {n}), ' ')))") for n in lengths])
     rows = w.select("__k1", "__k2", F.explode(every).alias("h")).select("__k1", "__k2", "h.*")
     hit = rows.join(found.select("loose", F.col("words").alias("__words")), "loose").where("words = __words")
     hit = hit.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set(F.struct("start", "len", "words"))).alias("hits"))
@@ -122,7 +123,13 @@ WORDS_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 def op9(spark, sf_dir):
     benchmark = table(spark, sf_dir, "benchmark")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scanned = scan(docs, benchmark).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "n_words", "n_hit", "contaminated", F.explode_outer(F.array_distinct(F.col("hits.words"))).alias("words"))
+    return with_items(scan(docs, benchmark), benchmark)
+
+
+def with_items(scanned: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The figures of every scanned row with the items it hits: each row is joined back by a number of its own."""
+    scanned = scanned.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_words", "n_hit", "contaminated", F.array_distinct(F.col("hits.words")).alias("words"))
+    scanned = scanned.withColumn("words", F.explode_outer("words"))
     items = scanned.join(materialise(windows(benchmark), "windows").select("words", "items"), "words", "left")
-    by_doc = items.groupBy("doc_id", "k", "n_words", "n_hit", "contaminated").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    by_doc = items.groupBy("row", "doc_id", "n_words", "n_hit", "contaminated").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     return by_doc.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
