@@ -17,6 +17,11 @@ def page_texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"), F.substring(F.coalesce("text", F.lit("")), 1, PAGE_TEXT).alias("text"))
 
 
+def whole_texts(documents: DataFrame) -> DataFrame:
+    """(page_id, site, text) of whole documents."""
+    return documents.select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 TEXTS_SQL = f"texts AS (SELECT doc_id AS page_id, source AS site, substring(coalesce(text, ''), 1, {PAGE_TEXT}) AS text FROM documents)"
 
 

@@ -36,6 +36,10 @@ def _texts(s, d):
     return content.page_texts(load(s, d, "documents"))
 
 
+def _whole(s, d):
+    return content.whole_texts(load(s, d, "documents"))
+
+
 def _answers(s, d):
     return citations.analysed(load(s, d, "conversations"))
 
@@ -199,12 +203,20 @@ QUERIES = {
     "crawl_pacing": (paced, None),
     "term_counts": (lambda s, d: content.term_counts(_texts(s, d)), content.TERM_COUNTS_SQL),
     "page_topics": (lambda s, d: content.topics(_texts(s, d)), content.TOPICS_SQL),
-    "page_entities": (lambda s, d: content.page_entities(_texts(s, d)), None),
+    "page_entities": (lambda s, d: content.page_entities(_whole(s, d)), None),
     "similar_pages": (lambda s, d: content.similar_pages(_texts(s, d)), content.SIMILAR_SQL),
     "topic_clusters": (lambda s, d: content.clusters(content.topics(_texts(s, d))), content.CLUSTERS_SQL),
     "link_recommendations": (lambda s, d: content.recommendations(content.similar_pages(_texts(s, d))), content.RECOMMEND_SQL),
     "semantic_graph": (lambda s, d: content.graph_edges(content.topics(_texts(s, d)), content.similar_pages(_texts(s, d))), content.GRAPH_SQL),
     "information_gain": (lambda s, d: content.information_gain(_texts(s, d)), content.GAIN_SQL),
+    # The same over whole texts; the SQL of those above reads the lead alone.
+    "whole_term_counts": (lambda s, d: content.term_counts(_whole(s, d)), None),
+    "whole_page_topics": (lambda s, d: content.topics(_whole(s, d)), None),
+    "whole_similar_pages": (lambda s, d: content.similar_pages(_whole(s, d)), None),
+    "whole_topic_clusters": (lambda s, d: content.clusters(content.topics(_whole(s, d))), None),
+    "whole_link_recommendations": (lambda s, d: content.recommendations(content.similar_pages(_whole(s, d))), None),
+    "whole_semantic_graph": (lambda s, d: content.graph_edges(content.topics(_whole(s, d)), content.similar_pages(_whole(s, d))), None),
+    "whole_information_gain": (lambda s, d: content.information_gain(_whole(s, d)), None),
     "content_decay": (lambda s, d: content.decay(facts.period_change(_facts(s, d))), content.decay_sql()),
     "content_candidates": (content_candidates, CONTENT_CANDIDATES_SQL),
     "draft_quality": (lambda s, d: policy.draft_quality(load(s, d, "documents")), policy.QUALITY_SQL),

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import re
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
+from searchlift.functions.text import STOPWORDS
 from searchlift.operators import queueing
 from searchlift.plans import catalog
 
@@ -50,3 +54,53 @@ def test_pacing_of_the_table(spark):
     out = catalog.queries()["crawl_pacing"](spark, SF).collect()
     want = paced_by_hand([(e.user_id % 40, e.ts, e.event_id, status.get(e.event_type, 200)) for e in events])
     assert len(out) == len(want) and {r.host: (r.delay, r.scale, r.throttled) for r in out} == want
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()
+
+
+def terms_of(text):
+    return [t for t in re.findall("[a-z0-9][a-z0-9-]{2,}", (text or "").lower()) if t not in STOPWORDS and not re.fullmatch("[0-9]+", t)]
+
+
+def commonest(items, n):
+    """The n commonest; ties go to the one that comes first."""
+    return Counter(items).most_common(n)
+
+
+def test_terms_and_gain_of_whole_texts(spark, documents):
+    run = lambda name: catalog.queries()[name](spark, SF).collect()
+    want = {(d.doc_id, t, n, i + 1) for d in documents for i, (t, n) in enumerate(commonest(terms_of(d.text), 6))}
+    assert {(r.page_id, r.term, r.n, r["rank"]) for r in run("whole_term_counts")} == want
+    counts = {d.doc_id: Counter(terms_of(d.text)) for d in documents}
+    want = {(i, len(c), sum(n == 1 for n in c.values())) for i, c in counts.items() if c}
+    assert {(r.page_id, r.terms, r.once) for r in run("whole_information_gain")} == want
+
+
+def test_topics_of_whole_texts(spark, documents):
+    want = set()
+    for d in documents:
+        t = terms_of(d.text)
+        two = [f"{a} {b}" for a, b in zip(t, t[1:]) if a != b]
+        best = [x for x, _ in commonest(two, 3)] + [x for x, _ in commonest(t, 6)]
+        want |= {(d.doc_id, x, i + 1) for i, x in enumerate(best[:8])}
+    out = catalog.queries()["whole_page_topics"](spark, SF).collect()
+    assert {(r.page_id, r.topic, r["rank"]) for r in out} == want
+
+
+def test_entities_of_whole_texts(spark, documents):
+    find = re.compile(r"\b[A-Z][A-Za-z0-9-]*(?:[ \t-\r]+[A-Z][A-Za-z0-9-]*){0,2}\b")
+    want = {(d.doc_id, e, i + 1) for d in documents for i, e in enumerate(list(dict.fromkeys(x for x in find.findall(d.text or "") if len(x) >= 3))[:8])}
+    assert {(r.page_id, r.entity, r["rank"]) for r in catalog.queries()["page_entities"](spark, SF).collect()} == want
+
+
+def test_similar_whole_pages(spark, documents):
+    sets = {d.doc_id: (d.source, set(terms_of(d.text))) for d in documents}
+    want = set()
+    for a, b in combinations(sorted(sets), 2):
+        (sa, ta), (sb, tb) = sets[a], sets[b]
+        if sa == sb and len(ta & tb) >= 2 and len(ta & tb) >= 0.18 * len(ta | tb):
+            want.add((a, b, len(ta & tb)))
+    assert {(r.page_id, r.other_id, r.shared) for r in catalog.queries()["whole_similar_pages"](spark, SF).collect()} == want
