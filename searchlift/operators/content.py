@@ -102,6 +102,23 @@ def recommendations(similar: DataFrame, most: int = 100) -> DataFrame:
     return scored.orderBy(F.desc("priority"), F.desc("confidence"), "source_id", "target_id").limit(most)
 
 
+def gated_recommendations(texts: DataFrame, most: int = 100) -> DataFrame:
+    """Links between pages of a site that share two terms or a topic, however little similar they are; the best of all pairs."""
+    t = terms(texts).where("size > 0")
+    one = t.select("site", "page_id", F.explode("terms").alias("by"), F.lit(1).alias("term"), F.lit(0).alias("topic"))
+    two = topics(texts).join(t.select("page_id", "site"), "page_id").select("site", "page_id", F.col("topic").alias("by"), F.lit(0).alias("term"), F.lit(1).alias("topic"))
+    by = one.unionByName(two)
+    pairs = by.join(by.withColumnRenamed("page_id", "other_id"), ["site", "by", "term", "topic"]).where("page_id < other_id")
+    pairs = pairs.groupBy("page_id", "other_id").agg(F.sum("term").alias("shared"), F.sum("topic").alias("topics")).where("shared >= 2 OR topics > 0")
+    sized = pairs.join(t.select("page_id", "size"), "page_id").join(t.select(F.col("page_id").alias("other_id"), F.col("size").alias("other_size")), "other_id")
+    sim = F.col("shared") / (F.col("size") + F.col("other_size") - F.col("shared"))
+    score = F.least(F.lit(100), 55 + 7 * F.col("shared") + 8 * F.col("topics") + F.bround(20 * sim, 0)).cast("int")
+    sure = F.least(F.lit(100), 50 + 8 * F.col("shared") + F.bround(30 * sim, 0)).cast("int")
+    scored = sized.select("page_id", "other_id", "shared", "topics", F.round(sim, 4).alias("similarity"), score.alias("priority"), sure.alias("confidence"))
+    ways = scored.withColumn("way", F.explode(F.array(F.struct(F.col("page_id").alias("source_id"), F.col("other_id").alias("target_id")), F.struct(F.col("other_id").alias("source_id"), F.col("page_id").alias("target_id")))))
+    return ways.select("way.*", "shared", "topics", "similarity", "priority", "confidence").orderBy(F.desc("priority"), F.desc("confidence"), "source_id", "target_id").limit(most)
+
+
 RECOMMEND_SQL = f"""WITH {SIMILAR_CTE}, b AS (SELECT page_id AS source_id, other_id AS target_id, shared, similarity FROM similar_pages UNION ALL SELECT other_id, page_id, shared, similarity FROM similar_pages)
 SELECT *, CAST(least(100, 55 + 7 * shared + round_even(20 * similarity, 0)) AS INT) AS priority, CAST(least(100, 50 + 8 * shared + round_even(30 * similarity, 0)) AS INT) AS confidence FROM b
 ORDER BY priority DESC, confidence DESC, source_id, target_id LIMIT 100"""

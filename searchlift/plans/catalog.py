@@ -214,7 +214,7 @@ QUERIES = {
     "whole_page_topics": (lambda s, d: content.topics(_whole(s, d)), None),
     "whole_similar_pages": (lambda s, d: content.similar_pages(_whole(s, d)), None),
     "whole_topic_clusters": (lambda s, d: content.clusters(content.topics(_whole(s, d))), None),
-    "whole_link_recommendations": (lambda s, d: content.recommendations(content.similar_pages(_whole(s, d))), None),
+    "whole_link_recommendations": (lambda s, d: content.gated_recommendations(_whole(s, d)), None),
     "whole_semantic_graph": (lambda s, d: content.graph_edges(content.topics(_whole(s, d)), content.similar_pages(_whole(s, d))), None),
     "whole_information_gain": (lambda s, d: content.information_gain(_whole(s, d)), None),
     "content_decay": (lambda s, d: content.decay(facts.period_change(_facts(s, d))), content.decay_sql()),

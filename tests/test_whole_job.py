@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 
 from searchlift.functions.text import STOPWORDS
-from searchlift.operators import queueing
+from searchlift.operators import content, queueing
 from searchlift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +104,30 @@ def test_similar_whole_pages(spark, documents):
         if sa == sb and len(ta & tb) >= 2 and len(ta & tb) >= 0.18 * len(ta | tb):
             want.add((a, b, len(ta & tb)))
     assert {(r.page_id, r.other_id, r.shared) for r in catalog.queries()["whole_similar_pages"](spark, SF).collect()} == want
+
+
+def links_by_hand(pages, most):
+    best, sets = [], {i: (site, set(terms_of(text)), topics_of(text)) for i, site, text in pages}
+    for a, b in combinations(sets, 2):
+        (sa, ta, pa), (sb, tb, pb) = sets[a], sets[b]
+        n, topics = len(ta & tb), len(pa & pb)
+        if sa == sb and (n >= 2 or topics):
+            sim = n / len(ta | tb)
+            score, sure = min(100, 55 + 7 * n + 8 * topics + round(20 * sim)), min(100, 50 + 8 * n + round(30 * sim))
+            best += [(-score, -sure, a, b, n, topics), (-score, -sure, b, a, n, topics)]
+    return sorted(best)[:most]
+
+
+def topics_of(text):
+    t = terms_of(text)
+    two = [f"{a} {b}" for a, b in zip(t, t[1:]) if a != b]
+    return set(([x for x, _ in commonest(two, 3)] + [x for x, _ in commonest(t, 6)])[:8])
+
+
+def test_links_by_terms_or_topics(spark, documents):
+    own = lambda k: " ".join(f"only{k}x{i}" for i in range(30))
+    # 1 and 2 share a topic and one term, 1 and 3 two rare terms, 4 and 5 a term that is no topic of 5; 6 is of another site.
+    pages = [(1, "a", f"seo seo {own(1)} rare last"), (2, "a", f"seo seo {own(2)}"), (3, "a", f"{own(3)} rare last"), (4, "a", f"{own(4)} gone"), (5, "a", f"{own(5)} gone"), (6, "b", f"seo seo {own(6)}")]
+    for rows, most in ((pages, 100), ([(d.doc_id, d.source, d.text) for d in documents], 100)):
+        out = content.gated_recommendations(spark.createDataFrame(rows, "page_id long, site string, text string"), most).collect()
+        assert [(-r.priority, -r.confidence, r.source_id, r.target_id, r.shared, r.topics) for r in out] == links_by_hand(rows, most)
