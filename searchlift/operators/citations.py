@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from searchlift.functions.urls import citation_url
+
 #: Terms of the sample scans; words that occur in the answers.
 BRAND, COMPETITORS = ("the", "die"), ("les", "que", "ing")
 
@@ -13,12 +15,31 @@ def named(answer: Column, words: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(answer), F.lower(w)))
 
 
+def cited(urls: Column) -> Column:
+    """The distinct normalised URLs of an array, in order; a host alone has the path /."""
+    normal = lambda u: F.regexp_replace(citation_url(F.trim(u)), r"^(https?://[^/?]+)(?=\?|$)", "$1/")
+    return F.array_distinct(F.array_compact(F.transform(F.coalesce(urls, F.array().cast("array<string>")), normal)))
+
+
+def sample_cited(conversations: DataFrame) -> DataFrame:
+    """Conversations with cited URLs, which they lack: none, one that is no web address, or one URL in two spellings."""
+    page = F.concat(F.lit("/p"), F.col("turn").cast("string"))
+    n = (F.col("conv_id") + F.col("turn")) % 3
+    urls = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(F.lit("ftp://example.com/x")))
+    return conversations.withColumn("cited_urls", urls.otherwise(F.array(F.concat(F.lit("https://Example.com"), page), F.concat(F.lit("https://example.com"), page, F.lit("#top")))))
+
+
 def analysed(answers: DataFrame, brand=BRAND, competitors=COMPETITORS) -> DataFrame:
-    """Per answer: brand named, competitors named, and the gap (competitor before brand before none)."""
-    a = answers.where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    """Per answer: brand named, competitors named, and the gap (competitor before brand before none).
+
+    Where the answers have cited_urls, these are normalised, and an answer that names the brand and cites nothing has the gap citation.
+    """
+    urls = [cited(F.col("cited_urls")).alias("cited_urls")] if "cited_urls" in answers.columns else []
+    a = answers.where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), *urls)
     a = a.withColumns({"brand_mentioned": F.size(named(F.col("text"), brand)) > 0, "rivals": named(F.col("text"), competitors)})
-    gap = F.when(F.col("brand_mentioned"), "none").when(F.size("rivals") > 0, "competitor").otherwise("brand")
-    return a.select("conv_id", "turn", "brand_mentioned", F.array_join("rivals", ",").alias("competitors"), gap.alias("gap"))
+    named_only = F.col("brand_mentioned") & (F.size("cited_urls") == 0) if urls else F.lit(False)
+    gap = F.when(named_only, "citation").when(F.col("brand_mentioned"), "none").when(F.size("rivals") > 0, "competitor").otherwise("brand")
+    return a.select("conv_id", "turn", "brand_mentioned", F.array_join("rivals", ",").alias("competitors"), gap.alias("gap"), *(["cited_urls"] if urls else []))
 
 
 def _named_sql(words) -> str:
@@ -31,9 +52,12 @@ ANALYSED_SQL = f"WITH {ANALYSED_CTE} SELECT * FROM analysed"
 
 
 def scan_totals(found: DataFrame) -> DataFrame:
-    """Per conversation: mention rate and visibility."""
-    g = found.groupBy("conv_id").agg(F.count("*").alias("answers"), F.round(F.avg(F.col("brand_mentioned").cast("int")), 4).alias("mention_rate"))
-    return g.withColumn("visibility", F.least(F.lit(100), F.bround(70 * F.col("mention_rate"), 0)).cast("int"))
+    """Per conversation: mention rate and visibility; with citation rate and its 30 points where cited_urls are known."""
+    known = "cited_urls" in found.columns
+    rate = [F.round(F.avg((F.size("cited_urls") > 0).cast("int")), 4).alias("citation_rate")] if known else []
+    g = found.groupBy("conv_id").agg(F.count("*").alias("answers"), F.round(F.avg(F.col("brand_mentioned").cast("int")), 4).alias("mention_rate"), *rate)
+    points = 70 * F.col("mention_rate") + (30 * F.col("citation_rate") if known else F.lit(0))
+    return g.withColumn("visibility", F.least(F.lit(100), F.bround(points, 0)).cast("int"))
 
 
 SCAN_SQL = f"WITH {ANALYSED_CTE}, g AS (SELECT conv_id, count(*) AS answers, round(avg(CAST(brand_mentioned AS INT)), 4) AS mention_rate FROM analysed GROUP BY conv_id) SELECT *, CAST(least(100, round_even(70 * mention_rate, 0)) AS INT) AS visibility FROM g"

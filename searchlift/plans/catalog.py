@@ -44,6 +44,10 @@ def _answers(s, d):
     return citations.analysed(load(s, d, "conversations"))
 
 
+def _cited(s, d):
+    return citations.analysed(citations.sample_cited(load(s, d, "conversations")))
+
+
 def _measured(s, d):
     return facts.measured_actions(facts.sample_actions(load(s, d, "supplier")), _facts(s, d))
 
@@ -224,6 +228,10 @@ QUERIES = {
     "citation_scan": (lambda s, d: citations.scan_totals(_answers(s, d)), citations.SCAN_SQL),
     "citation_competitors": (lambda s, d: citations.competitor_counts(_answers(s, d)), citations.COMPETITORS_SQL),
     "citation_gaps": (lambda s, d: citations.gaps(_answers(s, d)), citations.GAPS_SQL),
+    # The same with cited URLs, which the SQL of those above leaves out.
+    "cited_answer_analysis": (_cited, None),
+    "cited_scan": (lambda s, d: citations.scan_totals(_cited(s, d)), None),
+    "cited_gaps": (lambda s, d: citations.gaps(_cited(s, d)), None),
     "prompt_upsert": (lambda s, d: citations.prompts(load(s, d, "benchmark")), citations.PROMPTS_SQL),
     "inspection_latest": (lambda s, d: inspection.inspected(load(s, d, "events")), inspection.INSPECTED_SQL),
     "inspection_opportunities": (lambda s, d: inspection.opportunities(inspection.inspected(load(s, d, "events"))), inspection.INSPECTION_OPPS_SQL),

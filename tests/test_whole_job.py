@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 
 from searchlift.functions.text import STOPWORDS
-from searchlift.operators import content, queueing
+from searchlift.operators import citations, content, queueing
 from searchlift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +131,14 @@ def test_links_by_terms_or_topics(spark, documents):
     for rows, most in ((pages, 100), ([(d.doc_id, d.source, d.text) for d in documents], 100)):
         out = content.gated_recommendations(spark.createDataFrame(rows, "page_id long, site string, text string"), most).collect()
         assert [(-r.priority, -r.confidence, r.source_id, r.target_id, r.shared, r.topics) for r in out] == links_by_hand(rows, most)
+
+
+def test_cited_urls_decide_and_count(spark):
+    urls = ["HTTPS://A.com", "https://a.com/#x", "https://a.com/p?q=1#y", " https://a.com?q=1", "ftp://b.com/", "no url"]
+    rows = [(1, 1, "assistant", "the Acme", urls), (1, 2, "assistant", "the acme", ["ftp://b.com/"]), (1, 3, "assistant", "Rival", urls), (1, 4, "assistant", "nobody", None), (1, 5, "user", "acme", None), (2, 1, "assistant", "acme", None), (2, 2, "assistant", "acme rival", ["http://c.com/"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cited_urls array<string>")
+    out = citations.analysed(df, ("acme",), ("rival",))
+    assert {(r.conv_id, r.turn): r.gap for r in out.collect()} == {(1, 1): "none", (1, 2): "citation", (1, 3): "competitor", (1, 4): "brand", (2, 1): "citation", (2, 2): "none"}
+    assert out.where("conv_id = 1 AND turn = 1").first().cited_urls == ["https://a.com/", "https://a.com/p?q=1", "https://a.com/?q=1"]
+    assert {r.conv_id: (r.mention_rate, r.citation_rate, r.visibility) for r in citations.scan_totals(out).collect()} == {1: (0.5, 0.5, 50), 2: (1.0, 0.5, 85)}
+    assert {(r.conv_id, r.turn, r.priority, r.confidence) for r in citations.gaps(out).where("gap = 'citation'").collect()} == {(1, 2, 70, 78), (2, 1, 70, 78)}
