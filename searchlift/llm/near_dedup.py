@@ -36,6 +36,8 @@ PAIR, HALVES = 2, 9
 N_HASHES = 2 * PAIR * HALVES
 #: Of N_HASHES minhashes, a pair at 0.85 agrees on fewer than this with probability 2e-6.
 LEAST_AGREED = 19
+#: The tables, LEAST_AGREED and the size shortcut are those of this threshold: higher ones are whole too, lower ones are refused.
+LEAST_THRESHOLD = 85
 #: So many ids (8 bytes each) are broadcast to pick the texts to compare; with more, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Shingles per step of hashing.
@@ -158,6 +160,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {LEAST_THRESHOLD}: links would be lost")
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = materialise(texts.mapInPandas(_feature_rows, FEATURES), "near-features")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from searchlift.llm import decontamination
+from searchlift.llm import decontamination, near_dedup
 
 WINDOW = "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf {}"
 
@@ -26,3 +26,11 @@ def test_decontamination_keeps_repeated_rows(spark):
     bench = spark.createDataFrame([(7, text), (8, text)], "item_id long, text string")
     out = decontamination.with_items(decontamination.scan(docs, bench), bench).collect()
     assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in out) == [(0, 13, 2), (0, 13, 2), (1, 0, 0), (1, 13, 2), (1, 13, 2)]
+
+
+@pytest.mark.parametrize("run", [near_dedup.near_duplicates, near_dedup.one_of_each])
+def test_near_duplicates_refuse_thresholds_that_lose_links(spark, run):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "a b c d e f g h j")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        run(docs, threshold=80)
+    assert run(docs, threshold=90).count() == 2
