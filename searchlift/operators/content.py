@@ -87,8 +87,12 @@ SIMILAR_SQL = f"WITH {SIMILAR_CTE} SELECT * FROM similar_pages"
 
 def clusters(page_topics: DataFrame, most: int = 50, members: int = 25) -> DataFrame:
     """Topics of two pages and more, the largest first."""
-    g = page_topics.groupBy("topic").agg(F.countDistinct("page_id").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("page_id")), 1, members).cast("array<string>"), ",").alias("members"))
-    return g.where("n >= 2").orderBy(F.desc("n"), "topic").limit(most)
+    each = page_topics.where("page_id IS NOT NULL").select("topic", "page_id").distinct()
+    best = each.groupBy("topic").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "topic").limit(most)
+    # The smallest ids are picked before they are gathered, already where they are read.
+    first = each.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy("page_id"))).where(F.col("rank") <= members)
+    named = first.join(F.broadcast(best), "topic").groupBy("topic", "n").agg(F.array_join(F.array_sort(F.collect_list("page_id")).cast("array<string>"), ",").alias("members"))
+    return named.orderBy(F.desc("n"), "topic")
 
 
 CLUSTERS_SQL = f"WITH topics AS ({TOPICS_SQL}) SELECT topic, count(DISTINCT page_id) AS n, array_to_string(list_slice(list_sort(list(DISTINCT page_id)), 1, 25), ',') AS members FROM topics GROUP BY topic HAVING count(DISTINCT page_id) >= 2 ORDER BY n DESC, topic LIMIT 50"

@@ -142,3 +142,13 @@ def test_cited_urls_decide_and_count(spark):
     assert out.where("conv_id = 1 AND turn = 1").first().cited_urls == ["https://a.com/", "https://a.com/p?q=1", "https://a.com/?q=1"]
     assert {r.conv_id: (r.mention_rate, r.citation_rate, r.visibility) for r in citations.scan_totals(out).collect()} == {1: (0.5, 0.5, 50), 2: (1.0, 0.5, 85)}
     assert {(r.conv_id, r.turn, r.priority, r.confidence) for r in citations.gaps(out).where("gap = 'citation'").collect()} == {(1, 2, 70, 78), (2, 1, 70, 78)}
+
+
+def test_clusters_gather_no_more_than_they_keep(spark, capsys):
+    rows = [(i % 400, t) for i in range(800) for t in ("all", f"odd{i % 2}", f"own{i % 400}")]
+    out = content.clusters(spark.createDataFrame(rows, "page_id long, topic string"))
+    ids = lambda *a: ",".join(map(str, list(range(*a))[:25]))
+    assert [tuple(r) for r in out.select("topic", "n", "members").collect()] == [("all", 400, ids(400)), ("odd0", 200, ids(0, 400, 2)), ("odd1", 200, ids(1, 400, 2))]
+    capsys.readouterr()
+    out.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
