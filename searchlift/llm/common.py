@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words in the contracts: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A group of equal keys counts as hot from this share of all rows and this size on, so that hot groups number 10,000 at most.
+HOT_SHARE, HOT_ROWS = 10_000, 100
+#: Folders that this process has staged and not yet dropped.
+_STAGED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    A folder of our own stands in only where none is set and driver and executors are one machine
+    (tests); on a cluster a missing setting is an error, for executors could not share the folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='searchlift-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,12 +41,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Documents may be long: bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def staged() -> int:
+    """A mark for drop_staged: what is staged up to here stays."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what was staged after the mark, but for the newest `keep` folders; nothing may read the rest any more."""
+    last = len(_STAGED) - keep
+    for path in _STAGED[since:last]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _STAGED[since:last]
+
+
+def as_data(rows: list, of: str) -> Column:
+    """A list held by the driver as a constant array: one string that is parsed once, whatever the list's length."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{of}>")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """rows with the columns of their key's group (size aside); rows without a group have nulls there.
+
+    A key may hold a third of all rows, so hot groups (at most HOT_SHARE of them, by the bound on
+    their size) are broadcast and their rows stay where they are; the other rows meet their groups
+    in a shuffle.
+    """
+    least = max(HOT_ROWS, n_rows // HOT_SHARE)
+    hot = F.broadcast(groups.where(F.col(size) >= least).drop(size))
+    cold = groups.where(F.col(size) < least).drop(size)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
 
 
 def free_name(df: DataFrame, *names: str) -> DataFrame:

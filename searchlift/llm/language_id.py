@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchlift.llm.common import held_out, small_batches, table
+from searchlift.llm.common import held_out, table
 
 BUCKETS = 1 << 13
 #: Bytes per step over a long text.
@@ -74,7 +74,6 @@ class Model:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trigram counts per language over all labelled rows; what reaches the driver is languages x BUCKETS counts."""
-    small_batches(labelled.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_lang: dict[str, np.ndarray] = {}
@@ -106,7 +105,6 @@ def predicted(model: Model, text: Column) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs (id, text and language alone) with held_out and __p, learned from the rows that aren't held out."""
-    small_batches(docs.sparkSession)
     out = held_out(F.col(id_col), 3, 1)
     model = train(docs.where(~out), text_col, lang_col)
     return docs.withColumn("__p", predicted(model, F.col(text_col))).withColumn("__held_out", out)

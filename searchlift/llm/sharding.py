@@ -9,8 +9,9 @@ rows move, once, to their slice.
 
 Defined results: a null text counts as empty (size 8, crc32 0); a null id sorts first;
 rows that repeat id and text share a key and stay in one slice; an empty table gives no rows;
-a group of equal texts is cut only where keeping it whole would break the tolerance; input
-columns with the names of added columns are replaced.
+a group of equal texts is cut only where keeping it whole would break the tolerance; very long
+texts count with all their bytes, and a shard exceeds its share by one text at most; input columns
+with the names of added columns are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from searchlift.llm.common import free_name, materialise
+from searchlift.llm.common import as_data, free_name, materialise
 
 TOP = 2**63 - 1
+#: Slices of a shard at least.
+LEAST_SLICES = 4
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -56,22 +59,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _structs(rows: list[str]) -> Column:
-    return F.expr(f"array({', '.join(rows)})")
+KEY = "struct<u: bigint, v: bigint>"
+
+
+def _place(keys: Column, n: int) -> Column:
+    """How many of the n sorted keys are at most (__u, __v): a binary search, so that the cost for a row grows with log n."""
+    key = F.struct(F.col("__u").alias("u"), F.col("__v").alias("v"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= n) & (F.get(keys, low + step - 1) <= key), low + step).otherwise(low))
 
 
 def _histogram(keys: DataFrame, intervals: list[Interval], probes: int) -> dict[int, list]:
-    """Exact bytes, rows and key bounds between the probes of each interval. At most `probes` + 1 rows for each come back."""
+    """Exact bytes, rows and key bounds between the probes of each interval. At most `probes` + 1 rows, or 9 for each interval, come back."""
     each = max(8, probes // len(intervals))
-    arr = [
-        f"named_struct('i', {i}, 'ulo', {x.u_lo}L, 'uhi', {x.u_hi}L, 'vlo', {x.v_lo}L, 'vhi', {x.v_hi}L, 'by_v', {str(x.by_v).lower()}, 'step', {-(-x.span // each)}L)"
-        for i, x in enumerate(intervals)
-    ]
+    order = sorted(range(len(intervals)), key=lambda i: (intervals[i].u_lo, intervals[i].v_lo))
+    by_key = [intervals[i] for i in order]
     if len(intervals) == 1:
         keys = keys.where((F.col("__u") >= intervals[0].u_lo) & (F.col("__u") <= intervals[0].u_hi))
+    lows = as_data([{"u": x.u_lo, "v": x.v_lo} for x in by_key], KEY)
+    parts = as_data([{"i": i, "ulo": x.u_lo, "uhi": x.u_hi, "vlo": x.v_lo, "vhi": x.v_hi, "by_v": x.by_v, "step": -(-x.span // each)} for i, x in zip(order, by_key, strict=True)], "struct<i: int, ulo: bigint, uhi: bigint, vlo: bigint, vhi: bigint, by_v: boolean, step: bigint>")
+    at = _place(lows, len(by_key)) - 1
     rows = (
-        keys.select("*", F.try_element_at(F.filter(_structs(arr), lambda s: (F.col("__u") >= s.ulo) & (F.col("__u") <= s.uhi) & (F.col("__v") >= s.vlo) & (F.col("__v") <= s.vhi)), F.lit(1)).alias("s"))
-        .where("s IS NOT NULL")
+        keys.select("*", F.get(parts, at).alias("s"))
+        .where((F.col("__u") <= F.col("s.uhi")) & F.col("__v").between(F.col("s.vlo"), F.col("s.vhi")))
         .groupBy(F.col("s.i").alias("i"), F.expr("(CASE WHEN s.by_v THEN __v - s.vlo ELSE __u - s.ulo END) div s.step").alias("b"))
         .agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("__u").alias("u0"), F.max("__u").alias("u1"), F.min("__v").alias("v0"), F.max("__v").alias("v1"))
         .collect()
@@ -115,39 +125,40 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerances: list[float
     return [found[k] for k in range(len(targets))]
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.002, slices: int = 4, probes: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.002, slice_bytes: int = 64 << 20, probes: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null under this law).
 
-    tolerance: of a shard's bytes, for each splitter. slices: each shard is sorted in so many
-    tasks; raise it with the input so that one slice fits a task.
+    tolerance: of a shard's bytes, for each splitter. slice_bytes: a shard is sorted in slices of
+    about so many bytes (four at least), a task each, so their number follows the input. The driver
+    holds one splitter, one count and at most nine counted ranges for each slice: 100 TB in slices of
+    64 MB are 1.6 million; larger slices make fewer.
     """
+    spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     keys = materialise(keyed.select("__u", "__v", "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
+    slices = max(LEAST_SLICES, -(-total // (n_shards * slice_bytes)))
     p = n_shards * slices
     splitters = []
     if total:
         share = total / n_shards
         splitters = find_splitters(keys, [total * k / p for k in range(1, p)], [share * (tolerance if k % slices == 0 else 0.25 / slices) for k in range(1, p)], probes)
         splitters.sort()
-    if splitters:
-        at = _structs([f"named_struct('u', {u}L, 'v', {v}L)" for u, v in splitters])
-        part = F.size(F.filter(at, lambda s: (s.u < F.col("__u")) | ((s.u == F.col("__u")) & (s.v <= F.col("__v")))))
-    else:
-        part = F.lit(0)
+    part = _place(as_data([{"u": u, "v": v} for u, v in splitters], KEY), len(splitters)) if splitters else F.lit(0)
     counts = {r[0]: r[1] for r in keys.groupBy(part.alias("slice")).count().collect()} if total else {}
     starts = []
     for k in range(p):
         starts.append(0 if k % slices == 0 else starts[-1] + counts.get(k - 1, 0))
-    start = F.element_at(F.expr(f"array({', '.join(f'{s}L' for s in starts)})"), F.col("__slice") + 1)
+    sliced = keyed.withColumn("__slice", part)
+    if p > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        sliced = sliced.repartition(p, "__slice")
     in_order = Window.partitionBy("__slice").orderBy("__u", "__v", id_col)
     return (
-        keyed.withColumn("__slice", part)
-        .withColumns(
+        sliced.withColumns(
             {
                 "law": F.lit("bytes"),
                 "shard": F.expr(f"CAST(__slice div {slices} AS INT)"),
-                "slot": start + F.row_number().over(in_order) - F.lit(1),
+                "slot": F.get(as_data(starts, "bigint"), F.col("__slice")) + F.row_number().over(in_order) - F.lit(1),
                 "grown_shard": F.lit(None).cast("int"),
             }
         )

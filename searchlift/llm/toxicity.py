@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchlift.llm.common import held_out, small_batches, table
+from searchlift.llm.common import held_out, table
 
 DIM = 1 << 16
 DECAY = 0.7
@@ -234,7 +234,6 @@ def scored(model: Model, text: Column) -> Column:
 
 
 def op4(spark, sf_dir):
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     out = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), scored(model, F.col("text")).alias("score"))
