@@ -1,33 +1,39 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 The 13-word windows of all benchmark items (an item of fewer words is one window) go to every
-task as a hash set, inside the plan. Each document is scanned in its row: a window of the
-document whose 64-bit hash is in the set is a candidate, and is a hit only if its words equal
-a benchmark window's. Nothing is shuffled but the hits. Beyond MAX_WINDOWS distinct windows the
-set is not broadcast: the documents' windows join the benchmark's by hash instead.
+task as a hash set: a constant array of buckets inside the plan, so that looking a window up costs
+the same however many there are. Each document is scanned in its row, and nothing is shuffled: a
+window of the document whose 64-bit hash is in the set is a candidate, and is a hit only if its
+words equal a benchmark window's. Beyond MAX_WINDOWS windows only those that occur in the documents
+at all (a join on distinct hashes tells) go into sets, one after the other if they are still too many.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z alone. Candidates are sought
 on fully lower-cased words with one small sigma (lower-casing picks it by what follows), which can
 only add some; the exact rule decides on them.
 
-Defined results: null and wordless texts have no words and no hits and are clean; rows that
-repeat id and text get the same figures each; a null id is an id of its own; an empty benchmark
-hits nothing; of items with equal text each counts; input columns with the names of added
-columns are replaced.
+Defined results: null and wordless texts have no words and no hits and are clean; very long texts
+are scanned whole, in their row; rows that repeat id and text get the same figures each; a null id
+is an id of its own; an empty benchmark hits nothing, and no documents give no rows; of items with
+equal text each counts; input columns with the names of added columns are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchlift.llm.common import free_name, materialise, table
+from searchlift.llm.common import as_data, free_name, materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: About 20 MB of hashes and words: the bound of what is broadcast.
+#: WORDS before lower-casing.
+WORDS_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: About 20 MB of hashes and words: the bound of what is broadcast (pairs of a window and an item).
 MAX_WINDOWS = 200_000
-ADDED = ("n_words", "hits", "n_hit", "contaminated")
+ADDED = ("n_words", "hits", "items", "n_hit", "contaminated")
+HIT = "struct<start: int, len: int, words: string, items: array<string>>"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -47,59 +53,83 @@ def windows(benchmark: DataFrame, n: int = 13, item_col: str = "item_id", text_c
     return w.withColumn("loose", F.xxhash64(F.split(F.expr("replace(lower(words), 'ς', 'σ')"), " ")))
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL that binds value to name in body: computed once, however often body and the filters above name it."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body and the filters above name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def loose_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), F.lit(WORDS), F.lit(0))
+
+
+def _hashed(w: Column, n: int) -> Column:
+    """The hashes of the windows of n words, in order."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, n)))
+
 
+def _candidates(hashes: Column, n: int, known: Callable[[Column], Column]) -> Column:
+    """start, len and hash of the windows whose hash is known; most texts have none and get no further than the look at each."""
+    placed = lambda hs: F.filter(F.transform(hs, lambda h, i: F.struct((i + 1).alias("start"), F.lit(n).alias("len"), h.alias("hash"))), lambda x: known(x.hash))
+    return _let(hashes, lambda hs: F.when(F.exists(hs, known), placed(hs)).otherwise(F.array().cast("array<struct<start: int, len: int, hash: bigint>>")))
 
-def _list(values: set[int]) -> str:
-    return ", ".join(f"{x}L" if x > -(2**63) else "(-9223372036854775807L - 1L)" for x in sorted(values))
 
+def _hits(text: Column, rows: list) -> Callable[[Column], Column]:
+    """loose words of the text -> the hits of the windows (len, loose, words, items) in rows."""
+    size = 1 << max(1, len(rows) - 1).bit_length()
+    hashes, exact = [set() for _ in range(size)], [[] for _ in range(size)]
+    for r in rows:
+        hashes[r.loose & (size - 1)].add(r.loose)
+        exact[r.loose & (size - 1)].append({"words": r.words, "items": r["items"]})
+    hash_set, word_set = as_data([sorted(x) for x in hashes], "array<bigint>"), as_data(exact, "array<struct<words: string, items: array<string>>>")
+    bucket = lambda h: h.bitwiseAND(F.lit(size - 1)).cast("int")
+    words = F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0))
 
-NO_HITS = "CAST(array() AS ARRAY<STRUCT<start: INT, len: INT, words: STRING>>)"
-JUDGE = """named_struct('n_words', CAST({n_words} AS BIGINT), 'hits', {hits}, 'n_hit', CAST({n_hit} AS BIGINT), 'contaminated', {n_hit} > 0 AND {share} * {n_hit} >= {n_words})"""
-COVERED = "CASE WHEN size(h) > 0 THEN size(array_distinct(flatten(transform(h, x -> sequence(x.start, x.start + x.len - 1))))) ELSE 0 END"
+    def verified(a: Column, e: Column) -> Column:
+        said = F.transform(a, lambda x: F.struct(x.start.alias("start"), x.len.alias("len"), F.array_join(F.slice(e, x.start, x.len), " ").alias("words"), x.hash.alias("hash")))
+        known = F.transform(said, lambda x: F.struct(x.start.alias("start"), x.len.alias("len"), x.words.alias("words"), F.get(F.filter(F.get(word_set, bucket(x.hash)), lambda y: y.words == x.words), F.lit(0)).items.alias("items")))
+        return F.filter(known, lambda x: x.items.isNotNull())
+
+    def hits(w: Column) -> Column:
+        none = F.array().cast(f"array<{HIT}>")
+        if not rows:
+            return none
+        known = lambda h: F.array_contains(F.get(hash_set, bucket(h)), h)
+        at = F.concat(*[_candidates(_hashed(w, n), n, known) for n in sorted({r.len for r in rows})])
+        # The text is split again by the exact rule only if some window is in the set.
+        return _let(at, lambda a: F.when(F.size(a) > 0, _let(words, lambda e: verified(a, e))).otherwise(none))
+
+    return hits
+
+
+def _judged(n_words: Column, hits: Column, share: int) -> Column:
+    places = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x.start, x.start + x.len - 1))))
+    n_hit = F.when(F.size(hits) > 0, F.size(places)).otherwise(0).cast("long")
+    items = F.array_distinct(F.flatten(F.transform(hits, lambda x: x.items)))
+    slim = F.transform(hits, lambda x: F.struct(x.start.alias("start"), x.len.alias("len"), x.words.alias("words")))
+    return _let(n_hit, lambda n: F.struct(n_words.cast("long").alias("n_words"), slim.alias("hits"), items.alias("items"), n.alias("n_hit"), ((n > 0) & (n * share >= n_words)).alias("contaminated")))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", share: int = 20) -> DataFrame:
-    """docs with n_words, hits (array of start, len, words), n_hit and contaminated (share * n_hit >= n_words)."""
+    """docs with n_words, hits (array of start, len, words), items (whose windows occur), n_hit and contaminated (share * n_hit >= n_words)."""
     docs = free_name(docs, *ADDED)
-    found = materialise(windows(benchmark, n, item_col, bench_text_col), "windows")
-    if found.count() > MAX_WINDOWS:
-        return _scan_by_join(docs, found, text_col, share)
-    sets: dict[int, tuple[set, set]] = {}
-    for r in found.select("len", "loose", "words").collect():
-        loose, words = sets.setdefault(r.len, (set(), set()))
-        loose.add(r.loose)
-        words.add(r.words)
-    text = f"coalesce(`{text_col}`, '')"
-    # Where a set has a window's hash, for each length; the text is split again by the exact rule only if some has.
-    at = [f"transform(filter(CASE WHEN size(w) >= {n} THEN sequence(1, size(w) - {n - 1}) ELSE array() END, i -> xxhash64(slice(w, i, {n})) IN ({_list(loose)})), i -> named_struct('start', i, 'len', {n}))" for n, (loose, _) in sorted(sets.items())]
-    at = f"concat({', '.join(at)})" if at else "CAST(array() AS ARRAY<STRUCT<start: INT, len: INT>>)"
-    # Words hold no quote and no backslash, so they stand in SQL text as they are (repr would escape some of their characters).
-    equal = " OR ".join(f"x.len = {n} AND x.words IN ({', '.join(f"'{w}'" for w in sorted(words))})" for n, (_, words) in sorted(sets.items())) or "false"
-    exact = f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), r'{WORDS}', 0)"
-    hits = _let(exact, "e", f"filter(transform(a, s -> named_struct('start', s.start, 'len', s.len, 'words', array_join(slice(e, s.start, s.len), ' '))), x -> {equal})")
-    hits = f"CASE WHEN size(a) > 0 THEN {hits} ELSE {NO_HITS} END"
-    judged = _let(hits, "h", _let(COVERED, "c", JUDGE.format(n_words="size(w)", hits="h", n_hit="c", share=share)))
-    whole = _let(f"regexp_extract_all(replace(lower({text}), 'ς', 'σ'), r'{WORDS}', 0)", "w", _let(at, "a", judged))
-    return docs.withColumn("__s", F.expr(whole)).select(*docs.columns, "__s.*")
-
-
-def _scan_by_join(docs: DataFrame, found: DataFrame, text_col: str, share: int) -> DataFrame:
-    """For benchmarks beyond the bound: the documents' windows meet the benchmark's in a shuffle by hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
-    lengths = [r[0] for r in found.select("len").distinct().collect()]
-    texts = docs.select("__k1", "__k2", text_col)
-    w = texts.withColumn("__w", _words(ascii_lower(text)))
-    every = F.concat(*[F.expr(f"transform(CASE WHEN size(__w) >= {n} THEN sequence(1, size(__w) - {n - 1}) ELSE array() END, i -> named_struct('start', i, 'len', {n}, 'loose', xxhash64(slice(transform(__w, x -> replace(lower(x), 'ς', 'σ')), i, {n})), 'words', array_join(slice(__w, i, {n}), ' ')))") for n in lengths])
-    rows = w.select("__k1", "__k2", F.explode(every).alias("h")).select("__k1", "__k2", "h.*")
-    hit = rows.join(found.select("loose", F.col("words").alias("__words")), "loose").where("words = __words")
-    hit = hit.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set(F.struct("start", "len", "words"))).alias("hits"))
-    out = docs.withColumn("__n", F.size(_words(F.lower(text)))).join(hit, ["__k1", "__k2"], "left")
-    judged = _let(f"coalesce(hits, {NO_HITS})", "h", _let(COVERED, "c", JUDGE.format(n_words="__n", hits="h", n_hit="c", share=share)))
-    return out.withColumn("__s", F.expr(judged)).drop("hits", "__n", "__k1", "__k2").select("*", "__s.*").drop("__s")
+    found = materialise(windows(benchmark, n, item_col, bench_text_col), "windows")
+    size = lambda: found.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    if size() > MAX_WINDOWS:
+        lengths = [r[0] for r in found.select("len").distinct().collect()]  # at most n
+        every = docs.select(loose_words(text).alias("w")).select(F.explode(F.concat(*[_hashed(F.col("w"), k) for k in lengths])).alias("loose"))
+        found = materialise(found.join(every.distinct(), "loose", "left_semi"), "windows")
+    parts = -(-size() // max(1, MAX_WINDOWS))
+    if parts <= 1:
+        hits = _hits(text, found.collect())
+        whole = _let(loose_words(text), lambda w: _let(hits(w), lambda h: _judged(F.size(w), h, share)))
+        return docs.withColumn("__s", whole).select(*docs.columns, "__s.*")
+    out = docs.withColumn("__h", F.array().cast(f"array<{HIT}>"))
+    for k in range(parts):
+        hits = _hits(text, found.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k).collect())
+        out = materialise(out.withColumn("__h", F.concat("__h", _let(loose_words(text), hits))), "windows-part")
+    return out.withColumn("__s", _judged(F.size(loose_words(text)), F.col("__h"), share)).select(*docs.columns, "__s.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_col: str = "text", **options) -> DataFrame:
@@ -116,20 +146,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     return cut.withColumn(text_col, F.when(F.size("hits") > 0, kept).otherwise(F.col(text_col))).select(docs.columns)
 
 
-#: WORDS before lower-casing.
-WORDS_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+def with_items(scanned: DataFrame) -> DataFrame:
+    """The figures of every scanned row with the number and the digest of the items it hits."""
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return scanned.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
 def op9(spark, sf_dir):
-    benchmark = table(spark, sf_dir, "benchmark")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_items(scan(docs, benchmark), benchmark)
-
-
-def with_items(scanned: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The figures of every scanned row with the items it hits: each row is joined back by a number of its own."""
-    scanned = scanned.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_words", "n_hit", "contaminated", F.array_distinct(F.col("hits.words")).alias("words"))
-    scanned = scanned.withColumn("words", F.explode_outer("words"))
-    items = scanned.join(materialise(windows(benchmark), "windows").select("words", "items"), "words", "left")
-    by_doc = items.groupBy("row", "doc_id", "n_words", "n_hit", "contaminated").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return by_doc.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+    return with_items(scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
