@@ -7,8 +7,10 @@ the block that it takes. A source's blocks cut the stream of its documents, shuf
 the id and repeated up to the cap, into equal numbers of words.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
-documents without words are taken 0 times; an empty table gives no rows; rows that repeat an id
-are taken as separate documents; input columns with the names of added columns are replaced.
+documents without words are taken 0 times, and the mix itself leaves them out; very long texts span
+as many blocks as they need; an empty table gives no rows; rows that repeat an id are separate
+documents, each with its own columns; rows that are equal in all columns are taken as often as all
+of them are; input columns with the names of added columns are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from searchlift.llm.common import WORD, free_name, materialise, table
 #: 2**31 divided by the golden ratio, made odd; and 2**31.
 STEP, CIRCLE = 1327217885, 2**31
 ADDED = ("size", "source_size", "target", "taken")
+#: Rows that one range of a source's shuffled stream should hold.
+RANGE_ROWS = 5_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -80,8 +84,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
 
 def _taken(sized: DataFrame, targets: DataFrame, cap: int, block_words: int) -> DataFrame:
     slots = schedule(targets, block_words)
-    # Places in the shuffled stream of the source: prefix sums inside 256 ranges of the draw, and over the ranges.
-    known = sized.join(targets.select("source", "source_id", "source_size", "target"), sized["source"].eqNullSafe(targets["source"])).select("id", sized["source"], "size", "draw", "source_id", "source_size", "target", F.substring("draw", 1, 2).alias("part"))
+    # Places in the shuffled stream of the source: prefix sums inside ranges of the draw, and over the ranges.
+    # The ranges follow the rows, so that none holds more than about RANGE_ROWS of them.
+    n_rows, digits = sized.count(), 1
+    while 16**digits * RANGE_ROWS < n_rows:
+        digits += 1
+    known = sized.join(targets.select("source", "source_id", "source_size", "target"), sized["source"].eqNullSafe(targets["source"])).select("id", sized["source"], "size", "draw", "source_id", "source_size", "target", F.substring("draw", 1, digits).alias("part"))
     parts = known.groupBy("source_id", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.select("source_id", "part", (F.sum("part_size").over(Window.partitionBy("source_id").orderBy("part")) - F.col("part_size")).alias("part_start"))
     inside = F.sum("size").over(Window.partitionBy("source_id", "part").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -108,12 +116,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     document at the run's end gives a part.
     """
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__k1": F.xxhash64(text, F.col(id_col)), "__k2": F.xxhash64(F.col(id_col), text)})
-    slim = keyed.select(F.struct("__k1", "__k2").alias("__doc"), text_col, source_col)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"__k1": F.xxhash64(*every), "__k2": F.xxhash64(F.lit(1), *every)})
+    slim = keyed.select(F.struct(id_col, "__k1", "__k2").alias("__doc"), text_col, source_col)
     found = mix(slim, **(options | {"id_col": "__doc"})).where("taken > 0")
-    # Rows that repeat id and text are interchangeable: whole turns add up, and each source ends in one part at most.
+    # Rows that are equal in all columns are interchangeable: whole turns add up, and a source's run ends in one part at most.
     times = found.groupBy("id.__k1", "id.__k2").agg(F.first("size").alias("__size"), F.sum(F.expr("taken div size")).alias("__whole"), F.collect_list(F.expr("CASE WHEN taken % size > 0 THEN taken % size END")).alias("__parts"))
+    # Of equal rows one goes on; the rank is cut before the shuffle, so that a much repeated row stays small.
     one = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))).where("__n = 1").drop("__n")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__part").cast("int")), " ")
     out = one.join(times, ["__k1", "__k2"]).withColumn("__part", F.explode(F.expr("concat(array_repeat(0L, CAST(__whole AS INT)), __parts)")))
