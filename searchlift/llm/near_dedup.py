@@ -1,48 +1,79 @@
 """Near-duplicates by MinHash with tensored banding.
 
-A text's set holds its distinct five-word shingles. Two collections of HALVES half-keys, each of
-PAIR minhashes, stand for a set; the HALVES * HALVES tables take their keys from all pairs of
-one half-key of either collection, so the hashing grows with the square root of the tables.
-Two sets of similarity s share a table with probability (1 - (1 - s**PAIR)**HALVES)**2: all but
-2e-5 of the pairs at 0.85.
-
-Documents with equal sets collapse to one representative first. In each table key the smallest
-representative is the centre; members are checked against it, on full sets, and links make
-components. Members that are not in their centre's component then meet the rest of the
-key (equal components aside), but for those that too many shingles of their own keep apart from
-every other component. Candidates far below the threshold by their signatures are dropped before
-their texts move; links are only made on full sets.
+A text's set holds its distinct five-word shingles. Two collections of half-keys, each of PAIR
+minhashes, stand for a set; the tables take their keys from all pairs of one half-key of either
+collection, so the hashing grows with the square root of the tables. Two sets of similarity s share
+a table with probability (1 - (1 - s**PAIR)**halves)**2; `halves` follows from the threshold, so
+that all but 5e-5 of the pairs at the threshold share one.
+
+Documents with equal sets collapse to one class first. In each table key the smallest class is the
+centre; members are checked against it, on full sets, and links make components. Members that are
+not in their centre's component may still be linked with each other. Of those, only documents that
+share enough shingles with other components at all go on, and meet by the rarest of these shingles:
+two sets that are similar enough share one of the few rarest (a prefix filter, which is exact).
+Candidates far below the threshold by their signatures are dropped before their texts move; links
+are only made on full sets.
 
 Defined results: null and wordless texts have the empty set and are components of their own;
-texts of fewer than five words have one shingle, the whole sequence; documents with equal ids are
-one document; rows with a null id join no links; ties go to the smallest id; empty tables give
-no rows; other columns are left alone.
+texts of fewer than five words have one shingle, the whole sequence; very long texts are hashed
+whole, in steps; rows of one id are one document, and its component joins what any of its texts is
+linked with; rows with a null id join no links, have no component and are kept; ties go to the
+smallest id; empty tables give no rows; other columns are left alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from searchlift.llm.common import materialise, table
+from searchlift.llm.common import drop_staged, join_groups, materialise, staged, table
 
 WORDS = 5
-PAIR, HALVES = 2, 9
-N_HASHES = 2 * PAIR * HALVES
-#: Of N_HASHES minhashes, a pair at 0.85 agrees on fewer than this with probability 2e-6.
-LEAST_AGREED = 19
-#: The tables, LEAST_AGREED and the size shortcut are those of this threshold: higher ones are whole too, lower ones are refused.
-LEAST_THRESHOLD = 85
-#: So many ids (8 bytes each) are broadcast to pick the texts to compare; with more, the texts are shuffled.
+PAIR = 2
+#: Lower thresholds would need more tables than pay: they are refused.
+LEAST_THRESHOLD = 70
+#: So many classes (20 bytes each) are broadcast to pick the texts to compare; with more, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Shingles per step of hashing.
 STEP = 1 << 16
-FEATURES = "id long, n_shingles long, set_key binary, sig array<int>"
+FEATURES = "id long, text_key long, n_shingles long, set_key binary, sig array<int>"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What follows from the threshold (in percent).
+
+    halves: half-keys of either collection; a half misses a pair at the threshold with probability 2e-5 at most.
+    least_agreed: minhashes that a pair at the threshold agrees on, but for a chance of 2e-6.
+    alone: sets of so many shingles and fewer are linked with their equals alone.
+    """
+
+    threshold: int
+    halves: int
+    n_hashes: int
+    least_agreed: int
+    alone: int
+
+    @classmethod
+    def of(cls, threshold: int) -> Plan:
+        if not LEAST_THRESHOLD <= threshold <= 100:
+            raise ValueError(f"threshold {threshold} is not in {LEAST_THRESHOLD} to 100: links would be lost")
+        s = min(threshold / 100, 0.99)
+        halves = max(2, math.ceil(math.log(2e-5) / math.log(1 - s**PAIR)))
+        n, below, k = 2 * PAIR * halves, 0.0, 0
+        while (below := below + math.comb(n, k) * s**k * (1 - s) ** (n - k)) < 2e-6:
+            k += 1
+        # A set of n shingles has n of n + 1 in common with another set at best.
+        alone = -(-threshold // (100 - threshold)) - 1 if threshold < 100 else 1 << 62
+        return cls(threshold, halves, n, k, alone)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -71,46 +102,57 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
 
 
-_SEEDS = np.random.default_rng(20240613).integers(1, 2**63, N_HASHES, dtype=np.uint64) | np.uint64(1)
+#: One odd factor for each minhash that any threshold may need.
+_SEEDS = np.random.default_rng(20240613).integers(1, 2**63, 128, dtype=np.uint64) | np.uint64(1)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(N_HASHES, np.iinfo(np.uint64).max, np.uint64)
+def signature(s: np.ndarray, n_hashes: int) -> np.ndarray:
+    low = np.full(n_hashes, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), STEP):
         part = s[at : at + STEP]
-        for k in range(N_HASHES):
+        for k in range(n_hashes):
             low[k] = min(low[k], (part * _SEEDS[k]).min())
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for i, text in zip(batch["id"], batch["text"], strict=True):
-            s = shingles(text)
-            rows.append((None if pd.isna(i) else int(i), len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s) if len(s) > 5 else None))
-        yield pd.DataFrame({"id": pd.array([r[0] for r in rows], "Int64"), "n_shingles": [r[1] for r in rows], "set_key": [r[2] for r in rows], "sig": [r[3] for r in rows]})
+def _feature_rows(plan: Plan):
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                s = shingles(text)
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s, plan.n_hashes) if len(s) > plan.alone else None))
+            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "sig": [r[2] for r in rows]})
+
+    return features
 
 
 def _sides(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
     """pairs (x, y) with the columns of either side, as x_... and y_..."""
     for side in "xy":
-        pairs = pairs.join(of.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+        pairs = pairs.join(of.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
     return pairs
 
 
-def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of texts whose id is in wanted, with the columns of wanted. A bounded number of ids is broadcast, so that no other text moves."""
-    wanted = materialise(wanted, "near-wanted")
-    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id")
+def _texts_of(texts: DataFrame, wanted: DataFrame, reps: DataFrame, *columns: str) -> DataFrame:
+    """node, text and the columns of wanted (node, ...), one row each: the text that stands for the class.
 
+    A bounded number of classes is broadcast, so that no other text moves. Rows that repeat the text are combined before they move.
+    """
+    wanted = materialise(wanted.join(reps.select("node", "id", "text_key"), "node"), "near-wanted")
+    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["id", "text_key"])
+    return found.groupBy("node", *columns).agg(F.any_value("text").alias("text"))
 
-def _near_enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose signatures agree often enough."""
-    for b in batches:
-        if len(b):
-            agreed = (np.vstack(b["x_sig"].to_numpy()) == np.vstack(b["y_sig"].to_numpy())).sum(axis=1)
-            yield b.loc[agreed >= LEAST_AGREED, ["x", "y"]]
+
+def _near_enough(plan: Plan):
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs whose signatures agree often enough."""
+        for b in batches:
+            if len(b):
+                agreed = (np.vstack(b["x_sig"].to_numpy()) == np.vstack(b["y_sig"].to_numpy())).sum(axis=1)
+                yield b.loc[agreed >= plan.least_agreed, ["x", "y"]]
+
+    return near
 
 
 def _linked(threshold: int):
@@ -129,12 +171,12 @@ def _linked(threshold: int):
     return check
 
 
-def _links(near: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (distinct, by id) that are linked on full sets."""
+def _links(near: DataFrame, texts: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (distinct, by class) that are linked on full sets."""
     near = materialise(near, "near-candidates")
     # Each text of a candidate pair moves once for each side.
-    used = materialise(_texts_of(texts, near.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "near-texts")
-    return materialise(_sides(near, used, "text").mapInPandas(_linked(threshold), "x long, y long"), "near-links")
+    used = materialise(_texts_of(texts, near.select(F.explode(F.array("x", "y")).alias("node")).distinct(), reps), "near-texts")
+    return materialise(_sides(near, used, "text").mapInPandas(_linked(plan.threshold), "x long, y long"), "near-links")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -143,6 +185,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the smallest label among the neighbours and then follows that label one
     step; labels only fall, and the rounds grow with the logarithm of a component's diameter.
     """
+    spark, mark = links.sparkSession, staged()
     edges = materialise(links.select("x", "y").union(links.select("y", "x")).distinct().toDF("id", "other"), "edges")
     labels = materialise(edges.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels")
     for _ in range(rounds):
@@ -152,92 +195,110 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         root = own.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("root_low"))
         new = own.join(root, F.col("low") == F.col("root"), "left").select("id", "component", F.least("low", F.coalesce("root_low", "low")).alias("new"))
         new = materialise(new, "labels")
+        drop_staged(spark, mark + 1, keep=1)
         if new.where("new < component").isEmpty():
-            return labels
+            return new.select("id", "component")
         labels = new.select("id", F.col("new").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
-    if threshold < LEAST_THRESHOLD:
-        raise ValueError(f"threshold {threshold} is below {LEAST_THRESHOLD}: links would be lost")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = materialise(texts.mapInPandas(_feature_rows, FEATURES), "near-features")
-    classes = found.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = found.select("id", "set_key", "n_shingles", "sig").join(classes.select("set_key", F.col("rep").alias("id")), ["set_key", "id"]).dropDuplicates(["id", "set_key"])
-    # Sets of 5 shingles and fewer have no neighbour at 0.85 but their equals.
-    reps = materialise(reps.where("n_shingles > 5").select("id", "n_shingles", "sig"), "near-reps")
-    rows = reps.withColumn("ij", F.explode(F.sequence(F.lit(0), F.lit(HALVES * HALVES - 1)))).select(
-        F.xxhash64("ij", F.expr(f"slice(sig, {PAIR} * (ij div {HALVES}) + 1, {PAIR})"), F.expr(f"slice(sig, {PAIR * HALVES} + {PAIR} * (ij % {HALVES}) + 1, {PAIR})")).alias("key"), F.col("ij").cast("byte").alias("ij"), "id", F.col("n_shingles").cast("int").alias("n")
-    )
-    keys = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1"), "near-keys")
+    plan = Plan.of(threshold)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    found = materialise(texts.mapInPandas(_feature_rows(plan), FEATURES), "near-features")
+    live = found.where("n_shingles > 0 AND id IS NOT NULL")
+    classes = live.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("rep"), F.count("*").alias("members"), F.any_value("n_shingles").cast("int").alias("n"), F.any_value("sig").alias("sig"))
+    classes = materialise(classes.select("set_key", "rep.id", "rep.text_key", "members", "n", "sig", F.monotonically_increasing_id().alias("node")), "near-classes")
+    reps = classes.where("sig IS NOT NULL")
+    one, other = f"slice(sig, {PAIR} * (ij div {plan.halves}) + 1, {PAIR})", f"slice(sig, {PAIR * plan.halves} + {PAIR} * (ij % {plan.halves}) + 1, {PAIR})"
+    rows = reps.withColumn("ij", F.explode(F.sequence(F.lit(0), F.lit(plan.halves**2 - 1)))).select(F.xxhash64("ij", F.expr(one), F.expr(other)).alias("key"), "node", "n")
+    centres = materialise(rows.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1"), "near-keys")
     # The keys are as many as the documents at any size: never broadcast.
-    members = materialise(rows.join(keys.hint("merge"), "key"), "near-members")
-    sized = f"100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n)"
-    centred = members.where("id <> centre").select(F.col("id").alias("x"), F.col("centre").alias("y"), F.col("n").alias("x_n")).distinct()
-    centred = centred.join(reps.select(F.col("id").alias("y"), F.col("n_shingles").alias("y_n")), "y").where(sized).select("x", "y")
-    first = _links(_sides(centred, reps, "sig").mapInPandas(_near_enough, "x long, y long"), texts, threshold)
-    labels = components(first)
-    second = _links(_unsettled(members, labels, reps, texts, threshold, sized), texts, threshold)
-    labels = components(first.union(second))
-    every = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = found.select("id", "n_shingles", "set_key").join(every, "set_key", "left")
-    same_id = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("id"))
-    return out.select("id", "n_shingles", same_id.alias("component_id"), F.col("id").eqNullSafe(same_id).alias("kept"))
+    members = materialise(rows.join(centres.hint("merge"), "key").where("node <> centre"), "near-members")
+    near = members.select(F.col("node").alias("x"), F.col("centre").alias("y"), F.col("n").alias("x_n")).distinct()
+    near = near.join(reps.select(F.col("node").alias("y"), F.col("n").alias("y_n")), "y").where(_sized(plan)).select("x", "y")
+    first = _links(_sides(near, reps, "sig").mapInPandas(_near_enough(plan), "x long, y long"), texts, reps, plan)
+    as_ids = lambda links: _sides(links, reps, "id").select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
+    same = _same_id(live, classes)
+    labels = components(as_ids(first).union(same))
+    second = _links(_unsettled(members, labels, reps, texts, plan), texts, reps, plan)
+    labels = components(as_ids(first.union(second)).union(same))
+    every = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"), "members")
+    out = join_groups(live.select("id", "n_shingles", "set_key"), every, "set_key", "members", found.count())
+    rest = found.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
+    return out.select("id", "n_shingles", "component_id").unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def _sized(plan: Plan) -> str:
+    return f"100 * least(x_n, y_n) >= {plan.threshold} * greatest(x_n, y_n)"
+
+
+def _same_id(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (x, y) between the ids that stand for the classes of one id: its texts are one document's."""
+    several = live.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("id")
+    of = live.join(several, "id", "left_semi").select("id", "set_key").distinct().join(classes.select("set_key", F.col("id").alias("rep")), "set_key")
+    return of.where("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
 
 
 def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for i, c, text in zip(batch["id"], batch["component"], batch["text"], strict=True):
+        for node, c, text in zip(batch["node"], batch["component"], batch["text"], strict=True):
             s = shingles(text)
             for at in range(0, len(s), STEP):
-                yield pd.DataFrame({"shingle": s[at : at + STEP].view(np.int64), "id": i, "component": c})
+                yield pd.DataFrame({"shingle": s[at : at + STEP].view(np.int64), "node": node, "component": c})
 
 
-def _common(docs: DataFrame, texts: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
-    """docs (id, n, component) -> (id, common) of those that may be linked: the shingles that a document of another component has too.
+def _common(docs: DataFrame, rows: DataFrame, plan: Plan, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """docs (node, n, component) -> those that may be linked, with how many of their shingles a document of another component has too; and these shingles.
 
     Documents that have too few drop out, and the next round counts among the rest alone.
     """
-    rows = materialise(_texts_of(texts, docs.select("id", "component")).mapInPandas(_shingle_rows, "shingle long, id long, component long"), "near-shingles")
     left = docs
     for k in range(rounds):
         if k:
-            rows = rows.join(left.select("id"), "id", "left_semi")
+            rows = rows.join(left.select("node"), "node", "left_semi")
         shared = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-        counts = rows.join(shared, "shingle", "left_semi").groupBy("id").agg(F.count("*").cast("int").alias("common"))
-        left = materialise(left.select("id", "n").join(counts, "id").where(f"100 * common >= {threshold} * n"), "near-common")
-    return left.select("id", "common")
+        rows = materialise(rows.join(shared, "shingle", "left_semi"), "near-shared")
+        counts = rows.groupBy("node").agg(F.count("*").cast("int").alias("common"))
+        left = materialise(left.select("node", "n", "component").join(counts, "node").where(f"100 * common >= {plan.threshold} * n"), "near-common")
+    return left, rows.join(left.select("node"), "node", "left_semi")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, threshold: int, sized: str) -> DataFrame:
-    """Pairs of a key that no component settles: one of the two is outside the centre's component, and neither is the centre.
+def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs of different components that no centre settles.
 
-    Two documents of different components share no more shingles than either has in common with
-    other components at all. Most documents outside are kept apart by shingles of their own, so
-    this bound drops them before they are paired. A pair comes from the first key that it shares.
+    They lie in keys where some member is outside the centre's component. Two documents of different
+    components share no more shingles than either has in common with other components at all; most
+    documents outside are kept apart by shingles of their own, so this bound drops them first. The
+    rest pair by shingles: ordered by how few of the rest have them, two linked sets share one of the
+    first n - ceil(threshold * n) + 1 of either, of which the shingles of their own take the first
+    places. In each shingle the members of its largest component are not paired with each other.
     """
-    m = members.where("members > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    m = m.join(labels.select(F.col("id").alias("centre"), F.col("component").alias("home")), "centre", "left").where("id <> centre")
-    m = materialise(m.select("key", "ij", "id", "n", "component", (F.col("component") != F.coalesce("home", "centre")).alias("outside")), "near-unsettled")
-    docs = materialise(m.groupBy("id").agg(F.min("n").alias("n"), F.min("component").alias("component")), "near-apart")
-    m = m.join(_common(docs, texts, threshold).join(reps.select("id", "sig"), "id"), "id")
-    x = m.where("outside").select("key", "ij", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "component", "common", "sig")])
-    y = m.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "component", "common", "sig", "outside")])
-    earlier = "exists(sequence(0, {halves} - 1), t -> t < {own} AND slice(x_sig, {first} + t * {pair} + 1, {pair}) = slice(y_sig, {first} + t * {pair} + 1, {pair}))"
-    first = [earlier.format(halves=HALVES, pair=PAIR, own=own, first=at) for own, at in ((f"(ij div {HALVES})", 0), (f"(ij % {HALVES})", PAIR * HALVES))]
-    pairs = x.join(y, "key").where(
-        f"x_component <> y_component AND (NOT y_outside OR x_id < y_id) AND {sized}"
-        f" AND {100 + threshold} * least(x_common, y_common) >= {threshold} * (x_n + y_n)"
-        f" AND size(filter(zip_with(x_sig, y_sig, (a, b) -> a = b), e -> e)) >= {LEAST_AGREED}"
-        f" AND NOT {first[0]} AND NOT {first[1]}"
+    by_node = reps.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
+    m = members.join(by_node, "node").join(by_node.select(F.col("node").alias("centre"), F.col("component").alias("home")), "centre")
+    m = materialise(m.where("members > 2").select("key", "node", "n", "component", (F.col("component") != F.col("home")).alias("outside")), "near-unsettled")
+    m = m.join(m.where("outside").select("key").distinct(), "key", "left_semi")
+    docs = materialise(m.groupBy("node").agg(F.min("n").alias("n"), F.min("component").alias("component")), "near-apart")
+    said = _texts_of(texts, docs.select("node", "component"), reps, "component")
+    rows = materialise(said.mapInPandas(_shingle_rows, "shingle long, node long, component long"), "near-shingles")
+    left, rows = _common(docs, rows, plan)
+    by_shingle = rows.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("df"), F.max_by("component", "k").alias("home"))
+    placed = rows.join(by_shingle, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    least = f"CAST(ceil({plan.threshold} * n / 100D) AS INT)"
+    first = placed.join(left.select("node", "n", "common"), "node").where(f"place <= common - {least} + 1")
+    first = materialise(first.select("shingle", "node", "n", "common", "component", (F.col("component") != F.col("home")).alias("outside")), "near-prefixes")
+    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "common", "component", "outside")])
+    pairs = side(first.where("outside"), "x").join(side(first, "y"), "shingle").where(
+        f"x_component <> y_component AND (NOT y_outside OR x_node < y_node) AND {_sized(plan)}"
+        f" AND {100 + plan.threshold} * least(x_common, y_common) >= {plan.threshold} * (x_n + y_n)"
     )
-    return pairs.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
+    pairs = pairs.select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
+    return _sides(pairs, reps, "sig").mapInPandas(_near_enough(plan), "x long, y long")
 
 
-def one_of_each(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows of near-duplicates but the smallest id's; rows that repeat an id stay or go together."""
+def one_of_each(docs: DataFrame, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows of near-duplicates but the smallest id's; rows that repeat an id stay or go together, rows with a null id stay."""
     keep = near_duplicates(docs, threshold, id_col, text_col).where("kept AND id IS NOT NULL").select(F.col("id").alias("__id")).distinct()
     kept = docs.join(keep, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
     return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

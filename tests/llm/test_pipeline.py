@@ -26,7 +26,7 @@ def test_stages_in_order(spark):
         if name == "language ID":
             assert ids == {i for i, t in before.items() if any(map(str.isalpha, t))}
         elif name == "near-duplicates":
-            assert ids == {i for i, (_, c) in components_by_hand(list(before.items())).items() if i == c}
+            assert ids == {i for i, (_, c) in components_by_hand(list(before.items()), 80).items() if i == c}
         elif name == "decontamination":
             hits = contaminated_by_hand(list(before.values()), bench)
             assert ids == {i for i, h in zip(before, hits, strict=True) if not h[2]}
