@@ -230,3 +230,30 @@ def test_decontamination_edges(spark, edge_docs, no_docs):
     assert sorted(r.doc_id for r in out.where("contaminated").collect()) == [1, 1, 2, 8]
     assert decontamination.scan(edge_docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.scan(no_docs, bench).count() == 0
+
+
+def test_exact_dedup_folds_its_updates(spark, edge_docs, tmp_path, monkeypatch):
+    """Many small runs on one state: the folders of updates stay few, and session settings are as before."""
+    monkeypatch.setattr(exact_dedup, "MOST_UPDATES", 2)
+    path, state = f"file://{tmp_path}/docs", f"file://{tmp_path}/state"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in range(5):
+        edge_docs.where(f"pmod(coalesce(doc_id, 0), 5) = {part}").coalesce(1).write.mode("append").parquet(path)
+        out = exact_dedup.duplicates(spark, path, state_dir=state).collect()
+        assert keyed(out) == duplicates_of([(r.doc_id, r.text) for r in spark.read.parquet(path).collect()])
+    assert len(list((tmp_path / "state/updates").glob("batch=*"))) <= 3
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_exact_dedup_with_hits_shuffled_and_hot_groups(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", bound)
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy  of one").when(F.col("id") % 5 == 0, F.concat(F.lit("few "), (F.col("id") % 7).cast("string"))).otherwise(F.concat(F.lit("own\t"), F.col("id").cast("string"))).alias("text"))
+    path = f"file://{tmp_path}/docs"
+    docs.write.parquet(path)
+    out = exact_dedup.duplicates(spark, path).collect()
+    assert keyed(out) == duplicates_of([(r.doc_id, r.text) for r in docs.collect()])
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in out:
+        # The locator leads to the content of the row that stays.
+        assert text[r.id].split() == text[r.keep_id].split() and r.locator.file and r.locator.row >= 0
