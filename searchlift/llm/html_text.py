@@ -1,19 +1,26 @@
 """Main text of pages by two-pass block rules.
 
 A page is cut into blocks at its block elements. The first pass labels each block by link
-density, length and stop-word density as good, bad or undecided; scripts, forms, menus,
-footers and containers that name themselves as such are bad as a whole. The second pass gives
-each undecided block the label of its nearest decided neighbours (bad if they disagree, unless
-one is a heading's follower). Where a page marks its article, the rules apply inside the mark
-and undecided blocks without decided neighbours are good: short lines and tables stay.
-
-Defined results: null and empty pages give the empty text and 0; unclosed tags end with their
-parent; a page without any good block gives the empty text; empty tables give no rows.
+density, length and stop-word density as good, bad or undecided; scripts, forms, menus, footers and
+containers that name themselves as such are left out as a whole. The second pass gives each
+undecided block the label of its nearest decided neighbours (bad if they disagree, unless one is a
+heading's follower). Where a page marks its article, the mark decides: every block inside stays but
+those of such containers. On pages whose language has no stop words here, the density of sentence
+punctuation stands in for theirs.
+
+A container names itself by an element name, a role, or a class or id whose words are all cues or
+words of layout (cookie-banner, post-comments; not search-trees). End tags may be missing as the
+language allows (p, li, dt, dd, tr, td, head); an element ends at the latest with its parent.
+
+Defined results: null and empty pages give the empty text and 0; very long pages are read whole, in
+one pass; a page without any good block gives the empty text; pages that repeat give equal rows;
+empty tables give no rows; columns other than the html are passed over.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,13 +36,24 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)/?>|<[!?/][^>]*>|</?[A-Za-z][^>]*>",
     re.S | re.I,
 )
-#: Elements that end a block.
+#: Elements that end a block; of these, those that end an open paragraph.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-#: Elements and class or id words that mark what is not the article.
+ENDS_P = BLOCK - frozenset("body html caption dd dt legend li summary tbody td tfoot th thead tr".split())
+#: What the start of an element ends, and the elements beyond which it does not look.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
+}
+IN_HEAD = frozenset("head meta link base title style script noscript template".split())
+#: Elements, roles and class or id words that mark what is not the article, and words of layout that may stand beside them.
 DROP = frozenset("nav footer aside form menu dialog button head".split())
-CUES = frozenset("ad ads advert adverts advertisement sponsored sponsor promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing social related recommended comment comments respond disqus widget pager pagination login signup search skip toolbar".split())
-ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+CUES = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing social related recommended comment comments respond disqus widget pager pagination login signup search skip toolbar".split())
+LAYOUT = frozenset("area article articles bar block bottom box button buttons col column container content entry form global group header icon icons inner item items left legal link links list main module outer page panel post posts primary reader readers region right row secondary section site slot text top unit user users wrap wrapper zone".split())
+ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+WORD_IN_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: The commonest words of the four languages.
 STOP = frozenset(
@@ -45,6 +63,11 @@ STOP = frozenset(
     "al así como con de del el en es la las lo los más mi no para pero por que se su sus un una y ya".split()
 )
 LONG, SHORT, LINKED, DENSE, SPARSE = 200, 70, 0.33, 0.30, 0.15
+#: A page's language is known from this stop-word density on; else punctuation per character stands for it, on its own scale.
+KNOWN, DENSE_MARKS, SPARSE_MARKS = 0.25, 0.010, 0.004
+MARKS = re.compile(r"[.,;:!?…。，、；：！？।॥؟،؛·]")
+#: Scripts that write a word in one or two characters: such a character counts as three.
+WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 class _Block:
@@ -54,25 +77,55 @@ class _Block:
         self.parts, self.linked, self.heading, self.article = [], 0, heading, article
 
 
-def _cued(attrs: str) -> bool:
+def _cue(name: str) -> bool:
+    words = [w.lower() for w in WORD_IN_NAME.findall(name)]
+    return any(w in CUES for w in words) and all(w in CUES or w in LAYOUT for w in words)
+
+
+def _cued(tag: str, attrs: str) -> bool:
     if "=" not in attrs:
         return "hidden" in attrs.lower().split()
-    words = (w for m in ATTR.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-    return any(w in CUES for w in words) or bool(HIDDEN.search(attrs))
+    for m in ATTR.finditer(attrs):
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        # The id of a heading repeats its words.
+        if kind == "role" and value.lower() in ROLES or kind != "role" and not (kind == "id" and tag in HEADINGS) and any(map(_cue, value.split())):
+            return True
+    return bool(HIDDEN.search(attrs))
 
 
 def blocks(html: str) -> list[_Block]:
     """Blocks in page order, without those of dropped containers."""
     out, at = [], 0
-    dropped, depth, article, links, breaks, heading = "", 0, 0, 0, 0, False
+    stack: list[list] = []  # [name, dropped] of the open elements
+    open_: Counter = Counter()
+    dropped = article = links = breaks = 0
     block = _Block(False, False)
 
-    def flush() -> None:
+    def flush(heading: bool = False) -> None:
         nonlocal block
         if block.parts:
             out.append(block)
         block = _Block(heading, article > 0)
 
+    def close(to: int) -> None:
+        """End the open elements from place `to` on."""
+        nonlocal dropped, article
+        for name, out_of in stack[to:]:
+            open_[name] -= 1
+            dropped -= out_of
+            article -= name in ("article", "main")
+        del stack[to:]
+
+    def end_open(names: set[str], beyond: set[str]) -> None:
+        found = None
+        for i in range(len(stack) - 1, -1, -1) if any(open_[x] for x in names) else ():
+            if stack[i][0] in beyond:
+                break
+            if stack[i][0] in names:
+                found = i
+        if found is not None:
+            close(found)
+
     for m in TOKEN.finditer(html):
         if m.start() > at and not dropped:
             part = html[at : m.start()]
@@ -85,57 +138,99 @@ def blocks(html: str) -> list[_Block]:
         if not m[3]:
             continue
         name, closing = m[3].lower(), m[2] == "/"
-        if dropped:
-            if dropped == "head" and name in ("body", "article", "main", "div", "p", "h1"):
-                dropped = ""
-            elif name == dropped:
-                depth += -1 if closing else 1
-                if not depth:
-                    dropped = ""
-                continue
-            else:
+        if closing:
+            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if open_[name] else None
+            if name == "a":
+                links = 0
+            if name not in BLOCK:
+                # The end of an inline element ends no block around it.
+                if place is not None:
+                    open_[name] -= 1
+                    dropped -= stack.pop(place)[1]
                 continue
+            flush()
+            if place is not None:
+                close(place)
+            links = 0
+            flush()
+            continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
+        if name in ENDS_P:
+            end_open({"p"}, {"table", "td", "th", "button", "caption", "object"})
+        if name in IMPLIED:
+            end_open(*IMPLIED[name])
         if name == "br":
-            breaks += 1
-            block.parts.append(" ")
-            if breaks == 2:
+            if not dropped:
+                breaks += 1
+                block.parts.append(" ")
+                if breaks == 2:
+                    flush()
+            continue
+        if name in VOID:
+            if name == "hr":
                 flush()
             continue
-        if not closing and name not in VOID and (name in DROP or (name == "header" and not article) or (name not in ("body", "html", "article", "main") and m[4] and _cued(m[4]))):
+        if name in ("article", "main"):
+            # A form around the article is the page's, not a form in it.
+            for x in stack:
+                if x[0] == "form" and x[1]:
+                    x[1], dropped = False, dropped - 1
+        outer = name in ("body", "html", "main") or name == "article" and not article
+        out_of = name in DROP or name == "header" and not article or not outer and bool(m[4]) and _cued(name, m[4])
+        if name in BLOCK:
             flush()
-            dropped, depth = name, 1
-            continue
+            links = 0
+        stack.append([name, out_of])
+        open_[name] += 1
+        dropped += out_of
+        article += name in ("article", "main")
         if name == "a":
-            links = max(0, links + (-1 if closing else 1))
+            links = 1
         elif name in BLOCK:
-            heading = len(name) == 2 and name[0] == "h" and name != "hr" and not closing
-            if name in ("article", "main"):
-                flush()
-                article = max(0, article + (-1 if closing else 1))
-            links = 0
-            flush()
+            flush(name in HEADINGS)
     if at < len(html) and not dropped:
         block.parts.append(html[at:])
     flush()
     return out
 
 
-def _label(text: str, linked: int, heading: bool, article: bool) -> str:
+def _stops(text: str) -> tuple[int, int]:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in STOP for w in words), len(words)
+
+
+def _density(text: str, known: bool) -> float:
+    """Stop words per word, or what punctuation says in their place, on the same scale."""
+    if known:
+        n, words = _stops(text)
+        return n / max(1, words)
+    marks = len(MARKS.findall(text)) / max(1, len(text))
+    return DENSE if marks >= DENSE_MARKS else SPARSE if marks >= SPARSE_MARKS else 0.0
+
+
+def _label(text: str, linked: int, heading: bool, known: bool, least: int) -> str:
     """good, bad or '' (undecided)."""
-    density = linked / max(1, len(text))
-    if density > (0.5 if article else LINKED):
+    if linked / max(1, len(text)) > LINKED:
         return "bad"
     if heading:
         return ""
-    if len(text) < SHORT:
-        return "bad" if linked and not article else ""
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-    if stops >= DENSE:
-        return "good" if len(text) > LONG or article else ""
-    if article:
-        return ""
-    return "" if stops >= SPARSE else "bad"
+    length = len(text) + 2 * len(WIDE.findall(text))
+    if length < SHORT:
+        return "bad" if linked else ""
+    density = _density(text, known)
+    if density >= DENSE:
+        return "good" if length > least else ""
+    return "" if density >= SPARSE else "bad"
+
+
+def _nearest(labels: list[str]) -> list[str]:
+    """Before each place, the last label that is decided."""
+    out, last = [], ""
+    for x in labels:
+        out.append(last)
+        last = x or last
+    return out
 
 
 def extract(html: str | None) -> str:
@@ -145,23 +240,18 @@ def extract(html: str | None) -> str:
         if text:
             found.append((text, b.linked, b.heading, b.article))
     if any(x[3] for x in found):
-        found = [x for x in found if x[3]]
-    labels = [_label(*x) for x in found]
-    before, last = [], ""
-    for x in labels:
-        before.append(last)
-        last = x or last
-    after, last = [], ""
-    for x in reversed(labels):
-        after.append(last)
-        last = x or last
-    after.reverse()
+        return "\n".join(x[0] for x in found if x[3])
+    plain = [_stops(text) for text, linked, _, _ in found if linked <= LINKED * len(text)]
+    known = sum(n for n, _ in plain) >= KNOWN * max(1, sum(w for _, w in plain))
+    labels = [_label(*x[:3], known, LONG) for x in found]
+    if "good" not in labels:
+        # A page of short paragraphs alone: those that read like text stand for the long ones.
+        labels = [_label(*x[:3], known, SHORT) for x in found]
+    before, after = _nearest(labels), _nearest(labels[::-1])[::-1]
     kept = []
-    for (text, _, heading, article), own, left, right in zip(found, labels, before, after, strict=True):
+    for (text, _, heading, _), own, left, right in zip(found, labels, before, after, strict=True):
         if own:
             good = own == "good"
-        elif article:
-            good = not (left == right == "bad")
         elif heading:
             good = right == "good"
         else:

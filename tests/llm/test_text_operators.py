@@ -231,6 +231,53 @@ def test_main_text_of_the_pages(spark):
         assert out[p.page_id].text == want and out[p.page_id].n_chars == len(want)
 
 
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ('<p class="share">Share this<p>First.<p>Second.', "First.\nSecond."),
+        ('<ul><li class="ad">Buy<li>One<li>Two</ul>', "One\nTwo"),
+        ('<table><tr class="ad"><td>Buy<tr><td>A<td>B</table><p>End.', "A\nB\nEnd."),
+        ('<section id="search-trees"><h2 id="search">Search</h2><p>Trees are searched.</p></section>', "Search\nTrees are searched."),
+        ('<div class="comment-free related-work"><p>Kept.</p></div>', "Kept."),
+        ('<div class="postComments"><p>Gone.</p></div><div role="navigation">Gone.</div><p>Kept.</p>', "Kept."),
+        ('<p>See <a href="/x">the whole report of the year</a></p><ul><li><a href="/1">Source one</a></li></ul>', "See the whole report of the year\nSource one"),
+        ('<p>An <span class="ad">advert in</span> line <b>of <i>text</b> goes</i> on.</p>', "An line of text goes on."),
+        ('<dl><dt>Word<dd>Meaning<dt class="promo">Buy<dd>Other</dl>', "Word\nMeaning\nOther"),
+        ('<div class="notice"><p>Unclosed<div>too</div></article><p>After.', ""),
+        ('<article class="comment"><p>A reader says.</p></article><p>Kept.</p>', "Kept."),
+    ],
+)
+def test_main_text_inside_an_article(inside, want):
+    assert html_text.extract(f"<html><head><title>T</title><body><nav><a href=/>Home</a></nav><article>{inside}</article><footer>F</footer></body></html>") == want
+
+
+def test_main_text_of_a_form_around_the_page():
+    assert html_text.extract("<body><form><input name=q>Search<article><p>Text.</p></article></form></body>") == "Text."
+
+
+OTHER_LANGUAGES = [
+    "Il governo ha annunciato ieri una nuova legge sul lavoro, che entrerà in vigore dal prossimo anno. Secondo il ministro, le imprese avranno tempo fino a marzo per adeguarsi; i sindacati, invece, chiedono una proroga e più garanzie per chi lavora. ",
+    "Rząd ogłosił wczoraj nową ustawę o pracy, która wejdzie w życie w przyszłym roku. Według ministra firmy będą miały czas do marca, aby się dostosować; związki zawodowe domagają się jednak dłuższego okresu przejściowego i większych gwarancji. ",
+    "政府昨天宣布了一项新的劳动法，该法律将于明年生效。部长表示，企业必须在三月之前做好准备；而工会则要求延长过渡期，并为工人提供更多保障。专家认为，这项改革将对中小企业产生深远影响，但具体细节仍有待公布。",
+]
+
+
+@pytest.mark.parametrize("para", OTHER_LANGUAGES)
+def test_main_text_of_languages_without_stop_words(para):
+    para = " ".join(para.split())
+    page = f"<body><div><a href=/>Home</a> <a href=/x>Chi</a></div><h1>Titolo</h1><p>{para}</p><p>{para}</p><p>{para}</p><div><a href=/y>Next page</a> <a href=/z>Last page of all</a></div></body>"
+    assert html_text.extract(page) == "\n".join(["Titolo", para, para, para])
+
+
+def test_main_text_of_long_empty_and_repeated_pages(spark):
+    long = "<article>" + "<p>One more line of text.</p>" * 50_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, "x"), (2, "u", None, "x"), (2, "u", None, "x"), (3, None, "", None), (4, "u", "<b>" * 20_000 + "x", None)], "page_id long, url string, html string, text string")
+    out = pages.select("page_id", html_text.main_text(F.col("html")).alias("t")).collect()
+    whole = len("\n".join(["One more line of text."] * 50_000))
+    assert sorted((r.page_id, len(r.t)) for r in out)[:4] == [(1, whole), (2, 0), (2, 0), (3, 0)]
+    assert pages.limit(0).select(html_text.main_text(F.col("html"))).count() == 0
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<script>x", "<!-- x", "</article></p>", "<a href='x>y</a>", "<nav><p>x"])
 def test_main_text_of_broken_pages(page):
     assert isinstance(html_text.extract(page), str)
