@@ -6,11 +6,15 @@ right and checks what it found; text without anchors costs the one pass alone.
 
 The base kinds (email, ip, card, phone) are those of a leftmost, non-overlapping search per kind
 whose matches are dropped where a check fails. The method adds url spans (at schemes) and
-account spans (an identifier with a digit after a cue such as token, account or iban).
+account spans, after a cue that stands as a word of its own in any letter case: an IBAN has its
+country, length and mod-97 check, a social security number its shape and number ranges, other
+numbers five characters with digits for at least half of them, and a secret (token, password, key)
+an explicit sign of assignment or the look of a key.
 
 Defined results: null counts as empty; a text without spans has the digest of the empty string
-and empty spans; offsets are code points, end exclusive; spans of different kinds may overlap;
-empty tables give no rows; repeated rows give equal rows.
+and empty spans; very long texts are read whole, in one pass; offsets are code points, end
+exclusive; spans of different kinds may overlap; empty tables give no rows; repeated rows give
+equal rows; columns other than the text are passed over.
 """
 
 from __future__ import annotations
@@ -37,23 +41,70 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 URL_REST = re.compile(r"[^\s<>\"'`|\\^{}]+")
 HOST = re.compile(r"(?:[^/?#@]*@)?(?:\[[0-9A-Fa-f:.]+\]|[\w-]+(?:\.[\w-]+)+|localhost)(?::[0-9]+)?(?=[/?#]|$)")
-ACCOUNT = re.compile(r"(?:\s(?:id|no|nr|number|key))?\.?[\"']?\s?[:=#]?\s?[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]|\x20(?=[0-9A-Z]{4}\b)){5,63})(?![A-Za-z0-9])")
-#: The words that announce an identifier.
-CUES = ("account", "acct", "api_key", "apikey", "api-key", "token", "secret", "password", "passwd", "iban", "ssn", "passport", "license no", "customer id", "user id")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}([- ]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9A-Za-z])")
+VALUE = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9]|[_./+=~-](?=[A-Za-z0-9])){4,127}(?![A-Za-z0-9])")
+#: What may stand between a cue and its value: a word for number, and one of a sign of assignment, a quote or a space.
+BETWEEN = re.compile(r"(?:[\s_-]?(?:id|no|nr|number|num)\b\.?)?(?:[\"']?\s{0,3}(?P<sign>:=|=>|[:=#]|\bis\b)\s{0,3}[\"']?|\s{1,3}(?P<quote>[\"'])?)", re.I)
+#: The words that announce an identifier, by how it is checked.
+CUES = {
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security number", "social security no"),
+    "number": ("account", "acct", "passport", "license", "licence", "customer id", "user id", "member id"),
+    "secret": ("api_key", "apikey", "api-key", "api key", "access_key", "secret_key", "token", "secret", "password", "passwd"),
+}
+#: A to Z alone: places in the text stay what they are.
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @lru_cache(1)
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word, kind in [("@", "@"), ("+", "+"), ("://", ":"), *((d, "0") for d in "0123456789")]:
-        found.add_word(word, kind)
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, "c")
+        found.add_word(word, (kind, 1))
+    for kind, cues in CUES.items():
+        for cue in cues:
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """An IBAN at the place: the longest run of groups whose check holds."""
+    m = IBAN.match(text, at)
+    end = m.end() if m else at
+    while m and end - at >= 15:
+        digits = text[at:end].replace(" ", "").upper()
+        if text[end - 1] != " " and 15 <= len(digits) <= 34 and not (end < len(text) and text[end].isalnum()) and int("".join(str(int(c, 36)) for c in digits[4:] + digits[:4])) % 97 == 1:
+            return at, end
+        end -= 1
+    return None
+
+
+def account(text: str, start: int, at: int, kind: str) -> tuple[int, int] | None:
+    """The identifier after a cue that spans [start, at), if it is one."""
+    if start and (text[start - 1].isalnum()):
+        return None
+    m = BETWEEN.match(text, at)
+    if not m:
+        return None
+    place = m.end()
+    if kind == "iban":
+        return _iban(text, place)
+    if kind == "ssn":
+        return x.span() if (x := SSN.match(text, place)) else None
+    if not (x := VALUE.match(text, place)):
+        return None
+    value = x.group()
+    digits = sum(map(str.isdigit, value))
+    named = m["sign"] or m["quote"]
+    if kind == "number":
+        good = 2 * digits >= len(value)
+    else:
+        good = digits > 0 and (named or len(value) >= 16 and digits >= 4 and digits < len(value))
+    return x.span() if good else None
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -64,9 +115,10 @@ def _luhn(digits: str) -> bool:
 
 def find(text: str) -> list[list[tuple[int, int]]]:
     """The spans of each kind, in order of KINDS and then of start."""
-    email, ip, card, phone, url, account = out = [[] for _ in KINDS]
+    email, ip, card, phone, url, accounts = out = [[] for _ in KINDS]
     email_end = ip_end = card_end = phone_end = url_end = account_end = 0
-    for at, kind in anchors().iter(text):
+    low = text.translate(ASCII_LOWER)
+    for at, (kind, size) in anchors().iter(low):
         if kind == "0":
             if at >= card_end:
                 m = CARD.match(text, at)
@@ -101,9 +153,9 @@ def find(text: str) -> list[list[tuple[int, int]]]:
             if start < colon and (m := URL_REST.match(text, at + 1)) and HOST.match(rest := m.group().rstrip(".,;:!?)]*_~")):
                 url_end = at + 1 + len(rest)
                 url.append((start, url_end))
-        elif at + 1 >= account_end and (m := ACCOUNT.match(text, at + 1)) and any(map(str.isdigit, m.group(1))):
-            account_end = m.end(1)
-            account.append(m.span(1))
+        elif at + 1 >= account_end and (span := account(text, at + 1 - size, at + 1, kind)) and span[0] >= account_end:
+            account_end = span[1]
+            accounts.append(span)
     return out
 
 
@@ -112,16 +164,16 @@ def _joined(spans: list[list[tuple[int, int]]], kinds: int) -> str:
 
 
 def spans_of(text: Column) -> Column:
-    """struct(n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
+    """struct(n_email, n_ip, n_card, n_phone, base_sha256, spans, n_url, n_account)."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 s = find(t or "")
-                rows.append((*(len(x) for x in s[:4]), hashlib.sha256(_joined(s, 4).encode()).hexdigest(), _joined(s, len(KINDS))))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*(len(x) for x in s[:4]), hashlib.sha256(_joined(s, 4).encode()).hexdigest(), _joined(s, len(KINDS)), len(s[4]), len(s[5])))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_url", "n_account"])
 
     return spans(text)
 

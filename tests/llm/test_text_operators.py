@@ -194,6 +194,39 @@ def test_added_spans():
     assert [t[a:b] for a, b in url] == ["https://a.example.org/x?y=1"] and [t[a:b] for a, b in account] == ["08813ad77930c5f6"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("tokenization2024x and secretary2024 and secret santa12345", []),
+        ("mytoken=abc12345", []),
+        ("Api_Key: 9f8e7d6c", ["9f8e7d6c"]),
+        ("PassWord=hunter22", ["hunter22"]),
+        ("my_password = 'hunter22'", ["hunter22"]),
+        ("token 08813ad77930c5f6", ["08813ad77930c5f6"]),
+        ("The password is hunter22.", ["hunter22"]),
+        ("token of 2024", []),
+        ("IBAN DE89 3704 0044 0532 0130 00.", ["DE89 3704 0044 0532 0130 00"]),
+        ("iban: GB82WEST12345698765432", ["GB82WEST12345698765432"]),
+        ("IBAN: GB82 WEST 1234 5698 7654 32 and more", ["GB82 WEST 1234 5698 7654 32"]),
+        ("IBAN DE88 3704 0044 0532 0130 00", []),
+        ("SSN: 123-45-6789", ["123-45-6789"]),
+        ("ssn 000-45-6789, ssn 666-45-6789, ssn 912-45-6789, ssn 123-00-6789, ssn 123-45-67890", []),
+        ("Account no. 12345678; customer ID #A-10293", ["12345678", "A-10293"]),
+        ("account manager2 and the passport office", []),
+        ("İ token = \"ab12cd34\"", ["ab12cd34"]),
+    ],
+)
+def test_accounts(text, want):
+    assert [text[a:b] for a, b in pii.find(text)[5]] == want
+
+
+def test_pii_of_long_and_repeated_texts(spark):
+    long = "x a.b@example.org token=ab12cd34 " * 20_000
+    docs = spark.createDataFrame([(1, long, "s"), (1, long, "s"), (2, None, None)], "doc_id long, text string, spans string")
+    out = sorted(docs.select("doc_id", pii.spans_of(F.col("text")).alias("p")).select("doc_id", "p.n_email", "p.n_account").collect())
+    assert [tuple(r) for r in out] == [(1, 20_000, 20_000), (1, 20_000, 20_000), (2, 0, 0)]
+
+
 def test_pii_edges(edge_docs, no_docs):
     out = edge_docs.select(pii.spans_of(F.col("text")).alias("p")).select("p.*").collect()
     assert len(out) == 11 and all(r.spans == "" and r.base_sha256.startswith("e3b0c442") for r in out)
