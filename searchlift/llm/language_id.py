@@ -6,8 +6,11 @@ labelled rows) gives a margin; the language whose codeword has the least summed
 over the margins wins. Where the second codeword is almost as near, the row is ambiguous.
 
 Defined results: null texts and texts without a letter are 'und' with score 0, as is every row
-when no labelled row exists; with one language every other row gets it; empty tables give no
-rows; labelled rows with a null language or text are not learned from.
+when no labelled row exists, and all of them are ambiguous; with one language every other row gets
+it; very long texts are counted whole, in steps; rows that repeat each count in training and get the
+same prediction; ties between codewords go to the first language by name; empty tables give no
+rows; labelled rows with a null language or text are not learned from; input columns named __p or
+__held_out are replaced, all others are left alone.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchlift.llm.common import held_out, table
+from searchlift.llm.common import free_name, held_out, table
 
 BUCKETS = 1 << 13
 #: Bytes per step over a long text.
@@ -105,7 +108,7 @@ def predicted(model: Model, text: Column) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs (id, text and language alone) with held_out and __p, learned from the rows that aren't held out."""
-    out = held_out(F.col(id_col), 3, 1)
+    docs, out = free_name(docs, "__p", "__held_out"), held_out(F.col(id_col), 3, 1)
     model = train(docs.where(~out), text_col, lang_col)
     return docs.withColumn("__p", predicted(model, F.col(text_col))).withColumn("__held_out", out)
 
@@ -118,4 +121,4 @@ def known_language(docs: DataFrame, **options) -> DataFrame:
 
 def op8(spark, sf_dir):
     found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("score"))
+    return found.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("score"), F.col("__p.ambiguous").alias("ambiguous"))

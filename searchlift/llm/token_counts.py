@@ -6,9 +6,10 @@ the characters and tokens below it. An edit walks the tree to the last pre-token
 before it, splits the new text again from there until a boundary of the old text is met again
 past the edit, counts those pre-tokens alone, and updates the sums on their leaves' paths.
 
-Defined results: null counts as the empty text with 0 tokens; edits out of range are cut to
-the text; edits of one document apply in the order given, each to the outcome of those before;
-empty tables give no rows; repeated rows give equal rows.
+Defined results: null counts as the empty text with 0 tokens; very long texts keep one tree, in
+memory linear in the text; edits out of range are cut to the text; edits of one document apply in
+the order given, each to the outcome of those before; empty tables give no rows; repeated rows give
+equal rows; columns other than the text are passed over.
 """
 
 from __future__ import annotations
@@ -123,33 +124,31 @@ class TokenTree:
         while keep < len(self.leaves[first]) and at + len(self.leaves[first][keep]) + 2 <= start:
             at += len(self.leaves[first][keep])
             keep += 1
-        # Old pre-tokens from there on, taken leaf by leaf until the new boundaries meet an old one past the edit.
-        old, last = self.leaves[first][keep:], first
+        # Old pre-tokens up to the leaf that holds the edit's end, then twice as many leaves more each time, until the new
+        # boundaries meet an old one past the edit: what is split again grows with the edit alone.
+        last, more, grown = max(first, self._leaf_at(end)[0]), 1, len(new) - (end - start)
         while True:
-            span = sum(map(len, old))
+            old = self.leaves[first][keep:] + [p for leaf in self.leaves[first + 1 : last + 1] for p in leaf]
             old_text = "".join(old)
-            text = old_text[: start - at] + new + old_text[end - at :] if at + span >= end else None
-            if text is not None:
-                grown = len(new) - (end - start)
-                ends, place = set(), at
-                for p in old:
-                    place += len(p)
-                    if place >= end:
-                        ends.add(place + grown)
-                whole, tail = last + 1 == len(self.leaves), at + span + grown
-                pieces, place, met = [], at, None
-                for p in self.count.split(text):
-                    pieces.append(p)
-                    place += len(p)
-                    # The end of what was taken is no proof: more old text may follow there.
-                    if place in ends and (place + 2 <= tail or whole):
-                        met = place
-                        break
-                if met is not None or whole:
+            text = old_text[: start - at] + new + old_text[end - at :]
+            ends, place = set(), at
+            for p in old:
+                place += len(p)
+                if place >= end:
+                    ends.add(place + grown)
+            whole, tail = last + 1 == len(self.leaves), at + len(old_text) + grown
+            pieces, place, met = [], at, None
+            for p in self.count.split(text):
+                pieces.append(p)
+                place += len(p)
+                # The end of what was taken is no proof: more old text may follow there.
+                if place in ends and (place + 2 <= tail or whole):
+                    met = place
                     break
-            last += 1
-            old = old + self.leaves[last]
-        rest, place = [], at + (len(new) - (end - start))
+            if met is not None or whole:
+                break
+            last, more = min(last + more, len(self.leaves) - 1), 2 * more
+        rest, place = [], at + grown
         if met is not None:
             for p in old:
                 place += len(p)

@@ -14,7 +14,9 @@ max_chars); scoring takes every whole text.
 
 Defined results: null and empty texts score as a text without any weight; without labelled rows
 of both classes all texts score the share of toxic labels (0 if none); several labels of one id
-count as one, toxic if any is; empty tables give no rows.
+count as one, toxic if any is; very long texts are scored whole, in steps; documents that repeat an
+id are each scored, and equal texts score alike; labels without a document, nulls among them, count
+nothing; empty tables give no rows; columns other than id, text and toxic are passed over.
 """
 
 from __future__ import annotations

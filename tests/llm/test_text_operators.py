@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,3 +363,86 @@ def test_token_count_edges(edge_docs, no_docs):
     out = edge_docs.select("text", token_counts.counts_of(F.col("text")).alias("p")).collect()
     assert len(out) == 11 and all((r.p.n_tokens == 0) == (not r.text) for r in out)
     assert no_docs.select(token_counts.counts_of(F.col("text"))).count() == 0
+
+
+def test_a_long_edit_is_split_a_few_times_alone(count):
+    """An edit over many leaves, and one whose boundaries meet late: the work follows the edit, not its square."""
+    split, seen = count.split, []
+    count.split = lambda t: seen.append(len(t)) or split(t)
+    try:
+        text = "the word of the day " * 20_000
+        tree = token_counts.TokenTree(text, count)
+        seen.clear()
+        tree.edit(10, len(text) - 10, "short")
+        assert tree.text() == text[:10] + "short" + text[-10:] and sum(seen) <= 2 * len(text)
+        blank = token_counts.TokenTree("a b " * 64 + " " * 30_000 + " b" * 64, count)
+        seen.clear()
+        blank.edit(250, 251, "")
+        assert sum(seen) <= 4 * blank.n_chars and blank.n_tokens == len(count.encoding.encode_ordinary(blank.text()))
+    finally:
+        count.split = split
+
+
+def test_language_decoding_is_the_nearest_codeword():
+    """Loss-weighted decoding against a search over all codewords, one bit at a time."""
+    rng = np.random.default_rng(4)
+    for n in (2, 4, 6):
+        model = language_id.Model([f"l{i}" for i in range(n)], rng.integers(0, 50, (n, language_id.BUCKETS)).astype(float))
+        for _ in range(20):
+            text = "".join(rng.choice(list("abcdefgh "), 200))
+            counts = language_id.trigram_counts(text)
+            total = counts.sum()
+            losses = []
+            for word in model.code:
+                loss = 0.0
+                for bit, sign in enumerate(word):
+                    margin = sum(float(counts[b]) * float(model.weights[b, bit]) for b in np.flatnonzero(counts)) / total * min(total, model.evidence)
+                    loss += math.log1p(math.exp(-float(sign) * margin))
+                losses.append(loss)
+            odds = sorted((math.exp(min(losses) - x) for x in losses), reverse=True)
+            lang, score, ambiguous = model.decide(text)
+            assert lang == f"l{losses.index(min(losses))}" and abs(score - odds[0] / sum(odds)) < 1e-3
+            assert ambiguous == ((odds[0] - odds[1]) / sum(odds) < 0.1) or abs((odds[0] - odds[1]) / sum(odds) - 0.1) < 1e-3
+
+
+def test_language_query_flags_ambiguity(spark):
+    assert "ambiguous" in language_id.op8(spark, SF).columns
+
+
+def kernel_by_hand(a: str, b: str) -> float:
+    """Sum over subsequences of four bytes with at most one left out between two, taken one by one."""
+
+    def weights(text):
+        out = {}
+        raw = b" " + text.lower().encode() + b" "
+        for i in range(len(raw)):
+            for j in range(i + 1, min(i + 3, len(raw))):
+                for k in range(j + 1, min(j + 3, len(raw))):
+                    for m in range(k + 1, min(k + 3, len(raw))):
+                        sub = bytes((raw[i], raw[j], raw[k], raw[m]))
+                        out[sub] = out.get(sub, 0.0) + toxicity.DECAY ** (m - i - 3)
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(v * y.get(s, 0.0) for s, v in x.items())
+
+
+def test_toxicity_kernel_is_the_gapped_subsequence_kernel():
+    rng = random.Random(8)
+    words = ["blockhead", "block*head", "b l o c k", "head", "weather", "a"] + ["".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 12))) for _ in range(10)]
+    for a in words:
+        for b in words:
+            want = kernel_by_hand(a, b)
+            got = float(toxicity.features(a) @ toxicity.features(b))
+            # Subsequences share 65,536 buckets: a rare collision adds to the sum, nothing takes from it.
+            assert got >= want - 1e-3 and got <= want + 4
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """On labelled rows that were not learned from. Labels are noisy: nearly half of the toxic ones stand on documents without any insult."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = toxicity.op4(spark, sf).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = [r.predicted for r in found if r.toxic == 1], [r.predicted for r in found if r.toxic == 0]
+    assert len(toxic) > 50 and len(clean) > 200
+    assert sum(toxic) >= 0.5 * len(toxic) and sum(clean) <= 0.01 * len(clean)
