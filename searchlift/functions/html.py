@@ -8,11 +8,12 @@ from html.parser import HTMLParser
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-PAGE = "title string, h1 array<string>, h2 array<string>, h3 array<string>, description string, canonical string, robots string, viewport string, lang string, hreflang array<string>, links array<string>, images int, images_without_alt int, json_ld_count int, og map<string,string>, word_count int"
+PAGE = "title string, h1 array<string>, h2 array<string>, h3 array<string>, description string, canonical string, robots string, viewport string, lang string, hreflang array<string>, links array<string>, images int, images_without_alt int, images_empty_alt int, json_ld_count int, og map<string,string>, word_count int"
 HIDDEN = frozenset(("style", "noscript", "template", "svg", "script"))
 WORDS = re.compile(r"\b[\w'-]+\b")
 #: Bounds of what a page may hold: links and hreflang entries, and characters of a title or heading.
@@ -25,7 +26,7 @@ class _Page(HTMLParser):
         self.title, self.heads, self.open, self.depth = [], {"h1": [], "h2": [], "h3": []}, None, 0
         self.meta, self.links, self.hreflang, self.text = {}, [], [], []
         self.canonical = self.lang = None
-        self.images = self.no_alt = self.json_ld = 0
+        self.images = self.no_alt = self.empty_alt = self.json_ld = 0
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -51,6 +52,7 @@ class _Page(HTMLParser):
         elif tag == "img":
             self.images += 1
             self.no_alt += "alt" not in a
+            self.empty_alt += not (a.get("alt") or "").strip()
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
@@ -77,7 +79,7 @@ def _row(html: str | None) -> dict:
     og = {k: v for k, v in p.meta.items() if k.startswith(("og:", "twitter:"))}
     return {
         "title": joined(p.title) or None, **heads, "description": p.meta.get("description"), "canonical": p.canonical, "robots": p.meta.get("robots"), "viewport": p.meta.get("viewport"), "lang": p.lang,
-        "hreflang": p.hreflang, "links": p.links, "images": p.images, "images_without_alt": p.no_alt, "json_ld_count": p.json_ld, "og": og, "word_count": len(WORDS.findall(" ".join(p.text))),
+        "hreflang": p.hreflang, "links": p.links, "images": p.images, "images_without_alt": p.no_alt, "images_empty_alt": p.empty_alt, "json_ld_count": p.json_ld, "og": og, "word_count": len(WORDS.findall(" ".join(p.text))),
     }
 
 
@@ -111,5 +113,54 @@ def sitemap_urls(xml: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?loc>\s*([^<]+?)\s*</"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))))
 
 
+def robots_directives(meta: Column, header: Column) -> Column:
+    """The robots meta tag and the X-Robots-Tag header, blanks dropped."""
+    part = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.concat_ws(", ", part(meta), part(header))
+
+
+def content_hash(html: Column, body: Column) -> Column:
+    """sha256 of a page's text, or of the raw body of what is no page."""
+    return F.sha2(F.coalesce(html.cast("binary"), body), 256)
+
+
+@F.pandas_udf(T.StructType([T.StructField("delay", T.DoubleType()), T.StructField("sitemaps", T.ArrayType(T.StringType()))]))
+def robots_rules(status: pd.Series, robots: pd.Series) -> pd.DataFrame:
+    """The crawl delay that any agent must keep (5 seconds at most) and the sitemaps that a robots.txt names; nothing from an answer of 400 and more."""
+    rows = []
+    for code, text in zip(status, robots, strict=True):
+        if not text or code is None or pd.isna(code) or code >= 400:
+            rows.append((0.0, []))
+            continue
+        rules = RobotFileParser()
+        rules.parse(text.splitlines())
+        maps = [line.split(":", 1)[1].strip() for line in text.splitlines() if line.lower().startswith("sitemap:")]
+        rows.append((min(float(rules.crawl_delay("*") or 0), 5.0), list(dict.fromkeys(maps))))
+    return pd.DataFrame(rows, columns=["delay", "sitemaps"])
+
+
+def sitemap_pages(files: DataFrame, start: DataFrame, most_files: int = 10, most_urls: int = 1000) -> DataFrame:
+    """Pages (site, url) that the sitemaps of each site list, indexes followed level by level.
+
+    files: site, url, xml as fetched. start: site, url of the first sitemaps. A site has most_files
+    sitemaps read and most_urls URLs taken at most, in order of the files' URLs and of place in them.
+    """
+    known = files.select("site", "url", "xml")
+    level, seen = start.select("site", "url").distinct(), None
+    for _ in range(most_files):
+        read = level.join(known, ["site", "url"])
+        seen = read if seen is None else seen.unionByName(read)
+        inner = read.where(F.rlike("xml", F.lit(r"<(?:\w+:)?sitemapindex\b"))).select("site", F.explode(sitemap_urls(F.col("xml"))).alias("url")).distinct()
+        level = inner.join(seen.select("site", "url"), ["site", "url"], "left_anti")
+        if level.isEmpty():
+            break
+    first = F.row_number().over(Window.partitionBy("site").orderBy("url")) <= most_files
+    lists = seen.withColumn("first", first).where("first").where(~F.rlike("xml", F.lit(r"<(?:\w+:)?sitemapindex\b")))
+    every = lists.select("site", F.col("url").alias("file"), F.posexplode(sitemap_urls(F.col("xml"))).alias("place", "url"))
+    once = every.groupBy("site", "url").agg(F.min(F.struct("file", "place")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("at"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= most_urls).select("site", "url")
+
+
 def robots_sitemaps(robots: Column) -> Column:
     return F.transform(F.regexp_extract_all(robots, F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1)), F.trim)

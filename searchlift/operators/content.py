@@ -1,4 +1,8 @@
-"""Content intelligence over documents: terms, topics, similar pages, link recommendations and scores."""
+"""Content intelligence over crawled pages: terms, topics, entities, similar pages, link recommendations and scores.
+
+A page's text is its path, title, first heading, description and further headings; the functions
+take any texts, so whole documents run through the same code.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from searchlift.functions.text import bigrams, entities, tokens, tokens_sql
+from searchlift.sources.tables import EDGES_SQL, PAGES_SQL
+
 
-#: The first characters of a text that stand for the page, as a page's fields do.
-PAGE_TEXT = 300
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, site, path, text) of crawled pages."""
+    return pages.select("page_id", "site", "path", F.concat_ws(" ", "path", "title", "h1", "description", "headings").alias("text"))
 
 
-def page_texts(documents: DataFrame) -> DataFrame:
-    """(page_id, site, text): the lead of a text serves as title and headings; its body is not used."""
-    return documents.select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"), F.substring(F.coalesce("text", F.lit("")), 1, PAGE_TEXT).alias("text"))
+def page_names(pages: DataFrame) -> DataFrame:
+    """(page_id, text): title and heading, where a page names things."""
+    return pages.select("page_id", F.concat("title", F.lit(". "), "h1", F.lit(".")).alias("text"))
 
 
 def whole_texts(documents: DataFrame) -> DataFrame:
@@ -22,7 +29,8 @@ def whole_texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-TEXTS_SQL = f"texts AS (SELECT doc_id AS page_id, source AS site, substring(coalesce(text, ''), 1, {PAGE_TEXT}) AS text FROM documents)"
+PAGE_TEXTS_SQL = f"{PAGES_SQL}, texts AS (SELECT page_id, site, path, concat_ws(' ', path, title, h1, description) AS text FROM crawled)"
+WHOLE_TEXTS_SQL = "texts AS (SELECT doc_id AS page_id, source AS site, coalesce(text, '') AS text FROM documents)"
 
 
 def term_counts(texts: DataFrame, most: int = 6) -> DataFrame:
@@ -32,7 +40,8 @@ def term_counts(texts: DataFrame, most: int = 6) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("page_id", "term", "n", "rank")
 
 
-TERM_COUNTS_SQL = f"""WITH {TEXTS_SQL}, t AS (SELECT page_id, {tokens_sql('text')} AS ts FROM texts), e AS (SELECT page_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM t),
+def term_counts_sql(texts: str) -> str:
+    return f"""WITH {texts}, t AS (SELECT page_id, {tokens_sql('text')} AS ts FROM texts), e AS (SELECT page_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM t),
 g AS (SELECT page_id, term, count(*) AS n, min(pos) AS first FROM e GROUP BY ALL)
 SELECT page_id, term, n, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS INT) AS rank FROM g QUALIFY rank <= 6"""
 
@@ -46,7 +55,8 @@ def topics(texts: DataFrame) -> DataFrame:
     return two.unionByName(one).withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("rank"))).where("rank <= 8")
 
 
-TOPICS_SQL = f"""WITH {TEXTS_SQL}, t AS (SELECT page_id, {tokens_sql('text')} AS ts FROM texts), e AS (SELECT page_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM t),
+def topics_sql(texts: str) -> str:
+    return f"""WITH {texts}, t AS (SELECT page_id, {tokens_sql('text')} AS ts FROM texts), e AS (SELECT page_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM t),
 g1 AS (SELECT page_id, term, count(*) AS n, min(pos) AS first FROM e GROUP BY ALL), one AS (SELECT page_id, term AS topic, 3 + row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS rank FROM g1 QUALIFY rank <= 9),
 b AS (SELECT page_id, term AS a, lead(term) OVER (PARTITION BY page_id ORDER BY pos) AS b, pos FROM e), g2 AS (SELECT page_id, concat(a, ' ', b) AS topic, count(*) AS n, min(pos) AS first FROM b WHERE b IS NOT NULL AND a <> b GROUP BY ALL),
 two AS (SELECT page_id, topic, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS rank FROM g2 QUALIFY rank <= 3)
@@ -57,17 +67,36 @@ def page_entities(texts: DataFrame) -> DataFrame:
     return texts.select("page_id", F.posexplode(entities(F.col("text"))).alias("pos", "entity")).select("page_id", "entity", (F.col("pos") + 1).alias("rank"))
 
 
+ENTITIES_SQL = rf"""WITH {PAGES_SQL}, e AS (SELECT page_id, regexp_extract_all(regexp_replace(concat(title, '. ', h1, '.'), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}]', '_', 'g'), '\b[A-Z][A-Za-z0-9-]*(?:\s+[A-Z][A-Za-z0-9-]*){{0,2}}\b') AS es FROM crawled), x AS (SELECT page_id, unnest(es) AS entity, generate_subscripts(es, 1) AS pos FROM e),
+f AS (SELECT page_id, entity, min(pos) AS pos FROM x WHERE length(entity) >= 3 GROUP BY ALL)
+SELECT page_id, entity, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INT) AS rank FROM f QUALIFY rank <= 8"""
+
+
 def terms(texts: DataFrame) -> DataFrame:
     return texts.select("page_id", "site", F.array_distinct(tokens(F.col("text"))).alias("terms")).withColumn("size", F.size("terms"))
 
 
+def page_classes(texts: DataFrame) -> DataFrame:
+    """(page_id, class_id): pages of a site with the same set of terms are one class, named by its smallest page; pages without terms have none."""
+    t = terms(texts).where("size > 0").select("site", "page_id", F.array_sort("terms").alias("terms"))
+    named = t.groupBy("site", "terms").agg(F.min("page_id").alias("class_id"))
+    return t.join(named, ["site", "terms"]).select("page_id", "class_id")
+
+
+def class_terms(texts: DataFrame) -> DataFrame:
+    """site, page_id (the class), size, terms and pages: each set of terms once."""
+    t = terms(texts).where("size > 0").withColumn("terms", F.array_sort("terms"))
+    return t.groupBy("site", "terms", "size").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages"))
+
+
 def similar_pages(texts: DataFrame, shared: int = 2, least: float = 0.18) -> DataFrame:
-    """Pairs of pages of a site with shared terms and Jaccard similarity, by an equi-join on terms.
+    """Pairs of classes of a site's pages with shared terms and Jaccard similarity, by an equi-join on terms.
 
-    Prefix filter: sorted by how rare a term is on the site, two pages that are similar enough
-    share one of their first size - ceil(least * size) + 1 terms, so frequent terms join nothing.
+    Pages with the same terms are one class (see page_classes), so a template's pages make no pairs
+    of their own. Prefix filter: sorted by how rare a term is on the site, two classes that are
+    similar enough share one of their first size - ceil(least * size) + 1 terms, so frequent terms join nothing.
     """
-    t = terms(texts).where("size > 0")
+    t = class_terms(texts)
     df = t.select("site", F.explode("terms").alias("term")).groupBy("site", "term").agg(F.count("*").alias("df"))
     ranked = t.select("site", "page_id", "size", F.explode("terms").alias("term")).join(df, ["site", "term"])
     w = Window.partitionBy("site", "page_id").orderBy("df", "term")
@@ -79,10 +108,22 @@ def similar_pages(texts: DataFrame, shared: int = 2, least: float = 0.18) -> Dat
     return sized.where((F.col("shared") >= shared) & (F.col("shared") >= least * F.col("either"))).select("page_id", "other_id", F.col("shared").cast("long").alias("shared"), F.round(F.col("shared") / F.col("either"), 4).alias("similarity"))
 
 
-SIMILAR_CTE = f"""{TEXTS_SQL}, t AS (SELECT page_id, site, list_distinct({tokens_sql('text')}) AS ts FROM texts), e AS (SELECT page_id, site, unnest(ts) AS term, len(ts) AS size FROM t),
+def classes_cte(texts: str) -> str:
+    return f"""{texts}, sets AS (SELECT page_id, site, list_sort(list_distinct({tokens_sql('text')})) AS ts FROM texts), t AS (SELECT site, ts, min(page_id) AS page_id FROM sets WHERE len(ts) > 0 GROUP BY site, ts)"""
+
+
+def classes_sql(texts: str) -> str:
+    return f"WITH {classes_cte(texts)} SELECT sets.page_id, t.page_id AS class_id FROM sets JOIN t ON sets.site IS NOT DISTINCT FROM t.site AND sets.ts = t.ts"
+
+
+def similar_cte(texts: str) -> str:
+    return f"""{classes_cte(texts)}, e AS (SELECT page_id, site, unnest(ts) AS term, len(ts) AS size FROM t),
 p AS (SELECT a.page_id, b.page_id AS other_id, count(*) AS shared, any_value(a.size) + any_value(b.size) - count(*) AS either FROM e a JOIN e b ON a.site = b.site AND a.term = b.term AND a.page_id < b.page_id GROUP BY ALL),
 similar_pages AS (SELECT page_id, other_id, shared, round(shared / either, 4) AS similarity FROM p WHERE shared >= 2 AND shared >= 0.18::DOUBLE * either)"""
-SIMILAR_SQL = f"WITH {SIMILAR_CTE} SELECT * FROM similar_pages"
+
+
+def similar_sql(texts: str) -> str:
+    return f"WITH {similar_cte(texts)} SELECT * FROM similar_pages"
 
 
 def clusters(page_topics: DataFrame, most: int = 50, members: int = 25) -> DataFrame:
@@ -95,47 +136,68 @@ def clusters(page_topics: DataFrame, most: int = 50, members: int = 25) -> DataF
     return named.orderBy(F.desc("n"), "topic")
 
 
-CLUSTERS_SQL = f"WITH topics AS ({TOPICS_SQL}) SELECT topic, count(DISTINCT page_id) AS n, array_to_string(list_slice(list_sort(list(DISTINCT page_id)), 1, 25), ',') AS members FROM topics GROUP BY topic HAVING count(DISTINCT page_id) >= 2 ORDER BY n DESC, topic LIMIT 50"
+def clusters_sql(texts: str) -> str:
+    return f"WITH topics AS ({topics_sql(texts)}) SELECT topic, count(DISTINCT page_id) AS n, array_to_string(list_slice(list_sort(list(DISTINCT page_id)), 1, 25), ',') AS members FROM topics GROUP BY topic HAVING count(DISTINCT page_id) >= 2 ORDER BY n DESC, topic LIMIT 50"
 
 
-def recommendations(similar: DataFrame, most: int = 100) -> DataFrame:
-    """Links from one page of a similar pair to the other, by score; the best of all pairs."""
-    both = similar.select(F.col("page_id").alias("source_id"), F.col("other_id").alias("target_id"), "shared", "similarity").unionByName(similar.select(F.col("other_id").alias("source_id"), F.col("page_id").alias("target_id"), "shared", "similarity"))
-    s = F.bround(20 * F.col("similarity"), 0)
-    scored = both.withColumns({"priority": F.least(F.lit(100), 55 + 7 * F.col("shared") + s).cast("int"), "confidence": F.least(F.lit(100), 50 + 8 * F.col("shared") + F.bround(30 * F.col("similarity"), 0)).cast("int")})
-    return scored.orderBy(F.desc("priority"), F.desc("confidence"), "source_id", "target_id").limit(most)
+def recommendations(pages: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+    """Links to a site's orphans (pages but the home page that nothing links to) from its pages that share two terms or a topic with them.
 
-
-def gated_recommendations(texts: DataFrame, most: int = 100) -> DataFrame:
-    """Links between pages of a site that share two terms or a topic, however little similar they are; the best of all pairs."""
-    t = terms(texts).where("size > 0")
+    pages: page_id, site, path, title and text. Pages that link there already are left out; per site
+    the best by priority, confidence and source. Candidates come from joins of orphans with all
+    pages on terms and on topics.
+    """
+    orphans = pages.where("path <> '/'").join(edges.select("site", F.col("dst").alias("path")).distinct(), ["site", "path"], "left_anti").select("page_id")
+    t = terms(pages).where("size > 0")
     one = t.select("site", "page_id", F.explode("terms").alias("by"), F.lit(1).alias("term"), F.lit(0).alias("topic"))
-    two = topics(texts).join(t.select("page_id", "site"), "page_id").select("site", "page_id", F.col("topic").alias("by"), F.lit(0).alias("term"), F.lit(1).alias("topic"))
+    two = topics(pages).join(t.select("page_id", "site"), "page_id").select("site", "page_id", F.col("topic").alias("by"), F.lit(0).alias("term"), F.lit(1).alias("topic"))
     by = one.unionByName(two)
-    pairs = by.join(by.withColumnRenamed("page_id", "other_id"), ["site", "by", "term", "topic"]).where("page_id < other_id")
-    pairs = pairs.groupBy("page_id", "other_id").agg(F.sum("term").alias("shared"), F.sum("topic").alias("topics")).where("shared >= 2 OR topics > 0")
-    sized = pairs.join(t.select("page_id", "size"), "page_id").join(t.select(F.col("page_id").alias("other_id"), F.col("size").alias("other_size")), "other_id")
-    sim = F.col("shared") / (F.col("size") + F.col("other_size") - F.col("shared"))
+    pairs = by.withColumnRenamed("page_id", "source_id").join(by.join(orphans, "page_id", "left_semi").withColumnRenamed("page_id", "target_id"), ["site", "by", "term", "topic"]).where("source_id <> target_id")
+    pairs = pairs.groupBy("site", "source_id", "target_id").agg(F.sum("term").alias("shared"), F.sum("topic").alias("topics")).where("shared >= 2 OR topics > 0")
+    of = lambda side: pages.select(F.col("page_id").alias(f"{side}_id"), F.col("path").alias(f"{side}_path"))
+    sized = lambda side: t.select(F.col("page_id").alias(f"{side}_id"), F.col("size").alias(f"{side}_size"))
+    both = pairs.join(of("source"), "source_id").join(of("target"), "target_id").join(sized("source"), "source_id").join(sized("target"), "target_id")
+    linked = edges.select("site", F.col("src").alias("source_path"), F.col("dst").alias("target_path"))
+    new = both.join(linked, ["site", "source_path", "target_path"], "left_anti")
+    sim = F.col("shared") / (F.col("source_size") + F.col("target_size") - F.col("shared"))
     score = F.least(F.lit(100), 55 + 7 * F.col("shared") + 8 * F.col("topics") + F.bround(20 * sim, 0)).cast("int")
     sure = F.least(F.lit(100), 50 + 8 * F.col("shared") + F.bround(30 * sim, 0)).cast("int")
-    scored = sized.select("page_id", "other_id", "shared", "topics", F.round(sim, 4).alias("similarity"), score.alias("priority"), sure.alias("confidence"))
-    ways = scored.withColumn("way", F.explode(F.array(F.struct(F.col("page_id").alias("source_id"), F.col("other_id").alias("target_id")), F.struct(F.col("other_id").alias("source_id"), F.col("page_id").alias("target_id")))))
-    return ways.select("way.*", "shared", "topics", "similarity", "priority", "confidence").orderBy(F.desc("priority"), F.desc("confidence"), "source_id", "target_id").limit(most)
+    scored = new.select("site", "source_id", "target_id", "shared", "topics", F.round(sim, 4).alias("similarity"), score.alias("priority"), sure.alias("confidence"))
+    best = Window.partitionBy("site").orderBy(F.desc("priority"), F.desc("confidence"), "source_id", "target_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+
+
+RECOMMEND_SQL = f"""WITH {PAGE_TEXTS_SQL}, {EDGES_SQL}, topics AS ({topics_sql(PAGE_TEXTS_SQL)}), e AS (SELECT page_id, site, unnest(list_distinct({tokens_sql('text')})) AS term FROM texts), n AS (SELECT page_id, count(*) AS size FROM e GROUP BY page_id),
+o AS (SELECT page_id, site, path FROM crawled c WHERE path <> '/' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.site = c.site AND e.dst = c.path)),
+s AS (SELECT c.site, c.page_id AS source_id, o.page_id AS target_id FROM crawled c JOIN o ON c.site = o.site AND c.page_id <> o.page_id WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.site = c.site AND e.src = c.path AND e.dst = o.path)),
+p AS (SELECT s.*, (SELECT count(*) FROM e a JOIN e b ON a.term = b.term WHERE a.page_id = source_id AND b.page_id = target_id) AS shared, (SELECT count(*) FROM topics a JOIN topics b ON a.topic = b.topic WHERE a.page_id = source_id AND b.page_id = target_id) AS topics FROM s),
+q AS (SELECT p.*, shared / (a.size + b.size - shared) AS sim FROM p JOIN n a ON a.page_id = source_id JOIN n b ON b.page_id = target_id WHERE shared >= 2 OR topics > 0),
+r AS (SELECT site, source_id, target_id, shared, topics, round(sim, 4) AS similarity, CAST(least(100, 55 + 7 * shared + 8 * topics + round_even(20 * sim, 0)) AS INT) AS priority, CAST(least(100, 50 + 8 * shared + round_even(30 * sim, 0)) AS INT) AS confidence FROM q)
+SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY priority DESC, confidence DESC, source_id, target_id) AS INT) AS rank FROM r QUALIFY rank <= 100"""
 
 
-RECOMMEND_SQL = f"""WITH {SIMILAR_CTE}, b AS (SELECT page_id AS source_id, other_id AS target_id, shared, similarity FROM similar_pages UNION ALL SELECT other_id, page_id, shared, similarity FROM similar_pages)
-SELECT *, CAST(least(100, 55 + 7 * shared + round_even(20 * similarity, 0)) AS INT) AS priority, CAST(least(100, 50 + 8 * shared + round_even(30 * similarity, 0)) AS INT) AS confidence FROM b
-ORDER BY priority DESC, confidence DESC, source_id, target_id LIMIT 100"""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(page_id, term): the terms of the queries that one page alone is found by."""
+    t = queries.select("page_id", F.explode(tokens(F.col("query"))).alias("term")).distinct()
+    return t.groupBy("term").agg(F.count("*").alias("pages"), F.min("page_id").alias("page_id")).where("pages = 1").select("page_id", "term")
 
 
-def information_gain(texts: DataFrame) -> DataFrame:
-    """Share of a page's terms that occur once in it, as a score."""
-    t = texts.select("page_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("page_id", "term").count().groupBy("page_id").agg(F.count("*").alias("terms"), F.count_if(F.col("count") == 1).alias("once"))
-    return t.withColumn("gain", F.least(F.lit(100), F.bround(70.0 * F.col("once") / F.col("terms"), 0)).cast("int"))
+def information_gain(texts: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """70 points for the share of a page's terms that occur once in it (forty of them at most), 30 for eight query terms that it alone is found by."""
+    t = texts.select("page_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("page_id", "term").count().groupBy("page_id").agg(F.count("*").alias("terms"), F.least(F.count_if(F.col("count") == 1), F.lit(40)).alias("once"))
+    if queries is None:
+        own = t.withColumn("own_queries", F.lit(0).cast("long"))
+    else:
+        n = query_terms(queries).groupBy("page_id").agg(F.least(F.count("*"), F.lit(30)).alias("own_queries"))
+        own = t.join(n, "page_id", "left").withColumn("own_queries", F.coalesce("own_queries", F.lit(0)))
+    points = 70.0 * F.col("once") / F.col("terms") + 30.0 * F.least(F.lit(1.0), F.col("own_queries") / 8)
+    return own.withColumn("gain", F.least(F.lit(100), F.bround(points, 0)).cast("int"))
 
 
-GAIN_SQL = f"""WITH {TEXTS_SQL}, e AS (SELECT page_id, unnest({tokens_sql('text')}) AS term FROM texts), g AS (SELECT page_id, term, count(*) AS n FROM e GROUP BY ALL)
-SELECT page_id, count(*) AS terms, count(*) FILTER (n = 1) AS once, CAST(least(100, round_even(70.0::DOUBLE * count(*) FILTER (n = 1) / count(*), 0)) AS INT) AS gain FROM g GROUP BY page_id"""
+def gain_sql(texts: str, queries: str = "") -> str:
+    own = f"{queries}, qt AS (SELECT DISTINCT page_id, unnest({tokens_sql('query')}) AS term FROM page_queries), o AS (SELECT min(page_id) AS page_id FROM qt GROUP BY term HAVING count(*) = 1), own AS (SELECT page_id, least(count(*), 30) AS own_queries FROM o GROUP BY page_id)" if queries else "own AS (SELECT 0::BIGINT AS page_id, 0::BIGINT AS own_queries WHERE false)"
+    return f"""WITH {texts}, {own}, e AS (SELECT page_id, unnest({tokens_sql('text')}) AS term FROM texts), g AS (SELECT page_id, term, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT page_id, count(*) AS terms, least(count(*) FILTER (n = 1), 40) AS once FROM g GROUP BY page_id)
+SELECT page_id, terms, once, coalesce(own_queries, 0) AS own_queries, CAST(least(100, round_even(70.0::DOUBLE * once / terms + 30.0::DOUBLE * least(1.0::DOUBLE, coalesce(own_queries, 0) / 8), 0)) AS INT) AS gain FROM s LEFT JOIN own USING (page_id)"""
 
 
 def decay(change: DataFrame) -> DataFrame:
@@ -165,5 +227,6 @@ def graph_edges(page_topics: DataFrame, similar: DataFrame, most: int = 1500) ->
     return covers.unionByName(related).orderBy("kind", "source", "target").limit(most)
 
 
-GRAPH_SQL = f"""WITH topics AS ({TOPICS_SQL}), sim AS ({SIMILAR_SQL})
+def graph_sql(texts: str) -> str:
+    return f"""WITH topics AS ({topics_sql(texts)}), sim AS ({similar_sql(texts)})
 SELECT * FROM (SELECT 'covers' AS kind, CAST(page_id AS VARCHAR) AS source, topic AS target FROM topics WHERE rank <= 6 UNION ALL SELECT 'related', CAST(page_id AS VARCHAR), CAST(other_id AS VARCHAR) FROM sim) ORDER BY kind, source, target LIMIT 1500"""

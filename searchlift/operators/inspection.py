@@ -1,4 +1,4 @@
-"""URL inspection: raw payloads to typed rows, and the opportunities they show."""
+"""URL inspection: raw payloads to typed rows, the latest of each URL, and the opportunities they show."""
 
 from __future__ import annotations
 
@@ -6,49 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Verdict, coverage, robots, indexing and fetch states of the sample payloads by k % 5.
-STATES = (
-    ("PASS", "Submitted and indexed", "ALLOWED", "INDEXING_ALLOWED", "SUCCESSFUL"),
-    ("NEUTRAL", "Crawled - currently not indexed", "ALLOWED", "INDEXING_ALLOWED", "SUCCESSFUL"),
-    ("FAIL", "Blocked by robots.txt", "DISALLOWED", "INDEXING_ALLOWED", "SUCCESSFUL"),
-    ("FAIL", "Excluded by noindex tag", "ALLOWED", "BLOCKED_BY_META_TAG", "SUCCESSFUL"),
-    ("FAIL", "Server error", "ALLOWED", "INDEXING_ALLOWED", "SERVER_ERROR"),
-)
-NAMES = ("verdict", "coverage_state", "robots_txt_state", "indexing_state", "page_fetch_state")
-
-
-def inspected(events: DataFrame) -> DataFrame:
-    """The latest result per URL, read from the payload."""
-    k = F.get_json_object("props", "$.k").cast("int") % 5
-    state = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in STATES]), k + 1).alias(NAMES[i])
-    rows = events.select(F.concat(F.lit("https://shop.example.com/u/"), F.col("user_id").cast("string")).alias("inspection_url"), "ts", "event_id", *[state(i) for i in range(5)])
+from searchlift.sources.samples import PAYLOADS_CTE
+
+TEXTS = {"verdict": ("verdict", 64), "coverage_state": ("coverageState", 255), "robots_txt_state": ("robotsTxtState", 64), "indexing_state": ("indexingState", 64), "page_fetch_state": ("pageFetchState", 64), "crawled_as": ("crawledAs", 64), "google_canonical": ("googleCanonical", 2048), "user_canonical": ("userCanonical", 2048)}
+LISTED = 100
+
+
+def flattened(payloads: DataFrame) -> DataFrame:
+    """inspection_url, ts, event_id, payload (the provider's JSON) -> typed columns.
+
+    Missing and empty values are null (the verdict VERDICT_UNSPECIFIED), long ones are cut to their
+    column, lists to their first hundred; what is no list counts as an empty one, what is no object as nothing.
+    """
+    at = lambda name: F.get_json_object("payload", f"$.indexStatusResult.{name}")
+    texts = [F.substring(F.nullif(at(source), F.lit("")), 1, size).alias(name) for name, (source, size) in TEXTS.items()]
+    listed = lambda source, name: F.transform(F.slice(F.coalesce(F.from_json(at(source), "array<string>"), F.array().cast("array<string>")), 1, LISTED), lambda u: F.substring(u, 1, 2048)).alias(name)
+    out = payloads.select("inspection_url", "ts", "event_id", *texts, F.try_to_timestamp(F.replace(at("lastCrawlTime"), F.lit("Z"), F.lit("+00:00"))).alias("last_crawl_time"), listed("referringUrls", "referring_urls"), listed("sitemap", "sitemap_urls"))
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit("VERDICT_UNSPECIFIED")))
+
+
+def inspected(payloads: DataFrame) -> DataFrame:
+    """The latest result per URL."""
     w = Window.partitionBy("inspection_url").orderBy(F.desc("ts"), F.desc("event_id"))
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "event_id")
+    return flattened(payloads).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "event_id")
 
 
-def _state_sql(i: int) -> str:
-    return f"CASE k {' '.join(f"WHEN {j} THEN '{s[i]}'" for j, s in enumerate(STATES))} END AS {NAMES[i]}"
+def inspected_rows(results: DataFrame) -> DataFrame:
+    """Results with their lists as numbers of URLs."""
+    return results.withColumns({"referring_urls": F.size("referring_urls"), "sitemap_urls": F.size("sitemap_urls")})
 
 
-INSPECTED_CTE = f"""e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS k FROM events),
-inspected AS (SELECT concat('https://shop.example.com/u/', user_id) AS inspection_url, ts, {', '.join(_state_sql(i) for i in range(5))}
- FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
+INSPECTED_CTE = f"""{PAYLOADS_CTE},
+inspected AS (SELECT inspection_url, ts, {', '.join(f"{name}" for name in TEXTS)}, last_crawl_time, referring_urls, sitemap_urls FROM states QUALIFY row_number() OVER (PARTITION BY inspection_url ORDER BY ts DESC, event_id DESC) = 1)"""
 INSPECTED_SQL = f"WITH {INSPECTED_CTE} SELECT * FROM inspected"
 
-BLOCKED = "(robots_txt_state = 'DISALLOWED' OR indexing_state IN ('BLOCKED_BY_META_TAG', 'BLOCKED_BY_HTTP_HEADER') OR coalesce(page_fetch_state, 'SUCCESSFUL') NOT IN ('PAGE_FETCH_STATE_UNSPECIFIED', 'SUCCESSFUL'))"
-UNINDEXED = "(verdict IN ('FAIL', 'NEUTRAL') OR lower(coverage_state) LIKE '%not indexed%' OR lower(coverage_state) LIKE '%excluded%')"
+BLOCKED = "(coalesce(robots_txt_state, '') = 'DISALLOWED' OR coalesce(indexing_state, '') IN ('BLOCKED_BY_META_TAG', 'BLOCKED_BY_HTTP_HEADER') OR coalesce(page_fetch_state, 'SUCCESSFUL') NOT IN ('PAGE_FETCH_STATE_UNSPECIFIED', 'SUCCESSFUL'))"
+UNINDEXED = "(verdict IN ('FAIL', 'NEUTRAL') OR lower(coalesce(coverage_state, '')) LIKE '%not indexed%' OR lower(coalesce(coverage_state, '')) LIKE '%excluded%')"
+CONFIDENCE = "CASE WHEN verdict = 'VERDICT_UNSPECIFIED' THEN 60 ELSE 95 END"
 
 
 def opportunities(results: DataFrame) -> DataFrame:
     """indexation_blocked (90) or not_indexed (82), and canonical_mismatch (75) beside either."""
     kind = F.when(F.expr(BLOCKED), "indexation_blocked").when(F.expr(UNINDEXED), "not_indexed")
-    kinds = [kind]
-    if {"google_canonical", "user_canonical"} <= set(results.columns):
-        differ = F.regexp_replace("google_canonical", "/+$", "") != F.regexp_replace("user_canonical", "/+$", "")
-        kinds.append(F.when(differ, "canonical_mismatch"))
-    out = results.select("inspection_url", F.explode(F.array_compact(F.array(*kinds))).alias("opportunity_type"))
+    differ = F.regexp_replace("google_canonical", "/+$", "") != F.regexp_replace("user_canonical", "/+$", "")
+    kinds = F.array_compact(F.array(kind, F.when(differ, "canonical_mismatch")))
+    out = results.select("inspection_url", F.expr(CONFIDENCE).alias("confidence"), F.explode(kinds).alias("opportunity_type"))
     return out.withColumn("priority", F.when(F.col("opportunity_type") == "indexation_blocked", 90).when(F.col("opportunity_type") == "not_indexed", 82).otherwise(75))
 
 
-INSPECTION_OPPS_SQL = f"""WITH {INSPECTED_CTE}, k AS (SELECT inspection_url, CASE WHEN {BLOCKED} THEN 'indexation_blocked' WHEN {UNINDEXED} THEN 'not_indexed' END AS opportunity_type FROM inspected)
-SELECT *, CASE opportunity_type WHEN 'indexation_blocked' THEN 90 ELSE 82 END AS priority FROM k WHERE opportunity_type IS NOT NULL"""
+INSPECTION_OPPS_SQL = f"""WITH {INSPECTED_CTE}, k AS (SELECT inspection_url, {CONFIDENCE} AS confidence, CASE WHEN {BLOCKED} THEN 'indexation_blocked' WHEN {UNINDEXED} THEN 'not_indexed' END AS opportunity_type FROM inspected
+ UNION ALL SELECT inspection_url, {CONFIDENCE}, 'canonical_mismatch' FROM inspected WHERE google_canonical IS NOT NULL AND user_canonical IS NOT NULL AND rtrim(google_canonical, '/') <> rtrim(user_canonical, '/'))
+SELECT *, CASE opportunity_type WHEN 'indexation_blocked' THEN 90 WHEN 'not_indexed' THEN 82 ELSE 75 END AS priority FROM k WHERE opportunity_type IS NOT NULL"""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Policy:
     """active: state of what is seen. regress_from: states that turn into 'regressed' when seen again. keep: states a sighting does not change.
-    resolve_from: states that turn into 'resolved' when unseen. types: only these types resolve. counts: occurrence and regression counters."""
+    resolve_from: states that turn into 'resolved' when unseen. types: only these types resolve. counts: occurrence and regression counters.
+    if_any: a run that has seen nothing resolves nothing."""
 
     active: str = "active"
     regress_from: tuple[str, ...] = ()
@@ -19,11 +20,13 @@ class Policy:
     resolve_from: tuple[str, ...] = ("active",)
     types: tuple[str, ...] = ()
     counts: bool = False
+    if_any: bool = False
 
 
 FINDINGS = Policy("open", ("resolved", "fixed"), ("dismissed", "regressed"), ("open", "regressed"), counts=True)
 OPPORTUNITIES = Policy(types=("low_ctr", "striking_distance", "traffic_decay", "cannibalization"))
-LINKS = GAPS = Policy()
+LINKS = Policy()
+GAPS = Policy(if_any=True)
 INSPECTIONS = Policy(types=("indexation_blocked", "not_indexed", "canonical_mismatch"))
 CONTENT = Policy("open", resolve_from=())
 
@@ -40,6 +43,8 @@ def reconcile(existing: DataFrame, candidates: DataFrame, policy: Policy, run_at
     regressed = F.col("status").isin(*policy.regress_from) if policy.regress_from else F.lit(False)
     kept = F.col("status").isin(*policy.keep) if policy.keep else F.lit(False)
     gone = F.col("status").isin(*policy.resolve_from) if policy.resolve_from else F.lit(False)
+    if policy.if_any and candidates.isEmpty():
+        gone = F.lit(False)
     if policy.types:
         gone = gone & F.col(kind).isin(*policy.types)
     status = F.when(~old, policy.active).when(new & regressed, "regressed").when(new & kept, F.col("status")).when(new, policy.active).when(gone, "resolved").otherwise(F.col("status"))

@@ -36,11 +36,12 @@ SELECT *, CAST(round_even(round(0.20::DOUBLE * descriptions + 0.20::DOUBLE * tit
 
 
 def in_links(edges: DataFrame) -> DataFrame:
-    """linked_from: the sorted paths that link to a path; self-links count."""
-    return edges.groupBy("site", F.col("dst").alias("path")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("src")), "|").alias("linked_from"))
+    """The paths that link to a path, one row for each, beside their number; self-links count."""
+    n = edges.groupBy("site", F.col("dst").alias("path")).agg(F.count("*").alias("n"))
+    return edges.select("site", F.col("dst").alias("path"), F.col("src").alias("linked_from")).join(n, ["site", "path"])
 
 
-IN_LINKS_SQL = f"WITH {PAGES_SQL}, {EDGES_SQL} SELECT site, dst AS path, count(*) AS n, array_to_string(list_sort(list(DISTINCT src)), '|') AS linked_from FROM edges GROUP BY site, dst"
+IN_LINKS_SQL = f"WITH {PAGES_SQL}, {EDGES_SQL} SELECT site, dst AS path, src AS linked_from, count(*) OVER (PARTITION BY site, dst) AS n FROM edges"
 
 
 def link_graph(pages: DataFrame, edges: DataFrame) -> DataFrame:

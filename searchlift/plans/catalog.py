@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
 from searchlift.operators import actions, captures, citations, content, facts, findings, inspection, policy, queueing, reconcile, reports, targets
-from searchlift.sources import tables
+from searchlift.sources import samples, tables
 from searchlift.sources.tables import load
 from searchlift.streaming import events as streams
 
@@ -25,7 +25,8 @@ def _edges(s, d):
 
 
 def _linked(s, d):
-    return findings.with_in_links(_pages(s, d), _edges(s, d))
+    p = _pages(s, d)
+    return findings.with_in_links(p, tables.link_edges(p))
 
 
 def _found(s, d):
@@ -33,7 +34,22 @@ def _found(s, d):
 
 
 def _texts(s, d):
-    return content.page_texts(load(s, d, "documents"))
+    return content.page_texts(_pages(s, d))
+
+
+def _recommended(s, d):
+    p = _pages(s, d)
+    return content.recommendations(content.page_texts(p), tables.link_edges(p))
+
+
+def _whole_recommended(s, d):
+    """Documents as the pages of their source, none of which links to another."""
+    texts = _whole(s, d).withColumn("path", F.concat(F.lit("/"), F.col("page_id").cast("string")))
+    return content.recommendations(texts, s.createDataFrame([], "site string, src string, dst string"))
+
+
+def _graph(texts):
+    return content.graph_edges(content.topics(texts), content.similar_pages(texts))
 
 
 def _whole(s, d):
@@ -41,11 +57,15 @@ def _whole(s, d):
 
 
 def _answers(s, d):
-    return citations.analysed(load(s, d, "conversations"))
+    return citations.analysed(citations.with_prompts(samples.answers(load(s, d, "conversations"))))
+
 
+def _results(s, d):
+    return citations.results(_answers(s, d))
 
-def _cited(s, d):
-    return citations.analysed(citations.sample_cited(load(s, d, "conversations")))
+
+def _inspected(s, d):
+    return inspection.inspected(samples.payloads(load(s, d, "events")))
 
 
 def _measured(s, d):
@@ -105,6 +125,29 @@ SELECT opportunity_key AS key, opportunity_type AS kind, CASE WHEN priority >= 7
  CASE WHEN priority < 70 THEN TIMESTAMP '2024-02-27' END AS resolved_at, 0 AS occurrences, 0 AS regressions FROM opps"""
 
 
+def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation gaps over two runs: all, then those of priority 76 and more."""
+    g = citations.gaps(_results(spark, sf_dir)).select(F.col("gap_key").alias("key"), F.col("gap").alias("kind"), "priority")
+    return reconcile.runs([g, g.where("priority >= 76")], reconcile.GAPS, ["2024-02-26", "2024-02-27"])
+
+
+def _runs_sql(with_: str, key: str, kind: str, table: str, stays: str) -> str:
+    return f"""WITH {with_} SELECT {key} AS key, {kind} AS kind, CASE WHEN {stays} THEN 'active' ELSE 'resolved' END AS status, TIMESTAMP '2024-02-26' AS first_seen, CASE WHEN {stays} THEN TIMESTAMP '2024-02-27' ELSE TIMESTAMP '2024-02-26' END AS last_seen,
+ CASE WHEN NOT ({stays}) THEN TIMESTAMP '2024-02-27' END AS resolved_at, 0 AS occurrences, 0 AS regressions FROM {table}"""
+
+
+GAP_RUNS_SQL = _runs_sql(citations.GAPS_CTE, "gap_key", "gap", "gaps", "priority >= 76")
+
+
+def inspection_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspection opportunities over two runs: all, then those of priority 82 and more."""
+    o = inspection.opportunities(_inspected(spark, sf_dir)).select(F.sha2(F.concat_ws("|", "opportunity_type", "inspection_url"), 256).alias("key"), F.col("opportunity_type").alias("kind"), "priority")
+    return reconcile.runs([o, o.where("priority >= 82")], reconcile.INSPECTIONS, ["2024-02-26", "2024-02-27"])
+
+
+INSPECTION_RUNS_SQL = _runs_sql(f"o AS ({inspection.INSPECTION_OPPS_SQL})", "sha256(concat(opportunity_type, '|', inspection_url))", "opportunity_type", "o", "priority >= 82")
+
+
 def content_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refresh candidates of decaying pages and search opportunities, the best hundred."""
     d = content.decay(facts.period_change(_facts(spark, sf_dir))).where("decay >= 25")
@@ -126,7 +169,7 @@ def paced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = targets.mixed_opportunities(facts.opportunities(_facts(spark, sf_dir)), inspection.opportunities(inspection.inspected(load(spark, sf_dir, "events"))))
+    found = targets.mixed_opportunities(facts.opportunities(_facts(spark, sf_dir)), inspection.opportunities(_inspected(spark, sf_dir)))
     return targets.search_targets(found, _pages(spark, sf_dir), "shop.example.com")
 
 
@@ -165,6 +208,9 @@ QUERIES = {
     "page_findings": (_found, findings.PAGE_FINDINGS_SQL),
     "legacy_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.LEGACY_RULES), findings.rule_hits_sql(findings.LEGACY_RULES)),
     "export_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.EXPORT_RULES), findings.rule_hits_sql(findings.EXPORT_RULES)),
+    "export_duplicates": (lambda s, d: findings.export_duplicates(_pages(s, d)), findings.EXPORT_DUPLICATES_SQL),
+    "legacy_duplicates": (lambda s, d: findings.legacy_duplicates(_pages(s, d)), findings.LEGACY_DUPLICATES_SQL),
+    "legacy_summary": (lambda s, d: findings.legacy_summary(_linked(s, d)), findings.legacy_summary_sql()),
     "audit_scores": (lambda s, d: findings.audit_scores(_linked(s, d)), findings.AUDIT_SQL),
     "duplicate_descriptions": (lambda s, d: findings.duplicates(_pages(s, d), "description", "duplicate_meta_description"), findings.duplicates_sql("description", "duplicate_meta_description")),
     "duplicate_titles": (lambda s, d: findings.duplicates(_pages(s, d), "title", "duplicate_title"), findings.duplicates_sql("title", "duplicate_title")),
@@ -205,36 +251,38 @@ QUERIES = {
     "job_reservations": (lambda s, d: queueing.reservations(tables.jobs(s, d), load(s, d, "customer")), queueing.RESERVATIONS_SQL),
     "event_fold": (lambda s, d: queueing.folded(load(s, d, "events")), queueing.FOLD_SQL),
     "crawl_pacing": (paced, None),
-    "term_counts": (lambda s, d: content.term_counts(_texts(s, d)), content.TERM_COUNTS_SQL),
-    "page_topics": (lambda s, d: content.topics(_texts(s, d)), content.TOPICS_SQL),
-    "page_entities": (lambda s, d: content.page_entities(_whole(s, d)), None),
-    "similar_pages": (lambda s, d: content.similar_pages(_texts(s, d)), content.SIMILAR_SQL),
-    "topic_clusters": (lambda s, d: content.clusters(content.topics(_texts(s, d))), content.CLUSTERS_SQL),
-    "link_recommendations": (lambda s, d: content.recommendations(content.similar_pages(_texts(s, d))), content.RECOMMEND_SQL),
-    "semantic_graph": (lambda s, d: content.graph_edges(content.topics(_texts(s, d)), content.similar_pages(_texts(s, d))), content.GRAPH_SQL),
-    "information_gain": (lambda s, d: content.information_gain(_texts(s, d)), content.GAIN_SQL),
-    # The same over whole texts; the SQL of those above reads the lead alone.
-    "whole_term_counts": (lambda s, d: content.term_counts(_whole(s, d)), None),
-    "whole_page_topics": (lambda s, d: content.topics(_whole(s, d)), None),
-    "whole_similar_pages": (lambda s, d: content.similar_pages(_whole(s, d)), None),
-    "whole_topic_clusters": (lambda s, d: content.clusters(content.topics(_whole(s, d))), None),
-    "whole_link_recommendations": (lambda s, d: content.gated_recommendations(_whole(s, d)), None),
-    "whole_semantic_graph": (lambda s, d: content.graph_edges(content.topics(_whole(s, d)), content.similar_pages(_whole(s, d))), None),
-    "whole_information_gain": (lambda s, d: content.information_gain(_whole(s, d)), None),
+    "term_counts": (lambda s, d: content.term_counts(_texts(s, d)), content.term_counts_sql(content.PAGE_TEXTS_SQL)),
+    "page_topics": (lambda s, d: content.topics(_texts(s, d)), content.topics_sql(content.PAGE_TEXTS_SQL)),
+    "page_entities": (lambda s, d: content.page_entities(content.page_names(_pages(s, d))), content.ENTITIES_SQL),
+    "page_classes": (lambda s, d: content.page_classes(_texts(s, d)), content.classes_sql(content.PAGE_TEXTS_SQL)),
+    "similar_pages": (lambda s, d: content.similar_pages(_texts(s, d)), content.similar_sql(content.PAGE_TEXTS_SQL)),
+    "topic_clusters": (lambda s, d: content.clusters(content.topics(_texts(s, d))), content.clusters_sql(content.PAGE_TEXTS_SQL)),
+    "link_recommendations": (_recommended, content.RECOMMEND_SQL),
+    "semantic_graph": (lambda s, d: _graph(_texts(s, d)), content.graph_sql(content.PAGE_TEXTS_SQL)),
+    "information_gain": (lambda s, d: content.information_gain(_texts(s, d), tables.page_queries(s, d)), content.gain_sql(content.PAGE_TEXTS_SQL, tables.PAGE_QUERIES_SQL)),
+    # The same over whole documents, in the place of pages.
+    "whole_term_counts": (lambda s, d: content.term_counts(_whole(s, d)), content.term_counts_sql(content.WHOLE_TEXTS_SQL)),
+    "whole_page_topics": (lambda s, d: content.topics(_whole(s, d)), content.topics_sql(content.WHOLE_TEXTS_SQL)),
+    "whole_page_entities": (lambda s, d: content.page_entities(_whole(s, d)), None),
+    "whole_similar_pages": (lambda s, d: content.similar_pages(_whole(s, d)), content.similar_sql(content.WHOLE_TEXTS_SQL)),
+    "whole_topic_clusters": (lambda s, d: content.clusters(content.topics(_whole(s, d))), content.clusters_sql(content.WHOLE_TEXTS_SQL)),
+    "whole_link_recommendations": (_whole_recommended, None),
+    "whole_semantic_graph": (lambda s, d: _graph(_whole(s, d)), content.graph_sql(content.WHOLE_TEXTS_SQL)),
+    "whole_information_gain": (lambda s, d: content.information_gain(_whole(s, d)), content.gain_sql(content.WHOLE_TEXTS_SQL)),
     "content_decay": (lambda s, d: content.decay(facts.period_change(_facts(s, d))), content.decay_sql()),
     "content_candidates": (content_candidates, CONTENT_CANDIDATES_SQL),
     "draft_quality": (lambda s, d: policy.draft_quality(load(s, d, "documents")), policy.QUALITY_SQL),
     "answer_analysis": (_answers, citations.ANALYSED_SQL),
-    "citation_scan": (lambda s, d: citations.scan_totals(_answers(s, d)), citations.SCAN_SQL),
-    "citation_competitors": (lambda s, d: citations.competitor_counts(_answers(s, d)), citations.COMPETITORS_SQL),
-    "citation_gaps": (lambda s, d: citations.gaps(_answers(s, d)), citations.GAPS_SQL),
-    # The same with cited URLs, which the SQL of those above leaves out.
-    "cited_answer_analysis": (_cited, None),
-    "cited_scan": (lambda s, d: citations.scan_totals(_cited(s, d)), None),
-    "cited_gaps": (lambda s, d: citations.gaps(_cited(s, d)), None),
+    "citation_results": (_results, citations.RESULTS_SQL),
+    "citation_scan": (lambda s, d: citations.scan_totals(_results(s, d)), citations.SCAN_SQL),
+    "citation_competitors": (lambda s, d: citations.competitor_counts(_results(s, d)), citations.COMPETITORS_SQL),
+    "citation_gaps": (lambda s, d: citations.gaps(_results(s, d)), citations.GAPS_SQL),
+    "citation_gap_actions": (lambda s, d: citations.gap_actions(citations.gaps(_results(s, d))), citations.GAP_ACTIONS_SQL),
+    "citation_gap_runs": (gap_runs, GAP_RUNS_SQL),
     "prompt_upsert": (lambda s, d: citations.prompts(load(s, d, "benchmark")), citations.PROMPTS_SQL),
-    "inspection_latest": (lambda s, d: inspection.inspected(load(s, d, "events")), inspection.INSPECTED_SQL),
-    "inspection_opportunities": (lambda s, d: inspection.opportunities(inspection.inspected(load(s, d, "events"))), inspection.INSPECTION_OPPS_SQL),
+    "inspection_latest": (lambda s, d: inspection.inspected_rows(_inspected(s, d)), inspection.INSPECTED_SQL),
+    "inspection_opportunities": (lambda s, d: inspection.opportunities(_inspected(s, d)), inspection.INSPECTION_OPPS_SQL),
+    "inspection_runs": (inspection_runs, INSPECTION_RUNS_SQL),
     "action_policy": (lambda s, d: policy.decided(_actions(s, d)), policy.DECIDED_SQL),
     "action_policy_counts": (lambda s, d: policy.decision_counts(policy.decided(_actions(s, d))), policy.DECISION_COUNTS_SQL),
     "fix_governance": (lambda s, d: policy.fixes(_actions(s, d)), policy.FIXES_SQL),

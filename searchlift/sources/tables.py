@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchlift.functions import html
+from searchlift.sources.staging import staged
+
 #: Letters, digits and underscores, joined inside by apostrophes and hyphens: one word in either engine.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 #: The last day of the search facts, and the windows that end there.
@@ -44,44 +47,52 @@ FACTS_SQL = """facts AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-def _decoded(c):
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
-
-
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the fields of the findings, read by expressions alone.
+    """Pages with the fields of the findings, read once by the tolerant parser and staged for all that use them.
 
-    status_code and response_time_ms, which captured pages lack, follow from page_id.
+    What an answer has beside its page, which captured pages lack, follows from page_id: status_code,
+    response_time_ms, redirects, content_type, and the statuses of the site's robots.txt and sitemap.
+    Missing texts are empty.
     """
-    html = F.col("html")
-    one = lambda pattern: F.regexp_extract(html, pattern, 1)
-    count = lambda pattern: F.regexp_count(html, F.lit(pattern)).cast("int")
-    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    status = F.when(F.col("page_id") % 25 == 7, 404).when(F.col("page_id") % 25 == 13, 500).when(F.col("page_id") % 25 == 19, 301).otherwise(200)
-    return load(spark, sf_dir, "pages").select(
+    text = lambda name: F.coalesce(F.trim(F.col(f"p.{name}")), F.lit("")).alias(name)
+    i = F.col("page_id")
+    parsed = load(spark, sf_dir, "pages").select(
         "page_id",
         "url",
         F.regexp_replace(F.regexp_extract(F.lower("url"), r"^https?://([^/?#:]+)", 1), r"^www\.", "").alias("site"),
         F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/")).alias("path"),
         F.regexp_extract("url", r"\?([^#]*)", 1).alias("query_string"),
-        status.cast("int").alias("status_code"),
-        ((F.col("page_id") * 131) % 4000).cast("int").alias("response_time_ms"),
-        _decoded(one(r"(?s)<title>(.*?)</title>")).alias("title"),
-        one(r'<meta name="description" content="([^"]*)"').alias("description"),
-        one(r'<link rel="canonical" href="([^"]*)"').alias("canonical"),
-        one(r'<meta name="viewport" content="([^"]*)"').alias("viewport"),
-        one(r'<meta name="robots" content="([^"]*)"').alias("robots"),
-        one(r'<html lang="([^"]*)"').alias("lang"),
-        count(r"<h1[ >]").alias("h1_count"),
-        count(r"application/ld\+json").alias("json_ld_count"),
-        (count("<img ") - count("<img [^>]*alt=")).alias("images_without_alt"),
-        F.regexp_count(text, F.lit(WORD)).cast("int").alias("word_count"),
-        F.regexp_extract_all(html, F.lit('<a href="([^"]+)"'), F.lit(1)).alias("links"),
+        F.when(i % 25 == 7, 404).when(i % 25 == 13, 500).when(i % 25 == 19, 301).otherwise(200).cast("int").alias("status_code"),
+        ((i * 131) % 4000).cast("int").alias("response_time_ms"),
+        F.when(i % 20 == 3, 2).when(i % 20 == 9, 1).otherwise(0).cast("int").alias("redirects"),
+        F.when(i % 17 == 5, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
+        F.when(i % 9 == 4, 404).when(i % 9 != 5, 200).cast("int").alias("robots_status"),
+        F.when(i % 13 == 6, 500).when(i % 13 != 7, 200).cast("int").alias("sitemap_status"),
+        html.extract(F.col("html")).alias("p"),
+    )
+    fields = parsed.select(
+        *[c for c in parsed.columns if c != "p"],
+        *map(text, ("title", "description", "canonical", "viewport", "robots", "lang")),
+        F.size("p.h1").alias("h1_count"),
+        F.coalesce(F.get("p.h1", 0), F.lit("")).alias("h1"),
+        F.concat("p.h2", "p.h3").alias("headings"),
+        "p.json_ld_count",
+        "p.images_without_alt",
+        "p.images_empty_alt",
+        F.map_contains_key("p.og", F.lit("og:title")).alias("og_title"),
+        "p.word_count",
+        "p.links",
     )
+    return staged(fields, "crawled")
+
 
+def _decoded_sql(c: str) -> str:
+    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{char}')"
+    return c
 
+
+#: The same in SQL, for pages as regular as the stored ones.
 PAGES_SQL = rf"""crawled AS (
   SELECT page_id, url,
          regexp_replace(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '^www\.', '') AS site,
@@ -89,7 +100,12 @@ PAGES_SQL = rf"""crawled AS (
          regexp_extract(url, '\?([^#]*)', 1) AS query_string,
          CAST(CASE page_id % 25 WHEN 7 THEN 404 WHEN 13 THEN 500 WHEN 19 THEN 301 ELSE 200 END AS INT) AS status_code,
          CAST((page_id * 131) % 4000 AS INT) AS response_time_ms,
-         replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title,
+         CAST(CASE page_id % 20 WHEN 3 THEN 2 WHEN 9 THEN 1 ELSE 0 END AS INT) AS redirects,
+         CASE WHEN page_id % 17 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
+         CAST(CASE WHEN page_id % 9 = 4 THEN 404 WHEN page_id % 9 <> 5 THEN 200 END AS INT) AS robots_status,
+         CAST(CASE WHEN page_id % 13 = 6 THEN 500 WHEN page_id % 13 <> 7 THEN 200 END AS INT) AS sitemap_status,
+         {_decoded_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+         {_decoded_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1,
          regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description,
          regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) AS canonical,
          regexp_extract(html, '<meta name="viewport" content="([^"]*)"', 1) AS viewport,
@@ -98,21 +114,36 @@ PAGES_SQL = rf"""crawled AS (
          CAST(len(regexp_extract_all(html, '<h1[ >]')) AS INT) AS h1_count,
          CAST(len(regexp_extract_all(html, 'application/ld\+json')) AS INT) AS json_ld_count,
          CAST(len(regexp_extract_all(html, '<img ')) - len(regexp_extract_all(html, '<img [^>]*alt=')) AS INT) AS images_without_alt,
-         CAST(len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '{WORD.replace("'", "''")}')) AS INT) AS word_count,
+         CAST(len(regexp_extract_all(html, '<img ')) - len(regexp_extract_all(html, '<img [^>]*alt="[^"]')) AS INT) AS images_empty_alt,
+         contains(html, 'property="og:title"') AS og_title,
+         CAST(len(regexp_extract_all({_decoded_sql("regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')")}, '{WORD.replace("'", "''")}')) AS INT) AS word_count,
          regexp_extract_all(html, '<a href="([^"]+)"', 1) AS links
   FROM pages)"""
 
 
+def page_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, query) of the current window: the suppliers' lines as searches that found the page of the same number."""
+    lines = load(spark, sf_dir, "lineitem").where(f"l_orderkey % 56 >= {CURRENT_DAY}").select(F.col("l_suppkey").alias("page_id"), F.col("l_partkey").alias("p_partkey"))
+    parts = load(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" part-"), F.col("p_partkey").cast("string")).alias("query"))
+    return lines.join(parts, "p_partkey").select("page_id", "query").distinct()
+
+
+#: Days from the first to the start of the current window.
+CURRENT_DAY = 42
+PAGE_QUERIES_SQL = f"page_queries AS (SELECT DISTINCT l_suppkey AS page_id, concat(p_name, ' part-', p_partkey) AS query FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 56 >= {CURRENT_DAY})"
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(site, src, dst): distinct internal links between paths, self-links included."""
+    """(site, src, dst): distinct internal links between paths, self-links included; pages that say nofollow have none."""
     target = F.regexp_extract("link", r"^([^?#]*)", 1)
-    links = pages.select("site", F.col("path").alias("src"), F.explode("links").alias("link")).where(F.col("link").startswith("/"))
+    followed = pages.where(~F.contains(F.lower("robots"), F.lit("nofollow")))
+    links = followed.select("site", F.col("path").alias("src"), F.explode("links").alias("link")).where(F.col("link").startswith("/"))
     return links.select("site", "src", target.alias("dst")).distinct()
 
 
 EDGES_SQL = r"""edges AS (
   SELECT DISTINCT site, path AS src, regexp_extract(link, '^([^?#]*)', 1) AS dst
-  FROM (SELECT site, path, unnest(links) AS link FROM crawled) WHERE link LIKE '/%')"""
+  FROM (SELECT site, path, unnest(links) AS link FROM crawled WHERE lower(robots) NOT LIKE '%nofollow%') WHERE link LIKE '/%')"""
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
