@@ -287,14 +287,15 @@ def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Da
     placed = rows.join(by_shingle, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
     least = f"CAST(ceil({plan.threshold} * n / 100D) AS INT)"
     first = placed.join(left.select("node", "n", "common"), "node").where(f"place <= common - {least} + 1")
-    first = materialise(first.select("shingle", "node", "n", "common", "component", (F.col("component") != F.col("home")).alias("outside")), "near-prefixes")
-    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "common", "component", "outside")])
+    first = first.join(reps.select("node", "sig"), "node")
+    first = materialise(first.select("shingle", "node", "n", "common", "component", "sig", (F.col("component") != F.col("home")).alias("outside")), "near-prefixes")
+    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "common", "component", "sig", "outside")])
     pairs = side(first.where("outside"), "x").join(side(first, "y"), "shingle").where(
         f"x_component <> y_component AND (NOT y_outside OR x_node < y_node) AND {_sized(plan)}"
         f" AND {100 + plan.threshold} * least(x_common, y_common) >= {plan.threshold} * (x_n + y_n)"
+        f" AND size(filter(zip_with(x_sig, y_sig, (a, b) -> a = b), e -> e)) >= {plan.least_agreed}"
     )
-    pairs = pairs.select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
-    return _sides(pairs, reps, "sig").mapInPandas(_near_enough(plan), "x long, y long")
+    return pairs.select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
 
 
 def one_of_each(docs: DataFrame, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
