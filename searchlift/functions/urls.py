@@ -80,3 +80,35 @@ def citation_url(url: Column) -> Column:
     head = F.regexp_extract(url, r"^([a-zA-Z]+://[^/?#]+)", 1)
     rest = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+([^#]*)", 1)
     return F.when(F.rlike(F.lower(head), F.lit("^https?://")), F.substring(F.concat(F.lower(head), rest), 1, 2048))
+
+
+def origin(url: Column) -> Column:
+    """Scheme and authority in lower case; null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)), F.lit(""))
+
+
+def absolute_target(site: Column, target: Column) -> Column:
+    """The URL of a target: a path on the site, or a web address without its fragment; null for anything else."""
+    base = F.when(F.contains(site, F.lit("://")), F.regexp_extract(site, "^([^/]*//[^/]*)", 1)).otherwise(F.concat(F.lit("https://"), site))
+    bare = F.regexp_extract(target, "^([^#]*)", 1)
+    rooted = F.regexp_replace(bare, r"^(https?://[^/?]+)(?=\?|$)", "$1/")
+    return F.when(F.startswith(target, F.lit("/")), F.concat(base, bare)).when(F.rlike(target, F.lit("^https?://[^/?#]+")), rooted)
+
+
+def inspection_url(site: Column, value: Column) -> Column:
+    """struct(url, error): the URL to inspect, or why there is none: empty, relative_scheme, credentials, other_site, too_long."""
+    raw = F.trim(value)
+    whole = F.rlike(raw, F.lit("^([a-zA-Z][a-zA-Z0-9+.-]*:|//)"))
+    path = F.regexp_extract(raw, "^([^#]*)", 1)
+    url = F.when(whole, path).otherwise(F.concat(F.lit("https://"), site, F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))))
+    head = F.regexp_extract(url, "^([a-zA-Z]+://[^/?]+)", 1)
+    rest = F.substring(url, F.length(head) + 1, F.length(url))
+    normal = F.concat(F.lower(head), F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest)))
+    error = (
+        F.when(F.coalesce(raw, F.lit("")) == "", "empty")
+        .when(~F.rlike(url, F.lit("^(?i)https?://[^/?]+")), "not_http")
+        .when(F.contains(head, F.lit("@")), "credentials")
+        .when(host_key(F.concat(head, F.lit("/"))) != F.regexp_replace(F.lower(site), r"^www\.", ""), "other_site")
+        .when(F.length(normal) > 2048, "too_long")
+    )
+    return F.struct(F.when(error.isNull(), normal).alias("url"), error.alias("error"))

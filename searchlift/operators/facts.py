@@ -168,86 +168,3 @@ def covered_ranges(days: DataFrame, *keys: str, day: str = "day") -> DataFrame:
 COVERED_SQL = f"""WITH {FACTS_SQL}, d AS (SELECT DISTINCT page_url, metric_date AS day FROM facts),
 i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY page_url ORDER BY day) AS INT) AS island FROM d)
 SELECT page_url, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM i GROUP BY page_url, island"""
-
-
-def outcome(before_clicks: Column, before_imp: Column, after_clicks: Column, after_imp: Column) -> Column:
-    """positive, negative, neutral, or insufficient below 20 impressions on either side."""
-    dc = F.when(before_clicks > 0, F.round((after_clicks - before_clicks) / before_clicks, 4)).otherwise(F.when(after_clicks > 0, 1.0).otherwise(0.0))
-    ctr = lambda c, i: F.when(i > 0, c / i).otherwise(0.0)
-    b, a = ctr(before_clicks, before_imp), ctr(after_clicks, after_imp)
-    dt = F.when(b > 0, F.round((a - b) / b, 4)).otherwise(F.when(a > 0, 1.0).otherwise(0.0))
-    di = F.when(before_imp > 0, F.round((after_imp - before_imp) / before_imp, 4)).otherwise(0.0)
-    best, worst = F.greatest(dc, dt), F.least(dc, dt)
-    return (
-        F.when(F.least(before_imp, after_imp) < 20, "insufficient")
-        .when((best >= 0.1) & (worst > -0.1) & (di > -0.2), "positive")
-        .when((worst <= -0.1) & (best < 0.1) & (di < 0.2), "negative")
-        .otherwise("neutral")
-    )
-
-
-def measured_actions(actions: DataFrame, facts: DataFrame, days: tuple[int, ...] = (7, 14, 30)) -> DataFrame:
-    """actions (action_id, page_url, anchor) x windows: sums of the days before the anchor and after it.
-
-    Facts are summed by page and day first, so the range join is an equi-join on the page with at
-    most one row per page and day.
-    """
-    daily = facts.groupBy("page_url", "metric_date").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
-    longest = max(days)
-    near = actions.join(daily, "page_url", "left").withColumn("gap", F.datediff("metric_date", "anchor")).withColumn("gap", F.when(F.abs("gap") <= longest, F.col("gap")))
-    spread = near.withColumn("window_days", F.explode(F.array(*[F.lit(d) for d in days])))
-    before, after = (F.col("gap") < 0) & (F.col("gap") >= -F.col("window_days")), (F.col("gap") > 0) & (F.col("gap") <= F.col("window_days"))
-    total = lambda on, c: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0.0))
-    sums = spread.groupBy("action_id", "window_days").agg(*[total(on, c).alias(f"{name}_{c}") for name, on in (("before", before), ("after", after)) for c in ("clicks", "impressions")])
-    res = outcome(*[F.col(c) for c in ("before_clicks", "before_impressions", "after_clicks", "after_impressions")])
-    confidence = F.least(F.lit(95), 40 + F.floor(3 * F.sqrt(F.least("before_impressions", "after_impressions")))).cast("int")
-    return sums.withColumns({"outcome": res, "confidence": F.when(res != "insufficient", confidence)})
-
-
-def sample_actions(suppliers: DataFrame) -> DataFrame:
-    """One action per supplier's page, on a day of January or February 2024."""
-    return suppliers.select(F.col("s_suppkey").alias("action_id"), F.concat(F.lit("https://shop.example.com/s/"), F.col("s_suppkey").cast("string")).alias("page_url"), F.date_add(F.lit("2024-01-10").cast("date"), (F.col("s_suppkey") % 40).cast("int")).alias("anchor"))
-
-
-OUTCOME_CTE = f"""{FACTS_SQL},
-acts AS (SELECT s_suppkey AS action_id, concat('https://shop.example.com/s/', CAST(s_suppkey AS VARCHAR)) AS page_url, DATE '2024-01-10' + CAST(s_suppkey % 40 AS INT) AS anchor FROM supplier),
-wins AS (SELECT unnest([7, 14, 30]) AS window_days),
-sums AS (
-  SELECT action_id, window_days,
-    coalesce(sum(clicks) FILTER (metric_date < anchor AND metric_date >= anchor - window_days), 0) AS before_clicks,
-    coalesce(sum(impressions) FILTER (metric_date < anchor AND metric_date >= anchor - window_days), 0) AS before_impressions,
-    coalesce(sum(clicks) FILTER (metric_date > anchor AND metric_date <= anchor + window_days), 0) AS after_clicks,
-    coalesce(sum(impressions) FILTER (metric_date > anchor AND metric_date <= anchor + window_days), 0) AS after_impressions
-  FROM acts CROSS JOIN wins LEFT JOIN facts USING (page_url) GROUP BY ALL),
-ctrs AS (SELECT *, CASE WHEN before_impressions > 0 THEN before_clicks / before_impressions ELSE 0 END AS b, CASE WHEN after_impressions > 0 THEN after_clicks / after_impressions ELSE 0 END AS a FROM sums),
-deltas AS (SELECT *,
-    CASE WHEN before_clicks > 0 THEN round((after_clicks - before_clicks) / before_clicks, 4) WHEN after_clicks > 0 THEN 1 ELSE 0 END AS dc,
-    CASE WHEN b > 0 THEN round((a - b) / b, 4) WHEN a > 0 THEN 1 ELSE 0 END AS dt,
-    CASE WHEN before_impressions > 0 THEN round((after_impressions - before_impressions) / before_impressions, 4) ELSE 0 END AS di FROM ctrs),
-outcomes AS (SELECT action_id, window_days, before_clicks, before_impressions, after_clicks, after_impressions,
-    CASE WHEN least(before_impressions, after_impressions) < 20 THEN 'insufficient'
-         WHEN greatest(dc, dt) >= 0.1 AND least(dc, dt) > -0.1 AND di > -0.2 THEN 'positive'
-         WHEN least(dc, dt) <= -0.1 AND greatest(dc, dt) < 0.1 AND di < 0.2 THEN 'negative' ELSE 'neutral' END AS outcome,
-    CASE WHEN least(before_impressions, after_impressions) >= 20 THEN CAST(least(95, 40 + floor(3 * sqrt(least(before_impressions, after_impressions)))) AS INT) END AS confidence FROM deltas)"""
-OUTCOMES_SQL = f"WITH {OUTCOME_CTE} SELECT * FROM outcomes"
-
-
-def history_adjustment(measured: DataFrame) -> DataFrame:
-    """Per window: how far past outcomes move a priority, at most 10 either way, from 3 measurements on."""
-    n = measured.where("outcome <> 'insufficient'").groupBy("window_days").agg(F.count_if(F.col("outcome") == "positive").alias("positives"), F.count_if(F.col("outcome") == "negative").alias("negatives"), F.count("*").alias("n"))
-    step = F.bround(10 * (F.col("positives") - F.col("negatives")) / F.col("n"), 0)
-    return n.withColumn("adjustment", F.when(F.col("n") >= 3, F.greatest(F.lit(-10), F.least(F.lit(10), step))).otherwise(0).cast("int"))
-
-
-ADJUSTMENT_SQL = f"""WITH {OUTCOME_CTE}
-SELECT window_days, count(*) FILTER (outcome = 'positive') AS positives, count(*) FILTER (outcome = 'negative') AS negatives, count(*) AS n,
-       CAST(CASE WHEN count(*) >= 3 THEN greatest(-10, least(10, round_even(10 * (count(*) FILTER (outcome = 'positive') - count(*) FILTER (outcome = 'negative')) / count(*), 0))) ELSE 0 END AS INT) AS adjustment
-FROM outcomes WHERE outcome <> 'insufficient' GROUP BY window_days"""
-
-
-def longest_window(measured: DataFrame) -> DataFrame:
-    """Of each action the longest window that was measured."""
-    return measured.where("outcome <> 'insufficient'").groupBy("action_id").agg(F.max("window_days").alias("window_days"), F.max_by("outcome", "window_days").alias("outcome"))
-
-
-LONGEST_SQL = f"WITH {OUTCOME_CTE} SELECT action_id, max(window_days) AS window_days, arg_max(outcome, window_days) AS outcome FROM outcomes WHERE outcome <> 'insufficient' GROUP BY action_id"

@@ -258,16 +258,6 @@ def counts(found: DataFrame) -> DataFrame:
 COUNTS_SQL = f"WITH {FINDINGS_CTE} SELECT severity, finding_type, count(*) AS n FROM findings GROUP BY GROUPING SETS ((severity), (finding_type), ())"
 
 
-def queue(found: DataFrame, limit: int = 500) -> DataFrame:
-    """The first findings by severity, then impact; ties by fingerprint."""
-    rank = F.when(F.col("severity") == "critical", 1).when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 3).otherwise(4)
-    return found.orderBy(rank, F.desc("impact"), "fingerprint").limit(limit).select("fingerprint", "finding_type", "severity", "impact", "url")
-
-
-QUEUE_SQL = f"""WITH {FINDINGS_CTE} SELECT fingerprint, finding_type, severity, impact, url FROM findings
-ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, impact DESC, fingerprint LIMIT 500"""
-
-
 def summary(found: DataFrame, each: int = 5) -> DataFrame:
     """Per severity the first few findings and how many more there are.
 

@@ -115,18 +115,3 @@ def rate_limited(events: DataFrame, most: int = 5) -> DataFrame:
 
 
 RATE_SQL = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) >= 5 AS rejected FROM events GROUP BY ALL"
-
-
-def draft_quality(documents: DataFrame) -> DataFrame:
-    """Seven checks of a draft, and their share as a score."""
-    t = F.coalesce("text", F.lit(""))
-    n = F.length(t)
-    words = F.regexp_count(t, F.lit(r"[^\s]+"))
-    checks = [words >= 100, words <= 2000, F.contains(t, F.lit("\n")), ~F.contains(F.lower(t), F.lit("lorem")), F.contains(t, F.lit(".")), n >= 500, ~F.rlike(t, F.lit("###|%%%"))]
-    passed = sum((c.cast("int") for c in checks), F.lit(0))
-    return documents.select("doc_id", passed.alias("passed"), F.bround(100 * passed / 7, 0).cast("int").alias("score"))
-
-
-QUALITY_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\s]+')) AS w FROM documents), p AS (SELECT doc_id,
- CAST(w >= 100 AS INT) + CAST(w <= 2000 AS INT) + CAST(contains(t, chr(10)) AS INT) + CAST(NOT contains(lower(t), 'lorem') AS INT) + CAST(contains(t, '.') AS INT) + CAST(length(t) >= 500 AS INT) + CAST(NOT regexp_matches(t, '###|%%%') AS INT) AS passed FROM t)
-SELECT doc_id, passed, CAST(round_even(100 * passed / 7, 0) AS INT) AS score FROM p"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
-from searchlift.operators import actions, captures, citations, content, facts, findings, inspection, policy, queueing, reconcile, reports, targets
+from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, inspection, measurement, policy, queueing, reconcile, reports, targets
 from searchlift.sources import samples, tables
 from searchlift.sources.tables import load
 from searchlift.streaming import events as streams
@@ -68,14 +68,50 @@ def _inspected(s, d):
     return inspection.inspected(samples.payloads(load(s, d, "events")))
 
 
+def _measuring(s, d):
+    return samples.measured_actions(load(s, d, "supplier")), _facts(s, d), samples.synced_ranges(s)
+
+
 def _measured(s, d):
-    return facts.measured_actions(facts.sample_actions(load(s, d, "supplier")), _facts(s, d))
+    return measurement.measurements(*_measuring(s, d))
+
+
+def _adjustment(s, d):
+    return measurement.history_adjustment(measurement.longest_window(_measured(s, d)))
 
 
 def _actions(s, d):
     return policy.sample_actions(load(s, d, "orders"))
 
 
+def _states(s, d):
+    return finding_actions.sample_states(_found(s, d))
+
+
+def _health(s, d):
+    p = _pages(s, d)
+    states = finding_actions.sample_states(findings.page_findings(findings.with_in_links(p, tables.link_edges(p))))
+    sites = p.select("site").distinct().unionByName(s.createDataFrame([("empty.example.org",)], "site string"))
+    return finding_actions.health(sites, states, p, findings.HEALTH_WEIGHTS)
+
+
+def _briefs(s, d):
+    p = _pages(s, d)
+    texts = content.page_texts(p)
+    return drafts.briefs(p, content.topics(texts), content.recommendations(texts, tables.link_edges(p)))
+
+
+def _shown_briefs(b):
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return b.select("page_id", "site", "title", "query", joined("topics"), joined("outline"), joined("questions"), F.array_join("targets.path", "|").alias("targets"))
+
+
+def _drafts(s, d):
+    """Drafts of the pages; documents of odd number stand for what editors wrote, and every third page has evidence."""
+    written = load(s, d, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("page_id"), F.col("text").alias("body"))
+    return drafts.drafts(_briefs(s, d), written).withColumn("has_evidence", F.col("page_id") % 3 == 0)
+
+
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     return load(spark, sf_dir, "pages").select("page_id", urls.host_key(u).alias("host"), urls.path_of(u).alias("path"), urls.path_key(u).alias("path_key"), urls.page_url_key(u).alias("url_key"), urls.citation_url(u).alias("citation_url"))
@@ -125,6 +161,9 @@ SELECT opportunity_key AS key, opportunity_type AS kind, CASE WHEN priority >= 7
  CASE WHEN priority < 70 THEN TIMESTAMP '2024-02-27' END AS resolved_at, 0 AS occurrences, 0 AS regressions FROM opps"""
 
 
+OPPORTUNITIES_ADJUSTED_SQL = f"""WITH {measurement.ADJUSTMENT_CTE}, {facts.OPPORTUNITY_CTE.split(', win AS (', 1)[1].join(['win AS (', ''])} SELECT o.* REPLACE (CAST(greatest(0, least(100, priority + adjustment)) AS INT) AS priority) FROM opps o CROSS JOIN adjustment"""
+
+
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation gaps over two runs: all, then those of priority 76 and more."""
     g = citations.gaps(_results(spark, sf_dir)).select(F.col("gap_key").alias("key"), F.col("gap").alias("kind"), "priority")
@@ -202,9 +241,13 @@ QUERIES = {
     "top_pages": (lambda s, d: facts.top_pages(_facts(s, d)), facts.TOP_PAGES_SQL),
     "query_owners": (lambda s, d: facts.query_owners(_facts(s, d)), facts.OWNERS_SQL),
     "covered_ranges": (lambda s, d: facts.covered_ranges(_facts(s, d).withColumnRenamed("metric_date", "day"), "page_url"), facts.COVERED_SQL),
-    "action_outcomes": (_measured, facts.OUTCOMES_SQL),
-    "outcome_adjustment": (lambda s, d: facts.history_adjustment(_measured(s, d)), facts.ADJUSTMENT_SQL),
-    "outcome_longest_window": (lambda s, d: facts.longest_window(_measured(s, d)), facts.LONGEST_SQL),
+    "measurement_baselines": (lambda s, d: measurement.baselines(*_measuring(s, d)).select(*measurement.BASELINE_COLUMNS), measurement.BASELINES_SQL),
+    "measurement_refreeze": (lambda s, d: measurement.refreeze(*_measuring(s, d)).select(*measurement.BASELINE_COLUMNS), measurement.REFREEZE_SQL),
+    "measurement_marks": (lambda s, d: measurement.mark_applied(measurement.baselines(*_measuring(s, d)).drop("mutation_applied"), _measuring(s, d)[0]), measurement.MARKS_SQL),
+    "action_outcomes": (_measured, measurement.OUTCOMES_SQL),
+    "outcome_longest_window": (lambda s, d: measurement.longest_window(_measured(s, d)), measurement.LONGEST_SQL),
+    "outcome_adjustment": (_adjustment, measurement.ADJUSTMENT_SQL),
+    "opportunities_adjusted": (lambda s, d: measurement.adjusted(facts.opportunities(_facts(s, d)), _adjustment(s, d)), OPPORTUNITIES_ADJUSTED_SQL),
     "page_findings": (_found, findings.PAGE_FINDINGS_SQL),
     "legacy_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.LEGACY_RULES), findings.rule_hits_sql(findings.LEGACY_RULES)),
     "export_checks": (lambda s, d: findings.rule_hits(_linked(s, d), findings.EXPORT_RULES), findings.rule_hits_sql(findings.EXPORT_RULES)),
@@ -216,7 +259,13 @@ QUERIES = {
     "duplicate_titles": (lambda s, d: findings.duplicates(_pages(s, d), "title", "duplicate_title"), findings.duplicates_sql("title", "duplicate_title")),
     "site_health": (lambda s, d: findings.health(_pages(s, d), _found(s, d)), findings.HEALTH_SQL),
     "finding_counts": (lambda s, d: findings.counts(_found(s, d)), findings.COUNTS_SQL),
-    "findings_queue": (lambda s, d: findings.queue(_found(s, d)), findings.QUEUE_SQL),
+    "findings_queue": (lambda s, d: finding_actions.queue(_states(s, d)), finding_actions.QUEUE_SQL),
+    "findings_planning_order": (lambda s, d: finding_actions.planning_order(_states(s, d)), finding_actions.PLANNING_SQL),
+    "finding_actions": (lambda s, d: finding_actions.actions(_states(s, d)), finding_actions.ACTIONS_SQL),
+    "finding_steps": (lambda s, d: finding_actions.step(_states(s, d)), finding_actions.STEP_SQL),
+    "finding_step_counts": (lambda s, d: finding_actions.step_counts(finding_actions.step(_states(s, d))), finding_actions.STEP_COUNTS_SQL),
+    "fix_metrics": (lambda s, d: finding_actions.fix_metrics(_states(s, d)), finding_actions.FIX_METRICS_SQL),
+    "site_health_active": (_health, finding_actions.health_sql()),
     "findings_summary": (lambda s, d: findings.summary(_found(s, d)), findings.SUMMARY_SQL),
     "finding_runs": (three_runs, THREE_RUNS_SQL),
     "status_histogram": (lambda s, d: reports.status_histogram(_pages(s, d)), reports.STATUS_SQL),
@@ -271,7 +320,9 @@ QUERIES = {
     "whole_information_gain": (lambda s, d: content.information_gain(_whole(s, d)), content.gain_sql(content.WHOLE_TEXTS_SQL)),
     "content_decay": (lambda s, d: content.decay(facts.period_change(_facts(s, d))), content.decay_sql()),
     "content_candidates": (content_candidates, CONTENT_CANDIDATES_SQL),
-    "draft_quality": (lambda s, d: policy.draft_quality(load(s, d, "documents")), policy.QUALITY_SQL),
+    "content_briefs": (lambda s, d: _shown_briefs(_briefs(s, d)), drafts.BRIEFS_SQL),
+    "content_drafts": (lambda s, d: _drafts(s, d).select("page_id", "slug", "meta_title", "meta_description", F.sha2("body", 256).alias("body_sha256"), "word_count", "version", "mode"), drafts.DRAFTS_SQL),
+    "draft_quality": (lambda s, d: drafts.quality(_drafts(s, d)), drafts.QUALITY_SQL),
     "answer_analysis": (_answers, citations.ANALYSED_SQL),
     "citation_results": (_results, citations.RESULTS_SQL),
     "citation_scan": (lambda s, d: citations.scan_totals(_results(s, d)), citations.SCAN_SQL),

@@ -50,3 +50,33 @@ raw AS (SELECT *, {', '.join(_state_sql(i, n) for i, n in enumerate(('v', 'cover
 states AS (SELECT url AS inspection_url, ts, event_id, coalesce(v, 'VERDICT_UNSPECIFIED') AS verdict, coverage_state, robots_txt_state, indexing_state, page_fetch_state, CAST(NULL AS VARCHAR) AS crawled_as,
  CASE user_id % 4 WHEN 0 THEN concat(url, '/other') WHEN 1 THEN concat(url, '/') WHEN 2 THEN url END AS google_canonical, url AS user_canonical, date_trunc('second', ts) AS last_crawl_time,
  CAST(least(100, 90 + k % 6 * 4) AS INT) AS referring_urls, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS sitemap_urls FROM raw)"""
+
+
+#: The site of the sample actions, the day of reading, and the days that its sync jobs have loaded.
+SITE, TODAY = "shop.example.com", "2024-02-28"
+SYNCED = (("2024-01-01", "2024-01-20"), ("2024-01-15", "2024-02-10"), ("2024-02-11", "2024-02-25"))
+
+
+def synced_ranges(spark) -> DataFrame:
+    rows = spark.createDataFrame([(SITE, *x) for x in SYNCED], "site string, first string, last string")
+    return rows.select("site", F.to_date("first").alias("first_day"), F.to_date("last").alias("last_day"))
+
+
+def measured_actions(suppliers: DataFrame) -> DataFrame:
+    """One action per supplier's page with its days and states; the target is a path or a URL."""
+    k = F.col("s_suppkey")
+    path = F.concat(F.lit("/s/"), k.cast("string"))
+    day = F.date_add(F.lit("2024-01-10").cast("date"), (k % 40).cast("int"))
+    ran = k % 8 != 7
+    status = F.when(~ran, F.when(k % 2 == 0, "cancelled").when(k % 3 == 0, "failed").otherwise("execution_queued")).when(k % 7 == 0, "rolled_back").when(k % 7 == 1, "failed").when(k % 7 == 2, "executing").otherwise("succeeded")
+    return suppliers.select(
+        k.alias("action_id"), F.lit(SITE).alias("site"), F.when(k % 3 == 0, path).otherwise(F.concat(F.lit(f"https://{SITE}"), path, F.lit("#top"))).alias("target"), F.when(k % 10 == 0, "simulation").otherwise("github").alias("adapter"),
+        status.alias("action_status"), F.date_sub(day, 5).alias("created_on"), F.when(ran, day).alias("started_on"), F.when(ran, day).alias("executed_on"), F.when(ran & (k % 7 > 2), F.date_add(day, 1)).alias("completed_on"),
+        F.when(ran & (k % 7 == 0), F.date_add(day, (k % 20).cast("int"))).alias("rolled_back_on"), (k % 9 != 4).alias("mutation_applied"),
+    )
+
+
+ACTIONS_CTE = f"""acts AS (SELECT s_suppkey AS action_id, concat('https://{SITE}/s/', s_suppkey) AS page_url, CASE WHEN s_suppkey % 10 = 0 THEN 'simulation' ELSE 'github' END AS adapter,
+ CASE WHEN s_suppkey % 8 = 7 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'cancelled' WHEN s_suppkey % 3 = 0 THEN 'failed' ELSE 'execution_queued' END ELSE CASE s_suppkey % 7 WHEN 0 THEN 'rolled_back' WHEN 1 THEN 'failed' WHEN 2 THEN 'executing' ELSE 'succeeded' END END AS action_status,
+ d - 5 AS created_on, CASE WHEN s_suppkey % 8 <> 7 THEN d END AS started_on, CASE WHEN s_suppkey % 8 <> 7 THEN d END AS executed_on, CASE WHEN s_suppkey % 8 <> 7 AND s_suppkey % 7 > 2 THEN d + 1 END AS completed_on,
+ CASE WHEN s_suppkey % 8 <> 7 AND s_suppkey % 7 = 0 THEN d + CAST(s_suppkey % 20 AS INT) END AS rolled_back_on, s_suppkey % 9 <> 4 AS mutation_applied FROM (SELECT *, DATE '2024-01-10' + CAST(s_suppkey % 40 AS INT) AS d FROM supplier))"""
