@@ -104,8 +104,8 @@ PAGES_SQL = rf"""crawled AS (
          CASE WHEN page_id % 17 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
          CAST(CASE WHEN page_id % 9 = 4 THEN 404 WHEN page_id % 9 <> 5 THEN 200 END AS INT) AS robots_status,
          CAST(CASE WHEN page_id % 13 = 6 THEN 500 WHEN page_id % 13 <> 7 THEN 200 END AS INT) AS sitemap_status,
-         {_decoded_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
-         {_decoded_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1,
+         trim({_decoded_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title,
+         trim({_decoded_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) AS h1,
          regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description,
          regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) AS canonical,
          regexp_extract(html, '<meta name="viewport" content="([^"]*)"', 1) AS viewport,
