@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
-from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, inspection, measurement, policy, queueing, reconcile, reports, targets
+from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, inspection, loading, measurement, policy, queueing, reconcile, reports, targets
 from searchlift.sources import samples, tables
 from searchlift.sources.tables import load
 from searchlift.streaming import events as streams
@@ -229,6 +229,72 @@ def action_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.follow(actions.sample_queue(o), o.where("priority >= 60").select(F.col("opportunity_key").alias("key"), "priority", "confidence"))
 
 
+def job_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for each customer's site; nations are the workspaces."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site_id"), F.col("c_nationkey").alias("workspace"), "c_acctbal")
+    requests = c.select(F.col("site_id").alias("request_id"), "workspace", "site_id", F.floor(F.col("c_acctbal") / 50).cast("int").alias("max_pages"))
+    limits = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("workspace"), F.lit(30000).alias("quota"), (F.col("n_regionkey") * 1000).alias("used"))
+    return queueing.enqueue(requests, tables.jobs(spark, sf_dir).join(c.select("site_id", "workspace"), "site_id"), limits)
+
+
+def job_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose lost leases were recovered, then resumed."""
+    jobs = tables.jobs(spark, sf_dir)
+    return queueing.resumed(jobs.drop("status").join(queueing.recover(jobs).select("job_id", "status"), "job_id"))
+
+
+def execution_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "approved").when(F.col("o_orderstatus") == "F", "succeeded").otherwise("draft")
+    return queueing.executions(load(spark, sf_dir, "orders").select(k.alias("action_id"), (1 + k % 3).alias("version"), status.alias("status"), (k % 101).alias("impact"), (k % 47).alias("effort"), F.when(k % 4 > 0, k * 10).alias("snapshot_id")))
+
+
+def agent_runs_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of even number as agent runs that wait for the job of the same number; suppliers' lines stand for a site's pages."""
+    k = F.col("o_orderkey")
+    runs = load(spark, sf_dir, "orders").where(k % 2 == 0).select(k.alias("run_id"), F.when(k % 6 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("site_id"), k.alias("crawl_job_id"), F.lit("crawling").alias("status"))
+    return queueing.waiting_runs(runs, tables.jobs(spark, sf_dir), load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site_id")))
+
+
+def frontier_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    known = load(spark, sf_dir, "pages").select(F.sha2("url", 256).alias("url_hash"), "url", F.when(i % 4 == 1, "completed").otherwise("queued").alias("status"), F.floor(i / 10).alias("created_at"), (i % 3).cast("int").alias("attempt_count"))
+    return queueing.frontier_pop(known)
+
+
+def fact_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a day after the recent window of an older table was loaded anew."""
+    old = spark.range(60).select(F.date_add(F.lit("2023-12-31").cast("date"), F.col("id").cast("int")).alias("metric_date"), F.lit(1.0).alias("clicks"), F.lit(2.0).alias("impressions"))
+    new = loading.parsed(samples.raw_facts(_facts(spark, sf_dir))).select("metric_date", "clicks", "impressions")
+    return loading.day_totals(loading.loaded(old, new, tables.RECENT_FROM, tables.PERIOD_END))
+
+
+def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of the pages of even number over a table of those whose number three divides."""
+    p = _pages(spark, sf_dir).select("site", "path", F.col("page_id").alias("place"), "word_count")
+    first = loading.imported(p)
+    old = first.where("place % 3 = 0").select("site", "path", F.lit(0).alias("word_count"), F.lit("2023-01-01").cast("date").alias("created_on"))
+    new = first.where("place % 2 = 0").select("site", "path", "word_count", F.lit("2024-01-01").cast("date").alias("created_on"))
+    return loading.upserted(old, new)
+
+
+PAGE_UPSERT_SQL = f"""WITH {tables.PAGES_SQL}, f AS (SELECT site, path, page_id AS place, word_count FROM crawled QUALIFY row_number() OVER (PARTITION BY site, path ORDER BY page_id) = 1)
+SELECT site, path, CASE WHEN place % 2 = 0 THEN word_count ELSE 0 END AS word_count, CASE WHEN place % 3 = 0 THEN DATE '2023-01-01' ELSE DATE '2024-01-01' END AS created_on, CASE WHEN place % 2 <> 0 THEN 'kept' WHEN place % 3 = 0 THEN 'updated' ELSE 'created' END AS event FROM f WHERE place % 2 = 0 OR place % 3 = 0"""
+
+
+def inspection_url_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs in several spellings, as URLs to inspect of their site."""
+    i, site = F.col("page_id"), F.regexp_extract(F.lower("url"), r"^https?://([^/?#:]+)", 1)
+    bare = F.regexp_extract("url", "^([^#]*)", 1)
+    value = F.when(i % 7 == 0, F.lit("  ")).when(i % 7 == 1, F.concat(F.lit("ftp://"), site, F.lit("/x"))).when(i % 7 == 2, F.concat(F.lit("https://me:pw@"), site, F.lit("/x"))).when(i % 7 == 3, F.lit("https://elsewhere.invalid/x")).when(i % 7 == 4, F.concat(F.lit("/p?id="), i.cast("string"), F.lit("#top"))).when(i % 7 == 5, F.concat(F.lit("HTTPS://WWW."), F.upper(site), F.lit("?q=1"))).otherwise(bare)
+    return load(spark, sf_dir, "pages").select("page_id", urls.inspection_url(site, value).alias("u")).select("page_id", "u.url", "u.error")
+
+
+INSPECTION_URL_SQL = r"""WITH p AS (SELECT page_id, regexp_extract(lower(url), '^https?://([^/?#:]+)', 1) AS site, regexp_extract(url, '^([^#]*)', 1) AS bare FROM pages)
+SELECT page_id, CASE page_id % 7 WHEN 4 THEN concat('https://', site, '/p?id=', page_id) WHEN 5 THEN CASE WHEN site NOT LIKE 'www.%' THEN concat('https://www.', site, '/?q=1') END WHEN 6 THEN concat(lower(regexp_extract(bare, '^(https?://[^/?]+)', 1)), regexp_extract(bare, '^https?://[^/?]+(.*)$', 1)) END AS url,
+ CASE page_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'not_http' WHEN 2 THEN 'credentials' WHEN 3 THEN 'other_site' WHEN 5 THEN CASE WHEN site LIKE 'www.%' THEN 'other_site' END END AS error FROM p"""
+
+
 #: name -> (query, the SQL that states it or None).
 QUERIES = {
     "opportunities_all": (lambda s, d: facts.opportunities(_facts(s, d)), facts.OPPORTUNITIES_SQL),
@@ -297,6 +363,18 @@ QUERIES = {
     "job_recovery": (lambda s, d: queueing.recover(tables.jobs(s, d)), queueing.RECOVER_SQL),
     "job_retry": (lambda s, d: queueing.retry(tables.jobs(s, d)), queueing.RETRY_SQL),
     "job_latest": (lambda s, d: queueing.latest_per_site(tables.jobs(s, d)), queueing.LATEST_SQL),
+    "job_enqueue": (job_enqueue, queueing.ENQUEUE_SQL),
+    "job_cancel": (lambda s, d: queueing.cancelled(tables.jobs(s, d)), queueing.CANCEL_SQL),
+    "job_resume": (job_resume, queueing.RESUME_SQL),
+    "execution_jobs": (execution_jobs, queueing.EXECUTIONS_SQL),
+    "agent_runs_waiting": (agent_runs_waiting, queueing.WAITING_SQL),
+    "frontier_pop": (frontier_pop, queueing.FRONTIER_POP_SQL),
+    "fact_day_caps": (lambda s, d: loading.capped_days(samples.raw_facts(_facts(s, d)), 1200), loading.CAPPED_SQL),
+    "fact_parse": (lambda s, d: loading.parsed(samples.raw_facts(_facts(s, d))), loading.PARSED_SQL),
+    "fact_load": (fact_load, loading.LOADED_SQL),
+    "source_baseline": (lambda s, d: loading.baseline(_facts(s, d), load(s, d, "events")), loading.BASELINE_SQL),
+    "page_upsert": (page_upsert, PAGE_UPSERT_SQL),
+    "inspection_url_errors": (inspection_url_errors, INSPECTION_URL_SQL),
     "job_reservations": (lambda s, d: queueing.reservations(tables.jobs(s, d), load(s, d, "customer")), queueing.RESERVATIONS_SQL),
     "event_fold": (lambda s, d: queueing.folded(load(s, d, "events")), queueing.FOLD_SQL),
     "crawl_pacing": (paced, None),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from searchlift.sources.tables import FACTS_SQL
+
 #: Terms of the sample scans; words that occur in the answers.
 BRAND, COMPETITORS = ("the", "die"), ("les", "que", "ing")
 
@@ -80,3 +82,16 @@ ACTIONS_CTE = f"""acts AS (SELECT s_suppkey AS action_id, concat('https://{SITE}
  CASE WHEN s_suppkey % 8 = 7 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'cancelled' WHEN s_suppkey % 3 = 0 THEN 'failed' ELSE 'execution_queued' END ELSE CASE s_suppkey % 7 WHEN 0 THEN 'rolled_back' WHEN 1 THEN 'failed' WHEN 2 THEN 'executing' ELSE 'succeeded' END END AS action_status,
  d - 5 AS created_on, CASE WHEN s_suppkey % 8 <> 7 THEN d END AS started_on, CASE WHEN s_suppkey % 8 <> 7 THEN d END AS executed_on, CASE WHEN s_suppkey % 8 <> 7 AND s_suppkey % 7 > 2 THEN d + 1 END AS completed_on,
  CASE WHEN s_suppkey % 8 <> 7 AND s_suppkey % 7 = 0 THEN d + CAST(s_suppkey % 20 AS INT) END AS rolled_back_on, s_suppkey % 9 <> 4 AS mutation_applied FROM (SELECT *, DATE '2024-01-10' + CAST(s_suppkey % 40 AS INT) AS d FROM supplier))"""
+
+
+def raw_facts(facts: DataFrame) -> DataFrame:
+    """Facts as a provider's rows, keys and numbers as texts; by the position and clicks some are short, undated, off the site or without a number."""
+    day, n = F.date_format("metric_date", "yyyy-MM-dd"), F.col("impressions").cast("int")
+    keys = F.when(n == 7, F.array(day, "query")).when(n == 11, F.array(F.lit("2024-13-45"), F.col("query"), F.col("page_url"))).when(n == 13, F.array(day, F.col("query"), F.lit("https://other.example.org/x"))).otherwise(F.array(day, F.col("query"), F.when(n == 17, F.replace("page_url", F.lit("https://"), F.lit("http://www."))).otherwise(F.col("page_url"))))
+    text = lambda c: F.when(n == 19, F.lit(None)).otherwise(F.format_string("%.1f", c)).alias(c)
+    return facts.select(keys.alias("keys"), text("clicks"), F.format_string("%.1f", "impressions").alias("impressions"), F.format_string("%.1f", "position").alias("position"))
+
+
+RAW_CTE = f"""{FACTS_SQL}, raw AS (SELECT CASE WHEN CAST(impressions AS INT) = 11 THEN '2024-13-45' ELSE strftime(metric_date, '%Y-%m-%d') END AS day, query, regexp_extract(page_url, '(/s/.*)$', 1) AS path,
+ CASE CAST(impressions AS INT) WHEN 13 THEN 'https://other.example.org/x' WHEN 17 THEN replace(page_url, 'https://', 'http://www.') ELSE page_url END AS url, CASE WHEN CAST(impressions AS INT) IN (7, 11, 13) THEN 'bad' ELSE 'good' END AS kind,
+ CASE WHEN CAST(impressions AS INT) <> 19 THEN CAST(clicks AS VARCHAR) END AS clicks, CAST(impressions AS VARCHAR) AS impressions, CAST(position AS VARCHAR) AS position FROM facts)"""
