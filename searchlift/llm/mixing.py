@@ -25,7 +25,7 @@ from searchlift.llm.common import WORD, free_name, materialise, table
 STEP, CIRCLE = 1327217885, 2**31
 ADDED = ("size", "source_size", "target", "taken")
 #: Rows that one range of a source's shuffled stream should hold.
-RANGE_ROWS = 5_000
+RANGE_ROWS = 1_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
