@@ -135,10 +135,12 @@ def _clashing(docs: DataFrame, state: DataFrame) -> DataFrame:
     hits = state.where("group_size > 1").select("digest", "locator")
     n = hits.count()
     if n == 0:
-        return hits.select("digest").limit(0)
-    hits = F.broadcast(hits) if n <= BROADCAST_HITS else hits
-    met = docs.join(hits, "digest").groupBy("digest", "norm").agg(F.max(F.col("at").eqNullSafe(F.col("locator"))).alias("located"))
-    # One text, which the locator names, is no clash; any other text under the digest is.
+        return hits.select("digest")
+    wanted = F.broadcast(hits.select("digest")) if n <= BROADCAST_HITS else hits.select("digest")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
+    texts = docs.join(wanted, "digest", "left_semi").groupBy("digest", "norm").agg(first.alias("first"))
+    # The text whose first row is the locator's is the one that stays; any other text under its digest is a clash.
+    met = texts.join(hits, "digest").withColumn("located", F.col("first.at").eqNullSafe(F.col("locator")))
     return met.groupBy("digest").agg(F.count("*").alias("texts"), F.max("located").alias("located")).where("texts > 1 OR NOT located").select("digest")
 
 
