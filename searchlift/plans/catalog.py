@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
-from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, inspection, loading, measurement, policy, queueing, reconcile, reports, targets
+from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, governance, inspection, loading, measurement, policy, queueing, reconcile, reports, targets
 from searchlift.sources import samples, tables
 from searchlift.sources.tables import load
 from searchlift.streaming import events as streams
@@ -295,6 +295,50 @@ SELECT page_id, CASE page_id % 7 WHEN 4 THEN concat('https://', site, '/p?id=',
  CASE page_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'not_http' WHEN 2 THEN 'credentials' WHEN 3 THEN 'other_site' WHEN 5 THEN CASE WHEN site LIKE 'www.%' THEN 'other_site' END END AS error FROM p"""
 
 
+def actions_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("action_id")
+    checked = F.when(k % 3 > 0, F.date_add(F.lit("2024-02-20").cast("date"), (k % 7).cast("int")))
+    acts, facts_, ranges = _measuring(spark, sf_dir)
+    return governance.due(measurement.measurements(acts, facts_, ranges), acts.select("action_id", checked.alias("last_checked")))
+
+
+def action_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, orders = F.col("o_orderkey"), load(spark, sf_dir, "orders")
+    acts = orders.select(k.alias("action_id"), F.when(k % 3 == 0, '{"status":"done"}').otherwise("{}").alias("payload"))
+    return governance.backfilled(acts, orders.where(k % 5 > 0).select(k.alias("action_id"), F.lower("o_orderstatus").alias("job_status"), (k % 4).alias("attempts")))
+
+
+def content_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decay of the suppliers' pages and gain of the crawled pages of the same number."""
+    p = _pages(spark, sf_dir)
+    texts = content.page_texts(p)
+    d = content.decay(facts.period_change(_facts(spark, sf_dir))).select(F.regexp_extract("page_url", "([0-9]+)$", 1).cast("long").alias("page_id"), "decay")
+    return governance.content_actions(d.join(content.information_gain(texts, tables.page_queries(spark, sf_dir)), "page_id"), content.recommendations(texts, tables.link_edges(p)))
+
+
+def sandbox_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("check_"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string")).alias("name"), (F.col("l_quantity") >= 10).alias("passed"))
+    return governance.sandbox(checks)
+
+
+def link_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link recommendations over two runs: all, then those of priority 80 and more."""
+    r = _recommended(spark, sf_dir).select(F.sha2(F.concat_ws("|", F.col("source_id").cast("string"), F.col("target_id").cast("string")), 256).alias("key"), F.lit("link").alias("kind"), "priority")
+    return reconcile.runs([r, r.where("priority >= 80")], reconcile.LINKS, ["2024-02-26", "2024-02-27"])
+
+
+LINK_RUNS_SQL = _runs_sql(f"r AS ({content.RECOMMEND_SQL})", "sha256(concat(source_id, '|', target_id))", "'link'", "r", "priority >= 80")
+
+
+def content_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content opportunities over two runs; what the second has not seen stays as it was."""
+    c = content_candidates(spark, sf_dir).select(F.col("candidate_key").alias("key"), F.col("source").alias("kind"), "priority")
+    return reconcile.runs([c, c.where("priority >= 80")], reconcile.CONTENT, ["2024-02-26", "2024-02-27"])
+
+
+CONTENT_RUNS_SQL = f"""WITH c AS ({CONTENT_CANDIDATES_SQL}) SELECT candidate_key AS key, source AS kind, 'open' AS status, TIMESTAMP '2024-02-26' AS first_seen, CASE WHEN priority >= 80 THEN TIMESTAMP '2024-02-27' ELSE TIMESTAMP '2024-02-26' END AS last_seen, CAST(NULL AS TIMESTAMP) AS resolved_at, 0 AS occurrences, 0 AS regressions FROM c"""
+
+
 #: name -> (query, the SQL that states it or None).
 QUERIES = {
     "opportunities_all": (lambda s, d: facts.opportunities(_facts(s, d)), facts.OPPORTUNITIES_SQL),
@@ -415,6 +459,16 @@ QUERIES = {
     "action_policy": (lambda s, d: policy.decided(_actions(s, d)), policy.DECIDED_SQL),
     "action_policy_counts": (lambda s, d: policy.decision_counts(policy.decided(_actions(s, d))), policy.DECISION_COUNTS_SQL),
     "fix_governance": (lambda s, d: policy.fixes(_actions(s, d)), policy.FIXES_SQL),
+    "action_targets": (lambda s, d: governance.named_targets(governance.sample_plans(load(s, d, "orders"))), governance.TARGETS_SQL),
+    "action_transitions": (lambda s, d: governance.transitions(*governance.sample_moves(load(s, d, "orders"))), governance.moves_sql()),
+    "actions_due": (actions_due, governance.DUE_SQL),
+    "action_backfill": (action_backfill, governance.BACKFILL_SQL),
+    "content_actions": (content_actions, governance.CONTENT_ACTIONS_SQL),
+    "connections_newest": (lambda s, d: governance.newest_connections(load(s, d, "orders").select(F.col("o_custkey").alias("workspace"), F.col("o_orderkey").alias("connection_id"), F.col("o_orderdate").alias("updated_at"))), governance.CONNECTIONS_SQL),
+    "sandbox_reports": (sandbox_reports, governance.SANDBOX_SQL),
+    "plan_entitlements": (lambda s, d: governance.entitlements(governance.sample_subscriptions(load(s, d, "customer"))), governance.ENTITLEMENTS_SQL),
+    "link_runs": (link_runs, LINK_RUNS_SQL),
+    "content_runs": (content_runs, CONTENT_RUNS_SQL),
     "usage_quota": (lambda s, d: policy.usage(load(s, d, "orders"), load(s, d, "customer")), policy.USAGE_SQL),
     "audit_rate_limit": (lambda s, d: policy.rate_limited(load(s, d, "events")), policy.RATE_SQL),
     "stream_tumbling": (lambda s, d: streams.tumbling(load(s, d, "events")), streams.TUMBLING_SQL),
