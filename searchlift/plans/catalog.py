@@ -127,11 +127,31 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", html.extract(F.col("html")).alias("p")).select("page_id", "p.title", F.size("p.h1").alias("h1_count"), "p.description", "p.canonical", "p.lang", F.size("p.links").alias("links"), "p.images", "p.json_ld_count", "p.word_count")
 
 
+HTML_FIELDS_SQL = f"""WITH {tables.PAGES_SQL} SELECT page_id, nullif(title, '') AS title, h1_count, nullif(description, '') AS description, nullif(canonical, '') AS canonical, nullif(lang, '') AS lang, CAST(len(links) AS INT) AS links, CAST(len(regexp_extract_all(html, '<img ')) AS INT) AS images, json_ld_count, word_count FROM crawled JOIN pages USING (page_id, url)"""
+
+
 def normal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir).select("page_id", "url", "site", "links")
     return p.select("page_id", F.explode(urls.normalise_links("links", "url", "site")).alias("link")).where("link IS NOT NULL").distinct()
 
 
+NORMAL_LINKS_SQL = f"""WITH {tables.PAGES_SQL} SELECT DISTINCT page_id, concat(lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)), link) AS link FROM (SELECT page_id, url, unnest(links) AS link FROM crawled) WHERE link LIKE '/%'"""
+
+
+def _stream(s, d):
+    return streams.read(s, f"{d}/events.parquet")
+
+
+def _answered(events):
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 404).otherwise(200)
+    return events.select((F.col("user_id") % 40).alias("host"), "ts", "event_id", status.alias("status_code"))
+
+
+def stream_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.run(streams.paced(_answered(_stream(spark, sf_dir))), "update", "pacing")
+    return out.groupBy("host").agg(F.max_by(F.struct("delay", "scale", "throttled"), "throttled").alias("s")).select("host", "s.*")
+
+
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir)
     found = p.select("site", F.explode("links").alias("link")).where(F.startswith("link", F.lit("/"))).select(F.concat(F.lit("https://"), "site", "link").alias("url"))
@@ -203,8 +223,7 @@ SELECT * FROM c ORDER BY priority DESC, confidence DESC, candidate_key LIMIT 100
 
 
 def paced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = load(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("host"), "ts", "event_id", F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 404).otherwise(200).alias("status_code"))
-    return queueing.paced(answers)
+    return queueing.paced(_answered(load(spark, sf_dir, "events")))
 
 
 def search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,8 +417,8 @@ QUERIES = {
     "latest_actions": (latest_actions, targets.LATEST_ACTIONS_SQL),
     "serp_summary": (lambda s, d: targets.serp_summary(targets.sample_serps(_pages(s, d))), targets.SERP_SQL),
     "url_keys": (url_keys, URL_KEYS_SQL),
-    "html_fields": (html_fields, None),
-    "normal_links": (normal_links, None),
+    "html_fields": (html_fields, HTML_FIELDS_SQL),
+    "normal_links": (normal_links, NORMAL_LINKS_SQL),
     "frontier_add": (frontier, queueing.FRONTIER_SQL),
     "crawl_quality": (lambda s, d: reports.crawl_quality(tables.jobs(s, d)), reports.QUALITY_SQL),
     "job_status_totals": (lambda s, d: reports.status_totals(tables.jobs(s, d)), reports.STATUS_TOTALS_SQL),
@@ -471,6 +490,10 @@ QUERIES = {
     "content_runs": (content_runs, CONTENT_RUNS_SQL),
     "usage_quota": (lambda s, d: policy.usage(load(s, d, "orders"), load(s, d, "customer")), policy.USAGE_SQL),
     "audit_rate_limit": (lambda s, d: policy.rate_limited(load(s, d, "events")), policy.RATE_SQL),
+    "stream_closed_days": (lambda s, d: streams.run(streams.tumbling(_stream(s, d)), name="days"), streams.CLOSED_SQL),
+    "stream_closed_sessions": (lambda s, d: streams.run(streams.sessions(_stream(s, d)), name="sessions"), streams.CLOSED_SESSIONS_SQL),
+    "stream_fold": (lambda s, d: streams.run(streams.folded(_stream(s, d)), "complete", "fold"), queueing.FOLD_SQL),
+    "stream_pacing": (stream_pacing, None),
     "stream_tumbling": (lambda s, d: streams.tumbling(load(s, d, "events")), streams.TUMBLING_SQL),
     "stream_sliding": (lambda s, d: streams.sliding(load(s, d, "events")), streams.SLIDING_SQL),
     "stream_sessions": (lambda s, d: streams.sessions(load(s, d, "events")), streams.SESSIONS_SQL),

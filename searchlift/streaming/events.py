@@ -5,9 +5,14 @@ Every function takes a batch or a streaming DataFrame of (event_id, ts, user_id,
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchlift.sources.staging import shared_dir
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -17,8 +22,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark; event time needs a time zone, which the session's stands in for."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "3 days") -> DataFrame:
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _marked(events, late)
     g = e.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")), 4).cast("double").alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
@@ -27,7 +37,7 @@ TUMBLING_SQL = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_
 
 
 def sliding(events: DataFrame, size: str = "14 days", step: str = "1 day", late: str = "3 days") -> DataFrame:
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _marked(events, late)
     return e.groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
@@ -35,7 +45,7 @@ SLIDING_SQL = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(d
 
 
 def sessions(events: DataFrame, gap: str = "12 hours", late: str = "3 days") -> DataFrame:
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = _marked(events, late)
     g = e.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("ended"), "n")
 
@@ -47,11 +57,56 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOURS AS ended, count(*)
 
 def cooled_down(events: DataFrame, within: str = "24 hours") -> DataFrame:
     """One event per user and type inside the cool-down; a stream forgets a key when the watermark passes it."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return _marked(events, within).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+
+
+def run(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+    """Drive all that is available through a stream into a table of the shared folder, and read it.
+
+    Each micro-batch has a folder of its own that is overwritten if the batch is run again, so a
+    restart writes nothing twice. In mode complete the newest batch is the table.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{root}/out")
+    if mode == "complete":
+        out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
+    return out.drop("batch")
+
+
+#: Windows that the watermark has closed once all events are read.
+CLOSED_SQL = f"SELECT * FROM ({TUMBLING_SQL}) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 3 DAYS FROM events)"
+CLOSED_SESSIONS_SQL = f"SELECT * FROM ({SESSIONS_SQL}) WHERE ended <= (SELECT max(ts) - INTERVAL 3 DAYS FROM events)"
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """The state of each user after its events: kept by the stream, never forgotten."""
+    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("changed_at"), F.count("*").alias("events"))
+
+
+PACER = "host long, delay double, scale double, throttled long"
+
+
+def paced(answers: DataFrame, base: float = 0.15, top: float = 30.0) -> DataFrame:
+    """Crawl pacing as a stateful operator: per host the delay, scale and throttled answers after each micro-batch (host, ts, event_id, status_code).
+
+    The state outlives batches and restarts; inside a batch answers count in order of time and id.
+    """
 
+    def fold(key, batches, state):
+        delay, scale, throttled = state.get if state.exists else (base, 1.0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for code in rows["status_code"]:
+            if code in (429, 503):
+                delay, scale, throttled = min(top, max(delay, base, 0.25) * 2), max(0.25, scale / 2), throttled + 1
+            elif code == code and code is not None and code < 400:
+                delay, scale = max(base, delay * 0.8), min(1.0, scale + 0.1)
+        state.update((delay, scale, throttled))
+        yield pd.DataFrame({"host": [key[0]], "delay": [delay], "scale": [scale], "throttled": [throttled]})
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive all that is available through a stream into an in-memory table (tests and demos)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return answers.groupBy("host").applyInPandasWithState(fold, PACER, "delay double, scale double, throttled long", "update", "NoTimeout")
