@@ -14,19 +14,6 @@ def replace_days(facts: DataFrame, path: str, day: str = "metric_date") -> None:
     facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-def parse_fact_rows(raw: DataFrame, site: str) -> DataFrame:
-    """Rows of a provider's answers, keys = [date, query, page], without those that are short, undated or off the site."""
-    keys = F.col("keys")
-    host = F.regexp_replace(F.regexp_extract(F.lower(F.get(keys, 2)), r"^https?://([^/?#:]+)", 1), r"^www\.", "")
-    return raw.where(F.size(keys) >= 3).select(
-        F.try_to_timestamp(F.get(keys, 0), F.lit("yyyy-MM-dd")).cast("date").alias("metric_date"),
-        F.get(keys, 1).alias("query"),
-        F.get(keys, 2).alias("page_url"),
-        host.alias("host"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("clicks", "impressions", "position")],
-    ).where((F.col("host") == site) & F.col("metric_date").isNotNull()).drop("host")
-
-
 def export_rows(pages: DataFrame) -> DataFrame:
     """The export's columns; missing texts are empty and missing numbers 0."""
     return pages.select(*[F.coalesce(F.col(c), F.lit(0 if dict(pages.dtypes)[c] == "int" else "")).alias(c) for c in EXPORT_COLUMNS])
