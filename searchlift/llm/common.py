@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchlift.sources.staging import shared_dir
+
 #: Characters that separate words in the contracts: space and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A group of equal keys counts as hot from this share of all rows and this size on, so that hot groups number 10,000 at most.
@@ -21,25 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    A folder of our own stands in only where none is set and driver and executors are one machine
-    (tests); on a cluster a missing setting is an error, for executors could not share the folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='searchlift-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later jobs start from the files, also after an executor is lost."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -21,7 +21,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlift.llm.common import join_groups, materialise, scratch_dir
+from searchlift.llm.common import join_groups, materialise
+from searchlift.sources.staging import shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: So many hit digests (32 bytes each) are broadcast to pick the rows to check; with more, all rows are checked.
@@ -100,7 +101,7 @@ def _state(spark: SparkSession, state_dir: str, schema) -> DataFrame:
 
 def duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256, state_dir: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """One row per row under path: id, keep_id, group_size, kept, text_sha256, locator."""
-    state_dir = state_dir or f"{scratch_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
+    state_dir = state_dir or f"{shared_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).select(id_col, text_col).schema
     if spark.read.parquet(path).select(id_col).isEmpty():
         state = spark.createDataFrame([], f"digest binary, keep_id {schema[id_col].dataType.simpleString()}, locator struct<file: string, row: bigint>, group_size long")

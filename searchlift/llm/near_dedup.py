@@ -212,13 +212,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     classes = materialise(classes.select("set_key", "rep.id", "rep.text_key", "members", "n", "sig", F.monotonically_increasing_id().alias("node")), "near-classes")
     reps = classes.where("sig IS NOT NULL")
     one, other = f"slice(sig, {PAIR} * (ij div {plan.halves}) + 1, {PAIR})", f"slice(sig, {PAIR * plan.halves} + {PAIR} * (ij % {plan.halves}) + 1, {PAIR})"
-    rows = reps.withColumn("ij", F.explode(F.sequence(F.lit(0), F.lit(plan.halves**2 - 1)))).select(F.xxhash64("ij", F.expr(one), F.expr(other)).alias("key"), "node", "n")
-    centres = materialise(rows.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1"), "near-keys")
+    rows = reps.withColumn("ij", F.explode(F.sequence(F.lit(0), F.lit(plan.halves**2 - 1)))).select(F.xxhash64("ij", F.expr(one), F.expr(other)).alias("key"), "id")
+    # The smallest id is the centre: where copies are edited from one text, that text tends to come first, and is near to all of them.
+    centres = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1"), "near-keys")
     # The keys are as many as the documents at any size: never broadcast.
-    members = materialise(rows.join(centres.hint("merge"), "key").where("node <> centre"), "near-members")
-    near = members.select(F.col("node").alias("x"), F.col("centre").alias("y"), F.col("n").alias("x_n")).distinct()
-    near = near.join(reps.select(F.col("node").alias("y"), F.col("n").alias("y_n")), "y").where(_sized(plan)).select("x", "y")
-    first = _links(_sides(near, reps, "sig").mapInPandas(_near_enough(plan), "x long, y long"), texts, reps, plan)
+    members = materialise(rows.join(centres.hint("merge"), "key").where("id <> centre"), "near-members")
+    near = members.select(F.col("id").alias("x_id"), F.col("centre").alias("y_id")).distinct()
+    for side in "xy":
+        near = near.join(reps.select(F.col("id").alias(f"{side}_id"), F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sig").alias(f"{side}_sig")), f"{side}_id")
+    first = _links(near.where(_sized(plan)).select("x", "y", "x_sig", "y_sig").mapInPandas(_near_enough(plan), "x long, y long"), texts, reps, plan)
     as_ids = lambda links: _sides(links, reps, "id").select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
     same = _same_id(live, classes)
     labels = components(as_ids(first).union(same))
@@ -275,11 +277,11 @@ def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Da
     first n - ceil(threshold * n) + 1 of either, of which the shingles of their own take the first
     places. In each shingle the members of its largest component are not paired with each other.
     """
-    by_node = reps.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
-    m = members.join(by_node, "node").join(by_node.select(F.col("node").alias("centre"), F.col("component").alias("home")), "centre")
-    m = materialise(m.where("members > 2").select("key", "node", "n", "component", (F.col("component") != F.col("home")).alias("outside")), "near-unsettled")
-    m = m.join(m.where("outside").select("key").distinct(), "key", "left_semi")
-    docs = materialise(m.groupBy("node").agg(F.min("n").alias("n"), F.min("component").alias("component")), "near-apart")
+    of_id = reps.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    m = members.where("members > 2").join(of_id, "id").join(of_id.select(F.col("id").alias("centre"), F.col("component").alias("home")), "centre")
+    m = materialise(m.select("key", "id", "component", (F.col("component") != F.col("home")).alias("outside")), "near-unsettled")
+    m = m.join(m.where("outside").select("key").distinct(), "key", "left_semi").select("id", "component").distinct()
+    docs = materialise(reps.select("node", "id", "n").join(m, "id").select("node", "n", "component"), "near-apart")
     said = _texts_of(texts, docs.select("node", "component"), reps, "component")
     rows = materialise(said.mapInPandas(_shingle_rows, "shingle long, node long, component long"), "near-shingles")
     left, rows = _common(docs, rows, plan)
