@@ -35,6 +35,10 @@ def excluded(path: Column) -> Column:
     return F.coalesce(p.isin(*EXCLUDED) | under, F.lit(False))
 
 
+def target_of(kind: Column, path: Column) -> Column:
+    return F.when(excluded(path), "excluded").when(kind.isin(*TECHNICAL), "technical_fix").when(path.isNotNull(), "refresh_existing_page").otherwise("new_page")
+
+
 def search_targets(opportunities: DataFrame, pages: DataFrame, site: str) -> DataFrame:
     """opportunity_type, page_url, ... with path, target and page_id.
 
@@ -42,7 +46,7 @@ def search_targets(opportunities: DataFrame, pages: DataFrame, site: str) -> Dat
     """
     path = site_path(F.col("page_url"), F.lit(site))
     o = opportunities.withColumn("path", path)
-    target = F.when(excluded(F.col("path")), "excluded").when(F.col("opportunity_type").isin(*TECHNICAL), "technical_fix").when(F.col("path").isNotNull(), "refresh_existing_page").otherwise("new_page")
+    target = target_of(F.col("opportunity_type"), F.col("path"))
     ids = pages.where(F.col("site") == site).groupBy("path").agg(F.min("page_id").alias("page_id"))
     return o.withColumn("target", target).join(ids, "path", "left")
 

@@ -208,17 +208,24 @@ INSPECTION_RUNS_SQL = _runs_sql(f"o AS ({inspection.INSPECTION_OPPS_SQL})", "sha
 
 
 def content_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refresh candidates of decaying pages and search opportunities, the best hundred."""
-    d = content.decay(facts.period_change(_facts(spark, sf_dir))).where("decay >= 25")
-    refresh = d.select(F.concat(F.lit("refresh|"), "page_url").alias("candidate_key"), F.lit("refresh").alias("source"), F.least(F.lit(100), F.col("decay") + 20).cast("int").alias("priority"), F.least(F.lit(100), 60 + F.floor(F.col("decay") / 3)).cast("int").alias("confidence"))
-    o = facts.opportunities(_facts(spark, sf_dir))
-    search = o.select(F.col("opportunity_key").alias("candidate_key"), F.when(F.col("page_url").isNull(), "new_page").otherwise("refresh_existing_page").alias("source"), "priority", "confidence")
-    return refresh.unionByName(search).orderBy(F.desc("priority"), F.desc("confidence"), "candidate_key").limit(100)
-
-
-CONTENT_CANDIDATES_SQL = f"""WITH d AS ({content.decay_sql()}), o AS ({facts.OPPORTUNITIES_SQL}), c AS (
- SELECT concat('refresh|', page_url) AS candidate_key, 'refresh' AS source, CAST(least(100, decay + 20) AS INT) AS priority, CAST(least(100, 60 + floor(decay / 3)) AS INT) AS confidence FROM d WHERE decay >= 25
- UNION ALL SELECT opportunity_key, CASE WHEN page_url IS NULL THEN 'new_page' ELSE 'refresh_existing_page' END, priority, confidence FROM o)
+    """Refreshes of decaying pages, the fifty best search opportunities that are content work, and the 25 best citation gaps; of all these the best hundred."""
+    best = lambda df, n: df.orderBy(F.desc("priority"), "candidate_key").limit(n)
+    part = lambda df, key, source, effort: df.select(key.alias("candidate_key"), source.alias("source"), "priority", "confidence", F.lit(effort).alias("effort"))
+    d = content.decay(facts.period_change(_facts(spark, sf_dir))).where("decay >= 25").withColumns({"priority": F.least(F.lit(100), F.col("decay") + 20).cast("int"), "confidence": F.least(F.lit(100), 60 + F.floor(F.col("decay") / 3)).cast("int")})
+    refresh = part(d, F.concat(F.lit("refresh:"), "page_url"), F.lit("refresh_existing_page"), 45)
+    o = facts.opportunities(_facts(spark, sf_dir)).withColumn("candidate_key", F.concat(F.lit("search:"), "opportunity_key"))
+    target = targets.target_of(F.col("opportunity_type"), targets.site_path(F.col("page_url"), F.lit(samples.SITE)))
+    search = part(best(o, 50).withColumn("target", target).where(~F.col("target").isin("technical_fix", "excluded")), F.col("candidate_key"), F.col("target"), 55)
+    g = citations.gaps(_results(spark, sf_dir)).withColumn("candidate_key", F.concat(F.lit("citation:"), "gap_key"))
+    authority = part(best(g, 25), F.col("candidate_key"), F.lit("authority"), 60)
+    every = refresh.unionByName(search).unionByName(authority)
+    return every.orderBy(F.desc("priority"), F.desc("confidence"), "candidate_key").limit(100)
+
+
+CONTENT_CANDIDATES_SQL = f"""WITH d AS ({content.decay_sql()}), o AS ({facts.OPPORTUNITIES_SQL}), g AS ({citations.GAPS_SQL}), c AS (
+ SELECT concat('refresh:', page_url) AS candidate_key, 'refresh_existing_page' AS source, CAST(least(100, decay + 20) AS INT) AS priority, CAST(least(100, 60 + floor(decay / 3)) AS INT) AS confidence, 45 AS effort FROM d WHERE decay >= 25
+ UNION ALL (SELECT concat('search:', opportunity_key), CASE WHEN page_url IS NULL THEN 'new_page' ELSE 'refresh_existing_page' END, priority, confidence, 55 FROM o ORDER BY priority DESC, opportunity_key LIMIT 50)
+ UNION ALL (SELECT concat('citation:', gap_key), 'authority', priority, confidence, 60 FROM g ORDER BY priority DESC, gap_key LIMIT 25))
 SELECT * FROM c ORDER BY priority DESC, confidence DESC, candidate_key LIMIT 100"""
 
 
