@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +44,7 @@ LEAST_THRESHOLD = 70
 BROADCAST_IDS = 1_000_000
 #: Shingles per step of hashing.
 STEP = 1 << 16
-FEATURES = "id long, text_key long, n_shingles long, set_key binary, sig array<int>"
+FEATURES = "n_shingles long, set_key binary, sig array<int>"
 
 
 @dataclass(frozen=True)
@@ -115,16 +115,19 @@ def signature(s: np.ndarray, n_hashes: int) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _feature_rows(plan: Plan):
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(text: Column, plan: Plan) -> Column:
+    """struct(n_shingles, set_key, sig) of a text; the ids, which may be null, stay outside of pandas."""
+
+    @F.pandas_udf(FEATURES)
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch:
                 s = shingles(text)
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s, plan.n_hashes) if len(s) > plan.alone else None))
-            yield pd.DataFrame({"id": batch["id"], "text_key": batch["text_key"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "sig": [r[2] for r in rows]})
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "sig"])
 
-    return features
+    return features(text)
 
 
 def _sides(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -206,7 +209,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     """One row per row of docs: id, n_shingles, component_id, kept."""
     plan = Plan.of(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = materialise(texts.mapInPandas(_feature_rows(plan), FEATURES), "near-features")
+    found = materialise(texts.select("id", "text_key", _features(F.col("text"), plan).alias("f")).select("id", "text_key", "f.*"), "near-features")
     live = found.where("n_shingles > 0 AND id IS NOT NULL")
     classes = live.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("rep"), F.count("*").alias("members"), F.any_value("n_shingles").cast("int").alias("n"), F.any_value("sig").alias("sig"))
     classes = materialise(classes.select("set_key", "rep.id", "rep.text_key", "members", "n", "sig", F.monotonically_increasing_id().alias("node")), "near-classes")

@@ -111,6 +111,14 @@ def test_texts_of_one_id_are_one_document(spark):
     assert sorted(r.doc_id for r in kept) == [1, 1, 1, 4]
 
 
+def test_large_ids_beside_null_ones(spark):
+    """Ids beyond 2**53 stay what they are, in a batch with null ids too."""
+    a = "one two three four five six seven eight"
+    rows = [(2**53 + 1, a), (2**53 + 2, a), (None, a), (None, "x"), (-(2**60) - 1, "other words of a text that stands alone")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id or 0, r.component_id or 0, r.kept) for r in out) == sorted([(2**53 + 1, 2**53 + 1, True), (2**53 + 2, 2**53 + 1, False), (0, 0, True), (0, 0, True), (-(2**60) - 1, -(2**60) - 1, True)])
+
+
 def test_hot_classes_join_whole(spark):
     """A third of all rows are copies of one text, another third are empty."""
     docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one two three four five six seven eight").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("own words of number "), F.col("id").cast("string"))).alias("text"))
