@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     as_ids = lambda links: _sides(links, reps, "id").select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
     same = _same_id(live, classes)
     labels = components(as_ids(first).union(same))
-    second = _links(_unsettled(members, labels, reps, texts, plan), texts, reps, plan)
+    second = _links(_unsettled(members, centres, labels, reps, texts, plan), texts, reps, plan)
     labels = components(as_ids(first.union(second)).union(same))
     every = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"), "members")
     out = join_groups(live.select("id", "n_shingles", "set_key"), every, "set_key", "members", found.count())
@@ -270,7 +270,7 @@ def _common(docs: DataFrame, rows: DataFrame, plan: Plan, rounds: int = 2) -> tu
     return left, rows.join(left.select("node"), "node", "left_semi")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+def _unsettled(members: DataFrame, centres: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """Pairs of different components that no centre settles.
 
     They lie in keys where some member is outside the centre's component. Two documents of different
@@ -278,10 +278,12 @@ def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Da
     documents outside are kept apart by shingles of their own, so this bound drops them first. The
     rest pair by shingles: ordered by how few of the rest have them, two linked sets share one of the
     first n - ceil(threshold * n) + 1 of either, of which the shingles of their own take the first
-    places. In each shingle the members of its largest component are not paired with each other.
+    places; and where they meet, no later than what their two sizes ask for in common allows. In each shingle the members of its largest component are not paired with each other.
     """
     of_id = reps.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    m = members.where("members > 2").join(of_id, "id").join(of_id.select(F.col("id").alias("centre"), F.col("component").alias("home")), "centre")
+    # Keys of one centre are as many as the tables at most; its members may be a third of all documents, so the home comes by key.
+    homes = centres.where("members > 2").join(of_id.select(F.col("id").alias("centre"), F.col("component").alias("home")), "centre").select("key", "home")
+    m = members.where("members > 2").select("key", "id").join(of_id, "id").join(homes, "key")
     m = materialise(m.select("key", "id", "component", (F.col("component") != F.col("home")).alias("outside")), "near-unsettled")
     m = m.join(m.where("outside").select("key").distinct(), "key", "left_semi").select("id", "component").distinct()
     docs = materialise(reps.select("node", "id", "n").join(m, "id").select("node", "n", "component"), "near-apart")
@@ -293,11 +295,14 @@ def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Da
     least = f"CAST(ceil({plan.threshold} * n / 100D) AS INT)"
     first = placed.join(left.select("node", "n", "common"), "node").where(f"place <= common - {least} + 1")
     first = first.join(reps.select("node", "sig"), "node")
-    first = materialise(first.select("shingle", "node", "n", "common", "component", "sig", (F.col("component") != F.col("home")).alias("outside")), "near-prefixes")
-    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "common", "component", "sig", "outside")])
+    first = materialise(first.select("shingle", "node", "n", "common", "place", "component", "sig", (F.col("component") != F.col("home")).alias("outside")), "near-prefixes")
+    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "common", "place", "component", "sig", "outside")])
+    # What the two must share at least, by their sizes: with it either side's prefix is shorter still.
+    both = f"CAST(ceil({plan.threshold} * (x_n + y_n) / {100 + plan.threshold}D - 1e-9) AS INT)"
     pairs = side(first.where("outside"), "x").join(side(first, "y"), "shingle").where(
         f"x_component <> y_component AND (NOT y_outside OR x_node < y_node) AND {_sized(plan)}"
         f" AND {100 + plan.threshold} * least(x_common, y_common) >= {plan.threshold} * (x_n + y_n)"
+        f" AND x_place <= x_common - {both} + 1 AND y_place <= y_common - {both} + 1"
         f" AND size(filter(zip_with(x_sig, y_sig, (a, b) -> a = b), e -> e)) >= {plan.least_agreed}"
     )
     return pairs.select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
