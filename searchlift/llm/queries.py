@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from searchlift.llm import decontamination, exact_dedup, html_text, language_id, mixing, near_dedup, pii, sharding, token_counts, toxicity
+from searchlift.llm import decontamination, exact_dedup, html_text, language_id, mixing, near_dedup, pii, sharding, syncmers, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8,
         "op9_decontamination": decontamination.op9,
         "op10_token_counts": token_counts.op10,
+        "op11_syncmer_fingerprints": syncmers.op11,
     }
 
 

@@ -62,7 +62,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 KEY = "struct<u: bigint, v: bigint>"
 
 
-def _place(keys: Column, n: int) -> Column:
+def key_place(keys: Column, n: int) -> Column:
     """How many of the n sorted keys are at most (__u, __v): a binary search, so that the cost for a row grows with log n."""
     key = F.struct(F.col("__u").alias("u"), F.col("__v").alias("v"))
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
@@ -78,7 +78,7 @@ def _histogram(keys: DataFrame, intervals: list[Interval], probes: int) -> dict[
         keys = keys.where((F.col("__u") >= intervals[0].u_lo) & (F.col("__u") <= intervals[0].u_hi))
     lows = as_data([{"u": x.u_lo, "v": x.v_lo} for x in by_key], KEY)
     parts = as_data([{"i": i, "ulo": x.u_lo, "uhi": x.u_hi, "vlo": x.v_lo, "vhi": x.v_hi, "by_v": x.by_v, "step": -(-x.span // each)} for i, x in zip(order, by_key, strict=True)], "struct<i: int, ulo: bigint, uhi: bigint, vlo: bigint, vhi: bigint, by_v: boolean, step: bigint>")
-    at = _place(lows, len(by_key)) - 1
+    at = key_place(lows, len(by_key)) - 1
     rows = (
         keys.select("*", F.get(parts, at).alias("s"))
         .where((F.col("__u") <= F.col("s.uhi")) & F.col("__v").between(F.col("s.vlo"), F.col("s.vhi")))
@@ -144,7 +144,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.00
         share = total / n_shards
         splitters = find_splitters(keys, [total * k / p for k in range(1, p)], [share * (tolerance if k % slices == 0 else 0.25 / slices) for k in range(1, p)], probes)
         splitters.sort()
-    part = _place(as_data([{"u": u, "v": v} for u, v in splitters], KEY), len(splitters)) if splitters else F.lit(0)
+    part = key_place(as_data([{"u": u, "v": v} for u, v in splitters], KEY), len(splitters)) if splitters else F.lit(0)
     counts = {r[0]: r[1] for r in keys.groupBy(part.alias("slice")).count().collect()} if total else {}
     starts = []
     for k in range(p):
