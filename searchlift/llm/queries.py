@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from searchlift.llm import decontamination, exact_dedup, html_text, language_id, mixing, near_dedup, pii, sharding, syncmers, token_counts, toxicity
+from searchlift.llm import decontamination, elkan, exact_dedup, html_text, language_id, mixing, near_dedup, pii, sharding, syncmers, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_decontamination": decontamination.op9,
         "op10_token_counts": token_counts.op10,
         "op11_syncmer_fingerprints": syncmers.op11,
+        "op12_elkan_clusters": elkan.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7}
+    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7, "op12_elkan_clusters": elkan.ORACLE_OP12}
