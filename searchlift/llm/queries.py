@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from searchlift.llm import decontamination, elkan, exact_dedup, html_text, language_id, mixing, near_dedup, pii, sharding, syncmers, token_counts, toxicity
+from searchlift.llm import conversation_repair, decontamination, elkan, exact_dedup, html_text, language_id, mixing, near_dedup, pii, sharding, syncmers, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_token_counts": token_counts.op10,
         "op11_syncmer_fingerprints": syncmers.op11,
         "op12_elkan_clusters": elkan.op12,
+        "op13_conversation_repair": conversation_repair.op13,
     }
 
 
