@@ -315,3 +315,42 @@ def op13(spark, sf_dir):
     all_ = rows.select("conv_id").distinct()
     figures = [F.coalesce(found[c], F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return all_.join(found, all_["conv_id"].eqNullSafe(found["conv_id"]), "left").select(all_["conv_id"], *figures, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The same by recursion over the turns: each state carries cost (nine digits), audit and lines as one text, so that the least text is the choice."""
+    mark = "strpos({s}, chr(1))"
+
+    def add(s: str, price: str, letter: str, line: str) -> str:
+        at = mark.format(s=s)
+        return f"lpad(CAST(CAST(left({s}, 9) AS INT) + {price} AS VARCHAR), 9, '0') || substr({s}, 10, {at} - 10) || '{letter}' || substr({s}, {at}) || {line}"
+
+    line = "chr(10) || {role} || ':' || text".format
+    to_user, to_assistant = line(role="'user'"), line(role="'assistant'")
+    empty_user, empty_assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    keep = lambda initial, s: f"CASE WHEN NOT gone AND left(role, 1) = '{initial}' THEN {add(s, 'more', 'K', line(role='role'))} END"
+    rerole = lambda s, line: f"CASE WHEN NOT gone THEN {add(s, '1 + more', 'R', line)} END"
+    delete = lambda s: add(s, "2", "D", "''")
+    inserted = lambda source: (
+        f"(SELECT *, least(s3, {add('t2', '5', 'I', empty_assistant)}) AS t3 FROM (SELECT *, least(s2, {', '.join(add(s, '5', 'I', empty_user) for s in ('s0', 's1', 's3'))}) AS t2 FROM {source}))"
+    )
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    byte = "list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, _: xor(a >> 1, (a & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({key}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda crc, b: {byte}), 4294967295)"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE dealt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS deal FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role, CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN deal = 3 THEN 2 ELSE 1 END)) AS again FROM dealt WHERE deal <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM hurt),
+seen AS (SELECT *, trim(text, {white}) = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS said, right(rtrim(text, {white}), 1) NOT IN ('.', '!', '?') AS cut, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+judged AS (SELECT *, NOT blank AND said AS duplicate, NOT blank AND NOT said AND cut AS truncated, blank OR said AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM seen),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' || chr(1) AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM (SELECT DISTINCT conv_id FROM judged)
+UNION ALL SELECT conv_id, i, {delete('s0')}, least({delete('s1')}, {keep('s', 's0')}), least({delete('t2')}, {keep('u', 'before_user')}, {rerole('before_user', to_user)}), least({delete('t3')}, {keep('a', 't2')}, {rerole('t2', to_assistant)})
+ FROM (SELECT *, least(s0, s1, t3) AS before_user FROM {inserted("(SELECT j.conv_id, j.i, j.role, j.text, j.gone, j.more, s0, s1, s2, s3 FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1)")})),
+best AS (SELECT conv_id, least(s0, t3) AS s FROM {inserted("(SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)")}),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(CAST(left(s, 9) AS INT), 0) AS BIGINT) AS cost,
+ coalesce(substr(s, 10, {mark.format(s='s')} - 10), '') AS audit, sha256(coalesce(substr(s, {mark.format(s='s')} + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN figures f ON a.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN best b ON a.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
+ORACLE_OP13 = _oracle()

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7, "op12_elkan_clusters": elkan.ORACLE_OP12}
+    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7, "op12_elkan_clusters": elkan.ORACLE_OP12, "op13_conversation_repair": conversation_repair.ORACLE_OP13}

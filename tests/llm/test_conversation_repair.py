@@ -8,11 +8,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from searchlift.llm import conversation_repair as cr
-from searchlift.llm.queries import queries
+from searchlift.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -108,6 +109,9 @@ def test_the_query_over_all_conversations(spark):
     hurt = damage(rows)
     got = sorted(tuple(r) for r in queries()["op13_conversation_repair"](spark, SF).select(*COLUMNS).collect())
     assert got == sorted(plain(hurt, c) for c in {r[0] for r in rows})
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS FROM '{SF}/conversations.parquet'")
+    assert got == sorted(c.execute(f"SELECT {', '.join(COLUMNS)} FROM ({oracle_sql()['op13_conversation_repair']})").fetchall())
 
 
 def drawn(seed, conversations, most):
