@@ -5,6 +5,8 @@ Also the 28-day baseline of a site's sources, and imported pages that take the p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window
 from searchlift.functions.urls import host_key, page_url_key
 from searchlift.sources.samples import RAW_CTE, SITE
 from searchlift.sources.tables import FACTS_SQL, PERIOD_END, RECENT_FROM
+from searchlift.sources.versions import VersionedTable
 
 #: Rows that a day may bring before its load counts as cut off, and characters that are stored of a query and a URL.
 DAY_CAP, QUERY, URL = 100_000, 10_000, 2048
@@ -57,19 +60,16 @@ def loaded(existing: DataFrame, new: DataFrame, start: str, end: str) -> DataFra
     return existing.where(~inside).unionByName(new.where(inside))
 
 
-def load_days(new: DataFrame, path: str, staging: str, cap: int = DAY_CAP) -> int:
-    """Commit a load: all days go to a staging folder first and are checked there, then they replace their days of the table at path in one write.
+def load_days(new: DataFrame, target: VersionedTable, start: str, end: str, cap: int = DAY_CAP, held: Callable[[], bool] = lambda: True) -> int:
+    """Commit a load of [start, end]: its days take the place of all the target's days of that range, in one move of the pointer.
 
-    A day over the cap stops the load before anything is replaced. Returns the rows written.
+    A day over the cap, a lease that is lost while the load is written (held) and another load that was
+    first refuse the commit; the version before stays as it was. Returns the rows written.
     """
-    spark = new.sparkSession
-    new.write.mode("overwrite").parquet(staging)
-    ready = spark.read.schema(new.schema).parquet(staging)
-    over = ready.groupBy("metric_date").count().where(F.col("count") > cap).limit(1).collect()
-    if over:
-        raise ValueError(f"daily row cap reached on {over[0].metric_date}: the load may be cut off")
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric_date").parquet(path)
-    return ready.count()
+    before = target.manifest()
+    inside = new.where(F.col("metric_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    after = target.commit(inside, start=start, end=end, based_on=before, most=cap, held=held)
+    return sum(d.rows for day, d in after.days.items() if start <= day <= end)
 
 
 def day_totals(facts: DataFrame) -> DataFrame:

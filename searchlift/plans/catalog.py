@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
 from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, governance, inspection, loading, measurement, policy, queueing, reconcile, reports, targets
 from searchlift.sources import samples, tables
+from searchlift.sources.staging import shared_dir
 from searchlift.sources.tables import load
+from searchlift.sources.versions import VersionedTable
 from searchlift.streaming import events as streams
+from searchlift.streaming import late
 
 
 def _facts(s, d):
@@ -295,6 +300,26 @@ def fact_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loading.day_totals(loading.loaded(old, new, tables.RECENT_FROM, tables.PERIOD_END))
 
 
+def fact_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same load as a commit to a table of versions."""
+    table = VersionedTable(spark, f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}")
+    old = spark.range(60).select(F.date_add(F.lit("2023-12-31").cast("date"), F.col("id").cast("int")).alias("metric_date"), F.lit(1.0).alias("clicks"), F.lit(2.0).alias("impressions"))
+    table.commit(old)
+    loading.load_days(loading.parsed(samples.raw_facts(_facts(spark, sf_dir))).select("metric_date", "clicks", "impressions"), table, tables.RECENT_FROM, tables.PERIOD_END)
+    return loading.day_totals(table.read())
+
+
+def stream_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads that arrive as files, the newest of a day's before an older one, followed into a table of versions."""
+    root = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    for load_ in late.sample_arrivals(_facts(spark, sf_dir)):
+        load_.write.mode("append").parquet(f"{root}/arrivals")
+    table = VersionedTable(spark, f"{root}/facts")
+    arrivals = spark.readStream.schema(load_.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/arrivals")
+    late.follow(arrivals, table, f"{root}/checkpoint")
+    return table.read()
+
+
 def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of the pages of even number over a table of those whose number three divides."""
     p = _pages(spark, sf_dir).select("site", "path", F.col("page_id").alias("place"), "word_count")
@@ -442,6 +467,7 @@ QUERIES = {
     "fact_day_caps": (lambda s, d: loading.capped_days(samples.raw_facts(_facts(s, d)), 1200), loading.CAPPED_SQL),
     "fact_parse": (lambda s, d: loading.parsed(samples.raw_facts(_facts(s, d))), loading.PARSED_SQL),
     "fact_load": (fact_load, loading.LOADED_SQL),
+    "fact_commit": (fact_commit, loading.LOADED_SQL),
     "source_baseline": (lambda s, d: loading.baseline(_facts(s, d), load(s, d, "events")), loading.BASELINE_SQL),
     "page_upsert": (page_upsert, PAGE_UPSERT_SQL),
     "inspection_url_errors": (inspection_url_errors, INSPECTION_URL_SQL),
@@ -501,6 +527,7 @@ QUERIES = {
     "stream_closed_sessions": (lambda s, d: streams.run(streams.sessions(_stream(s, d)), name="sessions"), streams.CLOSED_SESSIONS_SQL),
     "stream_fold": (lambda s, d: streams.run(streams.folded(_stream(s, d)), "complete", "fold"), queueing.FOLD_SQL),
     "stream_pacing": (stream_pacing, None),
+    "stream_late_days": (stream_late_days, late.LATE_SQL),
     "stream_tumbling": (lambda s, d: streams.tumbling(load(s, d, "events")), streams.TUMBLING_SQL),
     "stream_sliding": (lambda s, d: streams.sliding(load(s, d, "events")), streams.SLIDING_SQL),
     "stream_sessions": (lambda s, d: streams.sessions(load(s, d, "events")), streams.SESSIONS_SQL),
