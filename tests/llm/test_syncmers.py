@@ -32,7 +32,7 @@ def units(text):
 
 
 def shared(a, b):
-    hashes = lambda f: {x.split(":")[1] for x in f.split(",") if x}
+    hashes = lambda f: {int(x) & syncmers.LOW for x in f.split(",") if x}
     a, b = hashes(a), hashes(b)
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
@@ -59,22 +59,23 @@ def test_anchors_are_the_closed_syncmers(spark):
     """The runs of five units whose least run of two, by Spark's own hash, is their first or last one."""
     rows = [(i, t) for i, t in enumerate(["the quick brown fox jumps over the lazy dog " * 5, "a b", "", None, "雨が 降る日は家で本を読む", "x" * 100, "A b C d E f"])]
     df = spark.createDataFrame(rows, "i int, text string")
-    hashed = df.select("i", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(syncmers.UNITS), F.lit(0)).alias("w")).select("i", "w", *[F.expr(f"transform(sequence(1, greatest(1, size(w) - {n - 1})), i -> xxhash64(slice(w, i, {n})))").alias(f"h{n}") for n in (2, 5)], F.xxhash64("w").alias("all"))
+    runs = lambda n: F.expr(f"transform(sequence(0, greatest(0, size(w) - {n})), i -> xxhash64(get(w, i), get(w, i + 1)))")
+    hashed = df.select("i", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(syncmers.UNITS), F.lit(0)).alias("w")).select("i", "w", runs(2).alias("h"), F.xxhash64("w").alias("all"))
+    hashed = hashed.withColumn("five", F.expr("transform(sequence(0, greatest(0, size(h) - 4)), i -> xxhash64(get(h, i), get(h, i + 2), get(h, i + 3)))"))
     got = {r.i: r.f for r in df.select("i", syncmers.shown(syncmers.anchors(F.col("text"))).alias("f")).collect()}
     for r in hashed.collect():
         assert r.w == units(rows[r.i][1])
         if len(r.w) < 5:
-            want = [f"0:{r['all'] & syncmers.LOW:08x}"] if r.w else []
+            want = [r["all"] & syncmers.LOW] if r.w else []
         else:
-            runs = [(i, r.h2[i : i + 4]) for i in range(len(r.w) - 4)]
-            want = [f"{i}:{r.h5[i] & syncmers.LOW:08x}" for i, h in runs if min(h) in (h[0], h[-1])]
-        assert got[r.i] == ",".join(want)
+            want = [(i << 32) + (r.five[i] & syncmers.LOW) for i in range(len(r.w) - 4) if min(r.h[i : i + 4]) in (r.h[i], r.h[i + 3])]
+        assert got[r.i] == ",".join(map(str, want))
 
 
 def test_an_edit_leaves_the_anchors_beside_it(spark):
     before, after = " ".join(f"w{i}" for i in range(400)), " ".join("new" if i == 200 else f"w{i}" for i in range(400))
     a, b = (x.f.split(",") for x in spark.createDataFrame([(before,), (after,)], "t string").select(syncmers.shown(syncmers.anchors(F.col("t"))).alias("f")).collect())
-    assert all(abs(int(x.split(":")[0]) - 198) <= 5 for x in set(a) ^ set(b)) and len(set(a) & set(b)) > 150
+    assert all(abs((int(x) >> 32) - 198) <= 5 for x in set(a) ^ set(b)) and len(set(a) & set(b)) > 150
 
 
 @pytest.mark.parametrize("cell_rows", [1, 3, 1000])
@@ -88,9 +89,9 @@ def test_a_hot_id_is_cut_and_loses_no_row(spark):
     df = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     cells = syncmers.with_next(df, cell_rows=100).where("__copy = 0").groupBy("__cell").count().collect()
     assert len(cells) > 20 and max(r["count"] for r in cells) < 300 and sum(r["count"] for r in cells) == 3000
-    got = syncmers.edited(df, cell_rows=100).select("text", "edited_text", "next_anchors").collect()
+    got = syncmers.edited(df, cell_rows=100).select("text", "edited_text", "next_hashes").collect()
     assert len(got) == 3000
-    following = Counter(tuple(r.next_anchors) for r in got)
+    following = Counter(tuple(r.next_hashes) for r in got)
     assert max(following.values()) == 1  # each row follows one other row
 
 
