@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -166,40 +165,3 @@ def folded(events: DataFrame) -> DataFrame:
 
 
 FOLD_SQL = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS changed_at, count(*) AS events FROM events GROUP BY user_id"
-
-
-def paced(answers: DataFrame, base: float = 0.15, top: float = 30.0) -> DataFrame:
-    """Per host, the crawl delay and concurrency after all its answers in order.
-
-    A host's answers meet in one task, sorted by time and id, and pass by one small state;
-    no array holds them. An answer without a status changes nothing.
-    """
-    host = answers.schema["host"].dataType.simpleString()
-    ordered = answers.select("host", "ts", "event_id", "status_code").repartition("host").sortWithinPartitions("host", "ts", "event_id").select("host", "status_code")
-    end = ordered.mapInArrow(_pacer(base, top), f"host {host}, delay double, scale double, throttled bigint")
-    return end.select("host", F.round("delay", 6).alias("delay"), F.round("scale", 6).alias("scale"), "throttled")
-
-
-def _pacer(base: float, top: float):
-    def fold(batches):
-        state, kind = None, None
-        for batch in batches:
-            done, kind = [], batch.schema.field("host").type
-            for host, status in zip(batch.column("host").to_pylist(), batch.column("status_code").to_pylist()):
-                if state is None or host != state[0]:
-                    done += [state] if state else []
-                    state = [host, base, 1.0, 0]
-                if status in (429, 503):
-                    state[1:] = min(top, max(state[1], base, 0.25) * 2), max(0.25, state[2] / 2), state[3] + 1
-                elif status is not None and status < 400:
-                    state[1:3] = max(base, state[1] * 0.8), min(1.0, state[2] + 0.1)
-            if done:
-                yield rows(done, kind)
-        if state:
-            yield rows([state], kind)
-
-    def rows(done, kind):
-        columns = [pa.array(c, t) for c, t in zip(zip(*done), (kind, pa.float64(), pa.float64(), pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["host", "delay", "scale", "throttled"])
-
-    return fold

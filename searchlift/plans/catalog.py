@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
-from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, governance, inspection, loading, measurement, policy, queueing, reconcile, reports, targets
+from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, governance, inspection, loading, measurement, pacing, policy, queueing, reconcile, reports, targets
 from searchlift.sources import samples, tables
 from searchlift.sources.staging import shared_dir
 from searchlift.sources.tables import load
@@ -147,14 +147,8 @@ def _stream(s, d):
     return streams.read(s, f"{d}/events.parquet")
 
 
-def _answered(events):
-    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 404).otherwise(200)
-    return events.select((F.col("user_id") % 40).alias("host"), "ts", "event_id", status.alias("status_code"))
-
-
 def stream_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.run(streams.paced(_answered(_stream(spark, sf_dir))), "update", "pacing")
-    return out.groupBy("host").agg(F.max_by(F.struct("delay", "scale", "throttled"), "throttled").alias("s")).select("host", "s.*")
+    return streams.paced(pacing.sample_answers(_stream(spark, sf_dir)), f"{shared_dir(spark)}/pacing-{uuid.uuid4().hex}")
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,10 +228,6 @@ CONTENT_CANDIDATES_SQL = f"""WITH d AS ({content.decay_sql()}), o AS ({facts.OPP
 SELECT * FROM c ORDER BY priority DESC, confidence DESC, candidate_key LIMIT 100"""
 
 
-def paced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queueing.paced(_answered(load(spark, sf_dir, "events")))
-
-
 def search_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = targets.mixed_opportunities(facts.opportunities(_facts(spark, sf_dir)), inspection.opportunities(_inspected(spark, sf_dir)))
     return targets.search_targets(found, _pages(spark, sf_dir), "shop.example.com")
@@ -473,7 +463,7 @@ QUERIES = {
     "inspection_url_errors": (inspection_url_errors, INSPECTION_URL_SQL),
     "job_reservations": (lambda s, d: queueing.reservations(tables.jobs(s, d), load(s, d, "customer")), queueing.RESERVATIONS_SQL),
     "event_fold": (lambda s, d: queueing.folded(load(s, d, "events")), queueing.FOLD_SQL),
-    "crawl_pacing": (paced, None),
+    "crawl_pacing": (lambda s, d: pacing.paced(pacing.sample_answers(load(s, d, "events"))), pacing.PACED_SQL),
     "term_counts": (lambda s, d: content.term_counts(_texts(s, d)), content.term_counts_sql(content.PAGE_TEXTS_SQL)),
     "page_topics": (lambda s, d: content.topics(_texts(s, d)), content.topics_sql(content.PAGE_TEXTS_SQL)),
     "page_entities": (lambda s, d: content.page_entities(content.page_names(_pages(s, d))), content.ENTITIES_SQL),
@@ -526,7 +516,7 @@ QUERIES = {
     "stream_closed_days": (lambda s, d: streams.run(streams.tumbling(_stream(s, d)), name="days"), streams.CLOSED_SQL),
     "stream_closed_sessions": (lambda s, d: streams.run(streams.sessions(_stream(s, d)), name="sessions"), streams.CLOSED_SESSIONS_SQL),
     "stream_fold": (lambda s, d: streams.run(streams.folded(_stream(s, d)), "complete", "fold"), queueing.FOLD_SQL),
-    "stream_pacing": (stream_pacing, None),
+    "stream_pacing": (stream_pacing, pacing.PACED_SQL),
     "stream_late_days": (stream_late_days, late.LATE_SQL),
     "stream_tumbling": (lambda s, d: streams.tumbling(load(s, d, "events")), streams.TUMBLING_SQL),
     "stream_sliding": (lambda s, d: streams.sliding(load(s, d, "events")), streams.SLIDING_SQL),

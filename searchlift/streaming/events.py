@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchlift.functions.folds import line, on_line
+from searchlift.operators import pacing
 from searchlift.sources.staging import shared_dir
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -89,24 +90,28 @@ def folded(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("changed_at"), F.count("*").alias("events"))
 
 
-PACER = "host long, delay double, scale double, throttled long"
+def paced(answers: DataFrame, root: str, base: float = 0.15, top: float = 30.0) -> DataFrame:
+    """Crawl pacing of a stream of answers: the state of each host after all that is available, kept under root.
 
-
-def paced(answers: DataFrame, base: float = 0.15, top: float = 30.0) -> DataFrame:
-    """Crawl pacing as a stateful operator: per host the delay, scale and throttled answers after each micro-batch (host, ts, event_id, status_code).
-
-    The state outlives batches and restarts; inside a batch answers count in order of time and id.
+    A micro-batch folds its own answers to one step for each host, in pieces, and applies it to the
+    states of the batch before; its states have a folder of their own that is overwritten if the batch is
+    run again. Inside a batch answers count in order of time and id.
     """
-
-    def fold(key, batches, state):
-        delay, scale, throttled = state.get if state.exists else (base, 1.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for code in rows["status_code"]:
-            if code in (429, 503):
-                delay, scale, throttled = min(top, max(delay, base, 0.25) * 2), max(0.25, scale / 2), throttled + 1
-            elif code == code and code is not None and code < 400:
-                delay, scale = max(base, delay * 0.8), min(1.0, scale + 0.1)
-        state.update((delay, scale, throttled))
-        yield pd.DataFrame({"host": [key[0]], "delay": [delay], "scale": [scale], "throttled": [throttled]})
-
-    return answers.groupBy("host").applyInPandasWithState(fold, PACER, "delay double, scale double, throttled long", "update", "NoTimeout")
+    spark = answers.sparkSession
+    state = lambda number: f"{root}/state/batch={number}"
+
+    def one(batch: DataFrame, number: int) -> None:
+        steps = pacing.host_steps(batch, base, top)
+        if number:
+            before = spark.read.parquet(state(number - 1))
+            joined = before.join(steps, before["host"].eqNullSafe(steps["host"]), "full").select(F.coalesce(before["host"], steps["host"]).alias("host"), "delay", "scale", "throttled", "step")
+        else:
+            joined = steps.select("host", *[F.lit(None).cast(t).alias(c) for c, t in (("delay", "double"), ("scale", "double"), ("throttled", "bigint"))], "step")
+        old = {"delay": F.coalesce("delay", F.lit(float(base))), "scale": F.coalesce("scale", F.lit(1.0)), "throttled": F.coalesce("throttled", F.lit(0).cast("bigint"))}
+        s = F.coalesce(F.col("step"), F.struct(line().alias("delay"), line().alias("scale"), F.lit(0).cast("bigint").alias("throttled")))
+        after = joined.select("host", on_line(s.delay, old["delay"]).alias("delay"), on_line(s.scale, old["scale"]).alias("scale"), (old["throttled"] + s.throttled).alias("throttled"))
+        after.write.mode("overwrite").parquet(state(number))
+        spark.createDataFrame([(number,)], "last long").write.mode("overwrite").parquet(f"{root}/newest")
+
+    answers.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(one).trigger(availableNow=True).start().awaitTermination()
+    return pacing.shown(spark.read.parquet(state(spark.read.parquet(f"{root}/newest").first()[0])))

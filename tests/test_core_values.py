@@ -11,52 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchlift.functions.text import STOPWORDS
-from searchlift.operators import citations, content, queueing, reconcile
+from searchlift.operators import citations, content, reconcile
 from searchlift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
 
-class Pacer:
-    """Delay, scale and throttled answers of one host, one answer at a time."""
-
-    def __init__(self, base=0.15, top=30.0):
-        self.base, self.top, self.delay, self.scale, self.throttled = base, top, base, 1.0, 0
-
-    def record(self, status):
-        if status in (429, 503):
-            self.throttled += 1
-            self.delay = min(self.top, 2 * max(self.delay, self.base, 0.25))
-            self.scale = max(0.25, self.scale / 2)
-        elif status < 400:
-            self.delay = max(self.base, 0.8 * self.delay)
-            self.scale = min(1.0, self.scale + 0.1)
-
-
-def paced_by_hand(answers):
-    hosts = {}
-    for host, _, _, status in sorted(answers, key=lambda a: (a[1], a[2])):
-        hosts.setdefault(host, Pacer()).record(status)
-    return {h: (pytest.approx(p.delay, abs=1e-6), pytest.approx(p.scale, abs=1e-6), p.throttled) for h, p in hosts.items()}
-
-
-def test_pacing_carries_over_hours(spark):
-    at = datetime.datetime(2024, 1, 1)
-    codes = [429, 503, 200, 404, 429, 200, 200, 429, 429, 429, 429, 429, 429, 429, 200]
-    answers = [(h, at + datetime.timedelta(minutes=50 * (i // 2)), 100 - i, codes[(i * (h + 1)) % len(codes)]) for h in range(3) for i in range(40)]
-    df = spark.createDataFrame(answers, "host long, ts timestamp, event_id long, status_code int").repartition(5)
-    out = queueing.paced(df).collect()
-    assert len(out) == 3 and {r.host: (r.delay, r.scale, r.throttled) for r in out} == paced_by_hand(answers)
-
-
-def test_pacing_of_the_table(spark):
-    status = {"error": 429, "signup": 404}
-    events = spark.read.parquet(f"{SF}/events.parquet").collect()
-    out = catalog.queries()["crawl_pacing"](spark, SF).collect()
-    want = paced_by_hand([(e.user_id % 40, e.ts, e.event_id, status.get(e.event_type, 200)) for e in events])
-    assert len(out) == len(want) and {r.host: (r.delay, r.scale, r.throttled) for r in out} == want
-
-
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()
