@@ -14,7 +14,7 @@ from searchlift.sources.staging import shared_dir
 from searchlift.sources.tables import load
 from searchlift.sources.versions import VersionedTable
 from searchlift.streaming import events as streams
-from searchlift.streaming import late
+from searchlift.streaming import late, leases
 
 
 def _facts(s, d):
@@ -517,6 +517,7 @@ QUERIES = {
     "stream_closed_sessions": (lambda s, d: streams.run(streams.sessions(_stream(s, d)), name="sessions"), streams.CLOSED_SESSIONS_SQL),
     "stream_fold": (lambda s, d: streams.run(streams.folded(_stream(s, d)), "complete", "fold"), queueing.FOLD_SQL),
     "stream_pacing": (stream_pacing, pacing.PACED_SQL),
+    "stream_leases": (lambda s, d: leases.run(leases.sample_events(_stream(s, d))), leases.LEASES_SQL),
     "stream_late_days": (stream_late_days, late.LATE_SQL),
     "stream_tumbling": (lambda s, d: streams.tumbling(load(s, d, "events")), streams.TUMBLING_SQL),
     "stream_sliding": (lambda s, d: streams.sliding(load(s, d, "events")), streams.SLIDING_SQL),

@@ -61,14 +61,14 @@ def cooled_down(events: DataFrame, within: str = "24 hours") -> DataFrame:
     return _marked(events, within).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
-def run(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", name: str = "stream", root: str | None = None) -> DataFrame:
     """Drive all that is available through a stream into a table of the shared folder, and read it.
 
     Each micro-batch has a folder of its own that is overwritten if the batch is run again, so a
-    restart writes nothing twice. In mode complete the newest batch is the table.
+    restart writes nothing twice; with a root of its own a stream goes on where it stopped. In mode complete the newest batch is the table.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import re
 from collections import Counter
 from itertools import combinations
