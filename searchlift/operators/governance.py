@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from searchlift.functions.folds import ordered_fold
 from searchlift.operators.content import PAGE_TEXTS_SQL, RECOMMEND_SQL, decay_sql, gain_sql
 from searchlift.operators.measurement import OUTCOMES_SQL
 from searchlift.operators.policy import LIMITS, PLANS
@@ -122,6 +123,58 @@ m AS (SELECT *, CASE WHEN v = e THEN CASE {moved} END END AS t FROM a)
 SELECT action_id, event, from_status, coalesce(t, from_status) AS status, v + CAST(t IS NOT NULL AS INT) AS version, CASE WHEN t IS NOT NULL THEN 'moved' WHEN v <> e THEN 'stale' ELSE 'refused' END AS outcome FROM m"""
 
 
+def event_moves() -> Column:
+    """event, expected_version -> the moves that the event makes: from a status and version to the ones after it."""
+    move = lambda frm, to: F.struct(F.lit(frm).alias("status"), F.col("expected_version").cast("bigint").alias("version"), F.lit(to).alias("to_status"), (F.col("expected_version") + 1).cast("bigint").alias("to_version"))
+    none = F.array().cast("array<struct<status: string, version: bigint, to_status: string, to_version: bigint>>")
+    return F.when(F.col("expected_version").isNull(), none).otherwise(F.coalesce(*[F.when(F.col("event") == e, F.array(*[move(s, to) for s in states])) for e, states, to in MOVES], none))
+
+
+def all_moves(first: Column, then: Column) -> Column:
+    """The table of both tables' moves, one after the other; what neither names stays as it is."""
+    after = lambda e: F.get(F.filter(then, lambda t: (t.status == e.to_status) & (t.version == e.to_version)), 0)
+    moved = lambda e, t: F.struct(e.status.alias("status"), e.version.alias("version"), F.coalesce(t.to_status, e.to_status).alias("to_status"), F.coalesce(t.to_version, e.to_version).alias("to_version"))
+    went_on = F.transform(first, lambda e: F.get(F.transform(F.array(after(e)), lambda t: moved(e, t)), 0))
+    return F.concat(went_on, F.filter(then, lambda t: ~F.exists(first, lambda e: (e.status == t.status) & (e.version == t.version))))
+
+
+def histories(actions: DataFrame, log: DataFrame) -> DataFrame:
+    """actions (action_id, status, version) after a log of events (action_id, seq, event, expected_version) of any length, in order of seq.
+
+    An event is a table of moves, and tables compose, so a long log is folded in pieces of 64 events
+    (functions.folds). An event of another version than the action's, without one, or that its status does not
+    allow moves nothing; equal places of a log count in any order; events of unknown actions are left out.
+    """
+    tables = ordered_fold(log, ["action_id"], ["seq"], event_moves(), all_moves, piece=64)
+    found = F.get(F.filter("step", lambda m: (m.status == F.col("status")) & (m.version == F.col("version"))), 0)
+    j = actions.join(tables, "action_id", "left").withColumn("to", found)
+    after = F.coalesce(F.col("to.to_version"), F.col("version").cast("bigint"))
+    return j.select("action_id", F.coalesce("to.to_status", "status").alias("status"), after.alias("version"), (after - F.col("version")).alias("moves"))
+
+
+#: The events of a sample action's life, in order.
+LIFE = ("propose", "approve", "queue", "start", "validate", "succeed", "queue_rollback")
+
+
+def sample_log(orders: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Orders as drafts, their lines as the events of a life; some lines cancel or fail instead, some name an older or newer version."""
+    i, part = F.col("l_linenumber"), F.col("l_partkey")
+    event = F.when(part % 19 == 0, "cancel").when(part % 17 == 0, "fail").otherwise(F.element_at(F.array(*[F.lit(e) for e in LIFE]), ((i - 1) % len(LIFE) + 1).cast("int")))
+    version = F.when(part % 13 == 0, i - 1).when(part % 11 == 0, i + 1).otherwise(i)
+    log = lines.select(F.col("l_orderkey").alias("action_id"), (i * 10**10 + part).alias("seq"), event.alias("event"), version.alias("expected_version"))
+    return orders.select(F.col("o_orderkey").alias("action_id"), F.lit("draft").alias("status"), F.lit(1).alias("version")), log
+
+
+def histories_sql() -> str:
+    moved = " ".join(f"WHEN event = '{e}' AND status IN ({', '.join(f"'{x}'" for x in froms)}) THEN '{to}'" for e, froms, to in MOVES)
+    life = ", ".join(f"'{e}'" for e in LIFE)
+    return f"""WITH RECURSIVE e AS (SELECT l_orderkey AS action_id, CASE WHEN l_partkey % 19 = 0 THEN 'cancel' WHEN l_partkey % 17 = 0 THEN 'fail' ELSE list_extract([{life}], CAST((l_linenumber - 1) % {len(LIFE)} AS INT) + 1) END AS event,
+ CASE WHEN l_partkey % 13 = 0 THEN l_linenumber - 1 WHEN l_partkey % 11 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS expected, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
+walk AS (SELECT o_orderkey AS action_id, CAST(0 AS BIGINT) AS i, 'draft' AS status, CAST(1 AS BIGINT) AS version FROM orders
+UNION ALL SELECT action_id, i, coalesce(t, status), version + CAST(t IS NOT NULL AS BIGINT) FROM (SELECT w.action_id, e.i, w.status, w.version, CASE WHEN e.expected = w.version THEN CASE {moved} END END AS t FROM walk w JOIN e ON e.action_id = w.action_id AND e.i = w.i + 1))
+SELECT action_id, status, version, version - 1 AS moves FROM walk QUALIFY row_number() OVER (PARTITION BY action_id ORDER BY i DESC) = 1"""
+
+
 def due(measured: DataFrame, actions: DataFrame, most: int = 50) -> DataFrame:
     """Actions with measurements that are still open, those not checked for longest first (never checked ones before all)."""
     open_ = measured.where(F.col("status").isin("baseline_pending", "waiting")).groupBy("action_id").agg(F.count("*").alias("open"))

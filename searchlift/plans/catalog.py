@@ -503,6 +503,7 @@ QUERIES = {
     "fix_governance": (lambda s, d: policy.fixes(_actions(s, d)), policy.FIXES_SQL),
     "action_targets": (lambda s, d: governance.named_targets(governance.sample_plans(load(s, d, "orders"))), governance.TARGETS_SQL),
     "action_transitions": (lambda s, d: governance.transitions(*governance.sample_moves(load(s, d, "orders"))), governance.moves_sql()),
+    "action_histories": (lambda s, d: governance.histories(*governance.sample_log(load(s, d, "orders"), load(s, d, "lineitem"))), governance.histories_sql()),
     "actions_due": (actions_due, governance.DUE_SQL),
     "action_backfill": (action_backfill, governance.BACKFILL_SQL),
     "content_actions": (content_actions, governance.CONTENT_ACTIONS_SQL),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchlift.functions import folds
-from searchlift.operators import pacing
+from searchlift.operators import governance, pacing
 from searchlift.streaming import events as streams
 
 AT = datetime.datetime(2024, 1, 1)
@@ -87,3 +87,27 @@ def test_a_stream_of_answers_carries_its_states(spark, tmp_path):
         spark.createDataFrame(answers[i : i + 100], ANSWER).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     assert found(streams.paced(read(), root)) == by_hand(answers)
     assert found(streams.paced(read(), root)) == by_hand(answers)
+
+
+def history(action, events):
+    status, version = action
+    for event, expected in events:
+        to = next((to for e, froms, to in governance.MOVES if e == event and status in froms), None)
+        if to and expected == version:
+            status, version = to, version + 1
+    return status, version, version - action[1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_histories_of_any_length(spark, seed):
+    draw = random.Random(seed)
+    names = [m[0] for m in governance.MOVES] + ["unknown"]
+    events = [(draw.choice((1, 1, 1, 2, 3, None)), i, draw.choice(names), draw.choice((1, 2, 2, 3, 4, 5, 6, None))) for i in range(900)]
+    life = [(4, 10 * i, e, i + 1) for i, e in enumerate(("propose", "approve", "queue", "start", "validate", "succeed", "queue_rollback", "roll_back", "rolled_back", "cancel"))]
+    log = spark.createDataFrame(draw.sample(events + life, 910), "action_id long, seq long, event string, expected_version int").repartition(3)
+    actions = {1: ("draft", 1), 2: ("draft", 2), 3: ("executing", 3), 4: ("draft", 1), 9: ("approved", 7)}
+    df = spark.createDataFrame([(k, *v) for k, v in actions.items()], "action_id long, status string, version int")
+    want = {k: history(v, [(e, x) for a, _, e, x in sorted(events + life, key=lambda e: e[1]) if a == k]) for k, v in actions.items()}
+    got = {r.action_id: (r.status, r.version, r.moves) for r in governance.histories(df, log).collect()}
+    assert got == want and got[4] == ("rolled_back", 10, 9)
+    assert {r.action_id: r.status for r in governance.histories(df, log.where("false")).collect()} == {k: v[0] for k, v in actions.items()}
