@@ -18,17 +18,18 @@ def flattened(payloads: DataFrame) -> DataFrame:
     Missing and empty values are null (the verdict VERDICT_UNSPECIFIED), long ones are cut to their
     column, lists to their first hundred; what is no list counts as an empty one, what is no object as nothing.
     """
-    at = lambda name: F.get_json_object("payload", f"$.indexStatusResult.{name}")
+    v = F.col("__v")
+    at = lambda name, kind="string": F.try_variant_get(v, f"$.indexStatusResult.{name}", kind)
     texts = [F.substring(F.nullif(at(source), F.lit("")), 1, size).alias(name) for name, (source, size) in TEXTS.items()]
-    listed = lambda source, name: F.transform(F.slice(F.coalesce(F.from_json(at(source), "array<string>"), F.array().cast("array<string>")), 1, LISTED), lambda u: F.substring(u, 1, 2048)).alias(name)
-    out = payloads.select("inspection_url", "ts", "event_id", *texts, F.try_to_timestamp(F.replace(at("lastCrawlTime"), F.lit("Z"), F.lit("+00:00"))).alias("last_crawl_time"), listed("referringUrls", "referring_urls"), listed("sitemap", "sitemap_urls"))
+    listed = lambda source, name: F.transform(F.slice(F.coalesce(at(source, "array<string>"), F.array().cast("array<string>")), 1, LISTED), lambda u: F.substring(u, 1, 2048)).alias(name)
+    out = payloads.withColumn("__v", F.try_parse_json("payload")).select("inspection_url", "ts", "event_id", *texts, F.try_to_timestamp(F.replace(at("lastCrawlTime"), F.lit("Z"), F.lit("+00:00"))).alias("last_crawl_time"), listed("referringUrls", "referring_urls"), listed("sitemap", "sitemap_urls"))
     return out.withColumn("verdict", F.coalesce("verdict", F.lit("VERDICT_UNSPECIFIED")))
 
 
 def inspected(payloads: DataFrame) -> DataFrame:
-    """The latest result per URL."""
+    """The latest result per URL: ranked first, so that only the payloads that stay are parsed, each once."""
     w = Window.partitionBy("inspection_url").orderBy(F.desc("ts"), F.desc("event_id"))
-    return flattened(payloads).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "event_id")
+    return flattened(payloads.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")).drop("event_id")
 
 
 def inspected_rows(results: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Action types and path markers of the policy.
 HIGH_RISK = ("domain_migration", "sitewide_redirect", "robots_update", "bulk_noindex", "delete_content", "canonical_bulk", "template_rewrite")
@@ -115,3 +116,40 @@ def rate_limited(events: DataFrame, most: int = 5) -> DataFrame:
 
 
 RATE_SQL = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) >= 5 AS rejected FROM events GROUP BY ALL"
+
+
+DAY, SIX_HOURS = 24 * 3600 * 10**6, 6 * 3600 * 10**6
+
+
+def audit_requests(requests: DataFrame, most: int = 5) -> DataFrame:
+    """requests (request_id, requester, email, domain, ts) -> recent, limited and duplicate_of.
+
+    recent: requests of the same requester in the 24 hours before; limited from `most` on, never without a requester. duplicate_of:
+    the last request for the same address and domain in the six hours before. Requests of one moment
+    do not see each other. Windows hold one day of a requester with the day before, however many there are.
+    """
+    at = requests.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
+
+    def before(rows: DataFrame, keys: list[str], span: int, of) -> DataFrame:
+        # Each row is in the window of its own span and, to be seen, in that of the span after.
+        cell = F.floor(F.col("__at") / span)
+        place = lambda c, own: F.struct(c.alias("__cell"), F.lit(own).alias("__own"))
+        spread = rows.select("*", F.inline(F.array(place(cell, True), place(cell + 1, False))))
+        w = Window.partitionBy(*keys, "__cell").orderBy("__at").rangeBetween(-span, -1)
+        return spread.withColumns({name: f.over(w) for name, f in of.items()}).where("__own").drop("__cell", "__own")
+
+    counted = before(at, ["requester"], DAY, {"recent": F.count("*")})
+    seen = before(counted, ["email", "domain"], SIX_HOURS, {"__last": F.max(F.struct("__at", "request_id"))})
+    recent = F.when(F.col("requester").isNull(), 0).otherwise(F.col("recent"))
+    return seen.select("request_id", "requester", "ts", recent.alias("recent"), (recent >= most).alias("limited"), F.col("__last.request_id").alias("duplicate_of"))
+
+
+def sample_requests(events: DataFrame) -> DataFrame:
+    """Events as requests: ten users share an address book, an event's type is the domain; every seventh user hides who asks."""
+    return events.select(F.col("event_id").alias("request_id"), F.when(F.col("user_id") % 7 > 0, F.col("user_id")).alias("requester"), (F.col("user_id") % 15).alias("email"), F.col("event_type").alias("domain"), "ts")
+
+
+REQUESTS_SQL = """WITH r AS (SELECT event_id AS request_id, CASE WHEN user_id % 7 > 0 THEN user_id END AS requester, user_id % 15 AS email, event_type AS domain, ts FROM events),
+w AS (SELECT *, CASE WHEN requester IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY requester ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) END AS recent,
+ arg_max(request_id, (ts, request_id)) OVER (PARTITION BY email, domain ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS duplicate_of FROM r)
+SELECT request_id, requester, ts, recent, recent >= 5 AS limited, duplicate_of FROM w"""

@@ -514,6 +514,7 @@ QUERIES = {
     "content_runs": (content_runs, CONTENT_RUNS_SQL),
     "usage_quota": (lambda s, d: policy.usage(load(s, d, "orders"), load(s, d, "customer")), policy.USAGE_SQL),
     "audit_rate_limit": (lambda s, d: policy.rate_limited(load(s, d, "events")), policy.RATE_SQL),
+    "audit_requests": (lambda s, d: policy.audit_requests(policy.sample_requests(load(s, d, "events"))), policy.REQUESTS_SQL),
     "stream_closed_days": (lambda s, d: streams.run(streams.tumbling(_stream(s, d)), name="days"), streams.CLOSED_SQL),
     "stream_closed_sessions": (lambda s, d: streams.run(streams.sessions(_stream(s, d)), name="sessions"), streams.CLOSED_SESSIONS_SQL),
     "stream_fold": (lambda s, d: streams.run(streams.folded(_stream(s, d)), "complete", "fold"), queueing.FOLD_SQL),

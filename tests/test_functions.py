@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, text, urls
-from searchlift.operators import findings, loading, measurement
+from searchlift.operators import findings, loading, measurement, policy
 from searchlift.sources import sinks, staging
 from searchlift.streaming import events as streams
 
@@ -172,3 +172,20 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError):
         staging.shared_dir(Session)
+
+
+def test_moving_limits_at_the_borders_of_days(spark):
+    at = datetime.datetime(2024, 1, 1, 20)
+    hour = datetime.timedelta(hours=1)
+    rng = random.Random(4)
+    rows = [(i, rng.choice(("a", "b", None)), rng.choice(("x", "y")), "d", at + rng.randrange(0, 80) * hour) for i in range(120)]
+    rows += [(900, "edge", "e", "d", at), (901, "edge", "e", "d", at + 6 * hour), (902, "edge", "e", "d", at + 24 * hour), (903, "edge", "e", "d", None)]
+    got = {r.request_id: r for r in policy.audit_requests(spark.createDataFrame(rows, "request_id long, requester string, email string, domain string, ts timestamp")).collect()}
+    assert len(got) == len(rows)
+    for i, who, email, _, ts in rows:
+        if ts is None:
+            assert (got[i].recent, got[i].duplicate_of) == (0, None)
+            continue
+        recent = 0 if who is None else sum(w == who and t is not None and ts - 24 * hour <= t < ts for _, w, _, _, t in rows)
+        same = [(t, j) for j, _, e, _, t in rows if e == email and t is not None and ts - 6 * hour <= t < ts]
+        assert (got[i].recent, got[i].limited, got[i].duplicate_of) == (recent, recent >= 5, max(same)[1] if same else None)
