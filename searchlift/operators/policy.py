@@ -126,7 +126,7 @@ def audit_requests(requests: DataFrame, most: int = 5) -> DataFrame:
 
     recent: requests of the same requester in the 24 hours before; limited from `most` on, never without a requester. duplicate_of:
     the last request for the same address and domain in the six hours before. Requests of one moment
-    do not see each other. Windows hold one day of a requester with the day before, however many there are.
+    do not see each other, and those without a time see none. Windows hold one day of a requester with the day before, however many there are.
     """
     at = requests.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
 
@@ -140,8 +140,8 @@ def audit_requests(requests: DataFrame, most: int = 5) -> DataFrame:
 
     counted = before(at, ["requester"], DAY, {"recent": F.count("*")})
     seen = before(counted, ["email", "domain"], SIX_HOURS, {"__last": F.max(F.struct("__at", "request_id"))})
-    recent = F.when(F.col("requester").isNull(), 0).otherwise(F.col("recent"))
-    return seen.select("request_id", "requester", "ts", recent.alias("recent"), (recent >= most).alias("limited"), F.col("__last.request_id").alias("duplicate_of"))
+    recent = F.when(F.col("requester").isNull() | F.col("__at").isNull(), 0).otherwise(F.col("recent"))
+    return seen.select("request_id", "requester", "ts", recent.alias("recent"), (recent >= most).alias("limited"), F.when(F.col("__at").isNotNull(), F.col("__last.request_id")).alias("duplicate_of"))
 
 
 def sample_requests(events: DataFrame) -> DataFrame:
