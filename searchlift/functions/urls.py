@@ -1,15 +1,14 @@
-"""URL algebra: expressions where SQL can state them, one Arrow UDF for full normalisation."""
+"""URL algebra as expressions: keys, resolution of references, normalisation of links."""
 
 from __future__ import annotations
 
 import posixpath
 import re
+from collections.abc import Callable
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: File extensions that are no pages, and parameters that only track.
 SKIPPED = tuple(
@@ -69,10 +68,94 @@ def normalised(raw: str | None, base: str, site: str) -> str | None:
     return urlunsplit((parts.scheme, netloc, clean, urlencode(query), ""))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def normalise_links(links: pd.Series, base: pd.Series, site: pd.Series) -> pd.Series:
+#: Scheme, mark of an authority, authority, path, mark of a query, query, fragment with its mark.
+REFERENCE = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(//)?((?<=//)[^/?#]*)?([^?#]*)(\?)?((?<=\?)[^#]*)?(#.*)?$"
+PARTS = ("scheme", "rooted", "authority", "path", "asked", "query", "fragment")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _parts(url: Column) -> Column:
+    return F.struct(*[F.regexp_extract(url, REFERENCE, i + 1).alias(name) for i, name in enumerate(PARTS)])
+
+
+def without_dots(path: Column) -> Column:
+    """A rooted path without its . and .. segments; a path that ends in one ends in a slash."""
+
+    def steps(segments: Column) -> Column:
+        up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        walked = F.reduce(F.slice(segments, F.lit(2), F.size(segments)), F.array().cast("array<string>"), lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+        return F.concat(F.lit("/"), F.array_join(F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"))
+
+    return F.when(F.contains(path, F.lit("/.")), let(F.split(path, "/"), steps)).otherwise(path)
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """The URL that a reference on the page `base` stands for (RFC 3986, 5.2): relative, rooted, without a scheme, or a query or fragment alone.
+
+    A reference of the base's scheme without an authority is relative, as browsers have it; so is an
+    empty authority. Marks of a query or fragment that is empty, and white space around a reference, count nothing.
+    Empty segments of a relative path are left out; a reference with an authority keeps its path.
+    """
+
+    def join(b: Column, r: Column) -> Column:
+        asked = F.when(r.query != "", F.concat(F.lit("?"), r.query)).otherwise("")
+        fragment = F.when(F.length(r.fragment) > 1, r.fragment).otherwise("")
+        relative = (r.authority == "") & ((r.scheme == "") | (F.lower(r.scheme) == F.lower(b.scheme)))
+        merged = F.when(b.path == "", F.concat(F.lit("/"), r.path)).otherwise(F.concat(F.regexp_extract(b.path, "^(.*/)?", 0), r.path))
+        rooted = F.when(F.startswith(r.path, F.lit("/")), r.path).otherwise(F.regexp_replace(merged, "/{2,}", "/"))
+        path = F.when(r.path == "", b.path).otherwise(without_dots(rooted))
+        query = F.when((r.path == "") & (asked == "") & (b.query != ""), F.concat(F.lit("?"), b.query)).otherwise(asked)
+        own = F.concat(F.when(r.scheme == "", b.scheme).otherwise(F.lower(r.scheme)), F.lit(":"), r.rooted, r.authority, r.path, asked, fragment)
+        return F.when(relative, F.concat(b.scheme, F.lit("://"), b.authority, path, query, fragment)).otherwise(own)
+
+    return let(F.struct(_parts(base).alias("b"), _parts(F.trim(reference)).alias("r")), lambda x: join(x.b, x.r))
+
+
+def _query_pairs(query: Column) -> Column:
+    """The pairs of a query that don't track, in order and encoded anew."""
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.struct(plain(F.regexp_extract(x, "^([^=]*)", 1)).alias("k"), plain(F.regexp_extract(x, "^[^=]*=?(.*)$", 1)).alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.startswith(F.lower(p.k), F.lit("utm_")) & ~F.lower(p.k).isin(*sorted(TRACKING)))
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(coded(p.k), F.lit("="), coded(p.v))), "&")
+
+
+NO_PAGE = "^(?:#|mailto:|tel:|javascript:|data:)"
+
+
+def page_link(base: Column, raw: Column, site: Column) -> Column:
+    """`normalised` as an expression: the page a link leads to, in one spelling; null if it leads off the site or to no page."""
+    bare = lambda h: F.regexp_replace(F.regexp_replace(F.lower(h), r"\.+$", ""), r"^www\.", "")
+
+    def spelled(u: Column) -> Column:
+        host, port = F.lower(F.regexp_extract(u.authority, r"^([^:@]+)(?::\d*)?$", 1)), F.regexp_extract(u.authority, r":(\d+)$", 1)
+        path = F.when(u.path == "", "/").otherwise(F.regexp_replace(u.path, "/{2,}", "/"))
+        walked = F.regexp_replace(without_dots(path), "/{2,}", "/")
+        clean = F.when(F.endswith(path, F.lit("/")) | (walked == "/"), walked).otherwise(F.regexp_replace(walked, "/$", ""))
+        usual = F.when(F.lower(u.scheme) == "http", "80").otherwise("443")
+        shown_port = F.when((port != "") & (F.ltrim(port, F.lit("0")) != usual), F.concat(F.lit(":"), F.ltrim(port, F.lit("0")))).otherwise("")
+        query = _query_pairs(u.query)
+        whole = F.concat(F.lower(u.scheme), F.lit("://"), host, shown_port, clean, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+        skipped = F.lower(F.regexp_extract(clean, r"(\.[^./]*)$", 1)).isin(*SKIPPED)
+        fits = F.lower(u.scheme).isin("http", "https") & (host != "") & (bare(host) == bare(site)) & ((port == "") | (port.cast("int") < 65536)) & ~skipped
+        return F.when(fits, whole)
+
+    value = F.trim(raw)
+    return F.when((value != "") & ~F.rlike(value, F.lit(NO_PAGE)), let(_parts(resolved(base, value)), spelled))
+
+
+def external(base: Column, raw: Column) -> Column:
+    """Whether a link leads to a web address at all."""
+    return F.rlike(resolved(base, raw), F.lit("^https?://[^/?#@:]|^https?://[^/?#@]*@[^/?#:]"))
+
+
+def normalise_links(links: Column, base: Column, site: Column) -> Column:
     """The normalised links of a page; what leads off the site is null."""
-    return pd.Series([[normalised(x, b, s) for x in (xs if xs is not None else [])] for xs, b, s in zip(links, base, site, strict=True)])
+    return F.transform(links, lambda x: page_link(base, x, site))
 
 
 def citation_url(url: Column) -> Column:

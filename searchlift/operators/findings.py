@@ -169,10 +169,10 @@ def duplicates(pages: DataFrame, column: str, kind: str) -> DataFrame:
     return p.join(g, ["site", "value"]).select("site", F.lit(kind).alias("finding_type"), "value", "n", "url", F.least(F.lit(80), 15 + 5 * F.col("n")).cast("int").alias("effort"))
 
 
-def duplicates_sql(column: str, kind: str) -> str:
+def duplicates_sql(column: str, kind: str, source: str = "crawled") -> str:
     return f"""WITH {PAGES_SQL}
 SELECT site, '{kind}' AS finding_type, lower(trim({column})) AS value, count(*) OVER g AS n, url, CAST(least(80, 15 + 5 * count(*) OVER g) AS INT) AS effort
-FROM crawled WHERE status_code = 200 AND trim({column}) <> '' WINDOW g AS (PARTITION BY site, lower(trim({column}))) QUALIFY count(*) OVER g >= 2"""
+FROM {source} WHERE status_code = 200 AND trim({column}) <> '' WINDOW g AS (PARTITION BY site, lower(trim({column}))) QUALIFY count(*) OVER g >= 2"""
 
 
 def export_duplicates(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from searchlift.functions import urls
+from searchlift.sources.samples import WOVEN_CTE
 from searchlift.sources.tables import EDGES_SQL, JOBS_SQL, PAGES_SQL
 
 
@@ -55,6 +57,10 @@ LINK_GRAPH_SQL = f"""WITH {PAGES_SQL}, {EDGES_SQL}, ids AS (SELECT site, path, m
 SELECT e.site, s.id AS src_id, d.id AS dst_id FROM edges e JOIN ids s ON e.site = s.site AND e.src = s.path JOIN ids d ON e.site = d.site AND e.dst = d.path WHERE src <> dst"""
 
 
+WOVEN_GRAPH_SQL = f"""WITH {PAGES_SQL}, {WOVEN_CTE}, ids AS (SELECT site, path, min(page_id) AS id FROM woven GROUP BY ALL)
+SELECT e.site, s.id AS src_id, d.id AS dst_id FROM edges e JOIN ids s ON e.site = s.site AND e.src = s.path JOIN ids d ON e.site = d.site AND e.dst = d.path WHERE src <> dst"""
+
+
 def link_totals(pages: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.groupBy("site").agg(F.count("*").alias("links"))
     inn = edges.select("site", F.col("dst").alias("path")).distinct()
@@ -135,3 +141,40 @@ def page_of_rows(pages: DataFrame, number: int = 2, size: int = 25) -> DataFrame
 
 
 PAGINATION_SQL = f"WITH {PAGES_SQL} SELECT page_id, url, word_count FROM crawled ORDER BY word_count DESC, page_id LIMIT 25 OFFSET 25"
+
+
+def link_split(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, site, robots, links) -> the distinct pages of the site that a page links to, and how often it links elsewhere.
+
+    What can't be spelled as a page of the site but is a web address counts as external, each time, files and
+    mere fragments of the page itself too; a page
+    whose robots say nofollow has neither. Links are resolved against the page's URL by expressions.
+    """
+    follow = ~F.contains(F.lower(F.coalesce("robots", F.lit(""))), F.lit("nofollow"))
+    spelled = F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.struct(urls.page_link(F.col("url"), x, F.col("site")).alias("page"), urls.external(F.col("url"), x).alias("web")))
+    p = pages.select("page_id", F.when(follow, spelled).otherwise(F.array().cast("array<struct<page: string, web: boolean>>")).alias("s"))
+    inside = F.array_sort(F.array_distinct(F.transform(F.filter("s", lambda x: x.page.isNotNull()), lambda x: x.page)))
+    return p.select("page_id", inside.alias("internal"), F.size(F.filter("s", lambda x: x.page.isNull() & x.web)).alias("external"))
+
+
+def link_split_rows(split: DataFrame) -> DataFrame:
+    return split.select("page_id", F.size("internal").alias("internal"), "external", F.sha2(F.array_join("internal", "|"), 256).alias("internal_sha256"))
+
+
+#: Pages as far as links and canonicals go: scheme and host, folder of the path, and the path.
+_PLACES_CTE = r"places AS (SELECT page_id, url, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS root, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^(.*/)', 1) AS dir FROM pages)"
+LINK_SPLIT_SQL = rf"""WITH {_PLACES_CTE}, l AS (SELECT page_id, page_id % 11 <> 3 AS follow, [concat(root, '/p/', page_id % 10, '?a=1&b=2'), concat(root, CASE WHEN dir IN ('', '/') THEN '/' ELSE regexp_replace(dir, '[^/]+/$', '') END, 'up/x'), concat('https://', regexp_extract(root, '//(.*)$', 1), '/P'), concat(root, CASE WHEN path = '' THEN '/' ELSE path END, '?page=2')] AS x FROM places)
+SELECT page_id, CASE WHEN follow THEN CAST(len(list_distinct(x)) AS INT) ELSE 0 END AS internal, CASE WHEN follow THEN 6 ELSE 0 END AS external, sha256(CASE WHEN follow THEN array_to_string(list_sort(list_distinct(x)), '|') ELSE '' END) AS internal_sha256 FROM l"""
+
+
+def canonicals(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, canonical) -> the canonical against the URL that the page was read from, and whether it is the page itself, another of its host, or elsewhere."""
+    whole = F.when(F.trim("canonical") != "", urls.resolved(F.col("url"), F.col("canonical")))
+    p = pages.select("page_id", "url", whole.alias("canonical"))
+    kind = F.when(F.col("canonical").isNull(), "none").when(urls.page_url_key(F.col("canonical")) == urls.page_url_key(F.col("url")), "self").when(urls.host_key(F.col("canonical")) == urls.host_key(F.col("url")), "other_page").otherwise("external")
+    return p.select("page_id", "canonical", kind.alias("kind"))
+
+
+CANONICALS_SQL = rf"""WITH {_PLACES_CTE}, r AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS head, regexp_extract(url, '^([^#]*)', 1) AS bare FROM places)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN bare WHEN 1 THEN concat(head, '/c/', page_id) WHEN 2 THEN concat(head, CASE WHEN dir IN ('', '/') THEN '/' ELSE regexp_replace(dir, '[^/]+/$', '') END, 'c') WHEN 3 THEN concat(regexp_extract(head, '^(https?:)', 1), '//other.example.org/c') WHEN 4 THEN concat(head, CASE WHEN path = '' THEN '/' ELSE path END, '?v=2') END AS canonical,
+ CASE page_id % 6 WHEN 0 THEN 'self' WHEN 3 THEN 'external' WHEN 5 THEN 'none' ELSE 'other_page' END AS kind FROM r"""

@@ -407,6 +407,7 @@ QUERIES = {
     "legacy_summary": (lambda s, d: findings.legacy_summary(_linked(s, d)), findings.legacy_summary_sql()),
     "audit_scores": (lambda s, d: findings.audit_scores(_linked(s, d)), findings.AUDIT_SQL),
     "duplicate_descriptions": (lambda s, d: findings.duplicates(_pages(s, d), "description", "duplicate_meta_description"), findings.duplicates_sql("description", "duplicate_meta_description")),
+    "shared_descriptions": (lambda s, d: findings.duplicates(samples.described_pages(samples.one_site(_pages(s, d))), "description", "duplicate_meta_description"), findings.duplicates_sql("description", "duplicate_meta_description", f"(SELECT * REPLACE (concat('site', page_id % 3) AS site, {samples.DESCRIBED_SQL} AS description) FROM crawled)")),
     "duplicate_titles": (lambda s, d: findings.duplicates(_pages(s, d), "title", "duplicate_title"), findings.duplicates_sql("title", "duplicate_title")),
     "site_health": (lambda s, d: findings.health(_pages(s, d), _found(s, d)), findings.HEALTH_SQL),
     "finding_counts": (lambda s, d: findings.counts(_found(s, d)), findings.COUNTS_SQL),
@@ -423,6 +424,7 @@ QUERIES = {
     "site_trust": (lambda s, d: reports.trust(_pages(s, d)), reports.TRUST_SQL),
     "in_links": (lambda s, d: reports.in_links(_edges(s, d)), reports.IN_LINKS_SQL),
     "link_graph": (lambda s, d: reports.link_graph(_pages(s, d), _edges(s, d)), reports.LINK_GRAPH_SQL),
+    "woven_link_graph": (lambda s, d: (lambda p: reports.link_graph(samples.one_site(p), samples.woven_edges(p)))(_pages(s, d)), reports.WOVEN_GRAPH_SQL),
     "link_totals": (lambda s, d: reports.link_totals(_pages(s, d), _edges(s, d)), reports.LINK_TOTALS_SQL),
     "tech_stack": (lambda s, d: reports.tech_scores(_pages(s, d)), reports.tech_sql()),
     "pages_for_review": (lambda s, d: reports.pages_for_review(_pages(s, d)), reports.REVIEW_SQL),
@@ -441,6 +443,8 @@ QUERIES = {
     "url_keys": (url_keys, URL_KEYS_SQL),
     "html_fields": (html_fields, HTML_FIELDS_SQL),
     "normal_links": (normal_links, NORMAL_LINKS_SQL),
+    "link_split": (lambda s, d: reports.link_split_rows(reports.link_split(samples.linking_pages(_pages(s, d)))), reports.LINK_SPLIT_SQL),
+    "canonical_targets": (lambda s, d: reports.canonicals(samples.canonical_pages(load(s, d, "pages"))), reports.CANONICALS_SQL),
     "frontier_add": (frontier, queueing.FRONTIER_SQL),
     "crawl_quality": (lambda s, d: reports.crawl_quality(tables.jobs(s, d)), reports.QUALITY_SQL),
     "job_status_totals": (lambda s, d: reports.status_totals(tables.jobs(s, d)), reports.STATUS_TOTALS_SQL),

@@ -95,3 +95,46 @@ def raw_facts(facts: DataFrame) -> DataFrame:
 RAW_CTE = f"""{FACTS_SQL}, raw AS (SELECT CASE WHEN CAST(impressions AS INT) = 11 THEN '2024-13-45' ELSE strftime(metric_date, '%Y-%m-%d') END AS day, query, regexp_extract(page_url, '(/s/.*)$', 1) AS path,
  CASE CAST(impressions AS INT) WHEN 13 THEN 'https://other.example.org/x' WHEN 17 THEN replace(page_url, 'https://', 'http://www.') ELSE page_url END AS url, CASE WHEN CAST(impressions AS INT) IN (7, 11, 13) THEN 'bad' ELSE 'good' END AS kind,
  CASE WHEN CAST(impressions AS INT) <> 19 THEN CAST(clicks AS VARCHAR) END AS clicks, CAST(impressions AS VARCHAR) AS impressions, CAST(position AS VARCHAR) AS position FROM facts)"""
+
+
+def linking_pages(pages: DataFrame) -> DataFrame:
+    """Captured pages (page_id, url, site) with links of every kind: off the site, without a scheme, relative, of another spelling, a file, a query alone; every eleventh says nofollow."""
+    i, host = F.col("page_id"), F.upper(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]+)", 1))
+    links = F.array(
+        F.lit("https://other.example.org/x"), F.lit(" https://other.example.org/x "), F.lit("//cdn.example.net/lib"), F.concat(F.lit("/p/"), (i % 10).cast("string"), F.lit("?utm_source=a&b=2&a=1#top")),
+        F.lit("../up/./x"), F.lit("mailto:me@example.com"), F.concat(F.lit("HTTPS://"), host, F.lit("/P")), F.lit("/files/list.pdf"), F.lit("?page=2"), F.lit("#top"), F.lit(""),
+    )
+    return pages.select("page_id", "url", "site", F.when(i % 11 == 3, "noindex, NoFollow").otherwise("index").alias("robots"), links.alias("links"))
+
+
+def canonical_pages(pages: DataFrame) -> DataFrame:
+    """Captured pages with a canonical: none, a rooted or relative path, one without a scheme, or a query alone."""
+    i = F.col("page_id")
+    canonical = F.when(i % 6 == 0, F.regexp_extract("url", "^([^#]*)", 1)).when(i % 6 == 1, F.concat(F.lit("/c/"), i.cast("string"))).when(i % 6 == 2, "../c").when(i % 6 == 3, "//other.example.org/c").when(i % 6 == 4, " ?v=2")
+    return pages.select("page_id", "url", canonical.alias("canonical"))
+
+
+def described_pages(pages: DataFrame) -> DataFrame:
+    """Captured pages with a description: every third has none, the others share theirs, in two spellings, by the last digit of their number."""
+    i = F.col("page_id")
+    return pages.withColumn("description", F.when(i % 3 == 0, "").when(i % 2 == 0, F.concat(F.lit(" ABOUT "), (i % 10).cast("string"))).otherwise(F.concat(F.lit("About "), (i % 10).cast("string"))))
+
+
+DESCRIBED_SQL = "CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 2 = 0 THEN concat(' ABOUT ', page_id % 10) ELSE concat('About ', page_id % 10) END"
+
+
+def one_site(pages: DataFrame) -> DataFrame:
+    """Captured pages as those of three sites, by their number, so that sites have more than a page or two."""
+    return pages.withColumn("site", F.concat(F.lit("site"), (F.col("page_id") % 3).cast("string")))
+
+
+def woven_edges(pages: DataFrame) -> DataFrame:
+    """Edges (site, src, dst) from each page to the page of its site whose number is three more, to itself, and to a path that no page has."""
+    p = one_site(pages).select("site", "path", "page_id")
+    following = p.select("site", F.col("path").alias("dst"), (F.col("page_id") - 3).alias("page_id"))
+    real = p.join(following, ["site", "page_id"]).select("site", F.col("path").alias("src"), "dst")
+    return real.unionByName(p.select("site", F.col("path").alias("src"), F.explode(F.array("path", F.lit("/nowhere"))).alias("dst")))
+
+
+WOVEN_CTE = """woven AS (SELECT page_id, concat('site', page_id % 3) AS site, path FROM crawled),
+edges AS (SELECT a.site, a.path AS src, b.path AS dst FROM woven a JOIN woven b ON a.site = b.site AND b.page_id = a.page_id + 3 UNION ALL SELECT site, path, unnest([path, '/nowhere']) FROM woven)"""

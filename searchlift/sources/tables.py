@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.functions import html
+from searchlift.functions.urls import resolved
 from searchlift.sources.staging import staged
 
 #: Letters, digits and underscores, joined inside by apostrophes and hyphens: one word in either engine.
@@ -72,7 +73,8 @@ def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fields = parsed.select(
         *[c for c in parsed.columns if c != "p"],
-        *map(text, ("title", "description", "canonical", "viewport", "robots", "lang")),
+        *map(text, ("title", "description", "viewport", "robots", "lang")),
+        F.when(F.trim(F.coalesce("p.canonical", F.lit(""))) == "", "").otherwise(resolved(F.col("url"), F.col("p.canonical"))).alias("canonical"),
         F.size("p.h1").alias("h1_count"),
         F.coalesce(F.get("p.h1", 0), F.lit("")).alias("h1"),
         F.concat("p.h2", "p.h3").alias("headings"),
