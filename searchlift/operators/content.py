@@ -220,13 +220,29 @@ SELECT page_url, CAST(age_days AS INT) AS age_days, CAST(greatest(0, 100 - least
   + CASE WHEN age_days >= 365 THEN least(25, floor((age_days - 365) / 90) + 10) ELSE 0 END) AS INT) AS decay FROM a"""
 
 
-def graph_edges(page_topics: DataFrame, similar: DataFrame, most: int = 1500) -> DataFrame:
-    """Edges of the semantic graph: page to topic by rank, then similar pages, the first of them in order of ids."""
-    covers = page_topics.where("rank <= 6").select(F.lit("covers").alias("kind"), F.col("page_id").cast("string").alias("source"), F.col("topic").alias("target"))
-    related = similar.select(F.lit("related").alias("kind"), F.col("page_id").cast("string").alias("source"), F.col("other_id").cast("string").alias("target"))
-    return covers.unionByName(related).orderBy("kind", "source", "target").limit(most)
+#: Topics that a page is linked to, edges of a site from which on no related pages are added, and edges of a site.
+COVERED, RELATED_UNTIL, EDGES = 6, 500, 1500
+
+
+def graph_edges(texts: DataFrame, page_topics: DataFrame, similar: DataFrame) -> DataFrame:
+    """Edges of each site's semantic graph (site, kind, source, target, weight): pages to their topics in order of page and rank, then similar pages in order of ids.
+
+    A site's topics count first: similar pages are added while it has fewer than 500 edges, and 1,500 edges stay.
+    """
+    sites = texts.select("page_id", "site")
+    covers = page_topics.where(F.col("rank") <= COVERED).join(sites, "page_id")
+    order = Window.partitionBy("site").orderBy("page_id", "rank")
+    first = covers.withColumn("place", F.row_number().over(order)).where(F.col("place") <= EDGES).select("site", F.lit("covers").alias("kind"), F.col("page_id").cast("string").alias("source"), F.col("topic").alias("target"), F.lit(1.0).alias("weight"))
+    # Ranked by their ids alone, so that the first five hundred of a site are picked where the pairs are made.
+    pairs = similar.join(sites, "page_id").withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id", "other_id"))).where(F.col("place") <= RELATED_UNTIL)
+    taken = covers.groupBy("site").agg(F.count("*").alias("taken"))
+    room = pairs.join(taken, pairs["site"].eqNullSafe(taken["site"]), "left").where(F.col("place") <= RELATED_UNTIL - F.coalesce("taken", F.lit(0)))
+    related = room.select(pairs["site"], F.lit("related").alias("kind"), F.col("page_id").cast("string").alias("source"), F.col("other_id").cast("string").alias("target"), F.round("similarity", 3).alias("weight"))
+    return first.unionByName(related)
 
 
 def graph_sql(texts: str) -> str:
-    return f"""WITH topics AS ({topics_sql(texts)}), sim AS ({similar_sql(texts)})
-SELECT * FROM (SELECT 'covers' AS kind, CAST(page_id AS VARCHAR) AS source, topic AS target FROM topics WHERE rank <= 6 UNION ALL SELECT 'related', CAST(page_id AS VARCHAR), CAST(other_id AS VARCHAR) FROM sim) ORDER BY kind, source, target LIMIT 1500"""
+    return f"""WITH {texts}, topics AS ({topics_sql(texts)}), sim AS ({similar_sql(texts)}), c AS (SELECT site, page_id, topic, rank, row_number() OVER (PARTITION BY site ORDER BY page_id, rank) AS place, count(*) OVER (PARTITION BY site) AS taken FROM topics JOIN texts USING (page_id) WHERE rank <= {COVERED}),
+n AS (SELECT DISTINCT site, taken FROM c), r AS (SELECT site, page_id, other_id, similarity, row_number() OVER (PARTITION BY site ORDER BY page_id, other_id) AS place FROM sim JOIN texts USING (page_id))
+SELECT site, 'covers' AS kind, CAST(page_id AS VARCHAR) AS source, topic AS target, CAST(1 AS DOUBLE) AS weight FROM c WHERE place <= {EDGES}
+UNION ALL SELECT r.site, 'related', CAST(page_id AS VARCHAR), CAST(other_id AS VARCHAR), round(similarity, 3) FROM r LEFT JOIN n ON r.site IS NOT DISTINCT FROM n.site WHERE place <= {RELATED_UNTIL} - coalesce(taken, 0)"""

@@ -54,7 +54,7 @@ def _whole_recommended(s, d):
 
 
 def _graph(texts):
-    return content.graph_edges(content.topics(texts), content.similar_pages(texts))
+    return content.graph_edges(texts, content.topics(texts), content.similar_pages(texts))
 
 
 def _whole(s, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ def test_links_and_references(spark):
     got = {r.i: r for r in df.select("i", urls.page_link(F.col("base"), F.col("ref"), F.col("site")).alias("page"), urls.resolved(F.col("base"), F.col("ref")).alias("whole")).collect()}
     for i, base, ref, site in rows:
         assert got[i].page == urls.normalised(ref, base, site), (base, ref, site)
-        # An empty reference has no fragment here, where the plain function keeps the base's.
-        assert not ref.strip() or got[i].whole.lower() == urljoin(base, ref.strip()).lower().rstrip("#").removesuffix("?"), (base, ref)
+        # An empty reference has no fragment here, where the plain function keeps the base's; empty segments stay behind dots.
+        plain = lambda u: re.sub("(?<!:)/{2,}", "/", u.lower()).rstrip("#").removesuffix("?")
+        assert not ref.strip() or plain(got[i].whole) == plain(urljoin(base, ref.strip())), (base, ref)
 
 
 def test_nulls(spark):
