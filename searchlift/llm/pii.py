@@ -116,7 +116,7 @@ def _luhn(digits: str) -> bool:
 def find(text: str) -> list[list[tuple[int, int]]]:
     """The spans of each kind, in order of KINDS and then of start."""
     email, ip, card, phone, url, accounts = out = [[] for _ in KINDS]
-    email_end = ip_end = card_end = phone_end = url_end = account_end = 0
+    email_end = ip_end = card_end = phone_end = url_end = account_end = run_end = run_stop = 0
     low = text.translate(ASCII_LOWER)
     for at, (kind, size) in anchors().iter(low):
         if kind == "0":
@@ -150,8 +150,13 @@ def find(text: str) -> list[list[tuple[int, int]]]:
                 start -= 1
             while start < colon and not text[start].isalpha():
                 start += 1
-            if start < colon and (m := URL_REST.match(text, at + 1)) and HOST.match(rest := m.group().rstrip(".,;:!?)]*_~")):
-                url_end = at + 1 + len(rest)
+            if start < colon and at + 1 >= run_end:
+                # The run of URL characters and where its closing marks begin hold for all schemes inside it.
+                m = URL_REST.match(text, at + 1)
+                run_end = m.end() if m else at + 1
+                run_stop = at + 1 + len(text[at + 1 : run_end].rstrip(".,;:!?)]*_~"))
+            if start < colon and at + 1 < run_stop and HOST.match(text, at + 1, run_stop):
+                url_end = run_stop
                 url.append((start, url_end))
         elif at + 1 >= account_end and (span := account(text, at + 1 - size, at + 1, kind)) and span[0] >= account_end:
             account_end = span[1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 
 
@@ -290,6 +291,52 @@ def test_main_text_of_a_form_around_the_page():
     assert html_text.extract("<body><form><input name=q>Search<article><p>Text.</p></article></form></body>") == "Text."
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><form id=aspnet><h1>Title</h1><p>All of the page is in a form, as it is with some servers.</p><input name=x></form></body>", "Title\nAll of the page is in a form, as it is with some servers."),
+        ("<article><p>Text.</p></article><ol class=commentlist><li>A reader says.</ol><div id=disqus_thread><p>Another.</div>", "Text."),
+        ("<main><p>Text.</p><ol class='commentlist'><li>A reader says.</ol><div id='disqus_thread'><p>Another.</div></main>", "Text."),
+        ("<h1>Title</h1><p>Short body.</p>", "Title\nShort body."),
+        ("<h1>Title</h1><p><a href=/x>All of it a link</a></p>", ""),
+        ("<main><h1>Title</h1><article><p>The text of the page, which is the longest.</p></article><article><a href=/2>Next</a><p>A teaser.</p></article><article class=related><p>Related to it, as long as the article or longer.</p></article></main>", "Title\nThe text of the page, which is the longest."),
+        ("<article><p>First part of the text.</p></article><article><p>Second part of the text.</p></article>", "First part of the text.\nSecond part of the text."),
+        ("<article><svg/><p>After a drawing.</p></article>", "After a drawing."),
+    ],
+)
+def test_main_text_of_forms_comments_short_pages_and_teasers(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_main_text_of_pages_without_their_marks(spark):
+    """The given pages with div in the place of article: block rules alone find the paragraphs and leave out menus and footers."""
+    kept = lost = wrong = 0
+    for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        want = html_text.extract(p.html).split("\n")
+        got = html_text.extract(re.sub("<(/?)article>", r"<\1div>", p.html)).split("\n")
+        kept, lost, wrong = kept + len(set(got) & set(want)), lost + len(set(want) - set(got)), wrong + len(set(got) - set(want))
+    assert kept >= 0.9 * (kept + lost) and wrong <= 0.05 * kept, (kept, lost, wrong)
+
+
+HOSTILE = ["<a ", "<a '", "<a '\">", "<svg ", "<svg>", "<p>x<div>", "<b>", "<p><table>", "<article>", "<form><article>", "<li>", "</", "<td><b>", "<i></b>", '<div class="a', "<a <!--"]
+
+
+@pytest.mark.parametrize("pattern", HOSTILE)
+def test_main_text_takes_time_by_length(pattern):
+    page = pattern * (300_000 // len(pattern))
+    began = time.process_time()
+    html_text.extract(page)
+    html_text.extract(page + ">")
+    assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize("pattern", ["a://", "a://b ", "a://b.c/", "://", "@a", "a@a.", "token=", "+1(", "1.", "1 ", 'x:"', "iban DE"])
+def test_personal_data_takes_time_by_length(pattern):
+    began = time.process_time()
+    pii.find(pattern * (300_000 // len(pattern)))
+    assert time.process_time() - began < 4
+
+
 OTHER_LANGUAGES = [
     "Il governo ha annunciato ieri una nuova legge sul lavoro, che entrerà in vigore dal prossimo anno. Secondo il ministro, le imprese avranno tempo fino a marzo per adeguarsi; i sindacati, invece, chiedono una proroga e più garanzie per chi lavora. ",
     "Rząd ogłosił wczoraj nową ustawę o pracy, która wejdzie w życie w przyszłym roku. Według ministra firmy będą miały czas do marca, aby się dostosować; związki zawodowe domagają się jednak dłuższego okresu przejściowego i większych gwarancji. ",
