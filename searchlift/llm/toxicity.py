@@ -220,7 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_nega
     drawn = [marks.where(side).orderBy("__draw", "__id").limit(n) for side, n in (("__toxic = 1", max_positive), ("__toxic = 0", max_negative))]
     # The drawn ids are bounded by the two limits, so they are broadcast.
     ids = F.broadcast(drawn[0].unionByName(drawn[1]).select("__id", "__toxic"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars)).join(ids, "__id").select("text", "__toxic", "__id").collect()
+    # An id may be repeated any number of times: one text stands for it, so that at most the two limits come to the driver.
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars)).join(ids, "__id")
+    rows = texts.groupBy("__id", "__toxic").agg(F.min("text").alias("text")).select("text", "__toxic").collect()
     positive = {r.text for r in rows if r["__toxic"] == 1}
     negative = {r.text for r in rows if r["__toxic"] == 0} - positive
     return fit(sorted(positive), sorted(negative))
