@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from searchlift.llm import decontamination, mixing, near_dedup, sharding
+from searchlift.llm import decontamination, mixing, near_dedup, sharding, toxicity
 from test_native import BENCH, TEXTS, check_shards, expected_targets
 from test_text_operators import components_by_hand
 
@@ -153,3 +154,44 @@ def test_items_of_the_table(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = decontamination.op9(spark, SF).collect()
     assert {r.doc_id: (r.n_items, r.items_sha256) for r in out} == {i: items_by_hand(t, bench) for i, t in text.items()}
+
+
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_shards_cut_rows_that_repeat_id_and_text(spark, same_id):
+    """A third of all rows are one text with one id, or without any."""
+    rows = [(i, f"text {i:06d}") for i in range(2000)] + [(same_id, "the same text of every row" * 3)] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.shard_documents(df, n_shards=8).collect()
+    sizes = [sum(r.size for r in out if r.shard == s) for s in range(8)]
+    assert len(out) == 4000 and max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 8, sizes
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
+def test_toxicity_learns_from_one_text_of_a_repeated_id(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, f"you {'idiot' if n % 2 else 'friend'} number {n} {c}") for n, i in enumerate(ids) for c in ("b", "a", "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    once = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    a, b = (toxicity.train(d, labels) for d in (docs, once))
+    for text in ("you idiot", "you friend", ""):
+        assert a.score(text) == b.score(text)
+
+
+def test_mix_meets_the_targets_of_small_sources(spark):
+    """Sources under a block: two of 30 words, and two thousand of forty."""
+    two = spark.createDataFrame([(i, "one two three", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    got = mixing.mix(two).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
+    assert {r.source: (r.t, r.w) for r in got} == {"a": (20, 20.0), "b": (40, 40.0)}
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.lit(40)).alias("text"), F.format_string("s%05d", "id").alias("source"))
+    got = mixing.mix(many).collect()
+    assert all(abs(r.taken - r.target) <= 0.5 and r.taken <= 3 * r.size for r in got) and len(got) == 2000
+
+
+def test_a_much_repeated_id_is_shuffled_by_places(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HOT_ID_ROWS", 50)
+    rows = [(None, f"w{i} " * 5, "a") for i in range(300)] + [(i, "x y z", "b") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "ab"}
+    assert len(got) == 600 and taken["a"] + taken["b"] == 2400 and all(r.taken <= 3 * r.size for r in got)
+    assert {s: abs(t - next(r.target for r in got if r.source == s)) <= 0.5 for s, t in taken.items()} == {"a": True, "b": True}
