@@ -6,13 +6,19 @@ take any texts, so whole documents run through the same code.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from searchlift.functions.text import bigrams, entities, tokens, tokens_sql
+from searchlift.sources.staging import staged
 from searchlift.sources.tables import EDGES_SQL, PAGES_SQL
 
+#: Pages of a site that the first round of a bounded search looks at, and how much wider each next round is.
+FIRST_ROUND, WIDER = 64, 8
+
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, site, path, text) of crawled pages."""
@@ -94,20 +100,63 @@ def similar_pages(texts: DataFrame, shared: int = 2, least: float = 0.18) -> Dat
 
     Pages with the same terms are one class (see page_classes), so a template's pages make no pairs
     of their own. Prefix filter: sorted by how rare a term is on the site, two classes that are
-    similar enough share one of their first size - ceil(least * size) + 1 terms, so frequent terms join nothing.
+    similar enough share one of their first size - ceil(least * size) + 1 terms, so frequent terms join nothing;
+    and where they meet first, what is left of either after that place must still reach the least they have to share.
     """
+    return _similar(*_prefixes(texts, least), None, shared, least)
+
+
+def _prefixes(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Classes with their terms, and the terms of their prefixes with their places."""
     t = class_terms(texts)
     df = t.select("site", F.explode("terms").alias("term")).groupBy("site", "term").agg(F.count("*").alias("df"))
     ranked = t.select("site", "page_id", "size", F.explode("terms").alias("term")).join(df, ["site", "term"])
     w = Window.partitionBy("site", "page_id").orderBy("df", "term")
-    prefix = ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("site", "term", "page_id", "size")
-    other = prefix.select("site", "term", F.col("page_id").alias("other_id"), F.col("size").alias("other_size"))
-    pairs = prefix.join(other, ["site", "term"]).where(f"page_id < other_id AND least(size, other_size) >= {least} * greatest(size, other_size)").select("page_id", "other_id").distinct()
+    return t, ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("site", "term", "page_id", "size", "pos")
+
+
+def _similar(t: DataFrame, prefix: DataFrame, lefts: DataFrame | None, shared: int, least: float) -> DataFrame:
+    """The pairs whose smaller page is among lefts (all, where there are none)."""
+    left = prefix if lefts is None else prefix.join(lefts.select("page_id"), "page_id", "left_semi")
+    other = prefix.select("site", "term", F.col("page_id").alias("other_id"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"))
+    # Positional filter: at the first shared term the two share at most one and what follows in the shorter rest.
+    met = left.join(other, ["site", "term"]).where(f"page_id < other_id AND least(size, other_size) >= {least} * greatest(size, other_size)")
+    first = met.groupBy("page_id", "other_id").agg(F.min(F.struct("pos", "other_pos")).alias("at"), F.first("size").alias("size"), F.first("other_size").alias("other_size"))
+    pairs = first.where(f"(1 + {least}) * (1 + least(size - at.pos, other_size - at.other_pos)) >= {least} * (size + other_size) - 1e-6").select("page_id", "other_id")
     both = pairs.join(t.select("page_id", F.col("terms").alias("a")), "page_id").join(t.select(F.col("page_id").alias("other_id"), F.col("terms").alias("b")), "other_id")
     sized = both.withColumns({"shared": F.size(F.array_intersect("a", "b")), "either": F.size(F.array_union("a", "b"))})
     return sized.where((F.col("shared") >= shared) & (F.col("shared") >= least * F.col("either"))).select("page_id", "other_id", F.col("shared").cast("long").alias("shared"), F.round(F.col("shared") / F.col("either"), 4).alias("similarity"))
 
 
+def first_similar(texts: DataFrame, most: int, shared: int = 2, least: float = 0.18, first: int = FIRST_ROUND) -> DataFrame:
+    """Of similar_pages the first `most` of each site, in order of ids: later pages are not looked at once a site has them."""
+    t, prefix = _prefixes(texts, least)
+    t, prefix = staged(t, "classes"), staged(prefix, "prefixes")
+    sites = t.select("page_id", "site")
+
+    def look(lefts: DataFrame) -> DataFrame:
+        return _similar(t, prefix, lefts, shared, least).join(sites, "page_id").select("site", "page_id", "other_id", "shared", "similarity")
+
+    def keep(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id", "other_id"))).where(F.col("place") <= most).drop("place")
+
+    return in_rounds(sites, look, keep, F.lit(True), most, first)
+
+
+def neighbours(texts: DataFrame, most: int = 12) -> DataFrame:
+    """For each class of pages how many others are similar to it (exactly), and the nearest of them: by similarity, then id."""
+    pairs = similar_pages(texts)
+    either = pairs.unionByName(pairs.select(F.col("other_id").alias("page_id"), F.col("page_id").alias("other_id"), "shared", "similarity"))
+    n = either.groupBy("page_id").agg(F.count("*").alias("similar"))
+    near = either.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("similarity"), "other_id"))).where(F.col("rank") <= most)
+    return near.join(n, "page_id").select("page_id", "other_id", "similarity", "rank", "similar")
+
+
+def neighbours_sql(texts: str) -> str:
+    return f"""WITH {similar_cte(texts)}, either AS (SELECT page_id, other_id, similarity FROM similar_pages UNION ALL SELECT other_id, page_id, similarity FROM similar_pages)
+SELECT page_id, other_id, similarity, CAST(row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, other_id) AS INT) AS rank, count(*) OVER (PARTITION BY page_id) AS similar FROM either QUALIFY rank <= 12"""
+
+
 def classes_cte(texts: str) -> str:
     return f"""{texts}, sets AS (SELECT page_id, site, list_sort(list_distinct({tokens_sql('text')})) AS ts FROM texts), t AS (SELECT site, ts, min(page_id) AS page_id FROM sets WHERE len(ts) > 0 GROUP BY site, ts)"""
 
@@ -140,31 +189,61 @@ def clusters_sql(texts: str) -> str:
     return f"WITH topics AS ({topics_sql(texts)}) SELECT topic, count(DISTINCT page_id) AS n, array_to_string(list_slice(list_sort(list(DISTINCT page_id)), 1, 25), ',') AS members FROM topics GROUP BY topic HAVING count(DISTINCT page_id) >= 2 ORDER BY n DESC, topic LIMIT 50"
 
 
-def recommendations(pages: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def in_rounds(pages: DataFrame, look: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], enough: Column, most: int, first: int = FIRST_ROUND) -> DataFrame:
+    """The best of each site, looked for from its smallest pages on until no later page can change them.
+
+    pages: (site, page_id), the pages a pair may begin with. look(some of them) gives their pairs with
+    `site`, keep cuts pairs to the best of each site, and a site is settled once `most` of its
+    kept pairs are `enough`: pairs that none of a later page may pass. Each round looks at the next
+    pages of the sites that are open, eight times as many as the one before, so a site without enough pairs is looked at
+    whole, and one whose pages are alike after a number of pairs that grows with its pages, not their square.
+    """
+    best, low, high, open_ = None, 0, first, None
+    while True:
+        # Only the smallest pages of a site are ranked: the limit prunes them where they are read.
+        ranked = pages if open_ is None else pages.join(open_, ["site"], "left_semi")
+        ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("site").orderBy("page_id"))).where(F.col("__rank") <= high + 1)
+        found = look(ranked.where((F.col("__rank") > low) & (F.col("__rank") <= high)).select("site", "page_id"))
+        best = staged(keep(found if best is None else best.unionByName(found)), "best")
+        more = ranked.where(F.col("__rank") == high + 1).select("site")
+        settled = best.where(enough).groupBy("site").count().where(F.col("count") >= most).select("site")
+        open_ = staged(more.join(settled, ["site"], "left_anti"), "open")
+        if open_.isEmpty():
+            return best
+        low, high = high, high * WIDER
+
+
+def recommendations(pages: DataFrame, edges: DataFrame, most: int = 100, first: int = FIRST_ROUND) -> DataFrame:
     """Links to a site's orphans (pages but the home page that nothing links to) from its pages that share two terms or a topic with them.
 
-    pages: page_id, site, path, title and text. Pages that link there already are left out; per site
-    the best by priority, confidence and source. Candidates come from joins of orphans with all
-    pages on terms and on topics.
+    pages: page_id, site, path, title and text. Per site the best by priority, confidence, source and target.
+    Candidates come from joins on terms and topics of the orphans with the sources of a round (in_rounds): once a site has
+    enough links of full priority and confidence, those of later sources all rank behind them.
     """
     orphans = pages.where("path <> '/'").join(edges.select("site", F.col("dst").alias("path")).distinct(), ["site", "path"], "left_anti").select("page_id")
     t = terms(pages).where("size > 0")
-    one = t.select("site", "page_id", F.explode("terms").alias("by"), F.lit(1).alias("term"), F.lit(0).alias("topic"))
-    two = topics(pages).join(t.select("page_id", "site"), "page_id").select("site", "page_id", F.col("topic").alias("by"), F.lit(0).alias("term"), F.lit(1).alias("topic"))
-    by = one.unionByName(two)
-    pairs = by.withColumnRenamed("page_id", "source_id").join(by.join(orphans, "page_id", "left_semi").withColumnRenamed("page_id", "target_id"), ["site", "by", "term", "topic"]).where("source_id <> target_id")
-    pairs = pairs.groupBy("site", "source_id", "target_id").agg(F.sum("term").alias("shared"), F.sum("topic").alias("topics")).where("shared >= 2 OR topics > 0")
-    of = lambda side: pages.select(F.col("page_id").alias(f"{side}_id"), F.col("path").alias(f"{side}_path"))
-    sized = lambda side: t.select(F.col("page_id").alias(f"{side}_id"), F.col("size").alias(f"{side}_size"))
-    both = pairs.join(of("source"), "source_id").join(of("target"), "target_id").join(sized("source"), "source_id").join(sized("target"), "target_id")
-    linked = edges.select("site", F.col("src").alias("source_path"), F.col("dst").alias("target_path"))
-    new = both.join(linked, ["site", "source_path", "target_path"], "left_anti")
-    sim = F.col("shared") / (F.col("source_size") + F.col("target_size") - F.col("shared"))
-    score = F.least(F.lit(100), 55 + 7 * F.col("shared") + 8 * F.col("topics") + F.bround(20 * sim, 0)).cast("int")
-    sure = F.least(F.lit(100), 50 + 8 * F.col("shared") + F.bround(30 * sim, 0)).cast("int")
-    scored = new.select("site", "source_id", "target_id", "shared", "topics", F.round(sim, 4).alias("similarity"), score.alias("priority"), sure.alias("confidence"))
-    best = Window.partitionBy("site").orderBy(F.desc("priority"), F.desc("confidence"), "source_id", "target_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    one = t.select("site", "page_id", "size", F.explode("terms").alias("by"), F.lit(1).alias("term"), F.lit(0).alias("topic"))
+    two = topics(pages).join(t.select("page_id", "site", "size"), "page_id").select("site", "page_id", "size", F.col("topic").alias("by"), F.lit(0).alias("term"), F.lit(1).alias("topic"))
+    by = staged(one.unionByName(two), "terms-and-topics")
+    targets = staged(by.join(orphans, "page_id", "left_semi").withColumnsRenamed({"page_id": "target_id", "size": "target_size"}), "orphan-terms")
+
+    def look(sources: DataFrame) -> DataFrame:
+        mine = by.join(sources.select("page_id"), "page_id", "left_semi").withColumnsRenamed({"page_id": "source_id", "size": "source_size"})
+        pairs = mine.join(targets, ["site", "by", "term", "topic"]).where("source_id <> target_id")
+        pairs = pairs.groupBy("site", "source_id", "target_id").agg(F.sum("term").alias("shared"), F.sum("topic").alias("topics"), F.first("source_size").alias("source_size"), F.first("target_size").alias("target_size")).where("shared >= 2 OR topics > 0")
+        sim = F.col("shared") / (F.col("source_size") + F.col("target_size") - F.col("shared"))
+        score = F.least(F.lit(100), 55 + 7 * F.col("shared") + 8 * F.col("topics") + F.bround(20 * sim, 0)).cast("int")
+        sure = F.least(F.lit(100), 50 + 8 * F.col("shared") + F.bround(30 * sim, 0)).cast("int")
+        # Nothing links to an orphan, so no pair is linked already.
+        return pairs.select("site", "source_id", "target_id", "shared", "topics", F.round(sim, 4).alias("similarity"), score.alias("priority"), sure.alias("confidence"))
+
+    def keep(scored: DataFrame) -> DataFrame:
+        best = Window.partitionBy("site").orderBy(F.desc("priority"), F.desc("confidence"), "source_id", "target_id")
+        return scored.drop("rank").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+
+    sites = orphans.join(pages.select("page_id", "site"), "page_id").select("site").distinct()
+    sources = t.select("site", "page_id").join(sites, ["site"], "left_semi")
+    return in_rounds(sources, lambda s: look(s).withColumn("rank", F.lit(0)), keep, F.expr("priority = 100 AND confidence = 100"), most, first)
 
 
 RECOMMEND_SQL = f"""WITH {PAGE_TEXTS_SQL}, {EDGES_SQL}, topics AS ({topics_sql(PAGE_TEXTS_SQL)}), e AS (SELECT page_id, site, unnest(list_distinct({tokens_sql('text')})) AS term FROM texts), n AS (SELECT page_id, count(*) AS size FROM e GROUP BY page_id),
@@ -234,7 +313,7 @@ def graph_edges(texts: DataFrame, page_topics: DataFrame, similar: DataFrame) ->
     order = Window.partitionBy("site").orderBy("page_id", "rank")
     first = covers.withColumn("place", F.row_number().over(order)).where(F.col("place") <= EDGES).select("site", F.lit("covers").alias("kind"), F.col("page_id").cast("string").alias("source"), F.col("topic").alias("target"), F.lit(1.0).alias("weight"))
     # Ranked by their ids alone, so that the first five hundred of a site are picked where the pairs are made.
-    pairs = similar.join(sites, "page_id").withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id", "other_id"))).where(F.col("place") <= RELATED_UNTIL)
+    pairs = similar.select("page_id", "other_id", "similarity").join(sites, "page_id").withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id", "other_id"))).where(F.col("place") <= RELATED_UNTIL)
     taken = covers.groupBy("site").agg(F.count("*").alias("taken"))
     room = pairs.join(taken, pairs["site"].eqNullSafe(taken["site"]), "left").where(F.col("place") <= RELATED_UNTIL - F.coalesce("taken", F.lit(0)))
     related = room.select(pairs["site"], F.lit("related").alias("kind"), F.col("page_id").cast("string").alias("source"), F.col("other_id").cast("string").alias("target"), F.round("similarity", 3).alias("weight"))

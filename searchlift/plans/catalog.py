@@ -54,7 +54,7 @@ def _whole_recommended(s, d):
 
 
 def _graph(texts):
-    return content.graph_edges(texts, content.topics(texts), content.similar_pages(texts))
+    return content.graph_edges(texts, content.topics(texts), content.first_similar(texts, content.RELATED_UNTIL))
 
 
 def _whole(s, d):
@@ -473,6 +473,7 @@ QUERIES = {
     "page_entities": (lambda s, d: content.page_entities(content.page_names(_pages(s, d))), content.ENTITIES_SQL),
     "page_classes": (lambda s, d: content.page_classes(_texts(s, d)), content.classes_sql(content.PAGE_TEXTS_SQL)),
     "similar_pages": (lambda s, d: content.similar_pages(_texts(s, d)), content.similar_sql(content.PAGE_TEXTS_SQL)),
+    "page_neighbours": (lambda s, d: content.neighbours(_texts(s, d)), content.neighbours_sql(content.PAGE_TEXTS_SQL)),
     "topic_clusters": (lambda s, d: content.clusters(content.topics(_texts(s, d))), content.clusters_sql(content.PAGE_TEXTS_SQL)),
     "link_recommendations": (_recommended, content.RECOMMEND_SQL),
     "semantic_graph": (lambda s, d: _graph(_texts(s, d)), content.graph_sql(content.PAGE_TEXTS_SQL)),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from searchlift.operators import content
 
 
@@ -18,3 +21,43 @@ def test_bounds_of_a_site(spark):
     assert Counter((r.site, r.kind) for r in few) == {("small", "covers"): 30, ("small", "related"): 10, ("large", "covers"): 360, ("large", "related"): 140}
     related = sorted((int(r.source), int(r.target)) for r in few if r.site == "large" and r.kind == "related")
     assert related == sorted((a, b) for a, b, *_ in pairs if a >= 5)[:140]
+
+
+TEXTS = "page_id long, site string, path string, text string"
+NO_EDGES = "site string, src string, dst string"
+
+
+def drawn(seed, n):
+    draw = random.Random(seed)
+    words = [f"word{chr(97 + i)}" for i in range(14)]
+    return [(i, draw.choice("xy"), f"/{i}", " ".join(draw.sample(words, draw.randrange(1, 11)))) for i in range(n)]
+
+
+def test_rounds_do_not_show(spark):
+    """Whatever the first round looks at, the best links and the first similar pages are those of one look at all."""
+    texts, edges = spark.createDataFrame(drawn(1, 60), TEXTS), spark.createDataFrame([("x", "/1", "/2")], NO_EDGES)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    whole = rows(content.recommendations(texts, edges, most=20, first=1000))
+    assert len(whole) == 40 and rows(content.recommendations(texts, edges, most=20, first=2)) == whole
+    pairs = content.similar_pages(texts).join(texts.select("page_id", "site"), "page_id").collect()
+    want = sorted(p for s in "xy" for p in sorted((r.page_id, r.other_id) for r in pairs if r.site == s)[:30])
+    assert sorted((r.page_id, r.other_id) for r in content.first_similar(texts, 30, first=2).collect()) == want
+
+
+def test_a_site_of_like_pages_looks_at_few_pairs(spark, monkeypatch):
+    """Pages of one template that differ in one term each: the first round settles the site, with 64 pairs for each page."""
+    looked = []
+    in_rounds = content.in_rounds
+
+    def counted(pages, look, *rest, **options):
+        return in_rounds(pages, lambda some: (lambda found: looked.append(found.count()) or found)(look(some)), *rest, **options)
+
+    monkeypatch.setattr(content, "in_rounds", counted)
+    n = 1500
+    same = " ".join(f"common{c}" for c in "abcdefghijkl")
+    texts = spark.range(n).select(F.col("id").alias("page_id"), F.lit("s").alias("site"), F.format_string("/%d", "id").alias("path"), F.concat(F.lit(same + " own"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    best = content.recommendations(texts, spark.createDataFrame([], NO_EDGES)).collect()
+    assert [(r.source_id, r.target_id) for r in sorted(best, key=lambda r: r.rank)] == [(0, i) for i in range(1, 101)]
+    assert looked == [64 * (n - 1)]
+    looked.clear()
+    assert sorted((r.page_id, r.other_id) for r in content.first_similar(texts, 500).collect()) == [(0, i) for i in range(1, 501)] and len(looked) == 1
