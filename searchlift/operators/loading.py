@@ -28,6 +28,53 @@ def capped_days(raw: DataFrame, cap: int = DAY_CAP) -> DataFrame:
 CAPPED_SQL = f"WITH {RAW_CTE} SELECT day, count(*) AS rows, count(*) > 1200 AS over FROM raw GROUP BY day"
 
 
+def assembled(captures: DataFrame, cap: int = DAY_CAP) -> tuple[DataFrame, DataFrame]:
+    """Captured answers of a provider that pages its rows -> the state of each day, and the rows of days that are whole.
+
+    captures: metric_date, start_row, requested, rows (array); read oldest first by start_row, each answer must
+    begin where those before it end. A day ends with an answer of fewer rows than were requested. A day that reaches
+    the cap with a full answer is whole only if the probe after it, one row from the cap on, is empty: that tells
+    an exactly full day from one that is cut. gap: an answer is missing; open: the last one was full and nothing follows.
+    """
+    rows = F.coalesce("rows", F.array().cast(captures.schema["rows"].dataType))
+    # Of answers from the same row on, captured twice, the one with more rows counts.
+    captures = captures.groupBy("metric_date", "start_row").agg(F.max(F.struct(F.size(rows).alias("n"), "requested", rows.alias("rows"))).alias("a")).select("metric_date", "start_row", "a.*")
+    c = captures.drop("rows")
+    w = Window.partitionBy("metric_date").orderBy("start_row")
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumns({"before": before, "last": F.lead("start_row").over(w).isNull(), "full": F.col("n") >= F.col("requested")})
+    probe = (F.col("start_row") >= cap) & (F.col("requested") == 1)
+    day = c.groupBy("metric_date").agg(
+        F.sum(F.when(~probe, F.col("n")).otherwise(0)).alias("rows"), F.bool_or(F.col("start_row") != F.col("before")).alias("gap"), F.bool_or(probe & (F.col("n") > 0)).alias("over"), F.bool_or(probe).alias("probed"),
+        F.bool_or(F.col("last") & F.col("full") & ~probe).alias("unended"),
+    )
+    state = F.when(F.col("gap"), "gap").when(F.col("over"), "cut").when(F.col("unended"), "open").otherwise("whole")
+    states = day.select("metric_date", "rows", state.alias("state"))
+    whole = captures.join(states.where("state = 'whole'").select("metric_date"), "metric_date", "left_semi").where(~probe)
+    return states, whole.select("metric_date", F.explode("rows").alias("row")).select("metric_date", "row.*")
+
+
+PAGE_ROWS, SAMPLE_CAP = 15, 45
+
+
+def sample_captures(facts: DataFrame) -> DataFrame:
+    """The facts of a day as answers of fifteen rows, up to the cap of 45 and a probe; every third day has just as many rows as the cap, every seventh lacks its second answer, and every eleventh was not probed."""
+    day = F.dayofyear("metric_date")
+    numbered = facts.withColumn("at", F.row_number().over(Window.partitionBy("metric_date").orderBy("query", "page_url", "position", "impressions", "clicks")) - 1)
+    there = numbered.where(((day % 3 != 0) | (F.col("at") < SAMPLE_CAP)) & (F.col("at") <= SAMPLE_CAP))
+    start = F.when(F.col("at") >= SAMPLE_CAP, SAMPLE_CAP).otherwise(F.floor(F.col("at") / PAGE_ROWS) * PAGE_ROWS).cast("int")
+    answers = there.groupBy("metric_date", start.alias("start_row")).agg(F.collect_list(F.struct("query", "page_url", "clicks", "impressions", "position")).alias("rows"))
+    empty = facts.select("metric_date").distinct().select("metric_date", F.lit(SAMPLE_CAP).alias("start_row"), F.array().cast(answers.schema["rows"].dataType).alias("rows"))
+    every = answers.unionByName(empty.join(answers.where(F.col("start_row") == SAMPLE_CAP), ["metric_date"], "left_anti"))
+    kept = every.where(~((day % 7 == 0) & (F.col("start_row") == PAGE_ROWS)) & ~((day % 11 == 0) & (F.col("start_row") == SAMPLE_CAP)))
+    return kept.select("metric_date", "start_row", F.when(F.col("start_row") == SAMPLE_CAP, 1).otherwise(PAGE_ROWS).alias("requested"), "rows")
+
+
+ASSEMBLED_SQL = f"""WITH {FACTS_SQL}, n AS (SELECT metric_date, count(*) AS n, dayofyear(metric_date) AS d FROM facts GROUP BY 1), k AS (SELECT metric_date, d, n, CASE WHEN d % 3 = 0 THEN least(n, {SAMPLE_CAP}) ELSE n END AS given FROM n),
+s AS (SELECT metric_date, least(given, {SAMPLE_CAP}) - CASE WHEN d % 7 = 0 THEN greatest(0, least(given, {2 * PAGE_ROWS}) - {PAGE_ROWS}) ELSE 0 END AS rows, CASE WHEN d % 7 = 0 AND given > {PAGE_ROWS} OR given < {SAMPLE_CAP} AND d % 11 <> 0 THEN 'gap' WHEN d % 11 = 0 AND given >= {SAMPLE_CAP} THEN 'open' WHEN given > {SAMPLE_CAP} THEN 'cut' ELSE 'whole' END AS state FROM k)
+SELECT metric_date, rows, state FROM s"""
+
+
 def final_end(proposed: Column, first_incomplete: Column) -> Column:
     """The last day that may be loaded: the day before the first that the provider calls incomplete, if that comes earlier."""
     return F.least(proposed, F.coalesce(F.date_sub(F.try_to_timestamp(first_incomplete, F.lit("yyyy-MM-dd")).cast("date"), 1), proposed))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
 from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, governance, inspection, loading, measurement, pacing, policy, queueing, reconcile, reports, targets
+from searchlift.plans import site_run
 from searchlift.sources import samples, tables
 from searchlift.sources.staging import shared_dir
 from searchlift.sources.tables import load
@@ -461,6 +462,7 @@ QUERIES = {
     "fact_day_caps": (lambda s, d: loading.capped_days(samples.raw_facts(_facts(s, d)), 1200), loading.CAPPED_SQL),
     "fact_parse": (lambda s, d: loading.parsed(samples.raw_facts(_facts(s, d))), loading.PARSED_SQL),
     "fact_load": (fact_load, loading.LOADED_SQL),
+    "fact_pages": (lambda s, d: loading.assembled(loading.sample_captures(_facts(s, d)), loading.SAMPLE_CAP)[0], loading.ASSEMBLED_SQL),
     "fact_commit": (fact_commit, loading.LOADED_SQL),
     "source_baseline": (lambda s, d: loading.baseline(_facts(s, d), load(s, d, "events")), loading.BASELINE_SQL),
     "page_upsert": (page_upsert, PAGE_UPSERT_SQL),
@@ -487,6 +489,7 @@ QUERIES = {
     "whole_link_recommendations": (_whole_recommended, None),
     "whole_semantic_graph": (lambda s, d: _graph(_whole(s, d)), content.graph_sql(content.WHOLE_TEXTS_SQL)),
     "whole_information_gain": (lambda s, d: content.information_gain(_whole(s, d)), content.gain_sql(content.WHOLE_TEXTS_SQL)),
+    "site_run": (lambda s, d: site_run.run(s, d, f"{shared_dir(s)}/run-{uuid.uuid4().hex}").read("summary"), site_run.SUMMARY_SQL),
     "content_decay": (lambda s, d: content.decay(facts.period_change(_facts(s, d))), content.decay_sql()),
     "content_candidates": (content_candidates, CONTENT_CANDIDATES_SQL),
     "content_briefs": (lambda s, d: _shown_briefs(_briefs(s, d)), drafts.BRIEFS_SQL),

@@ -49,29 +49,57 @@ class Manifest:
         return Manifest(found["version"], found["schema"], {d: Day(**x) for d, x in found["days"].items()}, found["batches"])
 
 
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, day: str = "metric_date"):
-        self.spark, self.path, self.day = spark, path.rstrip("/"), day
+class _Pointed:
+    """A folder whose newest manifest says what is in it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _hadoop(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self, version: int | None = None) -> Manifest:
-        """The newest manifest, or that of a version; an empty one where nothing was committed."""
+    def _manifest_text(self, version: int | None = None) -> str | None:
+        """The newest manifest, or that of a version; none where nothing was committed."""
         folder, fs = self._hadoop(f"{self.path}/manifests")
         if version is None:
             names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
             known = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != "."]
             if not known:
-                return Manifest()
+                return None
             version = max(known)
         stream = fs.open(self._hadoop(f"{self.path}/manifests/{version:012d}.json")[0])
         try:
-            return Manifest.of(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
+    def _point(self, version: int, text: str) -> None:
+        jvm, name = self.spark._jvm, f"{version:012d}.json"
+        temp, fs = self._hadoop(f"{self.path}/manifests/.{uuid.uuid4().hex}")
+        out = fs.create(temp, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(context.makeQualified(temp), context.makeQualified(self._hadoop(f"{self.path}/manifests/{name}")[0]), options)
+        except Exception as e:
+            fs.delete(temp, False)
+            if "FileAlreadyExists" in str(e):
+                raise CommitRefused(f"version {version} was committed by another load") from None
+            raise
+
+class VersionedTable(_Pointed):
+    def __init__(self, spark: SparkSession, path: str, day: str = "metric_date"):
+        super().__init__(spark, path)
+        self.day = day
+
+    def manifest(self, version: int | None = None) -> Manifest:
+        """The newest manifest, or that of a version; an empty one where nothing was committed."""
+        text = self._manifest_text(version)
+        return Manifest.of(text) if text else Manifest()
+
     def read(self, version: int | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
         """A version's rows; first and last choose days by the manifest, so that others are not even listed."""
         m = self.manifest(version)
@@ -115,25 +143,9 @@ class VersionedTable:
         after = Manifest(before.version + 1, schema.json(), kept | days, batches)
         if not held():
             raise CommitRefused("the lease was lost while the load was written")
-        self._point(after)
+        self._point(after.version, after.text())
         return after
 
-    def _point(self, m: Manifest) -> None:
-        jvm, name = self.spark._jvm, f"{m.version:012d}.json"
-        temp, fs = self._hadoop(f"{self.path}/manifests/.{uuid.uuid4().hex}")
-        out = fs.create(temp, False)
-        out.write(bytearray(m.text().encode()))
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        try:
-            context.rename(context.makeQualified(temp), context.makeQualified(self._hadoop(f"{self.path}/manifests/{name}")[0]), options)
-        except Exception as e:
-            fs.delete(temp, False)
-            if "FileAlreadyExists" in str(e):
-                raise CommitRefused(f"version {m.version} was committed by another load") from None
-            raise
-
     def drop_unused(self, keep: Iterable[int] = ()) -> int:
         """Delete folders that neither the newest version nor one to keep names; returns how many. Not to be run beside a load."""
         live = {f.split("/")[1] for v in {self.manifest().version, *keep} - {0} for d in self.manifest(v).days.values() for f in d.folders}
@@ -142,3 +154,41 @@ class VersionedTable:
         for path in gone:
             fs.delete(path, True)
         return len(gone)
+
+
+class TableSet(_Pointed):
+    """Tables that belong together, such as the outputs of a run: all of a version are there, or none."""
+
+    def _manifest(self, version: int | None = None) -> dict:
+        text = self._manifest_text(version)
+        return json.loads(text) if text else {"version": 0, "tables": {}}
+
+    @property
+    def version(self) -> int:
+        return self._manifest()["version"]
+
+    def begin(self) -> NewTables:
+        return NewTables(self, self._manifest()["version"])
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        found = self._manifest(version)["tables"][name]
+        return self.spark.read.schema(StructType.fromJson(found["schema"])).parquet(f"{self.path}/{found['folder']}")
+
+
+class NewTables:
+    """The next version while it is made; nothing of it shows before commit."""
+
+    def __init__(self, tables: TableSet, based_on: int):
+        self.tables, self.based_on, self.folder, self.made = tables, based_on, f"data/{uuid.uuid4().hex}", {}
+
+    def add(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write a table of the version, once, and read it back for those that are made from it."""
+        path = f"{self.tables.path}/{self.folder}/{name}"
+        rows.write.parquet(path)
+        self.made[name] = {"folder": f"{self.folder}/{name}", "schema": rows.schema.jsonValue()}
+        return self.tables.spark.read.schema(rows.schema).parquet(path)
+
+    def commit(self) -> int:
+        version = self.based_on + 1
+        self.tables._point(version, json.dumps({"version": version, "tables": self.made}))
+        return version

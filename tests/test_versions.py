@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime
 import glob
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from searchlift.operators import loading
-from searchlift.sources.versions import CommitRefused, VersionedTable
+from searchlift.sources.versions import CommitRefused, TableSet, VersionedTable
 from searchlift.streaming import late
 
 SCHEMA = "metric_date date, clicks double"
@@ -117,3 +118,51 @@ def test_an_empty_table_of_days(spark, tmp_path):
         table.read()
     table.commit(spark.createDataFrame([], SCHEMA))
     assert table.read().count() == 0 and table.read().columns == ["metric_date", "clicks"]
+
+
+def test_days_of_a_paged_source(spark):
+    """An exactly full day is told from a cut one by its probe alone."""
+    rows = lambda n: [(float(i),) for i in range(n)]
+    captures = [
+        (day(0), 0, 3, rows(3)), (day(0), 3, 3, rows(3)), (day(0), 6, 1, []),
+        (day(1), 0, 3, rows(3)), (day(1), 3, 3, rows(3)), (day(1), 6, 1, rows(1)),
+        (day(2), 0, 3, rows(3)), (day(2), 3, 3, rows(1)),
+        (day(3), 0, 3, rows(3)),
+        (day(4), 0, 3, rows(3)), (day(4), 6, 3, rows(2)),
+        (day(5), 0, 3, []),
+        (day(6), 3, 3, rows(3)),
+        (day(7), 0, 3, None),
+        (day(8), 0, 3, rows(2)), (day(8), 0, 3, rows(2)),
+    ]
+    states, whole = loading.assembled(spark.createDataFrame(captures, "metric_date date, start_row int, requested int, rows array<struct<clicks: double>>"), cap=6)
+    assert {(r.metric_date - day(0)).days: (r.rows, r.state) for r in states.collect()} == {0: (6, "whole"), 1: (6, "cut"), 2: (4, "whole"), 3: (3, "open"), 4: (5, "gap"), 5: (0, "whole"), 6: (3, "gap"), 7: (0, "whole"), 8: (2, "whole")}
+    assert Counter((r.metric_date - day(0)).days for r in whole.collect()) == {0: 6, 2: 4, 8: 2}
+
+
+def test_a_run_is_there_as_a_whole_or_not_at_all(spark, tmp_path):
+    tables = TableSet(spark, f"file://{tmp_path}/run")
+    first = tables.begin()
+    made = first.add("a", spark.range(3))
+    first.add("b", made.where("id > 0"))
+    assert tables.version == 0 and first.commit() == 1 and tables.read("b").count() == 2
+    second, third = tables.begin(), tables.begin()
+    second.add("a", spark.range(5))
+    third.add("a", spark.range(7))
+    assert tables.read("a").count() == 3
+    second.commit()
+    with pytest.raises(CommitRefused):
+        third.commit()
+    assert tables.read("a").count() == 5 and tables.read("a", version=1).count() == 3 and tables.version == 2
+
+
+def test_the_outputs_of_a_site_run_are_those_of_the_single_queries(spark, tmp_path):
+    from searchlift.plans import catalog, site_run
+
+    sf = "/root/testdata/sf0.001"
+    out = site_run.run(spark, sf, f"file://{tmp_path}/run")
+    rows = lambda df: sorted((tuple(map(str, r)) for r in df.select(sorted(df.columns)).collect()))
+    for table, query in (("topics", "page_topics"), ("clusters", "topic_clusters"), ("recommendations", "link_recommendations"), ("graph", "semantic_graph"), ("actions", "content_actions")):
+        assert rows(out.read(table)) == rows(catalog.queries()[query](spark, sf)), table
+    gain = catalog.queries()["information_gain"](spark, sf).select("page_id", "gain")
+    assert rows(out.read("insights").where("gain IS NOT NULL").select("page_id", "gain")) == rows(gain)
+    assert set(out._manifest()["tables"]) == set(site_run.OUTPUTS)
