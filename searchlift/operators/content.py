@@ -280,12 +280,11 @@ SELECT page_id, terms, once, coalesce(own_queries, 0) AS own_queries, CAST(least
 
 
 def decay(change: DataFrame) -> DataFrame:
-    """Decay and freshness of pages from their change between periods and their age."""
-    age = (F.regexp_extract("page_url", "([0-9]+)$", 1).cast("int") * 37) % 900
+    """Decay and freshness of pages from their change between periods and their age (age_days; unknown counts as new)."""
     clicks = F.when((F.col("prev_impressions") >= 30) & (F.col("clicks_delta") <= -0.3), F.least(F.lit(60), F.bround(100 * F.abs("clicks_delta"), 0))).otherwise(0)
     imp = F.when((F.col("prev_impressions") >= 30) & (F.col("impressions_delta") <= -0.25), F.least(F.lit(40), F.bround(100 * F.abs("impressions_delta"), 0))).otherwise(0)
     old = F.when(F.col("age_days") >= 365, F.least(F.lit(25), F.floor((F.col("age_days") - 365) / 90) + 10)).otherwise(0)
-    d = change.withColumn("age_days", age)
+    d = change.withColumn("age_days", F.coalesce("age_days", F.lit(0)))
     return d.select("page_url", "age_days", F.greatest(F.lit(0), 100 - F.least(F.lit(100), F.bround(F.col("age_days") / 3, 0))).cast("int").alias("freshness"), F.least(F.lit(100), clicks + imp + old).cast("int").alias("decay"))
 
 

@@ -125,3 +125,15 @@ def health_sql() -> str:
     return f"""WITH {STATES_CTE}, w AS (SELECT f.site, sum({weight_sql(HEALTH_WEIGHTS).replace('CASE severity', 'CASE s.severity')}) AS w FROM states s JOIN findings f USING (fingerprint) WHERE status IN {ACTIVE} GROUP BY f.site),
 n AS (SELECT site, count(*) AS pages FROM crawled GROUP BY site UNION ALL SELECT 'empty.example.org', NULL), t AS (SELECT site, coalesce(pages, 0) AS pages, CASE WHEN pages IS NOT NULL THEN CAST(greatest(0, 100 - coalesce(w, 0)) AS INT) END AS score FROM n LEFT JOIN w USING (site))
 SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' WHEN score IS NOT NULL THEN 'F' END AS grade FROM t"""
+
+
+def state_counts(states: DataFrame) -> DataFrame:
+    """Findings by status, and those that are active by severity, in one pass."""
+    active = F.col("status").isin(*ACTIVE)
+    each = states.select(F.inline(F.array(F.struct(F.lit("status").alias("by"), F.col("status").alias("value")), F.struct(F.lit("severity").alias("by"), F.when(active, F.col("severity")).alias("value")))))
+    return each.where("value IS NOT NULL").groupBy("by", "value").agg(F.count("*").alias("n"))
+
+
+STATE_COUNTS_SQL = f"""WITH {STATES_CTE} SELECT 'status' AS by, status AS value, count(*) AS n FROM states GROUP BY status UNION ALL SELECT 'severity', severity, count(*) FROM states WHERE status IN {ACTIVE} GROUP BY severity"""
+SITE_COUNTS_SQL = f"""WITH {STATES_CTE}, i AS (SELECT f.site, count(*) AS issues FROM findings f JOIN states s USING (fingerprint) WHERE s.status IN ('open', 'regressed') GROUP BY f.site)
+SELECT site, count(*) AS pages, coalesce(any_value(issues), 0) AS issues FROM crawled LEFT JOIN i USING (site) GROUP BY site"""

@@ -153,3 +153,27 @@ REQUESTS_SQL = """WITH r AS (SELECT event_id AS request_id, CASE WHEN user_id %
 w AS (SELECT *, CASE WHEN requester IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY requester ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) END AS recent,
  arg_max(request_id, (ts, request_id)) OVER (PARTITION BY email, domain ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS duplicate_of FROM r)
 SELECT request_id, requester, ts, recent, recent >= 5 AS limited, duplicate_of FROM w"""
+
+
+METERED = ("monthly_crawl_pages", "ai_requests", "ai_tokens", "serp_queries")
+
+
+def recorded(counters: DataFrame, uses: DataFrame) -> DataFrame:
+    """Counters (workspace, metric, period, quantity) after uses of the same columns: each adds to its counter, or begins one.
+
+    Uses of unknown metrics and of less than one are refused. Uses are summed before they meet a counter.
+    """
+    good = uses.where(F.col("metric").isin(*METERED) & (F.col("quantity") >= 1)).select("workspace", "metric", "period", "quantity")
+    return counters.select("workspace", "metric", "period", "quantity").unionByName(good).groupBy("workspace", "metric", "period").agg(F.sum("quantity").alias("quantity"))
+
+
+def usage_snapshot(counters: DataFrame, limits: DataFrame, period: str) -> DataFrame:
+    """For each workspace and metric what is used in the period, and the limit (limits: one row for each workspace, as entitlements gives them)."""
+    metrics = limits.select("workspace", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("bigint").alias("quota")) for m in METERED])).alias("m")).select("workspace", "m.*")
+    used = counters.where(F.col("period") == F.lit(period).cast("date")).select("workspace", "metric", F.col("quantity").alias("used"))
+    return metrics.join(used, ["workspace", "metric"], "left").select("workspace", "metric", F.coalesce("used", F.lit(0)).alias("used"), "quota")
+
+
+def state_counts(actions: DataFrame) -> DataFrame:
+    """Actions by status and by level of risk, in one pass of grouping sets."""
+    return actions.groupingSets([["status"], ["risk_level"]], "status", "risk_level").agg(F.count("*").alias("n"))

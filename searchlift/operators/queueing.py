@@ -150,8 +150,19 @@ FRONTIER_POP_SQL = "SELECT sha256(url) AS url_hash, url, 'fetching' AS status, C
 
 
 def frontier_add(found: DataFrame, known: DataFrame, room: int) -> DataFrame:
-    """New URLs for the frontier: distinct, not known, and at most as many as there is room for."""
-    new = found.select(F.sha2("url", 256).alias("url_hash"), "url").dropDuplicates(["url_hash"]).join(known.select("url_hash"), "url_hash", "left_anti")
+    """New URLs for the frontier: distinct, not known, and at most as many as there is room for, in order of their hashes.
+
+    Two URLs of one hash, among those found or against those known (where these name their url), are an error.
+    """
+    clash = lambda a, b: F.when(a != b, F.raise_error(F.lit("two URLs have one hash")).cast("string")).otherwise(a)
+    new = found.select(F.sha2("url", 256).alias("url_hash"), "url").groupBy("url_hash").agg(F.min("url").alias("url"), F.max("url").alias("other")).select("url_hash", clash(F.col("url"), F.col("other")).alias("url"))
+    if "url" in known.columns:
+        before = known.groupBy("url_hash").agg(F.min("url").alias("known"))
+        # The check comes first: it must not be skipped for the rows that it refuses.
+        checked = new.join(before, "url_hash", "left").select("url_hash", F.when(F.col("known").isNull(), F.col("url")).when(F.col("known") != F.col("url"), F.raise_error(F.lit("two URLs have one hash")).cast("string")).alias("url"))
+        new = checked.where("url IS NOT NULL")
+    else:
+        new = new.join(known.select("url_hash"), "url_hash", "left_anti")
     return new.orderBy("url_hash").limit(room)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from searchlift.functions import urls
-from searchlift.sources.samples import WOVEN_CTE
+from searchlift.sources.samples import MARKED_PATH_SQL, WOVEN_CTE
 from searchlift.sources.tables import EDGES_SQL, JOBS_SQL, PAGES_SQL
 
 
@@ -90,6 +90,49 @@ def tech_sql() -> str:
     return f"WITH {PAGES_SQL}, h AS ({each}), s AS (SELECT site, tech, place, sum(hits) AS score FROM h GROUP BY ALL) SELECT site, tech, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY site ORDER BY score DESC, place) = 1 AND score > 0 AS best FROM s"
 
 
+#: Substrings of page paths that name a content system, in order of declaration; and how many signals are told of.
+CMS = (("sanity", ("cdn.sanity.io", "sanity", "sanity.io")), ("wordpress", ("/wp-json/", "/wp-admin/", "/wp-content/", "/xmlrpc.php")), ("ghost", ("/ghost/api/", "ghost")), ("strapi", ("/api/", "strapi")))
+SIGNALS = 10
+
+
+def stacks(pages: DataFrame) -> DataFrame:
+    """Per site its technology and content system by the signals in page paths, case aside (unknown and none without any), and the first ten technology signals that were found, with their pages.
+
+    Hits are counted in one aggregation, a column for each signal, so that nothing of a site is gathered.
+    """
+    path = F.lower("path")
+    names = [(kind, name, signal) for kind, declared in (("tech", TECH), ("cms", CMS)) for name, signals in declared for signal in signals]
+    hits = [F.count_if(F.contains(path, F.lit(signal.lower()))).alias(f"h{i}") for i, (*_, signal) in enumerate(names)]
+    n = pages.groupBy("site").agg(*hits)
+
+    def best(kind: str, declared: tuple, otherwise: str):
+        scores = [F.struct(sum((F.col(f"h{i}") for i, (k, name, _) in enumerate(names) if (k, name) == (kind, t)), F.lit(0)).alias("score"), F.lit(-j).alias("place"), F.lit(t).alias("name")) for j, (t, _) in enumerate(declared)]
+        top = F.array_max(F.array(*scores))
+        return F.when(top.score > 0, top["name"]).otherwise(otherwise).alias(kind)
+
+    told = [F.when(F.col(f"h{i}") > 0, F.concat(F.lit(f"{signal} found in "), F.col(f"h{i}").cast("string"), F.lit(" pages"))) for i, (kind, _, signal) in enumerate(names) if kind == "tech"]
+    signals = F.array_join(F.slice(F.array_compact(F.array(*told)), 1, SIGNALS), "|").alias("signals")
+    return n.select("site", best("tech", TECH, "unknown"), best("cms", CMS, "none"), signals)
+
+
+def stacks_sql() -> str:
+    def scored(declared: tuple) -> str:
+        return " UNION ALL ".join(f"SELECT '{name}' AS name, {j} AS place, '{signal}' AS signal, {i} AS k" for i, (j, name, signal) in enumerate((j, n, x) for j, (n, xs) in enumerate(declared) for x in xs))
+
+    hits = lambda of: f"SELECT site, name, place, signal, k, count(*) FILTER (contains(lower(path), lower(signal))) AS n FROM marked CROSS JOIN ({of}) GROUP BY ALL"
+    best = lambda of: f"SELECT site, name FROM (SELECT site, name, place, sum(n) AS score FROM {of} GROUP BY ALL) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, place) = 1"
+    return f"""WITH {PAGES_SQL}, marked AS (SELECT concat('site', page_id % 3) AS site, {MARKED_PATH_SQL} AS path FROM crawled), t AS ({hits(scored(TECH))}), c AS ({hits(scored(CMS))}), bt AS ({best('t')}), bc AS ({best('c')}),
+g AS (SELECT site, string_agg(concat(signal, ' found in ', n, ' pages'), '|' ORDER BY k) AS signals FROM (SELECT * FROM t WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY k) <= {SIGNALS}) GROUP BY site)
+SELECT site, coalesce(bt.name, 'unknown') AS tech, coalesce(bc.name, 'none') AS cms, coalesce(signals, '') AS signals FROM (SELECT DISTINCT site FROM marked) LEFT JOIN bt USING (site) LEFT JOIN bc USING (site) LEFT JOIN g USING (site)"""
+
+
+def site_counts(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per site its pages and its findings that are open or have come back (site, status)."""
+    open_ = findings.where(F.col("status").isin("open", "regressed")).groupBy("site").agg(F.count("*").alias("issues"))
+    n = pages.groupBy("site").agg(F.count("*").alias("pages")).join(open_, "site", "left")
+    return n.select("site", "pages", F.coalesce("issues", F.lit(0)).alias("issues"))
+
+
 def pages_for_review(pages: DataFrame, each: int = 10) -> DataFrame:
     """Per site the home page first, then the answered pages with the most words."""
     w = Window.partitionBy("site").orderBy((F.col("path") != "/"), F.desc("word_count"), "page_id")

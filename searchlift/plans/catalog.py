@@ -155,7 +155,7 @@ def stream_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir)
     found = p.select("site", F.explode("links").alias("link")).where(F.startswith("link", F.lit("/"))).select(F.concat(F.lit("https://"), "site", "link").alias("url"))
-    return queueing.frontier_add(found, p.select(F.sha2("url", 256).alias("url_hash")), 200)
+    return queueing.frontier_add(found, p.select(F.sha2("url", 256).alias("url_hash"), "url"), 200)
 
 
 def three_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,7 @@ def content_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refreshes of decaying pages, the fifty best search opportunities that are content work, and the 25 best citation gaps; of all these the best hundred."""
     best = lambda df, n: df.orderBy(F.desc("priority"), "candidate_key").limit(n)
     part = lambda df, key, source, effort: df.select(key.alias("candidate_key"), source.alias("source"), "priority", "confidence", F.lit(effort).alias("effort"))
-    d = content.decay(facts.period_change(_facts(spark, sf_dir))).where("decay >= 25").withColumns({"priority": F.least(F.lit(100), F.col("decay") + 20).cast("int"), "confidence": F.least(F.lit(100), 60 + F.floor(F.col("decay") / 3)).cast("int")})
+    d = content.decay(samples.with_ages(facts.period_change(_facts(spark, sf_dir)))).where("decay >= 25").withColumns({"priority": F.least(F.lit(100), F.col("decay") + 20).cast("int"), "confidence": F.least(F.lit(100), 60 + F.floor(F.col("decay") / 3)).cast("int")})
     refresh = part(d, F.concat(F.lit("refresh:"), "page_url"), F.lit("refresh_existing_page"), 45)
     o = facts.opportunities(_facts(spark, sf_dir)).withColumn("candidate_key", F.concat(F.lit("search:"), "opportunity_key"))
     target = targets.target_of(F.col("opportunity_type"), targets.site_path(F.col("page_url"), F.lit(samples.SITE)))
@@ -350,11 +350,40 @@ def action_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.backfilled(acts, orders.where(k % 5 > 0).select(k.alias("action_id"), F.lower("o_orderstatus").alias("job_status"), (k % 4).alias("attempts")))
 
 
+def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir)
+    found = findings.page_findings(findings.with_in_links(p, tables.link_edges(p)))
+    return reports.site_counts(p, finding_actions.sample_states(found).select("fingerprint", "status").join(found.select("fingerprint", "site"), "fingerprint"))
+
+
+def action_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actions after their histories, with the risk that the policy sees in them."""
+    after = governance.histories(*governance.sample_log(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")))
+    return policy.state_counts(policy.decided(_actions(spark, sf_dir)).select("action_id", "risk_level").join(after.select("action_id", "status"), "action_id"))
+
+
+ACTION_STATE_COUNTS_SQL = f"WITH h AS ({governance.histories_sql()}), d AS ({policy.DECIDED_SQL}) SELECT status, risk_level, count(*) AS n FROM h JOIN d USING (action_id) GROUP BY GROUPING SETS ((status), (risk_level))"
+#: The month of the sample snapshot; counters begin with ten uses of each metric for the even workspaces.
+USAGE_MONTH = "1998-03-01"
+
+
+def usage_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = governance.entitlements(governance.sample_subscriptions(load(spark, sf_dir, "customer").where("c_custkey < 50")))
+    begun = plans.where("workspace % 2 = 0").select("workspace", F.explode(F.array(*[F.lit(m) for m in policy.METERED])).alias("metric"), F.lit(USAGE_MONTH).cast("date").alias("period"), F.lit(10).cast("bigint").alias("quantity"))
+    return policy.usage_snapshot(policy.recorded(begun, samples.usage_events(load(spark, sf_dir, "lineitem"))), plans, USAGE_MONTH)
+
+
+USAGE_SNAPSHOT_SQL = f"""WITH {samples.USAGE_CTE}, p AS (SELECT * FROM ({governance.ENTITLEMENTS_SQL}) WHERE workspace < 50), m AS ({" UNION ALL ".join(f"SELECT workspace, '{m}' AS metric, CAST({m} AS BIGINT) AS quota FROM p" for m in policy.METERED)}),
+u AS (SELECT workspace, metric, sum(quantity) AS n FROM uses WHERE quantity >= 1 AND period = DATE '{USAGE_MONTH}' GROUP BY ALL)
+SELECT workspace, metric, CAST(coalesce(n, 0) + CASE WHEN workspace % 2 = 0 THEN 10 ELSE 0 END AS BIGINT) AS used, quota FROM m LEFT JOIN u USING (workspace, metric)"""
+CONTENT_METRICS_SQL = facts.WEIGHTED_SQL.replace("query", "page_url").replace("p_brand AS page_url", "p_brand AS query").replace(", 6)", ", 4)").replace(", 3)", ", 2)")
+
+
 def content_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay of the suppliers' pages and gain of the crawled pages of the same number."""
     p = _pages(spark, sf_dir)
     texts = content.page_texts(p)
-    d = content.decay(facts.period_change(_facts(spark, sf_dir))).select(F.regexp_extract("page_url", "([0-9]+)$", 1).cast("long").alias("page_id"), "decay")
+    d = content.decay(samples.with_ages(facts.period_change(_facts(spark, sf_dir)))).select(F.regexp_extract("page_url", "([0-9]+)$", 1).cast("long").alias("page_id"), "decay")
     return governance.content_actions(d.join(content.information_gain(texts, tables.page_queries(spark, sf_dir)), "page_id"), content.recommendations(texts, tables.link_edges(p)))
 
 
@@ -387,6 +416,7 @@ QUERIES = {
     "opportunities_actionable": (lambda s, d: facts.actionable(facts.opportunities(_facts(s, d))), facts.ACTIONABLE_SQL),
     "opportunity_runs": (opportunity_runs, OPPORTUNITY_RUNS_SQL),
     "weighted_metrics": (lambda s, d: facts.weighted_metrics(_facts(s, d), "query"), facts.WEIGHTED_SQL),
+    "content_metrics": (lambda s, d: facts.weighted_metrics(_facts(s, d), "page_url", places=(4, 2)), CONTENT_METRICS_SQL),
     "metric_window": (lambda s, d: facts.metric_window(_facts(s, d), tables.RECENT_FROM, tables.PERIOD_END), facts.METRIC_WINDOW_SQL),
     "period_change": (lambda s, d: facts.period_change(_facts(s, d)), facts.CHANGE_SQL),
     "cannibal_pages": (lambda s, d: facts.cannibal_pages(_facts(s, d)), facts.CANNIBAL_SQL),
@@ -418,6 +448,8 @@ QUERIES = {
     "finding_steps": (lambda s, d: finding_actions.step(_states(s, d)), finding_actions.STEP_SQL),
     "finding_step_counts": (lambda s, d: finding_actions.step_counts(finding_actions.step(_states(s, d))), finding_actions.STEP_COUNTS_SQL),
     "fix_metrics": (lambda s, d: finding_actions.fix_metrics(_states(s, d)), finding_actions.FIX_METRICS_SQL),
+    "finding_state_counts": (lambda s, d: finding_actions.state_counts(_states(s, d)), finding_actions.STATE_COUNTS_SQL),
+    "site_counts": (site_counts, finding_actions.SITE_COUNTS_SQL),
     "site_health_active": (_health, finding_actions.health_sql()),
     "findings_summary": (lambda s, d: findings.summary(_found(s, d)), findings.SUMMARY_SQL),
     "finding_runs": (three_runs, THREE_RUNS_SQL),
@@ -428,6 +460,7 @@ QUERIES = {
     "woven_link_graph": (lambda s, d: (lambda p: reports.link_graph(samples.one_site(p), samples.woven_edges(p)))(_pages(s, d)), reports.WOVEN_GRAPH_SQL),
     "link_totals": (lambda s, d: reports.link_totals(_pages(s, d), _edges(s, d)), reports.LINK_TOTALS_SQL),
     "tech_stack": (lambda s, d: reports.tech_scores(_pages(s, d)), reports.tech_sql()),
+    "site_stacks": (lambda s, d: reports.stacks(samples.marked_paths(_pages(s, d))), reports.stacks_sql()),
     "pages_for_review": (lambda s, d: reports.pages_for_review(_pages(s, d)), reports.REVIEW_SQL),
     "page_listing": (lambda s, d: reports.page_of_rows(_pages(s, d)), reports.PAGINATION_SQL),
     "js_shells": (lambda s, d: reports.js_shells(_pages(s, d).select("page_id", "word_count").join(load(s, d, "pages").select("page_id", "html"), "page_id")), reports.JS_SHELL_SQL),
@@ -490,7 +523,7 @@ QUERIES = {
     "whole_semantic_graph": (lambda s, d: _graph(_whole(s, d)), content.graph_sql(content.WHOLE_TEXTS_SQL)),
     "whole_information_gain": (lambda s, d: content.information_gain(_whole(s, d)), content.gain_sql(content.WHOLE_TEXTS_SQL)),
     "site_run": (lambda s, d: site_run.run(s, d, f"{shared_dir(s)}/run-{uuid.uuid4().hex}").read("summary"), site_run.SUMMARY_SQL),
-    "content_decay": (lambda s, d: content.decay(facts.period_change(_facts(s, d))), content.decay_sql()),
+    "content_decay": (lambda s, d: content.decay(samples.with_ages(facts.period_change(_facts(s, d)))), content.decay_sql()),
     "content_candidates": (content_candidates, CONTENT_CANDIDATES_SQL),
     "content_briefs": (lambda s, d: _shown_briefs(_briefs(s, d)), drafts.BRIEFS_SQL),
     "content_drafts": (lambda s, d: _drafts(s, d).select("page_id", "slug", "meta_title", "meta_description", F.sha2("body", 256).alias("body_sha256"), "word_count", "version", "mode"), drafts.DRAFTS_SQL),
@@ -520,6 +553,8 @@ QUERIES = {
     "plan_entitlements": (lambda s, d: governance.entitlements(governance.sample_subscriptions(load(s, d, "customer"))), governance.ENTITLEMENTS_SQL),
     "link_runs": (link_runs, LINK_RUNS_SQL),
     "content_runs": (content_runs, CONTENT_RUNS_SQL),
+    "action_state_counts": (action_state_counts, ACTION_STATE_COUNTS_SQL),
+    "usage_snapshot": (usage_snapshot, USAGE_SNAPSHOT_SQL),
     "usage_quota": (lambda s, d: policy.usage(load(s, d, "orders"), load(s, d, "customer")), policy.USAGE_SQL),
     "audit_rate_limit": (lambda s, d: policy.rate_limited(load(s, d, "events")), policy.RATE_SQL),
     "audit_requests": (lambda s, d: policy.audit_requests(policy.sample_requests(load(s, d, "events"))), policy.REQUESTS_SQL),

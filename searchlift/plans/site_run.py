@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlift.operators import content, facts, governance
-from searchlift.sources import tables
+from searchlift.sources import samples, tables
 from searchlift.sources.tables import EDGES_SQL, PAGES_SQL
 from searchlift.sources.versions import TableSet
 
@@ -36,7 +36,7 @@ def run(spark: SparkSession, sf_dir: str, root: str) -> TableSet:
 
 def _insights(spark: SparkSession, sf_dir: str, pages: DataFrame, texts: DataFrame, topics: DataFrame) -> DataFrame:
     """page_id, site, terms, gain, topics, and decay and freshness of the searched page of the same number (null where there is none)."""
-    decay = content.decay(facts.period_change(tables.search_facts(spark, sf_dir)))
+    decay = content.decay(samples.with_ages(facts.period_change(tables.search_facts(spark, sf_dir))))
     numbered = decay.select(F.regexp_extract("page_url", "([0-9]+)$", 1).cast("long").alias("page_id"), "decay", "freshness")
     gain = content.information_gain(texts, tables.page_queries(spark, sf_dir)).select("page_id", "terms", "gain")
     n = topics.groupBy("page_id").agg(F.count("*").alias("topics"))

@@ -138,3 +138,31 @@ def woven_edges(pages: DataFrame) -> DataFrame:
 
 WOVEN_CTE = """woven AS (SELECT page_id, concat('site', page_id % 3) AS site, path FROM crawled),
 edges AS (SELECT a.site, a.path AS src, b.path AS dst FROM woven a JOIN woven b ON a.site = b.site AND b.page_id = a.page_id + 3 UNION ALL SELECT site, path, unnest([path, '/nowhere']) FROM woven)"""
+
+
+#: Ends of paths that show what a site is made of, by the page's number.
+MARKS = ("/_next/data", "/wp-content/x", "/Ghost/api/", "/blog", "/wp-json/v2", "/static/app", "/about")
+MARKED_PATH_SQL = f"concat(path, CASE page_id % 3 WHEN 2 THEN '' ELSE list_extract([{', '.join(f"'{m}'" for m in MARKS)}], CAST((page_id // 3) % {len(MARKS)} AS INT) + 1) END)"
+
+
+def marked_paths(pages: DataFrame) -> DataFrame:
+    """Captured pages of three sites with such ends; the third site shows nothing."""
+    end = F.element_at(F.array(*[F.lit(m) for m in MARKS]), (F.floor(F.col("page_id") / 3) % len(MARKS) + 1).cast("int"))
+    return one_site(pages).withColumn("path", F.concat("path", F.when(F.col("page_id") % 3 == 2, "").otherwise(end)))
+
+
+def with_ages(change: DataFrame) -> DataFrame:
+    """Pages with an age in days, by the number of their URL."""
+    return change.withColumn("age_days", (F.regexp_extract("page_url", "([0-9]+)$", 1).cast("int") * 37) % 900)
+
+
+USED_METRICS = ("monthly_crawl_pages", "ai_requests", "ai_tokens", "serp_queries")
+
+
+def usage_events(lines: DataFrame) -> DataFrame:
+    """Order lines as uses of a metric by fifty workspaces; some quantities are no use at all."""
+    metric = F.element_at(F.array(*[F.lit(m) for m in (*USED_METRICS, "unknown")]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    return lines.select((F.col("l_suppkey") % 50).alias("workspace"), metric.alias("metric"), F.floor(F.col("l_quantity") - 3).cast("bigint").alias("quantity"), F.date_trunc("month", "l_shipdate").cast("date").alias("period"))
+
+
+USAGE_CTE = f"""uses AS (SELECT l_suppkey % 50 AS workspace, list_extract([{', '.join(f"'{m}'" for m in (*USED_METRICS, "unknown"))}], CAST(l_partkey % 5 AS INT) + 1) AS metric, CAST(floor(l_quantity - 3) AS BIGINT) AS quantity, CAST(date_trunc('month', l_shipdate) AS DATE) AS period FROM lineitem)"""
