@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from searchlift.operators.facts import OPPORTUNITY_CTE
 
 
-def sample_queue(opportunities: DataFrame) -> DataFrame:
-    """An earlier queue of some of the opportunities; the digits of a key decide which, and in what state."""
-    digit = lambda i: F.substring("opportunity_key", i, 1)
-    status = F.when(digit(2) < "4", "cancelled").when(digit(2) < "8", "approved").otherwise("draft")
-    return opportunities.where(digit(3) < "a").select(F.col("opportunity_key").alias("key"), (F.col("priority") - F.when(digit(1) < "8", 0).otherwise(5)).alias("priority"), "confidence", status.alias("status"), F.lit(1).alias("version"))
-
-
 def follow(queue: DataFrame, active: DataFrame) -> DataFrame:
     """queue (key, priority, confidence, status, version) and active (key, priority, confidence) -> the next queue, with what happened.
 

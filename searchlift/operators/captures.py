@@ -27,14 +27,6 @@ def any_of_sql(text: str, marks: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{m}')" for m in marks) + ")"
 
 
-def sample_answers(pages: DataFrame) -> DataFrame:
-    """Captured pages as answers with a status and headers; every sixth is a challenge."""
-    i = F.col("page_id")
-    header = F.when(i % 4 == 1, "CF-Ray").when(i % 4 == 2, "X-Iinfo").otherwise("Server")
-    body = F.concat(F.when(i % 6 == 0, "<title>Checking your browser</title>").when(i % 6 == 1, "<p>Cloudflare Ray ID</p>").otherwise(""), F.coalesce("html", F.lit("")))
-    return pages.select("page_id", F.when(i % 10 == 3, 403).when(i % 10 == 6, 429).otherwise(200).alias("status_code"), F.create_map(header, F.lit("1")).alias("headers"), body.alias("body"))
-
-
 def bot_blocks(answers: DataFrame) -> DataFrame:
     """Answers that are a challenge to automated readers, and whose.
 
@@ -59,14 +51,6 @@ SELECT page_id, status_code, detected, CASE WHEN detected THEN coalesce(provider
 FIELDS = ("status_code", "title", "h1_count", "word_count", "n_links", "canonical", "description", "robots")
 
 
-def sample_captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Crawled pages as two captures: as sent, and as another reader sees them."""
-    i = F.col("page_id")
-    sent = pages.withColumns({"n_links": F.size("links"), "title": F.when(i % 7 == 0, "").otherwise(F.col("title")), "h1_count": F.when(i % 8 == 0, 0).otherwise(F.col("h1_count"))}).select("page_id", *FIELDS)
-    seen = pages.withColumns({"n_links": F.floor(F.size("links") / (1 + i % 3)).cast("int"), "title": F.when(i % 9 == 0, "").otherwise(F.col("title")), "word_count": (F.col("word_count") + (i * 17) % 60 - 10).cast("int"), "robots": F.when(i % 11 == 0, "noindex").otherwise(F.col("robots"))}).select("page_id", *FIELDS)
-    return sent, seen
-
-
 CAPTURES_CTE = f"""{PAGES_SQL},
 sent AS (SELECT page_id, status_code, CASE WHEN page_id % 7 = 0 THEN '' ELSE title END AS title, CASE WHEN page_id % 8 = 0 THEN 0 ELSE h1_count END AS h1_count, word_count, len(links) AS n_links, canonical, description, robots FROM crawled),
 seen AS (SELECT page_id, status_code, CASE WHEN page_id % 9 = 0 THEN '' ELSE title END AS title, h1_count, word_count + (page_id * 17) % 60 - 10 AS word_count, len(links) // (1 + page_id % 3) AS n_links, canonical, description, CASE WHEN page_id % 11 = 0 THEN 'noindex' ELSE robots END AS robots FROM crawled)"""

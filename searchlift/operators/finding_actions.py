@@ -12,24 +12,10 @@ ACTIVE, CANCELLABLE = ("open", "regressed"), ("draft", "needs_approval", "approv
 DEFERRED = ("planning_not_attempted", "github_planning_budget_exhausted")
 
 
-def _digit(i: int) -> Column:
+def digit(i: int) -> Column:
     return F.substring("fingerprint", i, 1)
 
 
-def sample_states(found: DataFrame) -> DataFrame:
-    """Findings as they stand after some runs, with the latest action on each; the digits of the fingerprint decide."""
-    d = _digit
-    number = lambda i, n: (F.ascii(d(i)) % n).cast("int")
-    has = d(5) < "c"
-    return found.select(
-        "fingerprint", "finding_type", "severity", "impact", "confidence", "effort", "action_type", "risk", "url",
-        F.when(d(1) < "3", "resolved").when(d(1) < "5", "dismissed").when(d(1) < "8", "regressed").otherwise("open").alias("status"),
-        F.date_add(F.lit("2024-01-01").cast("date"), number(2, 10)).alias("last_seen"), number(3, 3).alias("regressions"),
-        F.when(has, F.when(d(6) < "4", "draft").when(d(6) < "8", "approved").otherwise("succeeded")).alias("action_status"),
-        F.when(has, F.when(d(4) < "4", DEFERRED[0]).when(d(4) < "6", F.lit(None)).when(d(4) < "8", DEFERRED[1]).otherwise("patch_ready")).alias("reason_code"),
-    )
-
-
 STATES_CTE = f"""{FINDINGS_CTE}, states AS (SELECT fingerprint, finding_type, severity, impact, confidence, effort, action_type, risk, url,
  CASE WHEN fingerprint < '3' THEN 'resolved' WHEN fingerprint < '5' THEN 'dismissed' WHEN fingerprint < '8' THEN 'regressed' ELSE 'open' END AS status, DATE '2024-01-01' + CAST(ascii(substring(fingerprint, 2, 1)) % 10 AS INT) AS last_seen, CAST(ascii(substring(fingerprint, 3, 1)) % 3 AS INT) AS regressions,
  CASE WHEN substring(fingerprint, 5, 1) < 'c' THEN CASE WHEN substring(fingerprint, 6, 1) < '4' THEN 'draft' WHEN substring(fingerprint, 6, 1) < '8' THEN 'approved' ELSE 'succeeded' END END AS action_status,

@@ -43,20 +43,6 @@ def measurement_target(plan: Column, action_plan: Column, diff: Column, evidence
     return F.coalesce(F.get_json_object(plan, "$.target_url"), first(plan), first(action_plan), first(diff), seen)
 
 
-def sample_plans(orders: DataFrame) -> DataFrame:
-    """Orders as actions with their target, diff, plans and evidence as JSON; the kind of naming goes by the number."""
-    k = F.col("o_orderkey")
-    n = k.cast("string")
-    url = F.concat(F.lit("https://shop.example.com/o/"), n)
-    none = F.lit(None).cast("string")
-    j = lambda **xs: F.to_json(F.struct(*[v.alias(c) for c, v in xs.items()]))
-    target = F.when(k % 3 == 0, j(path=F.concat(F.lit(" Public/"), n, F.lit(".TXT ")))).when(k % 3 == 1, j(paths=F.array(F.lit("A"), F.lit(" "), F.concat(F.lit("b/"), n)))).otherwise(F.lit("{}"))
-    diff = F.when(k % 4 == 0, j(files=F.array(F.struct(F.concat(F.lit("src/"), n).alias("path")), F.struct(none.alias("path"))))).when(k % 4 == 1, j(files_deleted=F.array(F.lit("Old.md")), affected_urls=F.array(F.concat(url, F.lit("/d"))))).otherwise(F.lit("{}"))
-    plan = F.when(k % 5 == 0, j(target_url=url)).when(k % 5 == 1, j(target_urls=F.array(F.concat(url, F.lit("/t"))))).otherwise(F.lit("{}"))
-    evidence = F.when(k % 7 < 5, F.to_json(F.array(F.struct(none.alias("url")), F.struct(F.concat(url, F.lit("/e")).alias("url"))))).otherwise(F.lit("[]"))
-    return orders.select(k.alias("action_id"), target.alias("target"), diff.alias("diff"), plan.alias("plan"), evidence.alias("evidence"))
-
-
 def named_targets(plans: DataFrame) -> DataFrame:
     return plans.select("action_id", F.array_join(target_paths(F.col("target"), F.col("diff")), "|").alias("paths"), measurement_target(F.col("plan"), F.lit("{}"), F.col("diff"), F.col("evidence")).alias("measured_url"))
 
@@ -73,12 +59,6 @@ def entitlements(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.select("workspace", "plan", *[F.coalesce(own(name), limit(i)).alias(name) for i, name in enumerate(LIMITS)])
 
 
-def sample_subscriptions(customers: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    overrides = F.when(k % 4 == 0, F.create_map(F.lit("sites"), (k % 50).cast("string"), F.lit("unknown"), F.lit("9"))).when(k % 4 == 1, F.create_map(F.lit("ai_tokens"), F.lit("many"))).otherwise(F.create_map().cast("map<string,string>"))
-    return customers.select(k.alias("workspace"), F.when(k % 3 == 0, "audit").when(k % 3 == 1, "growth").otherwise("scale").alias("plan"), overrides.alias("overrides"))
-
-
 def _plan_sql(i: int) -> str:
     return f"CASE plan {' '.join(f"WHEN '{k}' THEN {v[i]}" for k, v in PLANS.items())} END"
 
@@ -107,13 +87,6 @@ def transitions(actions: DataFrame, events: DataFrame) -> DataFrame:
     return j.select("action_id", "event", F.col("status").alias("from_status"), F.coalesce("to", "status").alias("status"), (F.col("version") + ok.cast("int")).alias("version"), F.when(ok, "moved").when(F.col("version") != F.col("expected_version"), "stale").otherwise("refused").alias("outcome"))
 
 
-def sample_moves(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    k = F.col("o_orderkey")
-    states = sorted({s for _, froms, to in MOVES for s in (*froms, to)})
-    pick = lambda xs, by: F.element_at(F.array(*[F.lit(x) for x in xs]), (by % len(xs) + 1).cast("int"))
-    return orders.select(k.alias("action_id"), pick(states, k).alias("status"), (1 + k % 3).cast("int").alias("version")), orders.select(k.alias("action_id"), pick([m[0] for m in MOVES], F.floor(k / 3)).alias("event"), F.when(k % 11 == 0, 9).otherwise(1 + k % 3).cast("int").alias("expected_version"))
-
-
 def moves_sql() -> str:
     states = sorted({s for _, froms, to in MOVES for s in (*froms, to)})
     listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -156,15 +129,6 @@ def histories(actions: DataFrame, log: DataFrame) -> DataFrame:
 LIFE = ("propose", "approve", "queue", "start", "validate", "succeed", "queue_rollback")
 
 
-def sample_log(orders: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Orders as drafts, their lines as the events of a life; some lines cancel or fail instead, some name an older or newer version."""
-    i, part = F.col("l_linenumber"), F.col("l_partkey")
-    event = F.when(part % 19 == 0, "cancel").when(part % 17 == 0, "fail").otherwise(F.element_at(F.array(*[F.lit(e) for e in LIFE]), ((i - 1) % len(LIFE) + 1).cast("int")))
-    version = F.when(part % 13 == 0, i - 1).when(part % 11 == 0, i + 1).otherwise(i)
-    log = lines.select(F.col("l_orderkey").alias("action_id"), (i * 10**10 + part).alias("seq"), event.alias("event"), version.alias("expected_version"))
-    return orders.select(F.col("o_orderkey").alias("action_id"), F.lit("draft").alias("status"), F.lit(1).alias("version")), log
-
-
 def histories_sql() -> str:
     moved = " ".join(f"WHEN event = '{e}' AND status IN ({', '.join(f"'{x}'" for x in froms)}) THEN '{to}'" for e, froms, to in MOVES)
     life = ", ".join(f"'{e}'" for e in LIFE)

@@ -57,19 +57,6 @@ def assembled(captures: DataFrame, cap: int = DAY_CAP) -> tuple[DataFrame, DataF
 PAGE_ROWS, SAMPLE_CAP = 15, 45
 
 
-def sample_captures(facts: DataFrame) -> DataFrame:
-    """The facts of a day as answers of fifteen rows, up to the cap of 45 and a probe; every third day has just as many rows as the cap, every seventh lacks its second answer, and every eleventh was not probed."""
-    day = F.dayofyear("metric_date")
-    numbered = facts.withColumn("at", F.row_number().over(Window.partitionBy("metric_date").orderBy("query", "page_url", "position", "impressions", "clicks")) - 1)
-    there = numbered.where(((day % 3 != 0) | (F.col("at") < SAMPLE_CAP)) & (F.col("at") <= SAMPLE_CAP))
-    start = F.when(F.col("at") >= SAMPLE_CAP, SAMPLE_CAP).otherwise(F.floor(F.col("at") / PAGE_ROWS) * PAGE_ROWS).cast("int")
-    answers = there.groupBy("metric_date", start.alias("start_row")).agg(F.collect_list(F.struct("query", "page_url", "clicks", "impressions", "position")).alias("rows"))
-    empty = facts.select("metric_date").distinct().select("metric_date", F.lit(SAMPLE_CAP).alias("start_row"), F.array().cast(answers.schema["rows"].dataType).alias("rows"))
-    every = answers.unionByName(empty.join(answers.where(F.col("start_row") == SAMPLE_CAP), ["metric_date"], "left_anti"))
-    kept = every.where(~((day % 7 == 0) & (F.col("start_row") == PAGE_ROWS)) & ~((day % 11 == 0) & (F.col("start_row") == SAMPLE_CAP)))
-    return kept.select("metric_date", "start_row", F.when(F.col("start_row") == SAMPLE_CAP, 1).otherwise(PAGE_ROWS).alias("requested"), "rows")
-
-
 ASSEMBLED_SQL = f"""WITH {FACTS_SQL}, n AS (SELECT metric_date, count(*) AS n, dayofyear(metric_date) AS d FROM facts GROUP BY 1), k AS (SELECT metric_date, d, n, CASE WHEN d % 3 = 0 THEN least(n, {SAMPLE_CAP}) ELSE n END AS given FROM n),
 s AS (SELECT metric_date, least(given, {SAMPLE_CAP}) - CASE WHEN d % 7 = 0 THEN greatest(0, least(given, {2 * PAGE_ROWS}) - {PAGE_ROWS}) ELSE 0 END AS rows, CASE WHEN d % 7 = 0 AND given > {PAGE_ROWS} OR given < {SAMPLE_CAP} AND d % 11 <> 0 THEN 'gap' WHEN d % 11 = 0 AND given >= {SAMPLE_CAP} THEN 'open' WHEN given > {SAMPLE_CAP} THEN 'cut' ELSE 'whole' END AS state FROM k)
 SELECT metric_date, rows, state FROM s"""

@@ -60,14 +60,6 @@ ANSWERS_CTE = """answers AS (SELECT user_id % 40 AS host, row_number() OVER (PAR
  CASE WHEN event_id % 17 = 0 THEN CAST(event_id % 45 AS DOUBLE) WHEN event_id % 17 = 2 THEN 1.5 END AS after FROM events)"""
 
 
-def sample_answers(events: DataFrame) -> DataFrame:
-    """The events as answers; a third of the values of Retry-After are dates, which count nothing."""
-    k = F.col("event_id") % 17
-    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 404).otherwise(200)
-    after = F.when(k == 0, F.concat(F.lit(" "), (F.col("event_id") % 45).cast("string"))).when(k == 1, "Wed, 21 Oct 2015 07:28:00 GMT").when(k == 2, "1.5 ")
-    return events.select((F.col("user_id") % 40).alias("host"), "ts", "event_id", status.alias("status_code"), (F.col("event_id") % 31 == 0).alias("bot_blocked"), after.alias("retry_after"))
-
-
 PACED_SQL = f"""WITH RECURSIVE {ANSWERS_CTE}, walk AS (SELECT DISTINCT host, CAST(0 AS BIGINT) AS i, CAST(0.15 AS DOUBLE) AS delay, CAST(1 AS DOUBLE) AS scale, CAST(0 AS BIGINT) AS throttled FROM answers
 UNION ALL SELECT a.host, a.i, least(30, greatest(CASE WHEN bot OR status = 429 THEN least(30, greatest(delay, 0.25) * 2) WHEN status < 400 THEN greatest(0.15, delay * 0.8) ELSE delay END, coalesce(after, 0))),
  CASE WHEN bot OR status = 429 THEN greatest(0.25, scale / 2) WHEN status < 400 THEN least(1, scale + 0.1) ELSE scale END, throttled + CAST(bot OR status = 429 AS BIGINT) FROM walk w JOIN answers a ON a.host = w.host AND a.i = w.i + 1)

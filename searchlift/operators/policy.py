@@ -14,16 +14,6 @@ TYPES = ("metadata_update", "robots_update", "schema_add", "redirect_update", "d
 PATHS = ("app/page.tsx", "public/robots.txt", "next.config.js", "content/post.md")
 
 
-def sample_actions(orders: DataFrame) -> DataFrame:
-    """Orders as proposed actions."""
-    k = F.col("o_orderkey")
-    pick = lambda xs, by: F.element_at(F.array(*[F.lit(x) for x in xs]), (by % len(xs) + 1).cast("int"))
-    return orders.select(
-        k.alias("action_id"), pick(TYPES, k).alias("action_type"), (k % 60).cast("int").alias("submitted_risk"), F.when(k % 3 == 0, "github").otherwise("cms").alias("adapter"),
-        pick(PATHS, F.floor(k / 7)).alias("path"), F.when(k % 11 == 0, 1).otherwise(0).alias("delete_count"), F.floor(F.col("o_totalprice") / 4000).cast("int").alias("affected_pages"),
-    )
-
-
 def _pick_sql(xs, by: str) -> str:
     return f"list_extract([{', '.join(f"'{x}'" for x in xs)}], CAST({by} % {len(xs)} AS INT) + 1)"
 
@@ -144,11 +134,6 @@ def audit_requests(requests: DataFrame, most: int = 5) -> DataFrame:
     return seen.select("request_id", "requester", "ts", recent.alias("recent"), (recent >= most).alias("limited"), F.when(F.col("__at").isNotNull(), F.col("__last.request_id")).alias("duplicate_of"))
 
 
-def sample_requests(events: DataFrame) -> DataFrame:
-    """Events as requests: ten users share an address book, an event's type is the domain; every seventh user hides who asks."""
-    return events.select(F.col("event_id").alias("request_id"), F.when(F.col("user_id") % 7 > 0, F.col("user_id")).alias("requester"), (F.col("user_id") % 15).alias("email"), F.col("event_type").alias("domain"), "ts")
-
-
 REQUESTS_SQL = """WITH r AS (SELECT event_id AS request_id, CASE WHEN user_id % 7 > 0 THEN user_id END AS requester, user_id % 15 AS email, event_type AS domain, ts FROM events),
 w AS (SELECT *, CASE WHEN requester IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY requester ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) END AS recent,
  arg_max(request_id, (ts, request_id)) OVER (PARTITION BY email, domain ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS duplicate_of FROM r)

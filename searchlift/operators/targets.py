@@ -77,11 +77,6 @@ def content_dates(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.coalesce(newest, "created_on").alias("content_date"), basis.alias("basis"))
 
 
-def sample_dated(pages: DataFrame) -> DataFrame:
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 50).cast("int"))
-    return pages.select("page_id", F.when(F.col("page_id") % 5 < 3, F.expr(JSON_LD)).otherwise("{}").alias("json_ld"), F.when(F.col("page_id") % 5 < 4, day).alias("created_on"))
-
-
 CONTENT_DATES_SQL = """WITH p AS (SELECT page_id, 1 + page_id % 12 AS m, 1 + page_id % 14 AS n, page_id % 5 AS k FROM pages),
 d AS (SELECT page_id, CASE WHEN k < 3 THEN CASE WHEN n <= 12 THEN make_date(2024, n, 9) ELSE make_date(2023, m, 5) END END AS stated, CASE WHEN k < 4 THEN DATE '2024-01-01' + CAST(page_id % 50 AS INT) END AS created FROM p)
 SELECT page_id, coalesce(stated, created) AS content_date, CASE WHEN stated IS NOT NULL THEN 'json_ld' WHEN created IS NOT NULL THEN 'first_crawl' ELSE 'unknown' END AS basis FROM d"""
@@ -97,11 +92,6 @@ def crawl_findings(snapshots: DataFrame) -> DataFrame:
     return last.select("site_id", F.explode(F.array_compact(kinds)).alias("f")).select("site_id", "f.*", F.lit("high").alias("severity"), F.lit(70).alias("impact"))
 
 
-def sample_snapshots(jobs: DataFrame) -> DataFrame:
-    j = F.col("job_id")
-    return jobs.select("site_id", "job_id", "status", "created_at", F.when(j % 5 == 1, 404).when(j % 5 == 2, 503).otherwise(200).alias("robots_status"), (j % 3).cast("int").alias("sitemap_errors"), (j % 4).cast("int").alias("urls_discovered"))
-
-
 CRAWL_FINDINGS_SQL = f"""WITH {JOBS_SQL}, l AS (SELECT site_id, job_id AS j FROM jobs WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, job_id DESC) = 1)
 SELECT site_id, 'missing_robots_txt' AS finding_type, 'robots_update' AS action_type, 100 AS confidence, 25 AS effort, 85 AS risk, 'high' AS severity, 70 AS impact FROM l WHERE j % 5 IN (1, 2)
 UNION ALL SELECT site_id, 'missing_or_invalid_sitemap', 'sitemap_update', 95, 35, 45, 'high', 70 FROM l WHERE j % 3 > 0 AND j % 4 = 0"""
@@ -138,16 +128,6 @@ def serp_summary(answers: DataFrame, results: int = 10) -> DataFrame:
     )
 
 
-def sample_serps(pages: DataFrame) -> DataFrame:
-    """Per site a provider's answer that lists its pages by id."""
-    rank = F.row_number().over(Window.partitionBy("site").orderBy("page_id"))
-    first = pages.select("site", "page_id", "title", "url", "path", rank.alias("rank")).where("rank <= 20")
-    rows = F.sort_array(F.collect_list(F.struct(F.col("rank").alias("position"), "title", F.col("url").alias("link"), F.col("path").alias("snippet"))))
-    g = first.groupBy("site").agg(rows.alias("organic"))
-    ask = F.transform("organic", lambda r: F.struct(F.concat(F.lit("What is "), r.snippet).alias("question")))
-    return g.select(F.col("site").alias("keyword"), F.to_json(F.struct(F.col("site").alias("query"), "organic", ask.alias("peopleAlsoAsk"))).alias("payload"))
-
-
 SERP_SQL = f"""WITH {PAGES_SQL}, r AS (SELECT site, title, path, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM crawled)
 SELECT site AS keyword, true AS available, CAST(count(*) FILTER (k <= 10) AS INT) AS results, CAST(round_even(avg(length(title)) FILTER (k <= 10), 0) AS INT) AS avg_title_length, string_agg(title, '|' ORDER BY k) FILTER (k <= 5) AS top_titles,
  string_agg(path, '|' ORDER BY k) FILTER (k <= 3) AS top_snippets, string_agg(concat('What is ', path), '|' ORDER BY k) FILTER (k <= 5) AS questions, '' AS searches FROM r GROUP BY site"""

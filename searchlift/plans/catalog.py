@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from searchlift.functions import html, urls
 from searchlift.operators import actions, captures, citations, content, drafts, facts, finding_actions, findings, governance, inspection, loading, measurement, pacing, policy, queueing, reconcile, reports, targets
-from searchlift.plans import site_run
+from searchlift.plans import inputs, site_run
 from searchlift.sources import samples, tables
 from searchlift.sources.staging import shared_dir
 from searchlift.sources.tables import load
@@ -87,16 +87,16 @@ def _adjustment(s, d):
 
 
 def _actions(s, d):
-    return policy.sample_actions(load(s, d, "orders"))
+    return inputs.proposed_actions(load(s, d, "orders"))
 
 
 def _states(s, d):
-    return finding_actions.sample_states(_found(s, d))
+    return inputs.finding_states(_found(s, d))
 
 
 def _health(s, d):
     p = _pages(s, d)
-    states = finding_actions.sample_states(findings.page_findings(findings.with_in_links(p, tables.link_edges(p))))
+    states = inputs.finding_states(findings.page_findings(findings.with_in_links(p, tables.link_edges(p))))
     sites = p.select("site").distinct().unionByName(s.createDataFrame([("empty.example.org",)], "site string"))
     return finding_actions.health(sites, states, p, findings.HEALTH_WEIGHTS)
 
@@ -149,7 +149,7 @@ def _stream(s, d):
 
 
 def stream_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.paced(pacing.sample_answers(_stream(spark, sf_dir)), f"{shared_dir(spark)}/pacing-{uuid.uuid4().hex}")
+    return streams.paced(inputs.paced_answers(_stream(spark, sf_dir)), f"{shared_dir(spark)}/pacing-{uuid.uuid4().hex}")
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +248,7 @@ def latest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def action_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earlier queue after opportunities of priority 60 and more stay active."""
     o = facts.opportunities(_facts(spark, sf_dir))
-    return actions.follow(actions.sample_queue(o), o.where("priority >= 60").select(F.col("opportunity_key").alias("key"), "priority", "confidence"))
+    return actions.follow(inputs.earlier_queue(o), o.where("priority >= 60").select(F.col("opportunity_key").alias("key"), "priority", "confidence"))
 
 
 def job_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +303,7 @@ def fact_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three loads that arrive as files, the newest of a day's before an older one, followed into a table of versions."""
     root = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
-    for load_ in late.sample_arrivals(_facts(spark, sf_dir)):
+    for load_ in inputs.arrivals(_facts(spark, sf_dir)):
         load_.write.mode("append").parquet(f"{root}/arrivals")
     table = VersionedTable(spark, f"{root}/facts")
     arrivals = spark.readStream.schema(load_.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/arrivals")
@@ -353,12 +353,12 @@ def action_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir)
     found = findings.page_findings(findings.with_in_links(p, tables.link_edges(p)))
-    return reports.site_counts(p, finding_actions.sample_states(found).select("fingerprint", "status").join(found.select("fingerprint", "site"), "fingerprint"))
+    return reports.site_counts(p, inputs.finding_states(found).select("fingerprint", "status").join(found.select("fingerprint", "site"), "fingerprint"))
 
 
 def action_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The actions after their histories, with the risk that the policy sees in them."""
-    after = governance.histories(*governance.sample_log(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")))
+    after = governance.histories(*inputs.action_log(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")))
     return policy.state_counts(policy.decided(_actions(spark, sf_dir)).select("action_id", "risk_level").join(after.select("action_id", "status"), "action_id"))
 
 
@@ -368,7 +368,7 @@ USAGE_MONTH = "1998-03-01"
 
 
 def usage_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = governance.entitlements(governance.sample_subscriptions(load(spark, sf_dir, "customer").where("c_custkey < 50")))
+    plans = governance.entitlements(inputs.subscriptions(load(spark, sf_dir, "customer").where("c_custkey < 50")))
     begun = plans.where("workspace % 2 = 0").select("workspace", F.explode(F.array(*[F.lit(m) for m in policy.METERED])).alias("metric"), F.lit(USAGE_MONTH).cast("date").alias("period"), F.lit(10).cast("bigint").alias("quantity"))
     return policy.usage_snapshot(policy.recorded(begun, samples.usage_events(load(spark, sf_dir, "lineitem"))), plans, USAGE_MONTH)
 
@@ -464,16 +464,16 @@ QUERIES = {
     "pages_for_review": (lambda s, d: reports.pages_for_review(_pages(s, d)), reports.REVIEW_SQL),
     "page_listing": (lambda s, d: reports.page_of_rows(_pages(s, d)), reports.PAGINATION_SQL),
     "js_shells": (lambda s, d: reports.js_shells(_pages(s, d).select("page_id", "word_count").join(load(s, d, "pages").select("page_id", "html"), "page_id")), reports.JS_SHELL_SQL),
-    "bot_blocks": (lambda s, d: captures.bot_blocks(captures.sample_answers(load(s, d, "pages"))), captures.BOT_BLOCKS_SQL),
-    "rendered_better": (lambda s, d: captures.rendered_better(*captures.sample_captures(_pages(s, d))), captures.RENDERED_SQL),
-    "device_changes": (lambda s, d: captures.device_changes(*captures.sample_captures(_pages(s, d))), captures.DEVICES_SQL),
+    "bot_blocks": (lambda s, d: captures.bot_blocks(inputs.walled_answers(load(s, d, "pages"))), captures.BOT_BLOCKS_SQL),
+    "rendered_better": (lambda s, d: captures.rendered_better(*inputs.rendered_captures(_pages(s, d))), captures.RENDERED_SQL),
+    "device_changes": (lambda s, d: captures.device_changes(*inputs.rendered_captures(_pages(s, d))), captures.DEVICES_SQL),
     "search_targets": (search_targets, targets.SEARCH_TARGETS_SQL),
     "inspection_urls": (inspection_urls, targets.INSPECTION_URLS_SQL),
-    "content_dates": (lambda s, d: targets.content_dates(targets.sample_dated(load(s, d, "pages"))), targets.CONTENT_DATES_SQL),
-    "crawl_findings": (lambda s, d: targets.crawl_findings(targets.sample_snapshots(tables.jobs(s, d))), targets.CRAWL_FINDINGS_SQL),
+    "content_dates": (lambda s, d: targets.content_dates(inputs.dated_pages(load(s, d, "pages"))), targets.CONTENT_DATES_SQL),
+    "crawl_findings": (lambda s, d: targets.crawl_findings(inputs.job_snapshots(tables.jobs(s, d))), targets.CRAWL_FINDINGS_SQL),
     "action_queue": (action_queue, actions.ACTION_QUEUE_SQL),
     "latest_actions": (latest_actions, targets.LATEST_ACTIONS_SQL),
-    "serp_summary": (lambda s, d: targets.serp_summary(targets.sample_serps(_pages(s, d))), targets.SERP_SQL),
+    "serp_summary": (lambda s, d: targets.serp_summary(inputs.serps(_pages(s, d))), targets.SERP_SQL),
     "url_keys": (url_keys, URL_KEYS_SQL),
     "html_fields": (html_fields, HTML_FIELDS_SQL),
     "normal_links": (normal_links, NORMAL_LINKS_SQL),
@@ -495,14 +495,14 @@ QUERIES = {
     "fact_day_caps": (lambda s, d: loading.capped_days(samples.raw_facts(_facts(s, d)), 1200), loading.CAPPED_SQL),
     "fact_parse": (lambda s, d: loading.parsed(samples.raw_facts(_facts(s, d))), loading.PARSED_SQL),
     "fact_load": (fact_load, loading.LOADED_SQL),
-    "fact_pages": (lambda s, d: loading.assembled(loading.sample_captures(_facts(s, d)), loading.SAMPLE_CAP)[0], loading.ASSEMBLED_SQL),
+    "fact_pages": (lambda s, d: loading.assembled(inputs.paged_captures(_facts(s, d)), loading.SAMPLE_CAP)[0], loading.ASSEMBLED_SQL),
     "fact_commit": (fact_commit, loading.LOADED_SQL),
     "source_baseline": (lambda s, d: loading.baseline(_facts(s, d), load(s, d, "events")), loading.BASELINE_SQL),
     "page_upsert": (page_upsert, PAGE_UPSERT_SQL),
     "inspection_url_errors": (inspection_url_errors, INSPECTION_URL_SQL),
     "job_reservations": (lambda s, d: queueing.reservations(tables.jobs(s, d), load(s, d, "customer")), queueing.RESERVATIONS_SQL),
     "event_fold": (lambda s, d: queueing.folded(load(s, d, "events")), queueing.FOLD_SQL),
-    "crawl_pacing": (lambda s, d: pacing.paced(pacing.sample_answers(load(s, d, "events"))), pacing.PACED_SQL),
+    "crawl_pacing": (lambda s, d: pacing.paced(inputs.paced_answers(load(s, d, "events"))), pacing.PACED_SQL),
     "term_counts": (lambda s, d: content.term_counts(_texts(s, d)), content.term_counts_sql(content.PAGE_TEXTS_SQL)),
     "page_topics": (lambda s, d: content.topics(_texts(s, d)), content.topics_sql(content.PAGE_TEXTS_SQL)),
     "page_entities": (lambda s, d: content.page_entities(content.page_names(_pages(s, d))), content.ENTITIES_SQL),
@@ -542,27 +542,27 @@ QUERIES = {
     "action_policy": (lambda s, d: policy.decided(_actions(s, d)), policy.DECIDED_SQL),
     "action_policy_counts": (lambda s, d: policy.decision_counts(policy.decided(_actions(s, d))), policy.DECISION_COUNTS_SQL),
     "fix_governance": (lambda s, d: policy.fixes(_actions(s, d)), policy.FIXES_SQL),
-    "action_targets": (lambda s, d: governance.named_targets(governance.sample_plans(load(s, d, "orders"))), governance.TARGETS_SQL),
-    "action_transitions": (lambda s, d: governance.transitions(*governance.sample_moves(load(s, d, "orders"))), governance.moves_sql()),
-    "action_histories": (lambda s, d: governance.histories(*governance.sample_log(load(s, d, "orders"), load(s, d, "lineitem"))), governance.histories_sql()),
+    "action_targets": (lambda s, d: governance.named_targets(inputs.action_plans(load(s, d, "orders"))), governance.TARGETS_SQL),
+    "action_transitions": (lambda s, d: governance.transitions(*inputs.action_moves(load(s, d, "orders"))), governance.moves_sql()),
+    "action_histories": (lambda s, d: governance.histories(*inputs.action_log(load(s, d, "orders"), load(s, d, "lineitem"))), governance.histories_sql()),
     "actions_due": (actions_due, governance.DUE_SQL),
     "action_backfill": (action_backfill, governance.BACKFILL_SQL),
     "content_actions": (content_actions, governance.CONTENT_ACTIONS_SQL),
     "connections_newest": (lambda s, d: governance.newest_connections(load(s, d, "orders").select(F.col("o_custkey").alias("workspace"), F.col("o_orderkey").alias("connection_id"), F.col("o_orderdate").alias("updated_at"))), governance.CONNECTIONS_SQL),
     "sandbox_reports": (sandbox_reports, governance.SANDBOX_SQL),
-    "plan_entitlements": (lambda s, d: governance.entitlements(governance.sample_subscriptions(load(s, d, "customer"))), governance.ENTITLEMENTS_SQL),
+    "plan_entitlements": (lambda s, d: governance.entitlements(inputs.subscriptions(load(s, d, "customer"))), governance.ENTITLEMENTS_SQL),
     "link_runs": (link_runs, LINK_RUNS_SQL),
     "content_runs": (content_runs, CONTENT_RUNS_SQL),
     "action_state_counts": (action_state_counts, ACTION_STATE_COUNTS_SQL),
     "usage_snapshot": (usage_snapshot, USAGE_SNAPSHOT_SQL),
     "usage_quota": (lambda s, d: policy.usage(load(s, d, "orders"), load(s, d, "customer")), policy.USAGE_SQL),
     "audit_rate_limit": (lambda s, d: policy.rate_limited(load(s, d, "events")), policy.RATE_SQL),
-    "audit_requests": (lambda s, d: policy.audit_requests(policy.sample_requests(load(s, d, "events"))), policy.REQUESTS_SQL),
+    "audit_requests": (lambda s, d: policy.audit_requests(inputs.audit_requests(load(s, d, "events"))), policy.REQUESTS_SQL),
     "stream_closed_days": (lambda s, d: streams.run(streams.tumbling(_stream(s, d)), name="days"), streams.CLOSED_SQL),
     "stream_closed_sessions": (lambda s, d: streams.run(streams.sessions(_stream(s, d)), name="sessions"), streams.CLOSED_SESSIONS_SQL),
     "stream_fold": (lambda s, d: streams.run(streams.folded(_stream(s, d)), "complete", "fold"), queueing.FOLD_SQL),
     "stream_pacing": (stream_pacing, pacing.PACED_SQL),
-    "stream_leases": (lambda s, d: leases.run(leases.sample_events(_stream(s, d))), leases.LEASES_SQL),
+    "stream_leases": (lambda s, d: leases.run(inputs.lease_events(_stream(s, d))), leases.LEASES_SQL),
     "stream_late_days": (stream_late_days, late.LATE_SQL),
     "stream_tumbling": (lambda s, d: streams.tumbling(load(s, d, "events")), streams.TUMBLING_SQL),
     "stream_sliding": (lambda s, d: streams.sliding(load(s, d, "events")), streams.SLIDING_SQL),

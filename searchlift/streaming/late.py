@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from searchlift.sources.tables import FACTS_SQL
 from searchlift.sources.versions import VersionedTable
@@ -29,12 +28,5 @@ def follow(arrivals: DataFrame, target: VersionedTable, checkpoint: str, name: s
     arrivals.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one).trigger(availableNow=True).start().awaitTermination()
 
 
-def sample_arrivals(facts: DataFrame) -> list[DataFrame]:
-    """Three loads: all days; every fifth day anew with one click more, without pages of odd number; and the same days as an older load that comes last."""
-    late = F.dayofmonth("metric_date") % 5 == 0
-    again = facts.where(late & (F.regexp_extract("page_url", "([0-9]+)$", 1).cast("long") % 2 == 0)).withColumn("clicks", F.col("clicks") + 1)
-    return [facts.withColumn("load", F.lit(1)), again.withColumn("load", F.lit(3)), facts.where(late).withColumn("load", F.lit(2))]
-
-
 LATE_SQL = f"""WITH {FACTS_SQL}, t AS (SELECT *, day(metric_date) % 5 = 0 AS late, CAST(regexp_extract(page_url, '([0-9]+)$', 1) AS BIGINT) % 2 = 0 AS even FROM facts)
 SELECT metric_date, query, page_url, CASE WHEN late THEN clicks + 1 ELSE clicks END AS clicks, impressions, position FROM t WHERE NOT late OR even"""

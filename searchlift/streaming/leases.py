@@ -91,12 +91,6 @@ def run(events: DataFrame, name: str = "leases", root: str | None = None, **opti
         return streams.run(ended(events, **options), name=name, root=root)
 
 
-def sample_events(events: DataFrame) -> DataFrame:
-    """Users as jobs: views claim, clicks and sign-ups renew, errors ask for cancellation, purchases complete."""
-    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type").isin("click", "signup"), "renew").when(F.col("event_type") == "error", "cancel").otherwise("complete")
-    return events.select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"), (F.col("event_id") % 5).cast("int").alias("attempt"))
-
-
 LEASES_SQL = f"""WITH RECURSIVE e AS (SELECT user_id AS job_id, ts, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' WHEN 'signup' THEN 'renew' WHEN 'error' THEN 'cancel' ELSE 'complete' END AS kind, CAST(event_id % 5 AS INT) AS attempt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 -- held: the lease after event i; gone: the one that event i ended, and how.
 walk AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS INT) AS attempt, CAST(NULL AS TIMESTAMP) AS until, false AS cancel, CAST(NULL AS INT) AS gone, CAST(NULL AS TIMESTAMP) AS gone_at, false AS gone_cancel, CAST(NULL AS INT) AS done, CAST(NULL AS TIMESTAMP) AS done_at FROM e
