@@ -92,7 +92,7 @@ def tech_sql() -> str:
 
 #: Substrings of page paths that name a content system, in order of declaration; and how many signals are told of.
 CMS = (("sanity", ("cdn.sanity.io", "sanity", "sanity.io")), ("wordpress", ("/wp-json/", "/wp-admin/", "/wp-content/", "/xmlrpc.php")), ("ghost", ("/ghost/api/", "ghost")), ("strapi", ("/api/", "strapi")))
-SIGNALS = 10
+TOLD = 10
 
 
 def stacks(pages: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def stacks(pages: DataFrame) -> DataFrame:
         return F.when(top.score > 0, top["name"]).otherwise(otherwise).alias(kind)
 
     told = [F.when(F.col(f"h{i}") > 0, F.concat(F.lit(f"{signal} found in "), F.col(f"h{i}").cast("string"), F.lit(" pages"))) for i, (kind, _, signal) in enumerate(names) if kind == "tech"]
-    signals = F.array_join(F.slice(F.array_compact(F.array(*told)), 1, SIGNALS), "|").alias("signals")
+    signals = F.array_join(F.slice(F.array_compact(F.array(*told)), 1, TOLD), "|").alias("signals")
     return n.select("site", best("tech", TECH, "unknown"), best("cms", CMS, "none"), signals)
 
 
@@ -122,7 +122,7 @@ def stacks_sql() -> str:
     hits = lambda of: f"SELECT site, name, place, signal, k, count(*) FILTER (contains(lower(path), lower(signal))) AS n FROM marked CROSS JOIN ({of}) GROUP BY ALL"
     best = lambda of: f"SELECT site, name FROM (SELECT site, name, place, sum(n) AS score FROM {of} GROUP BY ALL) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY score DESC, place) = 1"
     return f"""WITH {PAGES_SQL}, marked AS (SELECT concat('site', page_id % 3) AS site, {MARKED_PATH_SQL} AS path FROM crawled), t AS ({hits(scored(TECH))}), c AS ({hits(scored(CMS))}), bt AS ({best('t')}), bc AS ({best('c')}),
-g AS (SELECT site, string_agg(concat(signal, ' found in ', n, ' pages'), '|' ORDER BY k) AS signals FROM (SELECT * FROM t WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY k) <= {SIGNALS}) GROUP BY site)
+g AS (SELECT site, string_agg(concat(signal, ' found in ', n, ' pages'), '|' ORDER BY k) AS signals FROM (SELECT * FROM t WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY k) <= {TOLD}) GROUP BY site)
 SELECT site, coalesce(bt.name, 'unknown') AS tech, coalesce(bc.name, 'none') AS cms, coalesce(signals, '') AS signals FROM (SELECT DISTINCT site FROM marked) LEFT JOIN bt USING (site) LEFT JOIN bc USING (site) LEFT JOIN g USING (site)"""
 
 
