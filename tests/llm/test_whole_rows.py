@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -35,7 +36,10 @@ STEP, CIRCLE = 1327217885, 2**31
 
 
 def taken_by_hand(docs, block, cap=3):
-    """docs: (id, text, source) -> words taken of each: slots dealt one by one, blocks read word by word."""
+    """docs: (id, text, source) -> words taken of each, read word by word: those before the target, to the word.
+
+    The slots, dealt one by one, come to the target within a few blocks; the last blocks make up the rest.
+    """
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = Counter()
     for _, t, s in docs:
@@ -52,13 +56,14 @@ def taken_by_hand(docs, block, cap=3):
         s = names[min(sum(e <= at for e in edges[:-1]), len(names) - 1)]
         blocks[s].add(len(blocks[s]))
     taken = {}
+    assert all(abs(len(blocks[s]) * block - target[s]) <= 4 * block for s in names)
     for s in names:
         mine = sorted((d for d in docs if d[2] == s), key=lambda d: (hashlib.md5(str(d[0]).encode()).hexdigest(), d[0]))
         place = 0
         for turn in range(cap):
             for i, t, _ in mine:
                 n = count(t)
-                taken[i] = taken.get(i, 0) + sum((place + w) // block in blocks[s] for w in range(n))
+                taken[i] = taken.get(i, 0) + sum(place + w < math.floor(target[s] + 0.5) for w in range(n))
                 place += n
     return taken
 
