@@ -23,7 +23,7 @@ TITLE, DESCRIPTION, LEAST_WORDS, SUBMIT = (20, 60), (80, 160), 450, 50
 
 def distinct_terms(values: Column, most: int = 20) -> Column:
     """Trimmed values, without empty ones and repeats, in order, the first twenty."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
 def briefs(pages: DataFrame, topics: DataFrame, links: DataFrame) -> DataFrame:

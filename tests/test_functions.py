@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchlift.functions import html, text, urls
-from searchlift.operators import findings, loading, measurement, policy
+from searchlift.operators import drafts, findings, loading, measurement, policy
 from searchlift.sources import sinks, staging
 from searchlift.streaming import events as streams
 
@@ -49,6 +49,12 @@ def test_rules_read_what_the_parser_found(spark, tmp_path):
     assert {(1, "noindex"), (1, "title_length"), (1, "description_length"), (3, "og_title_missing"), (3, "lang_missing")} <= audit and not {(1, "og_title_missing"), (1, "lang_missing")} & audit
 
 
+def test_terms_are_trimmed_of_blanks_alone(spark):
+    df = spark.createDataFrame([(["a 0", " b1", "", "2c2 ", "a 0", "x5", "5-5"], "Sitemap: https://a.example/s0\nsitemap: https://a.example/1")], "v array<string>, robots string")
+    r = df.select(drafts.distinct_terms(F.col("v")).alias("v"), html.robots_sitemaps(F.col("robots")).alias("maps")).first()
+    assert r.v == ["a 0", "b1", "2c2", "x5", "5-5"] and r.maps == ["https://a.example/s0", "https://a.example/1"]
+
+
 def test_robots_and_sitemaps(spark):
     robots = "User-agent: *\nDisallow: /private\nCrawl-delay: 9\nSitemap: https://a.example/s.xml\nsitemap: https://a.example/s.xml\n"
     df = spark.createDataFrame([(200, robots, "https://a.example/private/x"), (200, robots, "https://a.example/open"), (404, robots, "https://a.example/private"), (None, None, "https://a.example/private")], "status int, robots string, url string")
