@@ -49,6 +49,13 @@ def test_rules_read_what_the_parser_found(spark, tmp_path):
     assert {(1, "noindex"), (1, "title_length"), (1, "description_length"), (3, "og_title_missing"), (3, "lang_missing")} <= audit and not {(1, "og_title_missing"), (1, "lang_missing")} & audit
 
 
+def test_references_count_with_their_semicolon(spark):
+    page = "<title>A &amp; B &amp</title><h1>x &#65; &#x42; &copy &ampy; &unknown; & &euro;</h1><p>AT&amp</p><a href='/p?a=1&copy=2&amp;b=3'>1</a>"
+    r = spark.createDataFrame([(page,)], "html string").select(html.extract(F.col("html")).alias("p")).select("p.*").first()
+    assert r.title == "A & B &amp" and r.h1 == ["x A B &copy &ampy; &unknown; & €"]
+    assert r.links == ["/p?a=1&copy=2&b=3"] and r.word_count == 3 + 6 + 2 + 1
+
+
 def test_terms_are_trimmed_of_blanks_alone(spark):
     df = spark.createDataFrame([(["a 0", " b1", "", "2c2 ", "a 0", "x5", "5-5"], "Sitemap: https://a.example/s0\nsitemap: https://a.example/1")], "v array<string>, robots string")
     r = df.select(drafts.distinct_terms(F.col("v")).alias("v"), html.robots_sitemaps(F.col("robots")).alias("maps")).first()
