@@ -94,9 +94,10 @@ def loaded(existing: DataFrame, new: DataFrame, start: str, end: str) -> DataFra
     return existing.where(~inside).unionByName(new.where(inside))
 
 
-def load_days(new: DataFrame, target: VersionedTable, start: str, end: str, cap: int = DAY_CAP, held: Callable[[], bool] = lambda: True) -> int:
+def load_days(new: DataFrame, target: VersionedTable, start: str, end: str, cap: int | None = DAY_CAP, held: Callable[[], bool] = lambda: True) -> int:
     """Commit a load of [start, end]: its days take the place of all the target's days of that range, in one move of the pointer.
 
+    cap: rows that a provider's answers give of a day at most; None where the rows come from a table that has them all.
     A day over the cap, a lease that is lost while the load is written (held) and another load that was
     first refuse the commit; the version before stays as it was. Returns the rows written.
     """

@@ -166,3 +166,12 @@ def test_the_outputs_of_a_site_run_are_those_of_the_single_queries(spark, tmp_pa
     gain = catalog.queries()["information_gain"](spark, sf).select("page_id", "gain")
     assert rows(out.read("insights").where("gain IS NOT NULL").select("page_id", "gain")) == rows(gain)
     assert set(out._manifest()["tables"]) == set(site_run.OUTPUTS)
+
+
+def test_a_commit_of_stored_lines_has_no_cap(spark, monkeypatch):
+    from searchlift.plans import catalog
+
+    monkeypatch.setattr(loading.load_days, "__defaults__", (5, lambda: True))
+    sf = "/root/testdata/sf0.001"
+    order = lambda df: sorted(tuple(r) for r in df.select("metric_date", "rows", "clicks", "impressions").collect())
+    assert order(catalog.fact_commit(spark, sf)) == order(catalog.fact_load(spark, sf))
