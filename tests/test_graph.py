@@ -61,3 +61,27 @@ def test_a_site_of_like_pages_looks_at_few_pairs(spark, monkeypatch):
     assert looked == [64 * (n - 1)]
     looked.clear()
     assert sorted((r.page_id, r.other_id) for r in content.first_similar(texts, 500).collect()) == [(0, i) for i in range(1, 501)] and len(looked) == 1
+
+
+def test_sites_full_of_topics_are_not_searched_for_similar_pages(spark):
+    rows = [(i, "full", f"alpha beta gamma delta{i} epsilon zeta") for i in range(84)] + [(i, "small", "alpha beta gamma delta epsilon") for i in (100, 101)] + [(102, "small", "alpha beta gamma delta omega")]
+    texts = spark.createDataFrame(rows, "page_id long, site string, text string")
+    topics = content.topics(texts)
+    room = content.texts_with_room(texts, topics)
+    assert {r.site for r in room.select("site").distinct().collect()} == {"small"}
+    want = content.graph_edges(texts, topics, content.similar_pages(texts)).collect()
+    got = content.graph_edges(texts, topics, content.first_similar(room, content.RELATED_UNTIL)).collect()
+    assert sorted(got) == sorted(want) and sum(r.kind == "related" for r in got) == 1
+
+
+def test_terms_of_a_row_and_of_repeated_ids(spark):
+    once = [(1, "Beta alpha beta 123 alpha gamma the x9 alpha-beta Beta"), (2, None), (3, ""), (None, "beta beta alpha")]
+    again = [(4, "beta alpha"), (4, "alpha gamma gamma beta")]
+    frame = lambda rows: spark.createDataFrame([(i, "a", t) for i, t in rows], "page_id long, site string, text string")
+    out = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    both = content.term_counts(frame(once + again))
+    assert [r[1:] for r in out(both) if r[0] == 1] == [("alpha", 2, 2), ("alpha-beta", 1, 4), ("beta", 3, 1), ("gamma", 1, 3)] and [r[1] for r in out(both) if r[0] == 4] == ["alpha", "beta", "gamma"]
+    # Without ids that repeat nothing is shuffled by terms, and the rows are the same.
+    alone = content.term_counts(frame(once))
+    assert "Window" not in alone._jdf.queryExecution().toString() and out(alone) == [r for r in out(both) if r[0] != 4]
+    assert out(content.topics(frame(once))) == [r for r in out(content.topics(frame(once + again))) if r[0] != 4]
