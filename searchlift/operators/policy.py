@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 #: Action types and path markers of the policy.
 HIGH_RISK = ("domain_migration", "sitewide_redirect", "robots_update", "bulk_noindex", "delete_content", "canonical_bulk", "template_rewrite")
@@ -116,22 +118,25 @@ def audit_requests(requests: DataFrame, most: int = 5) -> DataFrame:
 
     recent: requests of the same requester in the 24 hours before; limited from `most` on, never without a requester. duplicate_of:
     the last request for the same address and domain in the six hours before. Requests of one moment
-    do not see each other, and those without a time see none. Windows hold one day of a requester with the day before, however many there are.
+    do not see each other, and those without a time see none. Windows hold one day of a requester with the day before, however many there are;
+    their frames begin at the window's first row, so that each row is added once: a frame that slides is read anew for every row.
     """
     at = requests.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
 
-    def before(rows: DataFrame, keys: list[str], span: int, of) -> DataFrame:
+    def before(rows: DataFrame, keys: list[str], span: int, of: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
         # Each row is in the window of its own span and, to be seen, in that of the span after.
         cell = F.floor(F.col("__at") / span)
         place = lambda c, own: F.struct(c.alias("__cell"), F.lit(own).alias("__own"))
         spread = rows.select("*", F.inline(F.array(place(cell, True), place(cell + 1, False))))
-        w = Window.partitionBy(*keys, "__cell").orderBy("__at").rangeBetween(-span, -1)
-        return spread.withColumns({name: f.over(w) for name, f in of.items()}).where("__own").drop("__cell", "__own")
+        w = Window.partitionBy(*keys, "__cell").orderBy("__at")
+        return spread.withColumns({name: f(w) for name, f in of.items()}).where("__own").drop("__cell", "__own")
 
-    counted = before(at, ["requester"], DAY, {"recent": F.count("*")})
-    seen = before(counted, ["email", "domain"], SIX_HOURS, {"__last": F.max(F.struct("__at", "request_id"))})
+    until = lambda w, micros: w.rangeBetween(Window.unboundedPreceding, micros)
+    counted = before(at, ["requester"], DAY, {"recent": lambda w: F.count("*").over(until(w, -1)) - F.count("*").over(until(w, -DAY - 1))})
+    seen = before(counted, ["email", "domain"], SIX_HOURS, {"__last": lambda w: F.max(F.struct("__at", "request_id")).over(until(w, -1))})
+    known = F.col("__at").isNotNull() & (F.col("__last.__at") >= F.col("__at") - SIX_HOURS)
     recent = F.when(F.col("requester").isNull() | F.col("__at").isNull(), 0).otherwise(F.col("recent"))
-    return seen.select("request_id", "requester", "ts", recent.alias("recent"), (recent >= most).alias("limited"), F.when(F.col("__at").isNotNull(), F.col("__last.request_id")).alias("duplicate_of"))
+    return seen.select("request_id", "requester", "ts", recent.alias("recent"), (recent >= most).alias("limited"), F.when(known, F.col("__last.request_id")).alias("duplicate_of"))
 
 
 REQUESTS_SQL = """WITH r AS (SELECT event_id AS request_id, CASE WHEN user_id % 7 > 0 THEN user_id END AS requester, user_id % 15 AS email, event_type AS domain, ts FROM events),
