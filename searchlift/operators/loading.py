@@ -73,10 +73,12 @@ def parsed(raw: DataFrame, site: str = SITE) -> DataFrame:
     Rows with fewer than three keys, no valid date or a page off the site are left out; missing
     and unreadable numbers are 0; hashes are those of the whole values, the stored ones are cut.
     """
-    query, url = F.get("keys", 1), F.get("keys", 2)
+    # Generated, so that a filter below does not make the keys anew for each of its conditions.
+    raw = raw.select(F.inline(F.array(F.struct(F.size("keys").alias("n"), F.get("keys", 0).alias("day"), F.get("keys", 1).alias("query"), F.get("keys", 2).alias("url"), "clicks", "impressions", "position")))).where("n >= 3")
+    query, url = F.col("query"), F.col("url")
     number = lambda c: F.coalesce(F.try_to_number(F.col(c), F.lit("9999999999.999999")).cast("double"), F.lit(0.0)).alias(c)
-    day = F.try_to_timestamp(F.get("keys", 0), F.lit("yyyy-MM-dd")).cast("date")
-    rows = raw.where(F.size("keys") >= 3).select(
+    day = F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).cast("date")
+    rows = raw.select(
         day.alias("metric_date"), F.substring(query, 1, QUERY).alias("query"), F.sha2(query, 256).alias("query_hash"), F.substring(url, 1, URL).alias("page_url"), F.sha2(url, 256).alias("page_url_hash"),
         F.sha2(page_url_key(url), 256).alias("page_url_key_hash"), host_key(url).alias("host"), *map(number, ("clicks", "impressions", "position")),
     )

@@ -15,6 +15,10 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_keys_are_made_once_for_a_row(spark):
+    assert plan(loading.parsed(samples.raw_facts(tables.search_facts(spark, SF)))).count("date_format(") == 3
+
+
 def test_frames_of_audit_requests_do_not_slide(spark):
     frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", plan(policy.audit_requests(inputs.audit_requests(tables.load(spark, SF, "events")))))
     assert frames and set(frames) == {"unboundedpreceding$()"}
