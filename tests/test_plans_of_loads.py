@@ -22,3 +22,8 @@ def test_keys_are_made_once_for_a_row(spark):
 def test_frames_of_audit_requests_do_not_slide(spark):
     frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", plan(policy.audit_requests(inputs.audit_requests(tables.load(spark, SF, "events")))))
     assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
+def test_payloads_are_made_of_the_latest_events_alone(spark):
+    text = catalog.queries()["inspection_latest"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lastCrawlTime" in text and "lastCrawlTime" not in text[text.index("Window ") :]
