@@ -111,3 +111,17 @@ def test_histories_of_any_length(spark, seed):
     got = {r.action_id: (r.status, r.version, r.moves) for r in governance.histories(df, log).collect()}
     assert got == want and got[4] == ("rolled_back", 10, 9)
     assert {r.action_id: r.status for r in governance.histories(df, log.where("false")).collect()} == {k: v[0] for k, v in actions.items()}
+
+
+def test_short_and_long_histories_are_one(spark):
+    """Logs at and beyond the bound of one row give what one event at a time gives; short ones shuffle events, no tables of moves."""
+    draw = random.Random(7)
+    names = [m[0] for m in governance.MOVES] + ["unknown", None]
+    events = [(a, i, draw.choice(names), draw.choice((1, 2, 3, 4, None))) for a, n in ((1, 40), (2, 41), (3, 300), (4, 3), (None, 60), (8, 50)) for i in range(n)]
+    log = spark.createDataFrame(draw.sample(events, len(events)), "action_id long, seq long, event string, expected_version int").repartition(3)
+    actions = {1: ("draft", 1), 2: ("draft", 1), 3: ("draft", 2), 4: ("draft", 1), 5: ("approved", 7)}
+    df = spark.createDataFrame([(k, *v) for k, v in actions.items()] + [(None, "draft", 1)], "action_id long, status string, version int")
+    want = {k: history(v, [(e, x) for a, _, e, x in sorted((e for e in events if e[0] == k), key=lambda e: e[1])]) for k, v in actions.items()} | {None: ("draft", 1, 0)}
+    for long in (0, 40, 1000):
+        assert {r.action_id: (r.status, r.version, r.moves) for r in governance.histories(df, log, long).collect()} == want
+    assert "to_version" not in governance.histories(df, log)._jdf.queryExecution().toString()
