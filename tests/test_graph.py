@@ -7,6 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from searchlift.functions import overlaps
 from searchlift.operators import content
 
 
@@ -85,3 +86,18 @@ def test_terms_of_a_row_and_of_repeated_ids(spark):
     alone = content.term_counts(frame(once))
     assert "Window" not in alone._jdf.queryExecution().toString() and out(alone) == [r for r in out(both) if r[0] != 4]
     assert out(content.topics(frame(once))) == [r for r in out(content.topics(frame(once + again))) if r[0] != 4]
+
+
+def test_blocks_do_not_show(spark):
+    """Pairs of any blocks are those of one pair of sets at a time; terms that many and few pages have count alike, and no term is shuffled."""
+    draw = random.Random(3)
+    pick = lambda i: [f"c{x}" for x in range(12) if draw.random() < 0.7] + [f"r{draw.randrange(40)}" for _ in range(i % 9)] + [f"own{i}x{x}" for x in range(draw.randrange(30))]
+    rows = [(i, draw.choice("xxxxy") if i % 31 else None, list(dict.fromkeys(pick(i)))) for i in range(240)] + [(None, "x", ["c1", "c2"]), (900, "z", ["c1"]), (901, "y", [])]
+    sets = spark.createDataFrame(rows, "page_id long, site string, terms array<string>").repartition(4)
+    known = [(i, s, set(t)) for i, s, t in rows if i is not None and s]
+    want = sorted((a, b, len(ta & tb), len(ta | tb)) for a, sa, ta in known for b, sb, tb in known if a < b and sa == sb and len(ta & tb) >= 2 and len(ta & tb) >= 0.3 * len(ta | tb))
+    assert 100 < len(want) < 20_000
+    for block in (17, 90, 8000):
+        assert sorted(map(tuple, overlaps.overlaps(sets, 2, 0.3, block).collect())) == want
+    texts = spark.createDataFrame(drawn(1, 60), TEXTS)
+    assert "Generate explode(terms" not in content.similar_pages(texts)._jdf.queryExecution().toString()
