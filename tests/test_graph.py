@@ -101,3 +101,21 @@ def test_blocks_do_not_show(spark):
         assert sorted(map(tuple, overlaps.overlaps(sets, 2, 0.3, block).collect())) == want
     texts = spark.createDataFrame(drawn(1, 60), TEXTS)
     assert "Generate explode(terms" not in content.similar_pages(texts)._jdf.queryExecution().toString()
+
+
+def test_few_sources_are_broadcast(spark, monkeypatch):
+    """Broadcast or met by shuffled terms, the links are the same; with few sources no exchange deals terms."""
+    texts, edges = spark.createDataFrame(drawn(5, 80), TEXTS), spark.createDataFrame([("x", "/1", "/2"), ("y", "/3", "/4")], NO_EDGES)
+    seen = []
+    in_rounds = content.in_rounds
+
+    def watched(pages, look, *rest, **options):
+        return in_rounds(pages, lambda some: (lambda found: seen.append(found._jdf.queryExecution().executedPlan().toString()) or found)(look(some)), *rest, **options)
+
+    monkeypatch.setattr(content, "in_rounds", watched)
+    rows = lambda: sorted(map(tuple, content.recommendations(texts, edges, most=20, first=3).collect()))
+    few = rows()
+    assert len(few) == 40 and not any("hashpartitioning(site#" in line and ", by#" in line for plan in seen for line in plan.splitlines())
+    seen.clear()
+    monkeypatch.setattr(content, "BROADCAST_SOURCES", 0)
+    assert rows() == few and seen
