@@ -7,7 +7,7 @@ import pytest
 
 from searchlift.plans import catalog
 
-NAMES = ["duplicate_titles"]
+NAMES = ["duplicate_titles", "export_checks"]
 
 
 @pytest.fixture(scope="module")
