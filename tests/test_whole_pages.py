@@ -7,7 +7,7 @@ import pytest
 
 from searchlift.plans import catalog
 
-NAMES = ["duplicate_titles", "export_checks"]
+NAMES = ["duplicate_titles", "export_checks", "export_duplicates"]
 
 
 @pytest.fixture(scope="module")
