@@ -7,7 +7,7 @@ import pytest
 
 from searchlift.plans import catalog
 
-NAMES = ["duplicate_titles", "export_checks", "export_duplicates", "finding_counts"]
+NAMES = ["duplicate_titles", "export_checks", "export_duplicates", "finding_counts", "finding_state_counts"]
 
 
 @pytest.fixture(scope="module")
